@@ -7,7 +7,11 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from rolegrain.llm import packing, secrets
+from rolegrain.llm import lmscore, packing, secrets
+
+
+def op6_lm_score(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return lmscore.score(spark.read.parquet(f"{sf_dir}/documents.parquet"))
 
 
 def op8_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
