@@ -15,7 +15,7 @@ from pyspark.sql import functions as F
 from rolegrain.llm.shared import materialize
 
 GROUP_PIECES = 32_768
-CACHE_WORDS = 300_000
+CACHE_WORDS = 1_000_000
 _encoders: dict[str, "Encoder"] = {}
 
 
@@ -32,7 +32,13 @@ class Encoder(dict):
     def __missing__(self, stretch: str) -> bytes:
         if len(self) >= CACHE_WORDS:
             self.clear()
-        ids = np.array(self.tokenizer.encode(stretch, add_special_tokens=False).ids, "<u4").tobytes()
+        word = stretch.lower() if stretch.isascii() and "<|" not in stretch else stretch  # the tokenizer lower-cases
+        if word[-1:] in (",", ".") and word[-2:-1].isalpha():  # it parts letters from what follows them
+            ids = self[word[:-1]] + self[word[-1]]
+        elif word != stretch:
+            ids = self[word]
+        else:
+            ids = np.array(self.tokenizer.encode(stretch, add_special_tokens=False).ids, "<u4").tobytes()
         if len(stretch) <= 64:
             self[stretch] = ids
         return ids
