@@ -7,7 +7,11 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from rolegrain.llm import lmscore, packing, secrets
+from rolegrain.llm import lmscore, packing, secrets, substrings
+
+
+def op3_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return substrings.remove_repeats(spark.read.parquet(f"{sf_dir}/documents.parquet"))
 
 
 def op6_lm_score(spark: SparkSession, sf_dir: str) -> DataFrame:
