@@ -7,7 +7,11 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from rolegrain.llm import lmscore, packing, secrets, substrings
+from rolegrain.llm import jaccard, lmscore, packing, secrets, substrings
+
+
+def op2_ngram_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return jaccard.linked_groups(spark.read.parquet(f"{sf_dir}/documents.parquet"), shingle=4, percent=85)
 
 
 def op3_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
