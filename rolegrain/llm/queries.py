@@ -6,8 +6,9 @@ from collections.abc import Callable
 
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from rolegrain.llm import jaccard, lmscore, packing, secrets, substrings
+from rolegrain.llm import jaccard, lmscore, packing, secrets, substrings, topk, urls
 
 
 def op2_ngram_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -18,10 +19,18 @@ def op3_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return substrings.remove_repeats(spark.read.parquet(f"{sf_dir}/documents.parquet"))
 
 
+def op5_exact_top_k(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return topk.top_k(spark.read.parquet(f"{sf_dir}/embeddings.parquet"), F.col("vec_id") % 100 == 0)
+
+
 def op6_lm_score(spark: SparkSession, sf_dir: str) -> DataFrame:
     return lmscore.score(spark.read.parquet(f"{sf_dir}/documents.parquet"))
 
 
+def op7_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return urls.judge_urls(spark.read.parquet(f"{sf_dir}/pages.parquet"))
+
+
 def op8_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return secrets.secret_spans(spark.read.parquet(f"{sf_dir}/documents.parquet"))
 
