@@ -8,7 +8,16 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from rolegrain.llm import jaccard, lmscore, packing, secrets, substrings, topk, urls
+from rolegrain.llm import jaccard, langid, lmscore, mixing, packing, secrets, substrings, topk, urls
+
+
+#: Shares of the tokens that the mixture is to have, by domain of the labels table.
+TARGET = {"clean": 0.9, "low": 0.08, "toxic": 0.02}
+
+
+def op1_soft_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs, labels = (spark.read.parquet(f"{sf_dir}/{t}.parquet") for t in ("documents", "labels"))
+    return mixing.document_rates(docs, labels, TARGET)
 
 
 def op2_ngram_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -19,6 +28,12 @@ def op3_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return substrings.remove_repeats(spark.read.parquet(f"{sf_dir}/documents.parquet"))
 
 
+def op4_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Documents (with doc_id) and pages (with page_id), under one model and one set of priors."""
+    docs, pages = (spark.read.parquet(f"{sf_dir}/{t}.parquet") for t in ("documents", "pages"))
+    return langid.judged(langid.document_rows(docs).unionByName(langid.page_rows(pages)), ["doc_id", "page_id"])
+
+
 def op5_exact_top_k(spark: SparkSession, sf_dir: str) -> DataFrame:
     return topk.top_k(spark.read.parquet(f"{sf_dir}/embeddings.parquet"), F.col("vec_id") % 100 == 0)
 
