@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from rolegrain.llm import jaccard, langid, lmscore, mixing, packing, secrets, substrings, topk, urls
+from rolegrain.llm import jaccard, langid, lmscore, media, mixing, packing, secrets, substrings, topk, urls
 
 
 #: Shares of the tokens that the mixture is to have, by domain of the labels table.
@@ -50,6 +50,11 @@ def op8_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return secrets.secret_spans(spark.read.parquet(f"{sf_dir}/documents.parquet"))
 
 
+def op9_media_copies(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The tables hold no images; each vector of embeddings is drawn as one."""
+    return media.copy_groups(media.drawn(spark.read.parquet(f"{sf_dir}/embeddings.parquet")))
+
+
 def op10_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
     return packing.pack(docs, public_tokenizers.path("word_bpe_49k.json"))
