@@ -40,7 +40,7 @@ def shingle_sets(column: pa.Array, k: int) -> Iterator[np.ndarray]:
 
 def node_of(shingles: np.ndarray) -> np.uint64:
     """Texts with one set of shingles are one node."""
-    return mix(np.array([np.sum(mix(shingles + COMBINE[10]), dtype=np.uint64) + COMBINE[11] * np.uint64(len(shingles))], np.uint64))[0]
+    return mix(mix(shingles + COMBINE[10]).sum(keepdims=True) + COMBINE[11:12] * np.array([len(shingles)], np.uint64))[0]
 
 
 def least_overlap(size: np.ndarray | int, other: np.ndarray | int, percent: int):
@@ -300,15 +300,21 @@ def linked_groups(docs: DataFrame, shingle: int = 5, percent: int = 80) -> DataF
     by_label = known.groupBy("token", "label").agg(F.count("*").alias("n"))
     mixed = by_label.groupBy("token").agg(F.max_by("label", F.struct("n", "label")).alias("major"), F.count("*").alias("labels")).filter("labels > 1").select("token", "major")
     open_lists = known.join(mixed, "token")
+    open_lists = materialize(open_lists, "open_lists")
     few = open_lists.filter("label <> major").select("token", *[F.col(c).alias(f"few_{c}") for c in ("node", "label", "size", "place", "matches")])
     f, o = (lambda c: F.col(f"few_{c}")), (lambda c: F.col(c))
-    wanted = F.least(f("matches"), o("matches"))
+    # a pair that links shares a token in the prefixes for one, whatever number it has to share in longer ones
     meet = (
         (f("label") != o("label")) & ((o("label") == o("major")) | (f("node") < o("node"))) & sizes_fit(f("size"), o("size"), percent)
-        & reach(f("size"), f("place"), o("size"), wanted, percent) & reach(o("size"), o("place"), f("size"), wanted, percent)
+        & reach(f("size"), f("place"), o("size"), F.lit(1), percent) & reach(o("size"), o("place"), f("size"), F.lit(1), percent)
     )
-    matched = few.join(open_lists, (few["token"] == open_lists["token"]) & meet).select(F.least("few_node", "node").alias("a"), F.greatest("few_node", "node").alias("b"), wanted.alias("wanted"))
-    candidates = matched.groupBy("a", "b", "wanted").agg(F.count("*").alias("n")).filter("n >= wanted").select("a", "b")
+    met = few.join(open_lists, (few["token"] == open_lists["token"]) & meet).select(F.least("few_node", "node").alias("a"), F.greatest("few_node", "node").alias("b")).distinct()
+    prefixes = open_lists.groupBy("node").agg(F.first("size").alias("size"), F.first("matches").alias("matches"), F.collect_list(F.struct("token", "place")).alias("prefix"))
+    side = lambda x: prefixes.select(F.col("node").alias(x), *[F.col(c).alias(f"{x}_{c}") for c in ("size", "matches", "prefix")])
+    wanted = F.least("a_matches", "b_matches")
+    within = lambda x, y: F.filter(f"{x}_prefix", lambda e: reach(F.col(f"{x}_size"), e["place"], F.col(f"{y}_size"), wanted, percent))["token"]
+    enough = F.size(F.array_intersect(within("a", "b"), within("b", "a"))) >= wanted
+    candidates = met.join(side("b"), "b").join(side("a"), "a").filter(enough).select("a", "b")
     rest = materialize(may_link(candidates, bitmaps, percent).select("a", "b"), "candidates")
     all_links = links.union(verified(rest, texts, shingle, percent))
     labels = components(all_links)
@@ -318,10 +324,7 @@ def linked_groups(docs: DataFrame, shingle: int = 5, percent: int = 80) -> DataF
 
 
 def keep_one(docs: DataFrame, shingle: int = 5, percent: int = 80) -> DataFrame:
-    """docs without those that are linked to a document with a smaller doc_id; of repeated rows of that one
-    all but one go too. Documents without shingles stay. A null doc_id stays unless it is in a group that
-    has another."""
-    groups = linked_groups(docs, shingle, percent)
-    gone = groups.filter("n_shingles > 0 and component_id is not null and (doc_id is null or doc_id <> component_id)").select("doc_id")
-    ids = gone.distinct()
-    return docs.join(ids.filter("doc_id is not null"), "doc_id", "left_anti").select(*docs.columns)
+    """docs without those that links connect to a document with a smaller doc_id. Documents without shingles
+    or doc_id stay; rows that repeat a doc_id go or stay together."""
+    gone = linked_groups(docs, shingle, percent).filter("n_shingles > 0 and doc_id <> component_id").select(F.col("doc_id").alias("_gone")).distinct()
+    return docs.join(gone, F.col("doc_id").cast("long") == F.col("_gone"), "left_anti")

@@ -111,4 +111,4 @@ def gram_hashes(words: np.ndarray, k: int) -> np.ndarray:
 
 def whole_hash(words: np.ndarray) -> int:
     """Hash of a sequence shorter than a shingle; unlike that of any shingle."""
-    return int(mix(np.array([np.sum(words * COMBINE[64 : 64 + len(words)], dtype=np.uint64) + COMBINE[127] * np.uint64(len(words))], np.uint64))[0])
+    return int(mix((words * COMBINE[64 : 64 + len(words)]).sum(keepdims=True) + COMBINE[127:128] * np.array([len(words)], np.uint64))[0])
