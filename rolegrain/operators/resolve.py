@@ -1,0 +1,92 @@
+"""Matching names, boards and employers to each other."""
+
+from __future__ import annotations
+
+from difflib import SequenceMatcher
+
+import pandas as pd
+from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import functions as F
+from pyspark.sql.types import DoubleType
+
+# Limits of the retrieval by trigrams.
+SHORTEST, LONGEST, MOST_GRAMS, MOST_RETRIEVED, MOST_KEPT = 6, 128, 24, 1000, 10
+
+
+def unique_match(left: DataFrame, right: DataFrame, strong: str, weak: str) -> DataFrame:
+    """(left_id, right_id) where the strong key finds exactly one right row, or, if it finds none, the weak key
+    does; an ambiguous key gives null."""
+    def by(key: str, rows: DataFrame) -> DataFrame:
+        pairs = rows.select("left_id", key).join(right.select("right_id", key).filter(F.col(key) != ""), key)
+        return pairs.groupBy("left_id").agg(F.count_distinct("right_id").alias("_n"), F.min("right_id").alias("right_id"))
+
+    first = by(strong, left)
+    second = by(weak, left.join(first, "left_id", "left_anti"))
+    hits = first.unionByName(second).select("left_id", F.when(F.col("_n") == 1, F.col("right_id")).alias("right_id"))
+    return left.select("left_id").join(hits, "left_id", "left")
+
+
+def three_way(queries: DataFrame, entries: DataFrame, keys: tuple[str, ...], limit: int = 100) -> DataFrame:
+    """(query_id, entry_id, truncated): entries that agree on any key, each once, the first `limit` by id."""
+    found = None
+    for key in keys:
+        hits = queries.select("query_id", key).join(entries.select("entry_id", key).filter(F.col(key) != ""), key).select("query_id", "entry_id")
+        found = hits if found is None else found.union(hits)
+    place = Window.partitionBy("query_id")
+    placed = found.distinct().withColumns({"_place": F.row_number().over(place.orderBy("entry_id")), "_n": F.count("*").over(place)})
+    return placed.filter(F.col("_place") <= limit).select("query_id", "entry_id", (F.col("_n") > limit).alias("truncated"))
+
+
+def trigrams(name: Column) -> Column:
+    """Distinct three-letter runs without spaces of a name of 6 to 128 characters; of more than 24, those at
+    even steps."""
+    grams = F.array_distinct(F.filter(F.transform(F.sequence(F.lit(1), F.greatest(F.length(name) - 2, F.lit(1))), lambda i: F.substring(name, i, F.lit(3))), lambda g: (F.length(g) == 3) & ~g.contains(" ")))
+    n = F.size(grams)
+    even = F.transform(F.sequence(F.lit(0), F.lit(MOST_GRAMS - 1)), lambda i: F.element_at(grams, (F.floor(i * n / MOST_GRAMS) + 1).cast("int")))
+    return F.when(F.length(name).between(SHORTEST, LONGEST), F.when(n > MOST_GRAMS, even).otherwise(grams)).otherwise(F.array().cast("array<string>"))
+
+
+def trigram_candidates(queries: DataFrame, entries: DataFrame, most: int = MOST_RETRIEVED) -> DataFrame:
+    """(query_id, entry_id, shared): entries by shared trigrams, most first, ties by id."""
+    q = queries.select("query_id", F.explode(trigrams(F.col("name"))).alias("gram"))
+    e = entries.select("entry_id", F.explode(trigrams(F.col("name"))).alias("gram"))
+    counted = q.join(e, "gram").groupBy("query_id", "entry_id").agg(F.count("*").alias("shared"))
+    return counted.withColumn("_place", F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("shared"), "entry_id"))).filter(F.col("_place") <= most).drop("_place")
+
+
+@F.pandas_udf(DoubleType())
+def name_similarity(left: pd.Series, right: pd.Series) -> pd.Series:
+    """0..100: the better of matching the names and their sorted words, each in the better direction."""
+
+    def ratio(a: str, b: str) -> float:
+        return max(SequenceMatcher(None, a, b, autojunk=False).ratio(), SequenceMatcher(None, b, a, autojunk=False).ratio())
+
+    def one(a: str | None, b: str | None) -> float | None:
+        if a is None or b is None:
+            return None
+        a, b = a.casefold(), b.casefold()
+        return 100 * max(ratio(a, b), ratio(" ".join(sorted(a.split())), " ".join(sorted(b.split()))))
+
+    return pd.Series([one(a, b) for a, b in zip(left, right, strict=True)], dtype="float64")
+
+
+def fuzzy_matches(queries: DataFrame, entries: DataFrame, least: float = 85.0, keep: int = MOST_KEPT) -> DataFrame:
+    """(query_id, entry_id, similarity) of at least `least`, the best `keep` of each query."""
+    pairs = trigram_candidates(queries, entries).join(queries.select("query_id", F.col("name").alias("_q")), "query_id").join(entries.select("entry_id", F.col("name").alias("_e")), "entry_id")
+    scored = pairs.withColumn("similarity", name_similarity("_q", "_e")).filter(F.col("similarity") >= least)
+    return scored.withColumn("_place", F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("similarity"), "entry_id"))).filter(F.col("_place") <= keep).select("query_id", "entry_id", "similarity")
+
+
+def alias_candidates(witnesses: DataFrame, aliases: DataFrame, limit: int = 10) -> DataFrame:
+    """(witness_id, source, identity, truncated): entries whose alias stands as a whole phrase in the text."""
+    words = witnesses.select("witness_id", F.concat(F.lit(" "), F.lower("text"), F.lit(" ")).alias("_text"), F.explode(F.array_distinct(F.split(F.lower("text"), " "))).alias("_word"))
+    first = aliases.select("source", "identity", F.lower("alias").alias("_alias"), F.substring_index(F.lower("alias"), " ", 1).alias("_word"))
+    hits = words.join(first, "_word").filter(F.col("_text").contains(F.concat(F.lit(" "), F.col("_alias"), F.lit(" ")))).select("witness_id", "source", "identity").distinct()
+    by = Window.partitionBy("witness_id")
+    placed = hits.withColumns({"_place": F.row_number().over(by.orderBy("source", "identity")), "_n": F.count("*").over(by)})
+    return placed.filter(F.col("_place") <= limit).select("witness_id", "source", "identity", (F.col("_n") > limit).alias("truncated"))
+
+
+def graded(rows: DataFrame) -> DataFrame:
+    """One row of counts over (want, got): checked, correct, false positives and misses."""
+    return rows.agg(F.count("*").alias("checked"), F.count_if(F.col("want") == F.col("got")).alias("correct"), F.count_if(F.col("got") & ~F.col("want")).alias("false_positives"), F.count_if(~F.col("got") & F.col("want")).alias("missed"))
