@@ -8,10 +8,12 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from rolegrain.functions import places, scores, sectors, skills
-from rolegrain.operators import catalog, facets, geo, merge
+from rolegrain.operators import catalog, facets, geo, merge, rules
 from rolegrain.operators.catalog import PageRequest
+from rolegrain.operators.rules import Profile, Rule
 from rolegrain.plans import adapters
 from rolegrain.plans.adapters import EVALUATIONS, JOBS, SUBSCORES, score_sql
+from rolegrain.sources import markup
 
 GROUPS_SQL = "CASE " + " ".join(
     [f"WHEN lower(trim(coalesce(sector, ''))) IN ({', '.join(repr(x) for x in sectors.BLANK_LABELS)}) THEN '{sectors.UNCATEGORIZED}'"]
@@ -219,3 +221,42 @@ SQL = {name: f"{ROWS} SELECT {', '.join(PAGE_COLUMNS)} FROM combined WHERE {wher
     "office_unique_join": f"WITH {JOBS}, offices AS (SELECT s_suppkey % 40 AS employer_id, n_name AS location, s_suppkey AS office_id FROM supplier JOIN nation ON s_nationkey = n_nationkey WHERE s_acctbal > 0), one AS (SELECT employer_id, location, min(office_id) AS office_id FROM offices GROUP BY ALL HAVING count(*) = 1) SELECT j.id, o.office_id FROM jobs j JOIN one o ON j.employer_id % 40 = o.employer_id AND j.location = o.location",
     "overlay_patch": f"WITH {JOBS}, u AS (SELECT l_orderkey AS id, CASE WHEN l_linenumber % 2 = 0 THEN 'status' ELSE 'title' END AS field, l_returnflag AS value, row_number() OVER (PARTITION BY l_orderkey, l_linenumber % 2 ORDER BY l_linenumber DESC, l_shipdate DESC, l_partkey DESC, l_suppkey DESC) AS place FROM lineitem WHERE l_quantity > 45) SELECT j.id, coalesce(s.value, j.status) AS status, coalesce(t.value, j.title) AS title FROM jobs j LEFT JOIN u s ON s.id = j.id AND s.field = 'status' AND s.place = 1 LEFT JOIN u t ON t.id = j.id AND t.field = 'title' AND t.place = 1",
 }
+
+
+def rule_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The sub-scores of documents as postings under one candidate's rules."""
+    docs = adapters.table(spark, sf_dir, "documents")
+    jobs = docs.select(
+        F.col("doc_id").alias("id"), F.substring("text", 1, 60).alias("title"), F.col("text").alias("description"), F.col("source").alias("location"), F.col("lang").alias("employment_type"), F.lit("Fintech").alias("sector"), (F.col("doc_id") % 11 / 10.0).alias("similarity"),
+        F.col("n_chars").cast("int").alias("salary_min_amount"), F.lit(None).cast("int").alias("salary_max_amount"), F.lit("EUR").alias("salary_currency"), F.lit("annual").alias("salary_period"),
+    )
+    found = rules.scored(jobs, CANDIDATE)
+    return found.select("id", "sector_name", "seniority_name", F.array_join("matched_skills", ",").alias("matched"), *[F.col(c).cast("double").alias(c) for c in RULE_COLUMNS], "relevance", "tier")
+
+
+RULE_COLUMNS = ("sub_sector", "sub_semantic", "sub_competency", "sub_seniority", "sub_salary", "sub_location", "sub_target_role", "sub_disqualified", "sub_negative_sector")
+CANDIDATE = Profile(
+    keywords=("the", "und", "nowhere"), target_roles=("of the",), target_locations=("src1", "src2", "of"), salary_min=3000, disqualifiers=("password=", "("), negative_sectors=(Rule(("!!",), "Noise"),),
+    positive_sectors=(Rule(("ción",), "Spanish"), Rule(("thin",), "Thin")), seniority_tiers=(Rule(("was",), "Past", 0.7), Rule(("of",), "Of", 2.0)),
+)
+QUERIES["rule_scores"] = rule_scores
+_SKILL = lambda s: rf"regexp_matches(full_text, '(?i)(^|[^\pL\pM\pN_]){s}($|[^\pL\pM\pN_])')"
+SQL["rule_scores"] = rf"""WITH j AS (SELECT doc_id AS id, substr(text, 1, 60) AS title, substr(text, 1, 60) || ' ' || text AS full_text, source, n_chars, doc_id % 11 / 10.0::DOUBLE AS sim FROM documents),
+ s AS (SELECT *, regexp_matches(full_text, '(?i)!!') AS neg, regexp_matches(full_text, '(?i)password=') AS dis, regexp_matches(title, '(?i)ción') AS t1, regexp_matches(title, '(?i)thin') AS t2, regexp_matches(full_text, '(?i)ción') AS f1, regexp_matches(full_text, '(?i)thin') AS f2, regexp_matches(title, '(?i)was') AS past, regexp_matches(title, '(?i)of') AS off,
+ {_SKILL('the')} AS k1, {_SKILL('und')} AS k2, {_SKILL('nowhere')} AS k3, {_SKILL('of the')} AS k4, contains(lower(title), 'of the') AS role, lower(full_text || ' ' || source) AS placed FROM j),
+ v AS (SELECT id, CASE WHEN neg THEN 'Noise' WHEN t1 THEN 'Spanish' WHEN t2 THEN 'Thin' WHEN f1 THEN 'Spanish' WHEN f2 THEN 'Thin' ELSE 'Fintech' END AS sector_name, CASE WHEN past THEN 'Past' WHEN off THEN 'Of' ELSE 'Professional / Mid-Level' END AS seniority_name,
+ array_to_string(list_filter([CASE WHEN k3 THEN 'nowhere' END, CASE WHEN k4 THEN 'of the' END, CASE WHEN k1 THEN 'the' END, CASE WHEN k2 THEN 'und' END], lambda x: x IS NOT NULL), ',') AS matched,
+ CASE WHEN neg THEN 0.05 WHEN t1 OR t2 THEN 1.0 WHEN f1 OR f2 THEN 0.8 ELSE 0.5 END::DOUBLE AS sub_sector, sim AS sub_semantic, least(1.0, (k1::INT + k2::INT + k3::INT + k4::INT) / 4.0::DOUBLE * 1.5)::DOUBLE AS sub_competency, CASE WHEN past THEN 0.7 WHEN off THEN 1.0 ELSE 0.5 END::DOUBLE AS sub_seniority,
+ CASE WHEN n_chars >= 3000 THEN 1.0 WHEN n_chars < 2400 THEN 0.3 ELSE 0.6 END::DOUBLE AS sub_salary, CASE WHEN contains(placed, 'src1') THEN 1.0 WHEN contains(placed, 'src2') THEN 0.8 WHEN contains(placed, 'of') THEN 0.6 ELSE 0.0 END::DOUBLE AS sub_location, role::INT::DOUBLE AS sub_target_role, dis::INT::DOUBLE AS sub_disqualified, neg::INT::DOUBLE AS sub_negative_sector FROM s),
+ d AS (SELECT *, CAST(round(CASE WHEN sub_negative_sector > 0 THEN least(15, CAST(sub_semantic AS DECIMAL(18,6)) * 20 + CAST(sub_sector AS DECIMAL(18,6)) * 10) ELSE CAST(sub_sector AS DECIMAL(18,6)) * 20 + CAST(sub_semantic AS DECIMAL(18,6)) * 25 + CAST(sub_competency AS DECIMAL(18,6)) * 20 + CAST(sub_seniority AS DECIMAL(18,6)) * 15 + CAST(sub_salary AS DECIMAL(18,6)) * 10 + 10 + CAST(sub_target_role AS DECIMAL(18,6)) * 6 + CAST(sub_location AS DECIMAL(18,6)) * 4 END) AS INTEGER) AS raw FROM v),
+ r AS (SELECT *, least(CASE WHEN sub_disqualified > 0 THEN 10 ELSE 100 END, greatest(0, least(100, raw))) AS relevance FROM d)
+ SELECT * EXCLUDE (raw), CASE WHEN relevance >= 75 THEN 'Strong Match' WHEN relevance >= 55 THEN 'Good Match' WHEN relevance >= 35 THEN 'Moderate Match' WHEN relevance >= 15 THEN 'Low Match' ELSE 'Mismatch' END AS tier FROM r"""
+
+
+def anchor_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return markup.anchors(adapters.table(spark, sf_dir, "pages")).select("page_id", "pos", "url", "label")
+
+
+QUERIES["anchor_extract"] = anchor_counts
+SQL["anchor_extract"] = r"""WITH a AS (SELECT page_id, url, unnest(range(len(h))) AS pos, h, i FROM (SELECT page_id, url, regexp_extract_all(html, '(?is)<a\b[^>]*?\bhref\s*=\s*["'']([^"'']*)["''][^>]*>(.*?)</a>', 1) AS h, regexp_extract_all(html, '(?is)<a\b[^>]*?\bhref\s*=\s*["'']([^"'']*)["''][^>]*>(.*?)</a>', 2) AS i FROM pages))
+ SELECT page_id, CAST(pos AS INTEGER) AS pos, regexp_extract(url, '^([a-zA-Z]+://[^/?#]+)', 1) || h[pos + 1] AS url, trim(i[pos + 1]) AS label FROM a"""
