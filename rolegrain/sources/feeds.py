@@ -7,10 +7,11 @@ from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import DataType
 
 from rolegrain.functions.pay import pay_text
 from rolegrain.functions.places import maybe_irish, surely_irish
-from rolegrain.functions.text import markup_to_lines, plain_text
+from rolegrain.functions.text import decode_common, markup_to_lines, plain_text
 
 SEE_POST = "See job post"
 Expr = Callable[[Column], Column]
@@ -150,9 +151,21 @@ FEEDS: dict[str, Feed] = {
         f"items array<struct<title string, location {CITY_COUNTRY}, url string, shortUUID string, description string, summary string, commitment string, organization struct<name string>>>", lambda b: b["items"], lambda p: p["title"], lambda p: joined(", ", p["location"]["city"], p["location"]["country"]),
         lambda p: F.when(first_of(p["url"]) != "", text(p["url"])).otherwise(url_of("https://jobstash.xyz/jobs/", p["shortUUID"], "/details")), employment=lambda p: first_of(p["commitment"], F.lit(SEE_POST)), body=lambda p: markup_to_lines(first_of(p["description"], p["summary"])),
     ),
+    "eightfold": Feed(
+        "positions array<struct<id string, name string, location string, locations array<string>, canonicalPositionUrl string>>", lambda b: b["positions"], lambda p: p["name"], lambda p: irish_first(F.concat(F.coalesce(p["locations"], F.array().cast("array<string>")), F.array(p["location"])), lambda e: e, lambda e: F.lit(""), F.lit("")),
+        lambda p: F.when(first_of(p["canonicalPositionUrl"]) != "", text(p["canonicalPositionUrl"])).otherwise(url_of("https://", F.col("token"), "/careers/job/", p["id"])), lambda p: p["id"], pay=lambda p: F.lit(None).cast("string"), irish=lambda c: text(c) != "",
+    ),
+    "phenom": Feed("refineSearch struct<data struct<jobs array<struct<jobSeqNo string, title string, cityState string>>>>", lambda b: b["refineSearch"]["data"]["jobs"], lambda p: p["title"], lambda p: p["cityState"], lambda p: F.when(text(p["jobSeqNo"]) != "", url_of("https://", F.col("token"), "/job/", p["jobSeqNo"])), lambda p: p["jobSeqNo"]),
+    "zoho": Feed("jobs array<struct<id string, Posting_Title string, City string, Country string, Publish boolean>>", lambda b: b["jobs"], lambda p: p["Posting_Title"], lambda p: joined(", ", p["City"], p["Country"]), lambda p: F.when(text(p["id"]) != "", url_of("https://", F.col("token"), "/jobs/Careers/", p["id"])), lambda p: p["id"], keep=lambda p: F.coalesce(p["Publish"], F.lit(False))),
+    "teamtailor": Feed(
+        "data array<struct<id string, attributes struct<title string, body string, pitch string, url string, locations array<string>>, links struct<`careersite-job-url` string>>>", lambda b: b["data"], lambda p: p["attributes"]["title"], lambda p: F.array_join(p["attributes"]["locations"], ", "),
+        lambda p: F.when(first_of(p["links"]["careersite-job-url"], p["attributes"]["url"]) != "", first_of(p["links"]["careersite-job-url"], p["attributes"]["url"])).otherwise(url_of("https://", F.col("token"), ".teamtailor.com/jobs/", p["id"])), lambda p: p["id"], body=lambda p: markup_to_lines(first_of(p["attributes"]["body"], p["attributes"]["pitch"])),
+    ),
 }
-#: Feeds whose body is the array itself.
-BARE_ARRAYS = ("lever", "breezy", "workable", "pinpoint")
+#: Feeds whose body is the array itself, and feeds whose array is the value of a page's input named jobs.
+BARE_ARRAYS = ("lever", "breezy", "workable", "pinpoint", "zoho", "teamtailor")
+IN_PAGES = ("zoho",)
+EMBEDDED = r"""(?is)<input\b(?=[^>]*\bid\s*=\s*["']jobs["'])[^>]*\bvalue\s*=\s*"([^"]*)\""""
 
 
 def read_feed(bodies: DataFrame, provider: str) -> DataFrame:
@@ -161,12 +174,14 @@ def read_feed(bodies: DataFrame, provider: str) -> DataFrame:
     of the wrong shape fails the job with the provider's name."""
     feed = FEEDS[provider]
     body = F.trim("body")
+    if provider in IN_PAGES:
+        body = F.trim(decode_common(F.regexp_extract("body", EMBEDDED, 1)))
     if provider in BARE_ARRAYS:
         field = feed.schema.split(" ", 1)[0]
         body = F.when(body.startswith("["), F.concat(F.lit(f'{{"{field}": '), body, F.lit("}"))).otherwise(body)
     parsed = bodies.withColumn("_parsed", F.from_json(body, feed.schema))
     found = feed.postings(F.col("_parsed"))
-    listed = parsed.withColumn("_list", F.coalesce(found, F.raise_error(F.concat(F.lit(f"no {provider} listing: "), F.col("source"))).cast(f"{_array_type(parsed, found)}")))
+    listed = parsed.withColumn("_list", F.coalesce(found, F.raise_error(F.concat(F.lit(f"no {provider} listing: "), F.col("source"))).cast(_array_type(parsed, found))))
     each = listed.select("source", "company", "token", F.posexplode("_list").alias("_pos", "p"))
     p = F.col("p")
     named = each.withColumns({"title": text(feed.title(p)), "_place": F.coalesce(feed.place(p), F.lit("")), "url": feed.url(p), "_keep": F.coalesce(feed.keep(p), F.lit(False))})
@@ -179,5 +194,33 @@ def read_feed(bodies: DataFrame, provider: str) -> DataFrame:
     return whole.withColumn("_first", first).filter("_first = 1").select("source", "company", "external_id", "title", "location", "employment_type", "salary_text", "description", "url")
 
 
-def _array_type(frame: DataFrame, column: Column) -> str:
-    return frame.select(column.alias("c")).schema["c"].dataType.simpleString()
+def _array_type(frame: DataFrame, column: Column) -> DataType:
+    return frame.select(column.alias("c")).schema["c"].dataType
+
+
+def with_details(rows: DataFrame, details: DataFrame) -> DataFrame:
+    """rows with the fetched bodies (source, external_id, html) of those that have one."""
+    d = details.select("source", "external_id", F.nullif(markup_to_lines(F.col("html")), F.lit("")).alias("_body"))
+    return rows.join(d, ["source", "external_id"], "left").withColumn("description", F.coalesce("_body", "description")).select(*rows.columns)
+
+
+POSITIONAL = r"""(?s)key:\s*'ds:1'.*?data:\s*(\[.*?\])\s*,\s*sideChannel"""
+
+
+def positional_postings(pages: DataFrame) -> DataFrame:
+    """Postings that a page holds as nested lists without names: id, title, places and texts by position."""
+    array = "array<string>"
+    data = F.from_json(F.regexp_extract("body", POSITIONAL, 1), array)
+    each = pages.select("source", "company", F.posexplode(F.from_json(F.try_element_at(data, F.lit(1)), array)).alias("pos", "r")).withColumn("r", F.from_json("r", array))
+    at = lambda i: F.try_element_at("r", F.lit(i + 1))
+    names = F.transform(F.from_json(at(9), array), lambda e: F.try_element_at(F.from_json(e, array), F.lit(1)))
+    markup = lambda i: F.coalesce(F.try_element_at(F.from_json(at(i), array), F.lit(2)), F.lit(""))
+    rows = each.select("source", "company", "pos", at(0).alias("external_id"), text(at(1)).alias("title"), irish_first(names, lambda e: e, lambda e: F.lit(""), F.lit("")).alias("location"), markup_to_lines(F.concat(markup(10), markup(3), markup(4))).alias("description"))
+    return rows.filter((F.col("location") != "") & (F.col("title") != "") & (text(F.col("external_id")) != ""))
+
+
+def budget_kept(pages: DataFrame, most: int) -> DataFrame:
+    """pages (source, page, next_url) unless a source still has a next page at its budget: that is an error, not a
+    shorter listing."""
+    over = (F.col("page") >= most) & F.col("next_url").isNotNull()
+    return pages.withColumn("page", F.when(over, F.raise_error(F.concat(F.lit("more pages than the budget: "), F.col("source"))).cast("int")).otherwise(F.col("page")))
