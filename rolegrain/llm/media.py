@@ -11,11 +11,13 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from rolegrain.llm.bits import bitmap
 from rolegrain.llm.components import components
 from rolegrain.llm.shared import materialize
+from rolegrain.llm.textvec import COMBINE, mix
 
 #: Descriptors of an image: the strongest corners of each scale. This is the size of an image's description.
-CORNERS = (24, 16, 8)
+CORNERS = (18, 10, 6)
 SCALES = (1.0, 1.5, 2.25)
 RADIUS, BITS, PARTS = 8, 128, 4
 #: Two descriptors meet in a Hamming table if two of their four 32-bit parts agree, as those with at most two
@@ -183,37 +185,85 @@ def descriptions(media: DataFrame) -> DataFrame:
     return media.mapInArrow(rows, DESCRIPTION)
 
 
-def meetings(images: DataFrame) -> DataFrame:
-    """Pairs of corners of different images that meet in a Hamming table: (a, b) and the transform that takes
-    the one to the other. Each pair of corners counts once, in the first table where it meets."""
+def table_keys(bits: np.ndarray) -> list[np.ndarray]:
+    """The keys of descriptors in each Hamming table: two parts and the table's number, mixed."""
+    words = bits.copy().view("<u4").astype(np.uint64)
+    return [mix((words[:, i] << np.uint64(32) | words[:, j]) + COMBINE[50 + t]) for t, (i, j) in enumerate(TABLES)]
+
+
+def shared_corners(images: DataFrame) -> DataFrame:
+    """The corners of images by the keys of their Hamming tables, with low, the key's smallest node, for keys
+    that two images have.
+
+    The keys alone are counted first; a bitmap of the shared ones, 16 MB at most, then keeps the other corners
+    out of the shuffle."""
+
+    def keys(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for lo in range(0, batch.num_rows, 2048):
+                part = batch.slice(lo, 2048)
+                raw = part.column("bits").to_pylist()
+                node = np.repeat(part.column("node").to_numpy(), [len(x) * 8 // BITS for x in raw])
+                for key in table_keys(np.frombuffer(b"".join(raw), np.uint8).reshape(-1, BITS // 8)):
+                    yield pa.RecordBatch.from_arrays([pa.array(key.view(np.int64)), pa.array(node)], ["key", "node"])
+
+    counted = images.select("node", "bits").mapInArrow(keys, "key long, node long").groupBy("key").agg(F.min("node").alias("low"), F.max("node").alias("high"))
+    shared = materialize(counted.filter("low < high").select("key", "low"), "shared_keys")
+    wanted = images.sparkSession.sparkContext.broadcast(bitmap(shared, "key", shared.count()))
 
     def corners(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        names = ["node", "key", "table", "place", "x", "y", "angle", "scale", "bits"]
+        names = ["node", "key", "place", "x", "y", "angle", "scale"]
         for batch in batches:
-            for lo in range(0, batch.num_rows, 512):
-                part = batch.slice(lo, 512)
+            for lo in range(0, batch.num_rows, 2048):
+                part = batch.slice(lo, 2048)
                 n = np.array([len(x) for x in part.column("x").to_pylist()], np.int64)
-                bits = np.frombuffer(b"".join(part.column("bits").to_pylist()), np.uint8).reshape(-1, BITS // 8)
-                words = bits.copy().view("<u4").astype(np.uint64)
                 node = np.repeat(part.column("node").to_numpy(), n)
-                place = np.arange(len(node)) - np.repeat(np.cumsum(n) - n, n)
-                values = [part.column(c).flatten() for c in ("x", "y", "angle", "scale")]
-                raw = pa.array([b.tobytes() for b in bits], pa.binary())
-                for t, (i, j) in enumerate(TABLES):
-                    key = (words[:, i] << np.uint64(32) | words[:, j]).view(np.int64)
-                    yield pa.RecordBatch.from_arrays([pa.array(node), pa.array(key), pa.array(np.full(len(node), t, np.int32)), pa.array(place.astype(np.int32)), *values, raw], names)
-
-    each = images.select("node", "x", "y", "angle", "scale", "bits").mapInArrow(corners, "node long, key long, table int, place int, x float, y float, angle float, scale float, bits binary")
-    each = materialize(each, "corners")
-    shared = each.groupBy("table", "key").agg(F.min("node").alias("low"), F.max("node").alias("high")).filter("low < high").select("table", "key")
-    kept = materialize(each.join(shared, ["table", "key"]), "shared_corners")
-    a, b = (kept.select("table", "key", *[F.col(c).alias(f"{s}_{c}") for c in ("node", "place", "x", "y", "angle", "scale", "bits")]) for s in "ab")
-    met = a.join(b, ["table", "key"]).filter("a_node < b_node").dropDuplicates(["a_node", "a_place", "b_node", "b_place"])
+                place = (np.arange(len(node)) - np.repeat(np.cumsum(n) - n, n)).astype(np.int32)
+                values = [part.column(c).flatten().to_numpy(zero_copy_only=False) for c in ("x", "y", "angle", "scale")]
+                for key in table_keys(np.frombuffer(b"".join(part.column("bits").to_pylist()), np.uint8).reshape(-1, BITS // 8)):
+                    at = np.flatnonzero(wanted.value.may_have(key))
+                    yield pa.RecordBatch.from_arrays([pa.array(x[at]) for x in (node, key.view(np.int64), place, *values)], names)
+
+    kept = images.select("node", "x", "y", "angle", "scale", "bits").mapInArrow(corners, "node long, key long, place int, x float, y float, angle float, scale float")
+    return materialize(kept.join(shared, "key"), "shared_corners")
+
+
+COLUMNS = ("node", "place", "x", "y", "angle", "scale")
+
+
+def transforms(met: DataFrame) -> DataFrame:
+    """(a, b, a_place) and the zoom, turn and shift that take a's corner to b's; each pair of corners once."""
+    once = met.dropDuplicates(["a_node", "a_place", "b_node", "b_place"])
     ratio = F.col("b_scale") / F.col("a_scale")
     turn = F.col("b_angle") - F.col("a_angle")
     dx = F.col("b_x") - ratio * (F.cos(turn) * F.col("a_x") - F.sin(turn) * F.col("a_y"))
     dy = F.col("b_y") - ratio * (F.sin(turn) * F.col("a_x") + F.cos(turn) * F.col("a_y"))
-    return met.select(F.col("a_node").alias("a"), F.col("b_node").alias("b"), "a_place", F.round(F.log(ratio) / float(np.log(1.5))).cast("int").alias("zoom"), turn.alias("turn"), dx.alias("dx"), dy.alias("dy"))
+    return once.select(F.col("a_node").alias("a"), F.col("b_node").alias("b"), "a_place", F.round(F.log(ratio) / float(np.log(1.5))).cast("int").alias("zoom"), turn.alias("turn"), dx.alias("dx"), dy.alias("dy"))
+
+
+def side(corners: DataFrame, name: str, *more: str) -> DataFrame:
+    return corners.select("key", *more, *[F.col(c).alias(f"{name}_{c}") for c in COLUMNS])
+
+
+def linked(images: DataFrame) -> DataFrame:
+    """(node, label) of the images' groups. First the images of a key meet its smallest node alone, which joins
+    most of a group of copies without pairing it out; then all that still lie in different groups meet."""
+    corners = shared_corners(images)
+    pivots = side(corners.filter(F.col("node") == F.col("low")), "a")
+    star = side(corners.filter(F.col("node") != F.col("low")), "b").join(pivots, "key")
+    first = materialize(agreed(transforms(star)), "star_links")
+    labelled = corners.join(components(first), "node", "left").withColumn("label", F.coalesce("label", "node"))
+    labelled = materialize(labelled.drop("low"), "labelled")
+    by_label = labelled.groupBy("key", "label").agg(F.count("*").alias("n"))
+    mixed = by_label.groupBy("key").agg(F.max_by("label", F.struct("n", "label")).alias("major"), F.count("*").alias("labels")).filter("labels > 1").select("key", "major")
+    opened = labelled.join(mixed, "key")
+    few = side(opened.filter("label <> major"), "a", F.col("label").alias("a_label"))
+    rest = side(opened, "b", F.col("label").alias("b_label"), "major")
+    apart = (F.col("a_label") != F.col("b_label")) & ((F.col("b_label") == F.col("major")) | (F.col("a_node") < F.col("b_node")))
+    ahead = F.col("a_node") < F.col("b_node")  # a pair votes in one direction, whichever side is the few
+    turned = [F.when(ahead if s == "a" else ~ahead, F.col(f"a_{c}")).otherwise(F.col(f"b_{c}")).alias(f"{s}_{c}") for s in "ab" for c in COLUMNS]
+    met = few.join(rest, (few["key"] == rest["key"]) & apart).select(*turned)
+    return components(first.union(materialize(agreed(transforms(met)), "other_links")))
 
 
 def agreed(met: DataFrame) -> DataFrame:
@@ -242,7 +292,7 @@ def copy_groups(media: DataFrame) -> DataFrame:
     members = materialize(descriptions(rows), "descriptions")
     node = F.xxhash64("digest")
     images = materialize(members.filter("readable and digest is not null").dropDuplicates(["digest"]).withColumn("node", node), "images")
-    labels = components(materialize(agreed(meetings(images)), "agreed"))
+    labels = linked(images)
     named = members.withColumn("node", F.when(F.col("digest").isNotNull(), node)).join(labels, "node", "left").withColumn("label", F.coalesce("label", "node"))
     lowest = named.filter("label is not null").groupBy("label").agg(F.min("media_id").alias("copy_group"))
     return named.join(lowest, "label", "left").select("media_id", F.when(F.col("readable"), F.size("x")).alias("n_corners"), F.when(F.col("label").isNull(), F.col("media_id")).otherwise(F.col("copy_group")).alias("copy_group"))
