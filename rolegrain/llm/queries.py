@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from rolegrain.llm import jaccard, langid, lmscore, media, mixing, packing, secrets, substrings, topk, urls
+from rolegrain.llm import jaccard, langid, lmscore, media, mixing, oracles, packing, secrets, substrings, topk, urls
 
 
 #: Shares of the tokens that the mixture is to have, by domain of the labels table.
@@ -65,4 +65,5 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    """SQL for the queries that SQL can express; tests/llm holds the others against brute force."""
+    return {"op2_ngram_jaccard": oracles.NGRAM_JACCARD, "op3_substring_dedup": oracles.SUBSTRING_DEDUP, "op5_exact_top_k": oracles.TOP_K, "op8_secret_scan": oracles.SECRET_SCAN}
