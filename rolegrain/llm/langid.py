@@ -10,7 +10,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from rolegrain.llm.shared import materialize
+from rolegrain.llm.shared import materialize, text_batches
 from rolegrain.llm.textvec import LOWER, text_chunks
 
 BUCKETS = 1 << 14
@@ -93,6 +93,7 @@ def judged(rows: DataFrame, keys: list[str], languages: tuple[str, ...] = ("de",
     each get their row. An empty table gives no rows.
     """
     spark = rows.sparkSession
+    text_batches(spark)
     names, width = (*languages, NONE), len(languages) + 1
     rows = rows.select(*keys, *[F.col(c).cast("string").alias(c) for c in ("text", "declared")], *[F.lower(F.coalesce(F.col(c).cast("string"), F.lit(""))).alias(c) for c in ("host", "suffix")])
     model = spark.sparkContext.broadcast(trained(rows, languages))
@@ -156,10 +157,8 @@ def page_rows(pages: DataFrame) -> DataFrame:
 
 
 def accepted_documents(docs: DataFrame) -> DataFrame:
-    """docs without those whose language ID is not accepted. Documents are judged by (doc_id, whole text), so
-    repeated rows go or stay together."""
-    key = F.xxhash64(F.coalesce(F.col("text").cast("string"), F.lit("")))
-    rows = document_rows(docs).withColumn("text_key", F.xxhash64(F.coalesce(F.col("text").cast("string"), F.lit(""))))
-    bad = judged(rows, ["doc_id", "text_key"]).filter(~F.col("accepted")).select(F.col("doc_id").alias("_doc_id"), F.col("text_key").alias("_text_key")).distinct()
-    same = F.col("doc_id").cast("long").eqNullSafe(F.col("_doc_id")) & (key == F.col("_text_key"))
-    return docs.join(bad, same, "left_anti")
+    """docs without those whose language ID is not accepted. Rows that repeat a doc_id stay if one of them is
+    accepted; rows without a doc_id stay. Only the ids that go are joined."""
+    by_id = judged(document_rows(docs), ["doc_id"]).filter("doc_id is not null").groupBy("doc_id").agg(F.bool_or("accepted").alias("accepted"))
+    gone = materialize(by_id.filter("not accepted").select(F.col("doc_id").alias("_gone")), "gone")
+    return docs.join(gone, F.col("doc_id").cast("long") == F.col("_gone"), "left_anti")

@@ -113,6 +113,7 @@ def redact(docs: DataFrame, owner: str = "source", repository: tuple[str, ...] =
     hit = F.coalesce(F.col("text").rlike("|".join(f"(?:{p})" for p in KINDS.values())), F.lit(False))
     found = materialize(scan(docs.filter(hit), owner, list(repository)), "secret_scan")
     judged = with_ownership(found, max_owners).select("doc_id", "text_hash", F.array_sort(F.concat("base", "added")).alias("spans")).dropDuplicates(["doc_id", "text_hash"]).filter(F.size("spans") > 0)
+    judged = materialize(judged, "secret_spans")
     left, right = docs.filter(hit).alias("l"), judged.alias("r")
     same = F.col("l.doc_id").cast("long").eqNullSafe(F.col("r.doc_id")) & (F.xxhash64(F.col("l.text").cast("string")) == F.col("r.text_hash"))
     both = left.join(right, same, "left").select("l.*", F.col("r.spans").alias("_spans"))
