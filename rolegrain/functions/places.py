@@ -44,3 +44,27 @@ def in_bounds(latitude: Column, longitude: Column, south: float, west: float, no
     """Inside the box; one whose west lies east of its east goes over the date line."""
     across = longitude.between(west, east) if west <= east else (longitude >= west) | (longitude <= east)
     return latitude.between(south, north) & across
+
+
+# Display names in the order that decides, work modes, and places that say nothing.
+CITIES = (
+    "Dublin", "Cork", "Galway", "Limerick", "Waterford", "Kilkenny", "Drogheda", "Dundalk", "Sligo", "Athlone", "Kildare", "Maynooth", "Naas", "Leixlip", "Newbridge", "Navan", "Wicklow", "Bray", "Greystones", "Arklow", "Tralee", "Killarney", "Letterkenny", "Ennis", "Carlow", "Clonmel", "Wexford", "Mullingar", "Portlaoise", "Tullamore", "Cavan", "Monaghan", "Castlebar", "Shannon", "Ringaskiddy", "Grange Castle",
+)
+NORTHERN_CITIES = ("Belfast", "Derry", "Antrim", "Armagh")
+WORK_MODES = (("hybrid", "Hybrid"), ("remote", "Remote"), ("on-site", "On-site"), ("onsite", "On-site"))
+VAGUE = ("", "not specified", "unspecified", "various", "flexible", "location")
+
+
+def display_place(place: Column) -> Column:
+    """`City, Ireland`, with the work mode in brackets; Ireland alone for what is vague or a sentence. A short
+    unknown name is kept."""
+    text = F.trim(F.regexp_replace(F.coalesce(place, F.lit("")), r"\s+", " "))
+    low = F.lower(text)
+    mode = F.lit("")
+    for key, label in reversed(WORK_MODES):
+        mode = F.when(low.contains(key), f" ({label})").otherwise(mode)
+    short = (F.length(text) <= 40) & ~text.rlike("[.!?]") & (F.size(F.split(text, " ")) <= 5)
+    out = F.when(low.isin(*VAGUE, *[k for k, _ in WORK_MODES]) | low.contains("ireland") | ~short, F.concat(F.lit("Ireland"), mode)).otherwise(text)
+    for name, country in [*[(c, "Northern Ireland") for c in reversed(NORTHERN_CITIES)], *[(c, "Ireland") for c in reversed(CITIES)]]:
+        out = F.when(low.rlike(rf"\b{name.lower()}\b"), F.concat(F.lit(f"{name}, {country}"), mode)).otherwise(out)
+    return out

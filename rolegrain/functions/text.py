@@ -115,3 +115,20 @@ def valid_title(title: Column) -> Column:
     counter = low.rlike(r"\b\d[\d,]*\s+(?:open\s+)?jobs\b") | low.rlike(r"\bopen (?:jobs|positions)\b") | low.rlike(r"^page\s+\d+$")
     navigation = low.rlike(r"^(?:skip|jump) to |^(?:see|view) all |^back to |^go to (?:next|last|previous|page) |^(?:sign|log) in to|^apply (?:now|to |for this)")
     return F.coalesce(F.length(clean).between(3, 150) & (latin >= 3) & (latin / F.greatest(F.length(clean), F.lit(1)) >= 0.6) & low.contains(" ") & ~counter & ~navigation, F.lit(False))
+
+
+# Words of booklet names that are no part of a title, and labels that say nothing.
+BOOKLET_WORDS = r"(?i)\b(?:qualifications|particulars|rolling competition|candidate information booklet|information booklet|advert|advertisement|job spec|spec|application form|rolling competiton)\b"
+BOOKLET_DATES = r"(?i)\b(?:202[4-7]|february|january|march|april|may|june|july|august|september|october|november|december)\b"
+BLANK_LABELS = ("advertisement", "candidate booklet", "link to qualifications", "link to qualifications and particulars", "download", "apply now", "view here", "click here", "read more", "view", "pdf", "booklet")
+LABEL_TAIL = r"(?i)\s*Candidate Information Booklet.*$|\s*rolling competition.*$|\.pdf$"
+
+
+def booklet_title(label: Column, href: Column) -> Column:
+    """A title for a PDF link: its label if that says something, else its file name without dates and form words."""
+    edge = lambda c: F.regexp_replace(F.regexp_replace(c, r"\s+", " "), "^[ -]+|[ -]+$", "")
+    file = F.try_url_decode(F.regexp_extract(href, "([^/]*)$", 1))
+    name = edge(F.regexp_replace(F.regexp_replace(F.regexp_replace(F.regexp_replace(file, r"(?i)\.pdf$", ""), "[-_]+", " "), BOOKLET_WORDS, ""), BOOKLET_DATES, ""))
+    said = plain_text(F.coalesce(label, F.lit("")))
+    own = F.when(~F.lower(said).isin("", *BLANK_LABELS), edge(F.regexp_replace(said, LABEL_TAIL, "")))
+    return F.when(F.length(own) > 3, own).when(F.length(name) > 3, F.initcap(name)).otherwise(F.coalesce(F.nullif(own, F.lit("")), F.nullif(said, F.lit("")), file))

@@ -100,3 +100,19 @@ def test_addresses(spark):
     assert rows[6][4] == "https://x.test/?token=-&b=1#f"
     b = spark.createDataFrame([("https://boards.greenhouse.io/Acme/jobs/1",), ("https://acme.recruitee.com/o/x",), ("https://acme.ie/careers",)], "u string").select(addresses.board(F.col("u")).alias("b"), addresses.slug(F.col("u"), 12).alias("s"), addresses.name_key(F.lit("Élan Ltd. PLC")).alias("k")).collect()
     assert [tuple(r.b) for r in b] == [("greenhouse", "acme"), ("recruitee", "acme"), ("generic", "acme.ie/careers")] and b[0].s == "https-boards" and b[0].k == "elan"
+
+
+def test_boards_places_and_booklets(spark):
+    from rolegrain.functions import places, text
+
+    rows = spark.createDataFrame([("lever", "/acme/"), ("workday", "a.wd3.myworkdayjobs.com/x"), ("workday", "acme"), ("nope", "x"), ("lever", "")], "p string, b string")
+    assert [r[0] for r in rows.select(addresses.board_url(F.col("p"), F.col("b"))).collect()] == ["https://jobs.lever.co/acme", "https://a.wd3.myworkdayjobs.com/x", None, None, None]
+    ids = spark.createDataFrame([("acme:12",), ("12",), ("a b:1",)], "x string")
+    assert [r[0] for r in ids.select(addresses.board_of_id(F.col("x"))).collect()] == ["acme", None, None]
+    names = ["DUBLIN 2 (Hybrid)", "Cork, Galway", "Belfast", "", None, "Remote", "Anywhere in Ireland", "Ballina", "We are based in a lovely town. Join!"]
+    got = [r[0] for r in spark.createDataFrame([(i, n) for i, n in enumerate(names)], "i int, p string").orderBy("i").select(places.display_place(F.col("p"))).collect()]
+    assert got == ["Dublin, Ireland (Hybrid)", "Cork, Ireland", "Belfast, Northern Ireland", "Ireland", "Ireland", "Ireland (Remote)", "Ireland", "Ballina", "Ireland"]
+    pdfs = spark.createDataFrame([("Download", "/x/Senior-Engineer_Information-Booklet%20May-2026.pdf"), ("Clerical Officer Candidate Information Booklet 2026", "/a.pdf"), (None, "/ab.pdf")], "l string, h string")
+    assert [r[0] for r in pdfs.select(text.booklet_title(F.col("l"), F.col("h"))).collect()] == ["Senior Engineer", "Clerical Officer", "ab.pdf"]
+    doc = spark.createDataFrame([("", None), ("a", "b")], "a string, b string").select(addresses.profile_document(F.col("a"), F.col("b")).alias("d"), addresses.run_identity(F.lit("t"), F.lit("k")).alias("r")).collect()
+    assert [r.d for r in doc] == [addresses.DEFAULT_CAREER, "a b"] and len(doc[0].r) == 32
