@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 
 from rolegrain.llm.bits import bitmap
 from rolegrain.llm.components import components
-from rolegrain.llm.shared import materialize, parts
+from rolegrain.llm.shared import materialize, parts, text_batches
 from rolegrain.llm.textvec import COMBINE, LOWER, gram_hashes, mix, text_chunks, whole_hash, word_hashes, words_of
 
 #: Buckets of the shingle counts that order prefixes; sent to every task, so fixed.
@@ -237,25 +237,14 @@ def verified(pairs: DataFrame, docs: DataFrame, k: int, percent: int) -> DataFra
                             seen.clear()
                         seen.add(int(node))
                         found.append(node.astype(np.int64))
-                        out.append(s.tobytes())
-            yield pa.RecordBatch.from_arrays([pa.array(found, pa.int64()), pa.array(out, pa.binary())], ["node", "shingles"])
+                        out.append(s.view(np.int64))
+            lists = pa.ListArray.from_arrays(pa.array(np.cumsum([0, *map(len, out)]), pa.int32()), pa.array(np.concatenate([np.zeros(0, np.int64), *out])))
+            yield pa.RecordBatch.from_arrays([pa.array(found, pa.int64()), lists], ["node", "shingles"])
 
-    def check(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            keep = []
-            for i, (x, y) in enumerate(zip(batch.column("a_set"), batch.column("b_set"), strict=True)):
-                x, y = np.frombuffer(x.as_buffer(), np.uint64), np.frombuffer(y.as_buffer(), np.uint64)
-                both = np.concatenate([x, y])
-                both.sort()
-                shared = int((both[1:] == both[:-1]).sum())
-                if 100 * shared >= percent * (len(x) + len(y) - shared):
-                    keep.append(i)
-            at = pa.array(keep, pa.int64())
-            yield pa.RecordBatch.from_arrays([batch.column("a").take(at), batch.column("b").take(at)], ["a", "b"])
-
-    found = docs.mapInArrow(sets, "node long, shingles binary").groupBy("node").agg(F.first("shingles").alias("shingles"))
+    found = docs.mapInArrow(sets, "node long, shingles array<long>").groupBy("node").agg(F.first("shingles").alias("shingles"))
     side = lambda x: found.select(F.col("node").alias(x), F.col("shingles").alias(f"{x}_set"))
-    return pairs.select("a", "b").join(side("b"), "b").join(side("a"), "a").select("a", "b", "a_set", "b_set").mapInArrow(check, "a long, b long")
+    shared, sizes = F.size(F.array_intersect("a_set", "b_set")), F.size("a_set") + F.size("b_set")
+    return pairs.select("a", "b").join(side("b"), "b").join(side("a"), "a").filter(100 * shared >= percent * (sizes - shared)).select("a", "b")
 
 
 def linked_groups(docs: DataFrame, shingle: int = 5, percent: int = 80) -> DataFrame:
@@ -276,6 +265,7 @@ def linked_groups(docs: DataFrame, shingle: int = 5, percent: int = 80) -> DataF
     rows share their component. An empty table gives no rows. Other columns are ignored.
     """
     spark = docs.sparkSession
+    text_batches(spark)
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"))
     survey = materialize(surveyed(rows, shingle), "survey")
     members = survey.filter("bucket is null").select("doc_id", "n_shingles", "node")
@@ -327,4 +317,4 @@ def keep_one(docs: DataFrame, shingle: int = 5, percent: int = 80) -> DataFrame:
     """docs without those that links connect to a document with a smaller doc_id. Documents without shingles
     or doc_id stay; rows that repeat a doc_id go or stay together."""
     gone = linked_groups(docs, shingle, percent).filter("n_shingles > 0 and doc_id <> component_id").select(F.col("doc_id").alias("_gone")).distinct()
-    return docs.join(gone, F.col("doc_id").cast("long") == F.col("_gone"), "left_anti")
+    return docs.join(materialize(gone, "gone"), F.col("doc_id").cast("long") == F.col("_gone"), "left_anti")
