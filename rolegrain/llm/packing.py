@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import math
 import zlib
+from array import array
 from collections.abc import Iterator
 
 import numpy as np
@@ -12,33 +13,39 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from rolegrain.llm.shared import materialize
+from rolegrain.llm.shared import materialize, text_batches
 
 GROUP_PIECES = 32_768
-CACHE_WORDS = 1_000_000
+CACHE_WORDS = 400_000
 _encoders: dict[str, "Encoder"] = {}
 
 
 class Encoder(dict):
     """Token ids of one space-separated stretch of text, as little-endian bytes. The tokenizer drops white
-    space before it merges, so a text's ids are those of its stretches, joined. Bounded: emptied when full."""
+    space before it merges, so a text's ids are those of its stretches, joined. Bounded: when full, it keeps
+    its entries for one more turn, and those that are asked for again."""
 
     def __init__(self, path: str):
         from tokenizers import Tokenizer
 
         super().__init__()
+        self.before: dict[str, bytes] = {}
         self.tokenizer = Tokenizer.from_file(path)
 
     def __missing__(self, stretch: str) -> bytes:
         if len(self) >= CACHE_WORDS:
+            self.before = dict(self)
             self.clear()
+        if (known := self.before.pop(stretch, None)) is not None:
+            self[stretch] = known
+            return known
         word = stretch.lower() if stretch.isascii() and "<|" not in stretch else stretch  # the tokenizer lower-cases
         if word[-1:] in (",", ".") and word[-2:-1].isalpha():  # it parts letters from what follows them
             ids = self[word[:-1]] + self[word[-1]]
         elif word != stretch:
             ids = self[word]
         else:
-            ids = np.array(self.tokenizer.encode(stretch, add_special_tokens=False).ids, "<u4").tobytes()
+            ids = array("I", self.tokenizer.encode(stretch, add_special_tokens=False).ids).tobytes()
         if len(stretch) <= 64:
             self[stretch] = ids
         return ids
@@ -137,6 +144,7 @@ def pack(docs: DataFrame, tokenizer: str, capacity: int = 2048, end_id: int = 0,
     as they come. Ties among equal lengths go by place in the group. An empty table gives no rows. Columns
     other than doc_id and text are ignored.
     """
+    text_batches(docs.sparkSession)
     pieces = materialize(piece_frame(docs, tokenizer, capacity, end_id), "pieces")
     groups = max(1, math.ceil(pieces.count() / group_pieces))
     schema = "doc_id long, piece int, start long, length long, ids_crc32 long, sequence_id long, offset long"
