@@ -10,7 +10,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from rolegrain.llm.shared import materialize
+from rolegrain.llm.shared import materialize, text_batches
 from rolegrain.llm.textvec import COMBINE, LOWER, mix, text_chunks, word_hashes, words_of
 
 #: Domains of the labels table.
@@ -79,6 +79,7 @@ def classifier(docs: DataFrame, labels: DataFrame) -> np.ndarray:
     """Weights of the domain classifier, from SAMPLE_ROWS labelled documents at most. Of a doc_id with several
     labels the worst counts, of several texts each. Without labelled documents all domains are alike."""
     spark = docs.sparkSession
+    text_batches(spark)
     label = labels.select(F.col("doc_id").cast("long").alias("doc_id"), domain_of(F.col("quality"), F.col("toxic")).alias("domain")).filter("doc_id is not null and domain is not null")
     sample = label.groupBy("doc_id").agg(F.max("domain").alias("domain")).orderBy(F.xxhash64("doc_id"), "doc_id").limit(SAMPLE_ROWS)
     known = spark.sparkContext.broadcast(dict(sample.toArrow().to_pandas().itertuples(index=False, name=None)))

@@ -28,3 +28,11 @@ def materialize(df: DataFrame, name: str) -> DataFrame:
 
 def parts(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
+
+
+def text_batches(spark: SparkSession, rows: int = 1000) -> None:
+    """Send whole texts to Python in batches of few rows, unless the session asks for a size of its own: at
+    Spark's 10,000 a batch of long texts takes hundreds of MB in the JVM and again in Python."""
+    key = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    if spark.conf.get(key, "10000") == "10000":
+        spark.conf.set(key, str(rows))

@@ -72,6 +72,7 @@ def text_chunks(column: pa.Array | pa.ChunkedArray, chunk_bytes: int = CHUNK_BYT
         hi = max(lo + 1, int(np.searchsorted(offsets, offsets[lo] + chunk_bytes, "right")) - 1)
         yield lo, hi, data[offsets[lo] : offsets[hi]], offsets[lo : hi + 1] - offsets[lo]
         lo = hi
+    pa.default_memory_pool().release_unused()
 
 
 def words_of(data: np.ndarray, offsets: np.ndarray) -> Words:
