@@ -55,7 +55,7 @@ def combined(jobs: DataFrame, evaluations: DataFrame, trackers: DataFrame, secto
     """Open jobs with the caller's evaluation and tracker and the sector group, null-safe: no evaluation is
     score 0 and tier Unassessed, no tracker is new and not saved. trackers and evaluations are one caller's."""
     own = jobs.filter(~F.col("closed")).join(evaluations, F.col("id") == F.col("job_id"), "left").drop("job_id")
-    own = own.join(trackers, "id", "left").join(F.broadcast(sectors), "sector", "left")
+    own = own.join(trackers, "id", "left").join(sectors, "sector", "left")
     return own.withColumns({"score": F.coalesce("score", F.lit(0)), "tier": F.coalesce("tier", F.lit("Unassessed")), "status": F.coalesce("status", F.lit("new")), "is_saved": F.coalesce("is_saved", F.lit(False)), "category": F.coalesce("category", F.lit("Uncategorized"))})
 
 
