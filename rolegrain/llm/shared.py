@@ -5,7 +5,9 @@ from __future__ import annotations
 import tempfile
 import uuid
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.errors import AnalysisException
+from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 
 def shared_dir(spark: SparkSession) -> str:
@@ -36,3 +38,14 @@ def text_batches(spark: SparkSession, rows: int = 1000) -> None:
     key = "spark.sql.execution.arrow.maxRecordsPerBatch"
     if spark.conf.get(key, "10000") == "10000":
         spark.conf.set(key, str(rows))
+
+
+def blocks(docs: DataFrame) -> tuple[DataFrame, Column]:
+    """(docs, block): the stretch of an input file from which a row comes, the same in every pass. A frame that
+    is no plain read of files is written first."""
+    block = F.concat_ws(":", "_metadata.file_path", "_metadata.file_block_start")
+    try:
+        docs.select(block)
+    except AnalysisException:
+        docs = materialize(docs, "documents")
+    return docs, block

@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 
 from rolegrain.llm.anchors import anchor_hashes, cells_of
 from rolegrain.llm.bits import Bits, bitmap
-from rolegrain.llm.shared import materialize, parts, text_batches
+from rolegrain.llm.shared import blocks, materialize, parts, text_batches
 from rolegrain.llm.textvec import COMBINE, gram_hashes, mix, text_chunks, word_hashes, words_of
 
 GRAM = 8
@@ -249,7 +249,8 @@ def remove_repeats(docs: DataFrame, min_words: int = 35, with_text: bool = False
         raise ValueError(f"min_words must be {2 * GRAM} or more")
     spark = docs.sparkSession
     text_batches(spark)
-    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"), F.concat_ws(":", "_metadata.file_path", "_metadata.file_block_start").alias("block"))
+    docs, block = blocks(docs.select("doc_id", "text"))
+    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"), block.alias("block"))
     anchors = materialize(repeated_anchors(rows.select("text"), min_words), "anchors")
     repeated = spark.sparkContext.broadcast(bitmap(anchors, "anchor", anchors.count()))
     many = anchors.filter(F.col("places") > HOT_PLACES)

@@ -75,3 +75,9 @@ def test_automaton_matching_statistics():
         for t in texts:
             want = [max(n for n in range(e + 2) if not n or occurs(t[e + 1 - n : e + 1]) >= 2) for e in range(len(t))]
             assert sam.matched(t) == want
+
+
+def test_frames_that_are_no_files(spark):
+    text = " ".join(f"w{i}" for i in range(40))
+    rows = spark.createDataFrame([(1, text + " a"), (2, "b " + text), (3, "c")], "doc_id long, text string")
+    assert sorted((r.doc_id, r.n_removed) for r in substrings.remove_repeats(rows).collect()) == [(1, 40), (2, 40), (3, 0)]
