@@ -8,7 +8,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from rolegrain.llm.bits import bitmap
@@ -24,6 +24,7 @@ RADIUS, BITS, PARTS = 8, 128, 4
 #: different bits do.
 TABLES = tuple(itertools.combinations(range(PARTS), 2))
 VOTES, PLACE = 4, 6.0
+STARS, BEST = 3, 2
 _rng = np.random.default_rng(20)
 TESTS = np.clip(_rng.normal(0, RADIUS / 2.2, (BITS, 2, 2)), -RADIUS + 1, RADIUS - 1)
 DESCRIPTION = "media_id long, digest string, readable boolean, x array<float>, y array<float>, angle array<float>, scale array<float>, bits binary"
@@ -212,7 +213,7 @@ def shared_corners(images: DataFrame) -> DataFrame:
     wanted = images.sparkSession.sparkContext.broadcast(bitmap(shared, "key", shared.count()))
 
     def corners(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        names = ["node", "key", "place", "x", "y", "angle", "scale"]
+        names = ["node", "key", "place", "x", "y", "angle", "scale", "parts", "table"]
         for batch in batches:
             for lo in range(0, batch.num_rows, 2048):
                 part = batch.slice(lo, 2048)
@@ -220,61 +221,92 @@ def shared_corners(images: DataFrame) -> DataFrame:
                 node = np.repeat(part.column("node").to_numpy(), n)
                 place = (np.arange(len(node)) - np.repeat(np.cumsum(n) - n, n)).astype(np.int32)
                 values = [part.column(c).flatten().to_numpy(zero_copy_only=False) for c in ("x", "y", "angle", "scale")]
-                for key in table_keys(np.frombuffer(b"".join(part.column("bits").to_pylist()), np.uint8).reshape(-1, BITS // 8)):
+                bits = np.frombuffer(b"".join(part.column("bits").to_pylist()), np.uint8).reshape(-1, BITS // 8)
+                words = bits.copy().view("<i4")
+                for t, key in enumerate(table_keys(bits)):
                     at = np.flatnonzero(wanted.value.may_have(key))
-                    yield pa.RecordBatch.from_arrays([pa.array(x[at]) for x in (node, key.view(np.int64), place, *values)], names)
+                    parts = pa.ListArray.from_arrays(pa.array(np.arange(len(at) + 1, dtype=np.int32) * PARTS), pa.array(words[at].ravel()))
+                    yield pa.RecordBatch.from_arrays([*[pa.array(x[at]) for x in (node, key.view(np.int64), place, *values)], parts, pa.array(np.full(len(at), t, np.int32))], names)
 
-    kept = images.select("node", "x", "y", "angle", "scale", "bits").mapInArrow(corners, "node long, key long, place int, x float, y float, angle float, scale float")
+    kept = images.select("node", "x", "y", "angle", "scale", "bits").mapInArrow(corners, "node long, key long, place int, x float, y float, angle float, scale float, parts array<int>, table int")
     return materialize(kept.join(shared, "key"), "shared_corners")
 
 
 COLUMNS = ("node", "place", "x", "y", "angle", "scale")
 
 
+def first_meeting() -> Column:
+    """Whether a row's table is the first in which its two corners agree: so each pair of corners meets once."""
+    same = [F.col("a_parts")[i] == F.col("b_parts")[i] for i in range(PARTS)]
+    return F.coalesce(*[F.when(same[i] & same[j], F.lit(t)) for t, (i, j) in enumerate(TABLES)]) == F.col("a_table")
+
+
 def transforms(met: DataFrame) -> DataFrame:
-    """(a, b, a_place) and the zoom, turn and shift that take a's corner to b's; each pair of corners once."""
-    once = met.dropDuplicates(["a_node", "a_place", "b_node", "b_place"])
+    """(a, b, a_place) and the zoom, turn and shift that take a's corner to b's."""
     ratio = F.col("b_scale") / F.col("a_scale")
     turn = F.col("b_angle") - F.col("a_angle")
     dx = F.col("b_x") - ratio * (F.cos(turn) * F.col("a_x") - F.sin(turn) * F.col("a_y"))
     dy = F.col("b_y") - ratio * (F.sin(turn) * F.col("a_x") + F.cos(turn) * F.col("a_y"))
-    return once.select(F.col("a_node").alias("a"), F.col("b_node").alias("b"), "a_place", F.round(F.log(ratio) / float(np.log(1.5))).cast("int").alias("zoom"), turn.alias("turn"), dx.alias("dx"), dy.alias("dy"))
+    return met.select(F.col("a_node").alias("a"), F.col("b_node").alias("b"), "a_place", F.round(F.log(ratio) / float(np.log(1.5))).cast("int").alias("zoom"), turn.alias("turn"), dx.alias("dx"), dy.alias("dy"))
 
 
 def side(corners: DataFrame, name: str, *more: str) -> DataFrame:
-    return corners.select("key", *more, *[F.col(c).alias(f"{name}_{c}") for c in COLUMNS])
+    return corners.select("key", *more, *[F.col(c).alias(f"{name}_{c}") for c in (*COLUMNS, "parts", "table")])
 
 
 def linked(images: DataFrame) -> DataFrame:
-    """(node, label) of the images' groups. First the images of a key meet its smallest node alone, which joins
-    most of a group of copies without pairing it out; then all that still lie in different groups meet."""
+    """(node, label) of the images' groups. In STARS rounds the images of a key that lie outside its largest
+    group meet one image of that group, the one with most shared corners, and each keeps its BEST links: so a
+    group of copies grows together without being paired out. Then all that still lie in different groups meet,
+    and one link of each two groups is kept."""
     corners = shared_corners(images)
-    pivots = side(corners.filter(F.col("node") == F.col("low")), "a")
-    star = side(corners.filter(F.col("node") != F.col("low")), "b").join(pivots, "key")
-    first = materialize(agreed(transforms(star)), "star_links")
-    labelled = corners.join(components(first), "node", "left").withColumn("label", F.coalesce("label", "node"))
-    labelled = materialize(labelled.drop("low"), "labelled")
-    by_label = labelled.groupBy("key", "label").agg(F.count("*").alias("n"))
-    mixed = by_label.groupBy("key").agg(F.max_by("label", F.struct("n", "label")).alias("major"), F.count("*").alias("labels")).filter("labels > 1").select("key", "major")
-    opened = labelled.join(mixed, "key")
+    shares = corners.groupBy("node").agg(F.count("*").alias("shares"))
+    corners = materialize(corners.join(shares, "node"), "weighed_corners")
+    links = corners.sparkSession.createDataFrame([], "a long, b long")
+    labelled = corners.withColumn("label", F.col("node"))
+    for _ in range(STARS):
+        largest = largest_groups(labelled)
+        outside = side(labelled.join(largest, "key").filter("label <> major"), "b", "pivot")
+        pivots = side(labelled, "a")
+        met = outside.join(pivots, (outside["key"] == pivots["key"]) & (F.col("pivot") == F.col("a_node")) & first_meeting()).select(*in_order())
+        found = agreed(transforms(met))
+        sided = found.select(F.col("a").alias("node"), F.col("b").alias("other"), "votes").union(found.select(F.col("b"), F.col("a"), "votes")).join(labelled.select("node").distinct(), "node")
+        best = sided.withColumn("_place", F.row_number().over(Window.partitionBy("node").orderBy(F.desc("votes"), "other"))).filter(F.col("_place") <= BEST)
+        links = links.union(materialize(best.select(F.col("node").alias("a"), F.col("other").alias("b")), "star_links"))
+        labelled = materialize(corners.join(components(links), "node", "left").withColumn("label", F.coalesce("label", "node")), "labelled")
+    opened = labelled.join(largest_groups(labelled), "key")
     few = side(opened.filter("label <> major"), "a", F.col("label").alias("a_label"))
     rest = side(opened, "b", F.col("label").alias("b_label"), "major")
     apart = (F.col("a_label") != F.col("b_label")) & ((F.col("b_label") == F.col("major")) | (F.col("a_node") < F.col("b_node")))
-    ahead = F.col("a_node") < F.col("b_node")  # a pair votes in one direction, whichever side is the few
-    turned = [F.when(ahead if s == "a" else ~ahead, F.col(f"a_{c}")).otherwise(F.col(f"b_{c}")).alias(f"{s}_{c}") for s in "ab" for c in COLUMNS]
-    met = few.join(rest, (few["key"] == rest["key"]) & apart).select(*turned)
-    return components(first.union(materialize(agreed(transforms(met)), "other_links")))
+    met = few.join(rest, (few["key"] == rest["key"]) & apart & first_meeting()).select(*in_order())
+    label = labelled.select("node", "label").distinct()
+    found = agreed(transforms(met)).join(label.select(F.col("node").alias("a"), F.col("label").alias("a_label")), "a").join(label.select(F.col("node").alias("b"), F.col("label").alias("b_label")), "b")
+    between = materialize(found.groupBy("a_label", "b_label").agg(F.min_by("a", F.struct("a", "b")).alias("a"), F.min_by("b", F.struct("a", "b")).alias("b")).select("a", "b"), "other_links")
+    return components(links.union(between))
+
+
+def in_order() -> list[Column]:
+    """The columns of two corners, the smaller node's as a: a pair votes in one direction."""
+    ahead = F.col("a_node") < F.col("b_node")
+    return [F.when(ahead if s == "a" else ~ahead, F.col(f"a_{c}")).otherwise(F.col(f"b_{c}")).alias(f"{s}_{c}") for s in "ab" for c in COLUMNS]
+
+
+def largest_groups(labelled: DataFrame) -> DataFrame:
+    """(key, major, pivot) of keys in several groups: the group with most corners, and in it the image with most
+    shared corners."""
+    by_label = labelled.groupBy("key", "label").agg(F.count("*").alias("n"), F.max("shares").alias("shares"), F.max_by("node", F.struct("shares", "node")).alias("pivot"))
+    return by_label.groupBy("key").agg(F.max_by(F.struct("label", "pivot"), F.struct("n", "shares", "label")).alias("m"), F.count("*").alias("labels")).filter("labels > 1").select("key", F.col("m.label").alias("major"), F.col("m.pivot").alias("pivot"))
 
 
 def agreed(met: DataFrame) -> DataFrame:
-    """The pairs (a, b) of which VOTES corners of a or more agree on one transform: on zoom and, in one of
+    """The pairs (a, b), with votes, of which VOTES corners of a or more agree on one transform: on zoom and, in one of
     eight shifted grids, on the turn and on where the origin goes."""
     half = F.explode(F.sequence(F.lit(0), F.lit(7)))
     cell = lambda c, size, bit: F.floor(F.col(c) / size + F.col("grid").bitwiseAND(1 << bit) / F.lit(2.0 * (1 << bit)))
     wound = met.withColumn("turn", F.pmod(F.col("turn"), F.lit(2 * np.pi))).withColumn("grid", half)
     turn = F.pmod(cell("turn", float(np.pi / 8), 2), F.lit(16))
     votes = wound.groupBy("a", "b", "grid", "zoom", turn.alias("turn"), cell("dx", PLACE * 2, 0).alias("dx"), cell("dy", PLACE * 2, 1).alias("dy")).agg(F.count_distinct("a_place").alias("votes"))
-    return votes.filter(F.col("votes") >= VOTES).select("a", "b").distinct()
+    return votes.filter(F.col("votes") >= VOTES).groupBy("a", "b").agg(F.max("votes").alias("votes"))
 
 
 def copy_groups(media: DataFrame) -> DataFrame:
