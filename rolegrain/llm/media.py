@@ -24,7 +24,7 @@ RADIUS, BITS, PARTS = 8, 128, 4
 #: different bits do.
 TABLES = tuple(itertools.combinations(range(PARTS), 2))
 VOTES, PLACE = 4, 6.0
-STARS, BEST = 3, 2
+BLOCK, BEST = 16, 2
 _rng = np.random.default_rng(20)
 TESTS = np.clip(_rng.normal(0, RADIUS / 2.2, (BITS, 2, 2)), -RADIUS + 1, RADIUS - 1)
 DESCRIPTION = "media_id long, digest string, readable boolean, x array<float>, y array<float>, angle array<float>, scale array<float>, bits binary"
@@ -242,12 +242,12 @@ def first_meeting() -> Column:
 
 
 def transforms(met: DataFrame) -> DataFrame:
-    """(a, b, a_place) and the zoom, turn and shift that take a's corner to b's."""
+    """(a, b, a_place, b_place) and the zoom, turn and shift that take a's corner to b's."""
     ratio = F.col("b_scale") / F.col("a_scale")
     turn = F.col("b_angle") - F.col("a_angle")
     dx = F.col("b_x") - ratio * (F.cos(turn) * F.col("a_x") - F.sin(turn) * F.col("a_y"))
     dy = F.col("b_y") - ratio * (F.sin(turn) * F.col("a_x") + F.cos(turn) * F.col("a_y"))
-    return met.select(F.col("a_node").alias("a"), F.col("b_node").alias("b"), "a_place", F.round(F.log(ratio) / float(np.log(1.5))).cast("int").alias("zoom"), turn.alias("turn"), dx.alias("dx"), dy.alias("dy"))
+    return met.select(F.col("a_node").alias("a"), F.col("b_node").alias("b"), "a_place", "b_place", F.round(F.log(ratio) / float(np.log(1.5))).cast("int").alias("zoom"), turn.alias("turn"), dx.alias("dx"), dy.alias("dy"))
 
 
 def side(corners: DataFrame, name: str, *more: str) -> DataFrame:
@@ -255,34 +255,60 @@ def side(corners: DataFrame, name: str, *more: str) -> DataFrame:
 
 
 def linked(images: DataFrame) -> DataFrame:
-    """(node, label) of the images' groups. In STARS rounds the images of a key that lie outside its largest
-    group meet one image of that group, the one with most shared corners, and each keeps its BEST links: so a
-    group of copies grows together without being paired out. Then all that still lie in different groups meet,
-    and one link of each two groups is kept."""
+    """(node, label) of the images' groups. First the images of a key meet one of them, the one with most shared
+    corners, and each keeps its BEST links: that gives seed groups. Then an image meets the larger seed groups that it
+    is near, round by round: first a stretch of at least BLOCK images of the largest group, at last all images, but
+    only of groups with which no link has joined it yet. So a group of copies grows together without being paired
+    out, and whatever still lies in different groups has met."""
     corners = shared_corners(images)
     shares = corners.groupBy("node").agg(F.count("*").alias("shares"))
     corners = materialize(corners.join(shares, "node"), "weighed_corners")
+    found = agreed(transforms(met_pivots(corners.withColumn("label", F.col("node")))))
+    sided = found.select(F.col("a").alias("node"), F.col("b").alias("other"), "votes").union(found.select("b", "a", "votes"))
+    best = sided.withColumn("_place", F.row_number().over(Window.partitionBy("node").orderBy(F.desc("votes"), "other"))).filter(F.col("_place") <= BEST)
+    stars = materialize(best.select(F.col("node").alias("a"), F.col("other").alias("b")), "star_links")
+    labelled = materialize(corners.join(components(stars), "node", "left").withColumn("label", F.coalesce("label", "node")), "labelled")
+
+    seeds = materialize(labelled.groupBy("node").agg(F.first("label").alias("label")), "seeds")
+    near = materialize(near_corners(labelled, seeds), "near_corners")
+    most = seeds.groupBy("label").count().agg(F.max("count")).first()[0] or 0
+    share = 1
+    while most >= 4 * BLOCK * share:
+        share *= 4
+    groups = seeds.select("label", F.col("label").alias("group")).distinct()
     links = corners.sparkSession.createDataFrame([], "a long, b long")
-    labelled = corners.withColumn("label", F.col("node"))
-    for _ in range(STARS):
-        largest = largest_groups(labelled)
-        outside = side(labelled.join(largest, "key").filter("label <> major"), "b", "pivot")
-        pivots = side(labelled, "a")
-        met = outside.join(pivots, (outside["key"] == pivots["key"]) & (F.col("pivot") == F.col("a_node")) & first_meeting()).select(*in_order())
-        found = agreed(transforms(met))
-        sided = found.select(F.col("a").alias("node"), F.col("b").alias("other"), "votes").union(found.select(F.col("b"), F.col("a"), "votes")).join(labelled.select("node").distinct(), "node")
-        best = sided.withColumn("_place", F.row_number().over(Window.partitionBy("node").orderBy(F.desc("votes"), "other"))).filter(F.col("_place") <= BEST)
-        links = links.union(materialize(best.select(F.col("node").alias("a"), F.col("other").alias("b")), "star_links"))
-        labelled = materialize(corners.join(components(links), "node", "left").withColumn("label", F.coalesce("label", "node")), "labelled")
-    opened = labelled.join(largest_groups(labelled), "key")
-    few = side(opened.filter("label <> major"), "a", F.col("label").alias("a_label"))
-    rest = side(opened, "b", F.col("label").alias("b_label"), "major")
-    apart = (F.col("a_label") != F.col("b_label")) & ((F.col("b_label") == F.col("major")) | (F.col("a_node") < F.col("b_node")))
-    met = few.join(rest, (few["key"] == rest["key"]) & apart & first_meeting()).select(*in_order())
-    label = labelled.select("node", "label").distinct()
-    found = agreed(transforms(met)).join(label.select(F.col("node").alias("a"), F.col("label").alias("a_label")), "a").join(label.select(F.col("node").alias("b"), F.col("label").alias("b_label")), "b")
-    between = materialize(found.groupBy("a_label", "b_label").agg(F.min_by("a", F.struct("a", "b")).alias("a"), F.min_by("b", F.struct("a", "b")).alias("b")).select("a", "b"), "other_links")
-    return components(links.union(between))
+    while share:
+        group = lambda s: groups.select(F.col("label").alias(f"{s}_label"), F.col("group").alias(f"{s}_group"))
+        apart = near.join(group("a"), "a_label").join(group("b"), "b_label").filter("a_group <> b_group")
+        block = side(labelled.filter(F.pmod(F.xxhash64("node"), F.lit(share)) == 0), "b", F.col("label").alias("b_label"))
+        met = apart.join(block, ["key", "b_label"]).filter(first_meeting()).select(*in_order())
+        label = lambda s: seeds.select(F.col("node").alias(s), F.col("label").alias(f"{s}_label"))
+        between = agreed(transforms(met)).join(label("a"), "a").join(label("b"), "b").select(F.col("a_label").alias("a"), F.col("b_label").alias("b")).distinct()
+        links = links.union(materialize(between, "group_links"))
+        joined = components(links).withColumnRenamed("label", "group")
+        groups = materialize(seeds.select("label").distinct().join(joined, F.col("label") == F.col("node"), "left").select("label", F.coalesce("group", "label").alias("group")), "groups")
+        share //= 4
+    return seeds.join(groups, "label").select("node", F.col("group").alias("label"))
+
+
+def met_pivots(labelled: DataFrame) -> DataFrame:
+    """The corners of images and those of their keys' pivots: of the images of a key, the one with most shared corners."""
+    pivots = labelled.groupBy("key").agg(F.max_by("node", F.struct("shares", "node")).alias("pivot"))
+    others = side(labelled.join(pivots, "key").filter("node <> pivot"), "b", "pivot")
+    ones = side(labelled, "a")
+    return others.join(ones, (others["key"] == ones["key"]) & (F.col("pivot") == F.col("a_node")) & first_meeting()).select(*in_order())
+
+
+def near_corners(labelled: DataFrame, seeds: DataFrame) -> DataFrame:
+    """Corners (as side a, with a_label) beside the larger groups b_label in which VOTES different corners of their
+    image have company, as they must if it links with any image there. An image meets each group of a key once, however
+    many images of the group have the key."""
+    sizes = seeds.groupBy("label").agg(F.count("*").alias("images"))
+    sized = labelled.join(sizes, "label").withColumn("own", F.struct("images", "label"))
+    groups = sized.select("key", F.col("own").alias("other")).distinct()
+    beside = materialize(sized.join(groups, "key").filter("own < other"), "beside")
+    near = beside.groupBy("node", "other").agg(F.count_distinct("place").alias("places")).filter(F.col("places") >= VOTES).select("node", "other")
+    return side(beside.join(near, ["node", "other"]), "a", F.col("label").alias("a_label"), F.col("other.label").alias("b_label"))
 
 
 def in_order() -> list[Column]:
@@ -291,21 +317,14 @@ def in_order() -> list[Column]:
     return [F.when(ahead if s == "a" else ~ahead, F.col(f"a_{c}")).otherwise(F.col(f"b_{c}")).alias(f"{s}_{c}") for s in "ab" for c in COLUMNS]
 
 
-def largest_groups(labelled: DataFrame) -> DataFrame:
-    """(key, major, pivot) of keys in several groups: the group with most corners, and in it the image with most
-    shared corners."""
-    by_label = labelled.groupBy("key", "label").agg(F.count("*").alias("n"), F.max("shares").alias("shares"), F.max_by("node", F.struct("shares", "node")).alias("pivot"))
-    return by_label.groupBy("key").agg(F.max_by(F.struct("label", "pivot"), F.struct("n", "shares", "label")).alias("m"), F.count("*").alias("labels")).filter("labels > 1").select("key", F.col("m.label").alias("major"), F.col("m.pivot").alias("pivot"))
-
-
 def agreed(met: DataFrame) -> DataFrame:
-    """The pairs (a, b), with votes, of which VOTES corners of a or more agree on one transform: on zoom and, in one of
-    eight shifted grids, on the turn and on where the origin goes."""
+    """The pairs (a, b), with votes, of which VOTES corners of each image or more agree on one transform: on zoom and, in
+    one of eight shifted grids, on the turn and on where the origin goes."""
     half = F.explode(F.sequence(F.lit(0), F.lit(7)))
     cell = lambda c, size, bit: F.floor(F.col(c) / size + F.col("grid").bitwiseAND(1 << bit) / F.lit(2.0 * (1 << bit)))
     wound = met.withColumn("turn", F.pmod(F.col("turn"), F.lit(2 * np.pi))).withColumn("grid", half)
     turn = F.pmod(cell("turn", float(np.pi / 8), 2), F.lit(16))
-    votes = wound.groupBy("a", "b", "grid", "zoom", turn.alias("turn"), cell("dx", PLACE * 2, 0).alias("dx"), cell("dy", PLACE * 2, 1).alias("dy")).agg(F.count_distinct("a_place").alias("votes"))
+    votes = wound.groupBy("a", "b", "grid", "zoom", turn.alias("turn"), cell("dx", PLACE * 2, 0).alias("dx"), cell("dy", PLACE * 2, 1).alias("dy")).agg(F.least(F.count_distinct("a_place"), F.count_distinct("b_place")).alias("votes"))
     return votes.filter(F.col("votes") >= VOTES).groupBy("a", "b").agg(F.max("votes").alias("votes"))
 
 

@@ -3,6 +3,7 @@
 import zlib
 
 import numpy as np
+from pyspark.sql import functions as F
 
 from rolegrain.llm import media
 
@@ -67,3 +68,29 @@ def test_drawn_vectors(spark):
     first = vectors.first().vec_id
     assert got[first + 1000] == got[first]
     assert media.copy_groups(media.drawn(vectors.limit(0))).count() == 0
+
+
+def test_groups_are_those_of_all_pairs(spark):
+    """Noisy copies, of which only some link directly: growing groups by blocks loses no link that all pairs have."""
+    rng = np.random.default_rng(5)
+    rows = []
+    for s in range(2):
+        image = texture(s, 96).astype(int)
+        rows += [(1000 * s + k, pgm(np.clip(image + rng.normal(0, 14, image.shape), 0, 255).astype(np.uint8))) for k in range(70)]
+    frame = spark.createDataFrame(rows, "media_id long, image binary")
+    got = {r.media_id: r.copy_group for r in media.copy_groups(frame).collect()}
+    corners = media.shared_corners(media.descriptions(frame.withColumn("digest", F.lit("x"))).withColumn("node", F.col("media_id")))
+    a, b = media.side(corners, "a"), media.side(corners, "b")
+    met = a.join(b, "key").filter((F.col("a_node") < F.col("b_node")) & media.first_meeting())
+    parent = {i: i for i, _ in rows}
+
+    def root(i):
+        while parent[i] != i:
+            i = parent[i]
+        return i
+
+    for r in media.agreed(media.transforms(met)).collect():
+        x, y = sorted((root(r.a), root(r.b)))
+        parent[y] = x
+    assert got == {i: root(i) for i in parent}
+    assert len(set(got.values())) > 2 and max(map(list(got.values()).count, got.values())) > 1
