@@ -322,6 +322,9 @@ def agreed(met: DataFrame) -> DataFrame:
     one of eight shifted grids, on the turn and on where the origin goes."""
     half = F.explode(F.sequence(F.lit(0), F.lit(7)))
     cell = lambda c, size, bit: F.floor(F.col(c) / size + F.col("grid").bitwiseAND(1 << bit) / F.lit(2.0 * (1 << bit)))
+    same = Window.partitionBy("a", "b", "zoom")
+    enough = F.least(*[F.size(F.collect_set(c).over(same)) for c in ("a_place", "b_place")])
+    met = met.withColumn("_enough", enough).filter(F.col("_enough") >= VOTES)
     wound = met.withColumn("turn", F.pmod(F.col("turn"), F.lit(2 * np.pi))).withColumn("grid", half)
     turn = F.pmod(cell("turn", float(np.pi / 8), 2), F.lit(16))
     votes = wound.groupBy("a", "b", "grid", "zoom", turn.alias("turn"), cell("dx", PLACE * 2, 0).alias("dx"), cell("dy", PLACE * 2, 1).alias("dy")).agg(F.least(F.count_distinct("a_place"), F.count_distinct("b_place")).alias("votes"))
