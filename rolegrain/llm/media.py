@@ -16,9 +16,12 @@ from rolegrain.llm.components import components
 from rolegrain.llm.shared import materialize
 from rolegrain.llm.textvec import COMBINE, mix
 
-#: Descriptors of an image: the strongest corners of each scale. This is the size of an image's description.
-CORNERS = (18, 10, 6)
+#: Corners of each scale in an image of AREA pixels or less. Larger images have as many for each AREA pixels.
+CORNERS = (24, 16, 8)
 SCALES = (1.0, 1.5, 2.25)
+AREA, CELL = 96 * 96, 32
+#: Corners that Python takes in at once.
+TAKEN = 98_304
 RADIUS, BITS, PARTS = 8, 128, 4
 #: Two descriptors meet in a Hamming table if two of their four 32-bit parts agree, as those with at most two
 #: different bits do.
@@ -124,6 +127,19 @@ def resized(image: np.ndarray, factor: float) -> np.ndarray:
     return ((a * (1 - fx) + b * fx) * (1 - fy) + (c * (1 - fx) + d * fx) * fy).astype(np.float32)
 
 
+def chosen(strength: np.ndarray, y: np.ndarray, x: np.ndarray, most: int) -> np.ndarray:
+    """The places of the `most` strongest corners, and in each cell of the image of those that are among its
+    strongest, most over the number of cells: a part of the image keeps corners however strong the rest is."""
+    order = np.lexsort((x, y, -strength))
+    cell = (y[order] // CELL) * (int(x.max()) // CELL + 1) + x[order] // CELL
+    by_cell = np.argsort(cell, kind="stable")
+    first = np.flatnonzero(np.r_[True, np.diff(cell[by_cell]) != 0])
+    within = np.empty(len(order), int)
+    within[by_cell] = np.arange(len(order)) - np.repeat(first, np.diff(np.r_[first, len(order)]))
+    each = -(-most // ((int(y.max()) // CELL + 1) * (int(x.max()) // CELL + 1)))
+    return order[(np.arange(len(order)) < most) | (within < each)]
+
+
 def described(image: np.ndarray) -> tuple[np.ndarray, ...]:
     """(x, y, angle, scale, bits) of the corners of an image. Corners are local maxima of the smaller
     eigenvalue's bound (Harris); the angle is that of the patch's brightness centroid, and the tests compare
@@ -147,10 +163,10 @@ def described(image: np.ndarray) -> tuple[np.ndarray, ...]:
             if dy or dx:
                 beside = strength[edge + dy : strength.shape[0] - edge + dy, edge + dx : strength.shape[1] - edge + dx]
                 peak &= (inner > beside) | ((inner == beside) & ((dy, dx) > (0, 0)))
-        y, x = np.nonzero(peak & (inner > 1e-3 * max(float(inner.max()), 1.0)))
+        y, x = np.nonzero(peak & (inner > 1e-3))
         if not len(y):
             continue
-        order = np.lexsort((x, y, -inner[y, x]))[:most]
+        order = chosen(inner[y, x], y, x, -(-most * max(image.size, AREA) // AREA))
         y, x = y[order] + edge, x[order] + edge
         soft = box(small, 2)
         patch = small[y[:, None] + disc[:, 1], x[:, None] + disc[:, 0]]
@@ -166,6 +182,18 @@ def described(image: np.ndarray) -> tuple[np.ndarray, ...]:
     return tuple(np.concatenate(x) for x in zip(*out, strict=True))
 
 
+def stretches(corners: list[int]) -> Iterator[tuple[int, int]]:
+    """Bounds of stretches of rows with TAKEN corners at most, or of one row."""
+    lo = held = 0
+    for hi, n in enumerate(corners):
+        if held and held + n > TAKEN:
+            yield lo, hi
+            lo, held = hi, 0
+        held += n
+    if lo < len(corners):
+        yield lo, len(corners)
+
+
 def descriptions(media: DataFrame) -> DataFrame:
     """A row of DESCRIPTION for each image."""
     floats = pa.list_(pa.float32())
@@ -173,15 +201,18 @@ def descriptions(media: DataFrame) -> DataFrame:
 
     def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for lo in range(0, batch.num_rows, 256):
-                part = batch.slice(lo, 256)
-                columns: list[list] = [[] for _ in range(6)]
-                for data in part.column("image").to_pylist():
-                    image = decode(data)
-                    found = described(image) if image is not None else described(np.zeros((1, 1), np.float32))
-                    for to, x in zip(columns, (image is not None, *(v.astype(np.float32) for v in found[:4]), found[4].tobytes()), strict=True):
-                        to.append(x)
-                yield pa.RecordBatch.from_arrays([part.column("media_id"), part.column("digest"), *[pa.array(c, t) for c, t in zip(columns, fields.types[2:], strict=True)]], schema=fields)
+            columns: list[list] = [[] for _ in range(6)]
+            lo = held = 0
+            for hi in range(1, batch.num_rows + 1):
+                image = decode(batch.column("image")[hi - 1].as_py())
+                found = described(image) if image is not None else described(np.zeros((1, 1), np.float32))
+                for to, x in zip(columns, (image is not None, *(v.astype(np.float32) for v in found[:4]), found[4].tobytes()), strict=True):
+                    to.append(x)
+                held += len(found[0])
+                if hi == batch.num_rows or hi - lo == 256 or held >= TAKEN:
+                    part = batch.slice(lo, hi - lo)
+                    yield pa.RecordBatch.from_arrays([part.column("media_id"), part.column("digest"), *[pa.array(c, t) for c, t in zip(columns, fields.types[2:], strict=True)]], schema=fields)
+                    columns, lo, held = [[] for _ in range(6)], hi, 0
 
     return media.mapInArrow(rows, DESCRIPTION)
 
@@ -201,10 +232,11 @@ def shared_corners(images: DataFrame) -> DataFrame:
 
     def keys(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for lo in range(0, batch.num_rows, 2048):
-                part = batch.slice(lo, 2048)
+            sizes = [len(x.as_buffer()) * 8 // BITS for x in batch.column("bits")]
+            for lo, hi in stretches(sizes):
+                part = batch.slice(lo, hi - lo)
                 raw = part.column("bits").to_pylist()
-                node = np.repeat(part.column("node").to_numpy(), [len(x) * 8 // BITS for x in raw])
+                node = np.repeat(part.column("node").to_numpy(), sizes[lo:hi])
                 for key in table_keys(np.frombuffer(b"".join(raw), np.uint8).reshape(-1, BITS // 8)):
                     yield pa.RecordBatch.from_arrays([pa.array(key.view(np.int64)), pa.array(node)], ["key", "node"])
 
@@ -215,9 +247,10 @@ def shared_corners(images: DataFrame) -> DataFrame:
     def corners(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         names = ["node", "key", "place", "x", "y", "angle", "scale", "parts", "table"]
         for batch in batches:
-            for lo in range(0, batch.num_rows, 2048):
-                part = batch.slice(lo, 2048)
-                n = np.array([len(x) for x in part.column("x").to_pylist()], np.int64)
+            sizes = [len(x.as_buffer()) * 8 // BITS for x in batch.column("bits")]
+            for lo, hi in stretches(sizes):
+                part = batch.slice(lo, hi - lo)
+                n = np.array(sizes[lo:hi], np.int64)
                 node = np.repeat(part.column("node").to_numpy(), n)
                 place = (np.arange(len(node)) - np.repeat(np.cumsum(n) - n, n)).astype(np.int32)
                 values = [part.column(c).flatten().to_numpy(zero_copy_only=False) for c in ("x", "y", "angle", "scale")]

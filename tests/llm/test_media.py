@@ -61,6 +61,26 @@ def test_planted_copies(spark):
     assert [(by_id[i].n_corners, by_id[i].copy_group) for i in (5000, 5001, 5002, 5003, 5004, None)] == [(None, 5000), (None, 5001), (None, 5001), (0, 5003), (0, 5004), (None, None)]
 
 
+def test_corners_follow_area_and_spread():
+    strong = texture(1, 256).astype(np.float32)
+    weak = 128 + (strong - 128) * 0.15
+    weak[:96, :96] = strong[:96, :96]
+    x, y, *_, bits = media.described(weak)
+    assert len(bits) >= 48 * 256 * 256 // 96**2 and len(media.described(strong[:96, :96])[0]) >= 48
+    cells = set(zip(x.astype(int) // 64, y.astype(int) // 64, strict=True))
+    assert len(cells) == 16
+
+
+def test_crop_outside_the_strongest_patch(spark):
+    rows = []
+    for s in range(6):
+        image = 128 + (texture(s, 256).astype(float) - 128) * 0.25
+        image[:110, :110] = texture(s + 50, 110)
+        rows += [(10 * s, pgm(image.astype(np.uint8))), (10 * s + 1, pgm(image[130:240, 125:235].astype(np.uint8)))]
+    got = {r.media_id: r.copy_group for r in media.copy_groups(spark.createDataFrame(rows, "media_id long, image binary")).collect()}
+    assert got == {i: i // 10 * 10 for i, _ in rows}
+
+
 def test_drawn_vectors(spark):
     vectors = spark.read.parquet("/root/testdata/sf0.001/embeddings.parquet").limit(60)
     extra = vectors.limit(1).withColumn("vec_id", vectors.vec_id + 1000)
