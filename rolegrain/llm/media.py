@@ -22,10 +22,11 @@ SCALES = (1.0, 1.5, 2.25)
 AREA, CELL = 96 * 96, 32
 #: Corners that Python takes in at once.
 TAKEN = 98_304
-RADIUS, BITS, PARTS = 8, 128, 4
-#: Two descriptors meet in a Hamming table if two of their four 32-bit parts agree, as those with at most two
-#: different bits do.
+RADIUS, BITS, PARTS = 8, 128, 8
+#: Two descriptors meet in a Hamming table if two of their eight 16-bit parts agree, as those with at most six
+#: different bits always do and those with more often do. They match if at most NEAR bits differ.
 TABLES = tuple(itertools.combinations(range(PARTS), 2))
+NEAR = 24
 VOTES, PLACE = 4, 6.0
 BLOCK, BEST = 16, 2
 _rng = np.random.default_rng(20)
@@ -219,8 +220,8 @@ def descriptions(media: DataFrame) -> DataFrame:
 
 def table_keys(bits: np.ndarray) -> list[np.ndarray]:
     """The keys of descriptors in each Hamming table: two parts and the table's number, mixed."""
-    words = bits.copy().view("<u4").astype(np.uint64)
-    return [mix((words[:, i] << np.uint64(32) | words[:, j]) + COMBINE[50 + t]) for t, (i, j) in enumerate(TABLES)]
+    words = bits.copy().view("<u2").astype(np.uint64)
+    return [mix((words[:, i] << np.uint64(16) | words[:, j]) + np.uint64(t << 32)) for t, (i, j) in enumerate(TABLES)]
 
 
 def shared_corners(images: DataFrame) -> DataFrame:
@@ -258,7 +259,7 @@ def shared_corners(images: DataFrame) -> DataFrame:
                 words = bits.copy().view("<i4")
                 for t, key in enumerate(table_keys(bits)):
                     at = np.flatnonzero(wanted.value.may_have(key))
-                    parts = pa.ListArray.from_arrays(pa.array(np.arange(len(at) + 1, dtype=np.int32) * PARTS), pa.array(words[at].ravel()))
+                    parts = pa.ListArray.from_arrays(pa.array(np.arange(len(at) + 1, dtype=np.int32) * words.shape[1]), pa.array(words[at].ravel()))
                     yield pa.RecordBatch.from_arrays([*[pa.array(x[at]) for x in (node, key.view(np.int64), place, *values)], parts, pa.array(np.full(len(at), t, np.int32))], names)
 
     kept = images.select("node", "x", "y", "angle", "scale", "bits").mapInArrow(corners, "node long, key long, place int, x float, y float, angle float, scale float, parts array<int>, table int")
@@ -268,10 +269,20 @@ def shared_corners(images: DataFrame) -> DataFrame:
 COLUMNS = ("node", "place", "x", "y", "angle", "scale")
 
 
+def different() -> list[Column]:
+    """The different bits of two corners, 32 in each of four longs."""
+    return [F.col("a_parts")[i].bitwiseXOR(F.col("b_parts")[i]).cast("long").bitwiseAND(0xFFFFFFFF) for i in range(BITS // 32)]
+
+
+def matching() -> Column:
+    """Whether two corners differ in NEAR bits at most."""
+    return sum((F.bit_count(x) for x in different()), F.lit(0)) <= NEAR
+
+
 def first_meeting() -> Column:
-    """Whether a row's table is the first in which its two corners agree: so each pair of corners meets once."""
-    same = [F.col("a_parts")[i] == F.col("b_parts")[i] for i in range(PARTS)]
-    return F.coalesce(*[F.when(same[i] & same[j], F.lit(t)) for t, (i, j) in enumerate(TABLES)]) == F.col("a_table")
+    """Whether two corners match and a row's table is the first in which they agree: so each pair meets once."""
+    same = [x.bitwiseAND(half) == 0 for x in different() for half in (0xFFFF, 0xFFFF0000)]
+    return matching() & (F.coalesce(*[F.when(same[i] & same[j], F.lit(t)) for t, (i, j) in enumerate(TABLES)]) == F.col("a_table"))
 
 
 def transforms(met: DataFrame) -> DataFrame:

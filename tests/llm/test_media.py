@@ -81,6 +81,25 @@ def test_crop_outside_the_strongest_patch(spark):
     assert got == {i: i // 10 * 10 for i, _ in rows}
 
 
+def test_noisy_and_blurred_copies_match_all_pairs(spark):
+    """The links among plants against those of every pair of corners with few different bits."""
+    rng = np.random.default_rng(3)
+    rows = []
+    for s in range(8):
+        image = texture(200 + s, 96).astype(np.float32)
+        edits = [image, image + rng.normal(0, 14, image.shape), media.box(image, 1), media.resized(image, 1.5), image[8:90, 4:88]]
+        rows += [(10 * s + k, pgm(np.clip(e, 0, 255).astype(np.uint8))) for k, e in enumerate(edits)]
+    frame = spark.createDataFrame(rows, "media_id long, image binary")
+    images = media.descriptions(frame.withColumn("digest", F.lit("x"))).withColumn("node", F.col("media_id")).toPandas()
+    flat = [(r.node, p, float(r.x[p]), float(r.y[p]), float(r.angle[p]), float(r.scale[p]), np.frombuffer(r.bits, "<i4").reshape(-1, 4)[p].tolist()) for r in images.itertuples() for p in range(len(r.x))]
+    corners = spark.createDataFrame(flat, "node long, place int, x float, y float, angle float, scale float, parts array<int>").withColumns({"key": F.lit(0), "table": F.lit(0)})
+    a, b = media.side(corners, "a").drop("key"), media.side(corners, "b").drop("key")
+    every = {(r.a, r.b) for r in media.agreed(media.transforms(a.join(b, (F.col("a_node") < F.col("b_node")) & media.matching()))).collect()}
+    got = {r.media_id: r.copy_group for r in media.copy_groups(frame).collect()}
+    assert len(every) > 40 and sum(got[i] == got[j] for i, j in every) >= 0.95 * len(every)
+    assert all(g // 10 == i // 10 for i, g in got.items())
+
+
 def test_drawn_vectors(spark):
     vectors = spark.read.parquet("/root/testdata/sf0.001/embeddings.parquet").limit(60)
     extra = vectors.limit(1).withColumn("vec_id", vectors.vec_id + 1000)
