@@ -7,6 +7,7 @@ from typing import NamedTuple
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -83,7 +84,7 @@ def part_of(keys: np.ndarray, n: int, bits: int) -> np.ndarray:
 
 def counted(docs: DataFrame, n_parts: int, order: int) -> DataFrame:
     """Rows of PACKED: what a stretch of a block of documents has of each part's tokens (order 1, with
-    count 0 for those of held-out documents alone) or training bigrams (order 2)."""
+    count 0 for those of held-out documents alone), training bigrams (order 2) or all bigrams (order 3)."""
     bits = 64 if order == 1 else 48
 
     def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -114,18 +115,18 @@ def counted(docs: DataFrame, n_parts: int, order: int) -> DataFrame:
             for lo, hi, data, offsets in text_chunks(batch.column("text")):
                 here = [names[lo].as_py()]
                 cuts = [lo, hi]
-                if order == 1 and names[hi - 1].as_py() != here[0] or block not in (None, here[0]):
+                if order != 2 and names[hi - 1].as_py() != here[0] or block not in (None, here[0]):
                     labels = np.array(names.slice(lo, hi - lo).to_pylist())
                     cuts = [lo, *(lo + 1 + np.flatnonzero(labels[1:] != labels[:-1])), hi]
                 for a, b in zip(cuts[:-1], cuts[1:], strict=True):
-                    if block is not None and names[int(a)].as_py() != block and order == 1:
+                    if block is not None and names[int(a)].as_py() != block and order != 2:
                         yield from flush()
                     block = names[int(a)].as_py()
                     part_offsets = offsets[a - lo : b - lo + 1]
                     tokens, before, bounds = tokens_of(data[part_offsets[0] : part_offsets[-1]], part_offsets - part_offsets[0])
                     learn = np.repeat(train[a:b], np.diff(bounds))
-                    if order == 1:
-                        k, c = added_up(tokens, learn.astype(np.int64))
+                    if order != 2:
+                        k, c = added_up(tokens if order == 1 else bigram_keys(before, tokens), learn.astype(np.int64))
                     else:
                         k, c = added_up(bigram_keys(before, tokens)[learn], np.ones(int(learn.sum()), np.int64))
                     keys.append(k)
@@ -177,14 +178,14 @@ def slots(keys: np.ndarray, level: np.ndarray | int, size: np.ndarray | int, has
         yield (a + np.uint64(i) * b) % np.asarray(size, np.uint64)
 
 
-def build_filter(packed: DataFrame, n_parts: int, max_bytes: int, bits_per_entry: int, hashes: int, base: float) -> Filter:
-    """Each part of the bigrams becomes a Bloom filter in its own task; the driver gathers max_bytes at most."""
-    most = 8 * (max_bytes // n_parts)
+def filter_parts(packed: DataFrame, bits_per_entry: int, hashes: int, base: float) -> DataFrame:
+    """(part, bits, levels): each part of the bigrams becomes a Bloom filter in its own task, of bits_per_entry for
+    each (bigram, level) counted in it."""
 
     def one(table: pa.Table) -> pa.Table:
         keys, counts = added_up(np.concatenate([unpack_keys(x) for x in table.column("keys").to_pylist()]), np.concatenate([unpack_counts(x) for x in table.column("counts").to_pylist()]))
         levels = level_of(counts, base)
-        size = int(min(most, max(64, bits_per_entry * int(levels.sum()))))
+        size = max(64, bits_per_entry * int(levels.sum()))
         size -= size % 8
         field = np.zeros(size, bool)
         for level in range(1, int(levels.max()) + 1):
@@ -192,12 +193,31 @@ def build_filter(packed: DataFrame, n_parts: int, max_bytes: int, bits_per_entry
                 field[at] = True
         return pa.table({"part": table.column("part")[:1], "bits": pa.array([np.packbits(field, bitorder="little").tobytes()], pa.binary()), "levels": pa.array([int(levels.max())], pa.int32())})
 
-    found = {r.part: r for r in packed.groupBy("part").applyInArrow(one, "part int, bits binary, levels int").collect()}
+    return packed.groupBy("part").applyInArrow(one, "part int, bits binary, levels int")
+
+
+def gathered(filters: DataFrame, n_parts: int, hashes: int, base: float) -> Filter:
+    """All parts of the filter on the driver."""
+    found = {r.part: r for r in filters.collect()}
     each = [np.frombuffer(found[r].bits, np.uint8) if r in found else np.zeros(8, np.uint8) for r in range(n_parts)]
     sizes = np.array([len(x) for x in each], np.int64)
     return Filter(np.concatenate(each), np.cumsum(sizes) - sizes, 8 * sizes, max([0, *(r.levels for r in found.values())]), hashes, base)
 
 
+def answered(packed: DataFrame, filters: DataFrame, levels: int, hashes: int, base: float) -> DataFrame:
+    """The rows of counted(order=3) with the quantised counts of their bigrams, probed where their part's filter is."""
+
+    def one(probes: pa.Table, part: pa.Table) -> pa.Table:
+        if not probes.num_rows:
+            return PACKED_SCHEMA.empty_table()
+        bits = np.frombuffer(part.column("bits")[0].as_py(), np.uint8) if part.num_rows else np.zeros(8, np.uint8)
+        lm = Filter(bits, np.zeros(1, np.int64), np.array([8 * len(bits)]), levels, hashes, base)
+        found = [pack_counts(probed_levels(lm, unpack_keys(x))) for x in probes.column("keys").to_pylist()]
+        return pa.Table.from_arrays([*[probes.column(c) for c in ("part", "block", "keys")], pa.array(found, pa.binary())], schema=PACKED_SCHEMA)
+
+    return packed.groupBy("part").cogroup(filters.groupBy("part")).applyInArrow(one, PACKED)
+
+
 def probed_levels(model: Filter, keys: np.ndarray) -> np.ndarray:
     """The quantised count of each key: levels are probed from 1 on until one is absent."""
     part = part_of(keys, len(model.sizes), 48).astype(np.int64)
@@ -219,8 +239,9 @@ def score(docs: DataFrame, weight: float = 0.4, base: float = 1.5, bits_per_entr
 
     Learns from the documents whose crc32(doc_id as text) mod 7 is not 2. Bigram counts are summed over the
     cluster by ranges of their hashes, quantised as 1 + floor(log_base(count)) and put into a log-frequency
-    Bloom filter of bits_per_entry for each level, max_filter_bytes at most; that filter is broadcast. Each
-    block of documents (a stretch of an input file) gets the exact counts of the tokens that occur in it by
+    Bloom filter of bits_per_entry for each level. That filter is broadcast if it has max_filter_bytes at most; a
+    larger one stays in parts, and the bigrams of each block of documents go to their part by a shuffle. Each
+    block (a stretch of an input file) gets the exact counts of the tokens that occur in it by
     a shuffle, as the whole vocabulary has no bound. A token's probability after h is
     (1 - weight) * (c + 1) / (N + V + 1) + weight * q / c(h), where q is the count that probing gives, c(h)
     at most, and a document begins after an end token; after an unseen h it is the first part alone, whole.
@@ -238,15 +259,24 @@ def score(docs: DataFrame, weight: float = 0.4, base: float = 1.5, bits_per_entr
     known = materialize(corpus_counts(counted(rows, n_parts, 1)), "token_counts")
     totals = [np.frombuffer(r.counts, np.int64) for r in known.filter("block is null").select("counts").toLocalIterator()]
     n_train, n_words = (int(sum(t[i] for t in totals)) for i in (0, 1))
-    model = spark.sparkContext.broadcast(build_filter(counted(rows, n_parts, 2), n_parts, max_filter_bytes, bits_per_entry, hashes, base))
+    filters = materialize(filter_parts(counted(rows, n_parts, 2), bits_per_entry, hashes, base), "filter_parts")
+    n_bytes, levels = filters.agg(F.coalesce(F.sum(F.length("bits")), F.lit(0)), F.coalesce(F.max("levels"), F.lit(0))).first()
+    model = spark.sparkContext.broadcast(gathered(filters, n_parts, hashes, base)) if n_bytes <= max_filter_bytes else None
     out = "doc_id long, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double"
     fields = pa.schema([("doc_id", pa.int64()), ("held_out", pa.bool_()), ("n_tokens", pa.int64()), ("n_known", pa.int64()), ("train_tokens", pa.int64()), ("base_score", pa.float64()), ("score", pa.float64())])
 
     def judge(texts: pa.Table, counts: pa.Table) -> pa.Table:
         if not texts.num_rows:
             return fields.empty_table()
-        lm = model.value
-        stands_for = level_counts(lm.levels, lm.base)
+        stands_for = level_counts(levels, base)
+        if model is None:
+            of_pairs = pc.equal(counts.column("order"), 3)
+            pairs = counts.filter(of_pairs)
+            counts = counts.filter(pc.invert(of_pairs))
+            pair_keys = np.concatenate([unpack_keys(x) for x in pairs.column("keys").to_pylist()])
+            pair_levels = np.concatenate([unpack_counts(x) for x in pairs.column("counts").to_pylist()])
+            pair_keys, at = np.unique(pair_keys, return_index=True)
+            pair_levels = pair_levels[at]
         keys = np.concatenate([unpack_keys(x) for x in counts.column("keys").to_pylist()])
         found = np.concatenate([unpack_counts(x) for x in counts.column("counts").to_pylist()])
         keys, at = np.unique(keys, return_index=True)
@@ -259,12 +289,16 @@ def score(docs: DataFrame, weight: float = 0.4, base: float = 1.5, bits_per_entr
             c_before = np.r_[at_end, c[:-1]]
             c_before[bounds[:-1]] = at_end
             alone = (c + 1) / (n_train + n_words + 1)
-            q = np.minimum(stands_for[probed_levels(lm, bigram_keys(before, tokens))], np.minimum(c, c_before))
+            pair = bigram_keys(before, tokens)
+            level = pair_levels[np.searchsorted(pair_keys, pair)] if model is None else probed_levels(model.value, pair)
+            q = np.minimum(stands_for[level], np.minimum(c, c_before))
             p = np.where(c_before > 0, (1 - weight) * alone + weight * q / np.maximum(c_before, 1), alone)
             first = bounds[:-1]
             sums.append((np.diff(bounds), np.add.reduceat((c > 0).astype(np.int64), first), np.add.reduceat(np.log10(alone), first), np.add.reduceat(np.log10(p), first)))
         n, n_known, base_score, full = (np.concatenate(x) for x in zip(*sums, strict=True))
         return pa.Table.from_arrays([texts.column("doc_id"), texts.column("held_out"), pa.array(n), pa.array(n_known), pa.array(np.full(len(n), n_train)), pa.array(base_score), pa.array(full)], schema=fields)
 
-    tokens = known.filter("block is not null").select("block", "keys", "counts")
+    tokens = known.filter("block is not null").select("block", "keys", "counts", F.lit(1).alias("order"))
+    if model is None:
+        tokens = tokens.union(answered(counted(rows, n_parts, 3), filters, levels, hashes, base).select("block", "keys", "counts", F.lit(3)))
     return rows.groupBy("block").cogroup(tokens.groupBy("block")).applyInArrow(judge, out)

@@ -61,6 +61,17 @@ def test_no_training_rows_and_empty(spark, tmp_path):
     assert lmscore.score(spark.read.parquet(str(tmp_path / "docs")).limit(0)).count() == 0
 
 
+def test_filter_larger_than_a_broadcast(spark, tmp_path):
+    """With the query's parameters, scores are the same and near those of counting when the filter may not be sent."""
+    rows = [(r.doc_id, r.text) for r in spark.read.parquet("/root/testdata/sf0.001/documents.parquet").select("doc_id", "text").collect()]
+    spark.createDataFrame(rows, "doc_id long, text string").repartition(3).write.parquet(str(tmp_path / "docs"))
+    docs = spark.read.parquet(str(tmp_path / "docs"))
+    sent, kept = (sorted(map(tuple, lmscore.score(docs, **most).collect()), key=lambda r: r[0]) for most in ({}, {"max_filter_bytes": 1000}))
+    assert sent == kept
+    want = {r[0]: r for r in brute(rows)}
+    assert np.mean([abs(r[6] - want[r[0]][6]) / r[2] for r in kept]) < 0.02
+
+
 def test_levels():
     counts = np.arange(1, 2000)
     levels = lmscore.level_of(counts, 1.5)
