@@ -2,10 +2,12 @@
 
 from __future__ import annotations
 
+import json
 import math
 import zlib
 from array import array
 from collections.abc import Iterator
+from pathlib import Path
 
 import numpy as np
 import pyarrow as pa
@@ -18,12 +20,16 @@ from rolegrain.llm.shared import materialize, text_batches
 GROUP_PIECES = 32_768
 CACHE_WORDS = 400_000
 _encoders: dict[str, "Encoder"] = {}
+# The normaliser and pre-tokenizer of a file whose texts may be taken stretch by stretch.
+NORMALIZER = {"type": "Sequence", "normalizers": [{"type": "NFC"}, {"type": "Replace", "pattern": {"Regex": r"\s+"}, "content": " "}, {"type": "Lowercase"}]}
+SPLIT = {"type": "Split", "pattern": {"Regex": r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"}, "behavior": "Removed", "invert": True}
 
 
 class Encoder(dict):
-    """Token ids of one space-separated stretch of text, as little-endian bytes. The tokenizer drops white
-    space before it merges, so a text's ids are those of its stretches, joined. Bounded: when full, it keeps
-    its entries for one more turn, and those that are asked for again."""
+    """Token ids of one space-separated stretch of text, as little-endian bytes. A tokenizer with the normaliser and
+    the pre-tokenizer above drops white space before it merges, so a text's ids are those of its stretches, joined;
+    any other gets whole texts. Bounded: when full, it keeps its entries for one more turn, and those that are
+    asked for again."""
 
     def __init__(self, path: str):
         from tokenizers import Tokenizer
@@ -31,6 +37,10 @@ class Encoder(dict):
         super().__init__()
         self.before: dict[str, bytes] = {}
         self.tokenizer = Tokenizer.from_file(path)
+        rules = json.loads(Path(path).read_text())
+        split = rules.get("pre_tokenizer") or {}
+        special = [t["content"] for t in rules.get("added_tokens", []) if t["content"]]
+        self.by_stretch = rules.get("normalizer") == NORMALIZER and split.get("type") == "Sequence" and split["pretokenizers"][0] == SPLIT and all(t.startswith("<|") and not set(t) & set(" \n") for t in special)
 
     def __missing__(self, stretch: str) -> bytes:
         if len(self) >= CACHE_WORDS:
@@ -40,17 +50,22 @@ class Encoder(dict):
             self[stretch] = known
             return known
         word = stretch.lower() if stretch.isascii() and "<|" not in stretch else stretch  # the tokenizer lower-cases
-        if word[-1:] in (",", ".") and word[-2:-1].isalpha():  # it parts letters from what follows them
+        if word[-1:] in (",", ".") and word[-2:-1].isascii() and word[-2:-1].isalpha():  # it parts letters from what follows them
             ids = self[word[:-1]] + self[word[-1]]
         elif word != stretch:
             ids = self[word]
         else:
-            ids = array("I", self.tokenizer.encode(stretch, add_special_tokens=False).ids).tobytes()
+            ids = self.whole(stretch)
         if len(stretch) <= 64:
             self[stretch] = ids
         return ids
 
+    def whole(self, text: str) -> bytes:
+        return array("I", self.tokenizer.encode(text, add_special_tokens=False).ids).tobytes()
+
     def ids(self, text: str | None) -> bytes:
+        if not self.by_stretch:
+            return self.whole(text or "")
         return b"".join(map(self.__getitem__, (text or "").replace("\n", " ").split(" ")))
 
 

@@ -1,5 +1,6 @@
 """Packing against the whole-text tokenizer, and best_two_fit against its own rules."""
 
+import unicodedata
 import zlib
 
 import numpy as np
@@ -70,3 +71,23 @@ def test_corpus_texts_and_empty_table(spark):
     assert packing.pack(docs.limit(0), PATH).count() == 0
     with pytest.raises(Exception, match="text"):
         packing.pack(docs.drop("text"), PATH)
+
+
+def test_stretches_against_whole_texts_of_odd_letters():
+    """Every cased letter, combining marks and white space of Unicode beside what the encoder parts by itself."""
+    whole, encode = Tokenizer.from_file(PATH), packing.Encoder(PATH)
+    assert encode.by_stretch
+    odd = [c for c in map(chr, range(0x3000)) if c.lower() != c or c.upper() != c or unicodedata.combining(c) or c.isspace()]
+    rng = np.random.default_rng(0)
+    near = [*"aZk9.,'s \n", "<|", "|>", "\u0130", "\u03a3", "\u212a"]
+    for c in odd:
+        texts = [f"{c}.", f"a{c},", f"{c}a. b{c}", "".join([c, *rng.choice(near, 6)]), "".join([*rng.choice(near, 4), c, *rng.choice(near, 2)]), "".join(rng.choice(odd, 5)) + "."]
+        for text in texts:
+            assert np.frombuffer(encode.ids(text), "<u4").tolist() == whole.encode(text, add_special_tokens=False).ids, ascii(text)
+
+
+def test_other_tokenizers_take_whole_texts():
+    path = public_tokenizers.path("byte_bpe_50k.json")
+    whole, encode = Tokenizer.from_file(path), packing.Encoder(path)
+    for text in ("One  two.\nThree, FOUR", "", " x"):
+        assert np.frombuffer(encode.ids(text), "<u4").tolist() == whole.encode(text, add_special_tokens=False).ids
