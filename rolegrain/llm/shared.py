@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 import tempfile
 import uuid
 
@@ -11,10 +12,12 @@ from pyspark.sql import functions as F
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder named by spark.checkpoint.dir; where it is unset (tests on one machine), a new one."""
+    """The folder named by spark.checkpoint.dir. Where it is unset, a new one that then stands there: under the
+    warehouse, which a cluster's machines share, or, on one machine, a temporary one."""
     base = spark.conf.get("spark.checkpoint.dir", None)
     if not base:
-        base = tempfile.mkdtemp(prefix="rolegrain-shared-")
+        alone = re.fullmatch(r"local(\[.*\])?", spark.conf.get("spark.master", ""))
+        base = tempfile.mkdtemp(prefix="rolegrain-shared-") if alone else f"{spark.conf.get('spark.sql.warehouse.dir').rstrip('/')}/rolegrain-shared"
         spark.conf.set("spark.checkpoint.dir", base)
     return base.rstrip("/")
 
@@ -32,12 +35,12 @@ def parts(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
 
 
-def text_batches(spark: SparkSession, rows: int = 1000) -> None:
-    """Send whole texts to Python in batches of few rows, unless the session asks for a size of its own: at
-    Spark's 10,000 a batch of long texts takes hundreds of MB in the JVM and again in Python."""
-    key = "spark.sql.execution.arrow.maxRecordsPerBatch"
-    if spark.conf.get(key, "10000") == "10000":
-        spark.conf.set(key, str(rows))
+def text_batches(spark: SparkSession, megabytes: int = 4) -> None:
+    """Send rows to Python in batches of so many bytes, unless the session asks for a size of its own: at Spark's 64 MB
+    a batch of texts takes that much in the JVM and several times as much in Python."""
+    key = "spark.sql.execution.arrow.maxBytesPerBatch"
+    if spark.conf.get(key, "64MB") in ("64MB", "67108864b"):
+        spark.conf.set(key, f"{megabytes}m")
 
 
 def blocks(docs: DataFrame) -> tuple[DataFrame, Column]:
