@@ -8,12 +8,14 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from rolegrain.llm.anchors import sliding
 from rolegrain.llm.bits import bitmap
 from rolegrain.llm.components import components
-from rolegrain.llm.shared import materialize
+from rolegrain.llm.packed import added_up, pack_keys, part_of, unpack_keys
+from rolegrain.llm.shared import materialize, parts
 from rolegrain.llm.textvec import COMBINE, mix
 
 #: Corners of each scale in an image of AREA pixels or less. Larger images have as many for each AREA pixels.
@@ -22,15 +24,21 @@ SCALES = (1.0, 1.5, 2.25)
 AREA, CELL = 96 * 96, 32
 #: Corners that Python takes in at once.
 TAKEN = 98_304
-RADIUS, BITS, PARTS = 8, 128, 8
-#: Two descriptors meet in a Hamming table if two of their eight 16-bit parts agree, as those with at most six
-#: different bits always do and those with more often do. They match if at most NEAR bits differ.
-TABLES = tuple(itertools.combinations(range(PARTS), 2))
+RADIUS, BITS = 8, 128
+#: Two descriptors meet in a Hamming table if two of the five parts of one of two splits of their bits agree, as those
+#: with at most three different bits always do and those with more often do. They match if at most NEAR bits differ.
+SPLITS, PARTS = 2, 5
 NEAR = 24
 VOTES, PLACE = 4, 6.0
-BLOCK, BEST = 16, 2
+#: Rounds in which the images of a key meet one of them, before all that is still apart meets.
+STARS = 4
+#: Keys that a task holds before it packs them.
+FLUSH_KEYS = 1_000_000
 _rng = np.random.default_rng(20)
 TESTS = np.clip(_rng.normal(0, RADIUS / 2.2, (BITS, 2, 2)), -RADIUS + 1, RADIUS - 1)
+_parts = [[sum(1 << int(b) for b in part) for part in np.array_split(np.random.default_rng(s).permutation(BITS), PARTS)] for s in range(SPLITS)]
+#: The bits of each Hamming table, 64 of them in each of two numbers.
+TABLES = [((i | j) & (1 << 64) - 1, (i | j) >> 64) for split in _parts for i, j in itertools.combinations(split, 2)]
 DESCRIPTION = "media_id long, digest string, readable boolean, x array<float>, y array<float>, angle array<float>, scale array<float>, bits binary"
 
 
@@ -159,12 +167,14 @@ def described(image: np.ndarray) -> tuple[np.ndarray, ...]:
         inner = strength[edge:-edge, edge:-edge]
         if inner.size == 0:
             continue
-        peak = np.ones(inner.shape, bool)
-        for dy, dx in itertools.product((-2, -1, 0, 1, 2), repeat=2):
-            if dy or dx:
-                beside = strength[edge + dy : strength.shape[0] - edge + dy, edge + dx : strength.shape[1] - edge + dx]
-                peak &= (inner > beside) | ((inner == beside) & ((dy, dx) > (0, 0)))
-        y, x = np.nonzero(peak & (inner > 1e-3))
+        around = strength[edge - 2 : strength.shape[0] - edge + 2, edge - 2 : strength.shape[1] - edge + 2]
+        most_near = sliding(sliding(around, 5, np.maximum).T, 5, np.maximum).T
+        y, x = np.nonzero((inner >= most_near) & (inner > 1e-3))
+        peak = np.ones(len(y), bool)
+        for dy, dx in itertools.product((-2, -1, 0, 1, 2), repeat=2):  # of equal ones side by side, the first
+            if (dy, dx) < (0, 0):
+                peak &= inner[y, x] > strength[y + edge + dy, x + edge + dx]
+        y, x = y[peak], x[peak]
         if not len(y):
             continue
         order = chosen(inner[y, x], y, x, -(-most * max(image.size, AREA) // AREA))
@@ -219,34 +229,61 @@ def descriptions(media: DataFrame) -> DataFrame:
 
 
 def table_keys(bits: np.ndarray) -> list[np.ndarray]:
-    """The keys of descriptors in each Hamming table: two parts and the table's number, mixed."""
-    words = bits.copy().view("<u2").astype(np.uint64)
-    return [mix((words[:, i] << np.uint64(16) | words[:, j]) + np.uint64(t << 32)) for t, (i, j) in enumerate(TABLES)]
-
+    """The keys of descriptors in each Hamming table: 48 bits of a hash of the table's number and its bits."""
+    words = bits.copy().view("<u8").T
+    out = []
+    for t, masks in enumerate(TABLES):
+        lo, hi = (w & np.uint64(m) for w, m in zip(words, masks, strict=True))
+        out.append(mix(mix(lo * COMBINE[50] + COMBINE[60 + t]) + hi * COMBINE[51]) >> np.uint64(16))
+    return out
 
-def shared_corners(images: DataFrame) -> DataFrame:
-    """The corners of images by the keys of their Hamming tables, with low, the key's smallest node, for keys
-    that two images have.
 
-    The keys alone are counted first; a bitmap of the shared ones, 16 MB at most, then keeps the other corners
-    out of the shuffle."""
+def shared_keys(images: DataFrame) -> DataFrame:
+    """(key): the keys that two images or more have. Tasks count keys by image, pack them by ranges, and a group gets
+    the packed keys of its range."""
+    n_parts = 2 * parts(images.sparkSession)
 
     def keys(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: list[np.ndarray] = []
+        size = 0
+
+        def flush() -> Iterator[pa.RecordBatch]:
+            found, n = np.unique(np.concatenate(held), return_counts=True)
+            held.clear()
+            part = part_of(found, n_parts, 48)
+            cut = np.flatnonzero(np.r_[True, part[1:] != part[:-1]])
+            to = np.r_[cut[1:], len(part)]
+            packed = [[pack_keys(found[a:b]) for a, b in zip(cut, to, strict=True)], [np.packbits(n[a:b] > 1).tobytes() for a, b in zip(cut, to, strict=True)]]
+            yield pa.RecordBatch.from_arrays([pa.array(part[cut].astype(np.int32)), *[pa.array(x, pa.binary()) for x in packed]], ["part", "keys", "twice"])
+
         for batch in batches:
-            sizes = [len(x.as_buffer()) * 8 // BITS for x in batch.column("bits")]
-            for lo, hi in stretches(sizes):
-                part = batch.slice(lo, hi - lo)
-                raw = part.column("bits").to_pylist()
-                node = np.repeat(part.column("node").to_numpy(), sizes[lo:hi])
-                for key in table_keys(np.frombuffer(b"".join(raw), np.uint8).reshape(-1, BITS // 8)):
-                    yield pa.RecordBatch.from_arrays([pa.array(key.view(np.int64)), pa.array(node)], ["key", "node"])
+            for raw in batch.column("bits").to_pylist():
+                own = np.unique(np.concatenate(table_keys(np.frombuffer(raw, np.uint8).reshape(-1, BITS // 8))))
+                held.append(own)
+                size += len(own)
+                if size >= FLUSH_KEYS:
+                    yield from flush()
+                    size = 0
+        if size:
+            yield from flush()
 
-    counted = images.select("node", "bits").mapInArrow(keys, "key long, node long").groupBy("key").agg(F.min("node").alias("low"), F.max("node").alias("high"))
-    shared = materialize(counted.filter("low < high").select("key", "low"), "shared_keys")
+    def twice(table: pa.Table) -> pa.Table:
+        each = [unpack_keys(x) for x in table.column("keys").to_pylist()]
+        more = [np.unpackbits(np.frombuffer(x, np.uint8), count=len(k)) for k, x in zip(each, table.column("twice").to_pylist(), strict=True)]
+        found, n = added_up(np.concatenate(each), 1 + np.concatenate(more).astype(np.int64))
+        return pa.table({"key": pa.array(found[n > 1].view(np.int64))})
+
+    return images.select("bits").mapInArrow(keys, "part int, keys binary, twice binary").groupBy("part").applyInArrow(twice, "key long")
+
+
+def shared_corners(images: DataFrame) -> DataFrame:
+    """The corners of images by those keys of their Hamming tables that two images have. A bitmap of the shared keys,
+    16 MB at most, keeps most other corners out of the shuffle; the join takes the rest of them out."""
+    shared = materialize(shared_keys(images), "shared_keys")
     wanted = images.sparkSession.sparkContext.broadcast(bitmap(shared, "key", shared.count()))
 
     def corners(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        names = ["node", "key", "place", "x", "y", "angle", "scale", "parts", "table"]
+        names = ["node", "key", "place", "x", "y", "angle", "scale", "bits", "table"]
         for batch in batches:
             sizes = [len(x.as_buffer()) * 8 // BITS for x in batch.column("bits")]
             for lo, hi in stretches(sizes):
@@ -256,22 +293,21 @@ def shared_corners(images: DataFrame) -> DataFrame:
                 place = (np.arange(len(node)) - np.repeat(np.cumsum(n) - n, n)).astype(np.int32)
                 values = [part.column(c).flatten().to_numpy(zero_copy_only=False) for c in ("x", "y", "angle", "scale")]
                 bits = np.frombuffer(b"".join(part.column("bits").to_pylist()), np.uint8).reshape(-1, BITS // 8)
-                words = bits.copy().view("<i4")
                 for t, key in enumerate(table_keys(bits)):
                     at = np.flatnonzero(wanted.value.may_have(key))
-                    parts = pa.ListArray.from_arrays(pa.array(np.arange(len(at) + 1, dtype=np.int32) * words.shape[1]), pa.array(words[at].ravel()))
-                    yield pa.RecordBatch.from_arrays([*[pa.array(x[at]) for x in (node, key.view(np.int64), place, *values)], parts, pa.array(np.full(len(at), t, np.int32))], names)
+                    both = pa.ListArray.from_arrays(pa.array(np.arange(len(at) + 1, dtype=np.int32) * 2), pa.array(bits[at].view("<i8").ravel()))
+                    yield pa.RecordBatch.from_arrays([*[pa.array(x[at]) for x in (node, key.view(np.int64), place, *values)], both, pa.array(np.full(len(at), t, np.int32))], names)
 
-    kept = images.select("node", "x", "y", "angle", "scale", "bits").mapInArrow(corners, "node long, key long, place int, x float, y float, angle float, scale float, parts array<int>, table int")
-    return materialize(kept.join(shared, "key"), "shared_corners")
+    kept = images.select("node", "x", "y", "angle", "scale", "bits").mapInArrow(corners, "node long, key long, place int, x float, y float, angle float, scale float, bits array<long>, table int")
+    return materialize(kept.join(shared, "key", "left_semi"), "shared_corners")
 
 
 COLUMNS = ("node", "place", "x", "y", "angle", "scale")
 
 
 def different() -> list[Column]:
-    """The different bits of two corners, 32 in each of four longs."""
-    return [F.col("a_parts")[i].bitwiseXOR(F.col("b_parts")[i]).cast("long").bitwiseAND(0xFFFFFFFF) for i in range(BITS // 32)]
+    """The different bits of two corners, 64 in each of two longs."""
+    return [F.col("a_bits")[i].bitwiseXOR(F.col("b_bits")[i]) for i in range(BITS // 64)]
 
 
 def matching() -> Column:
@@ -281,8 +317,10 @@ def matching() -> Column:
 
 def first_meeting() -> Column:
     """Whether two corners match and a row's table is the first in which they agree: so each pair meets once."""
-    same = [x.bitwiseAND(half) == 0 for x in different() for half in (0xFFFF, 0xFFFF0000)]
-    return matching() & (F.coalesce(*[F.when(same[i] & same[j], F.lit(t)) for t, (i, j) in enumerate(TABLES)]) == F.col("a_table"))
+    signed = lambda m: F.lit(m - (1 << 64) if m >> 63 else m)
+    lo, hi = different()
+    agrees = [F.when((lo.bitwiseAND(signed(a)) == 0) & (hi.bitwiseAND(signed(b)) == 0), F.lit(t)) for t, (a, b) in enumerate(TABLES)]
+    return matching() & (F.coalesce(*agrees) == F.col("a_table"))
 
 
 def transforms(met: DataFrame) -> DataFrame:
@@ -295,64 +333,51 @@ def transforms(met: DataFrame) -> DataFrame:
 
 
 def side(corners: DataFrame, name: str, *more: str) -> DataFrame:
-    return corners.select("key", *more, *[F.col(c).alias(f"{name}_{c}") for c in (*COLUMNS, "parts", "table")])
+    return corners.select("key", *more, *[F.col(c).alias(f"{name}_{c}") for c in (*COLUMNS, "bits", "table")])
 
 
 def linked(images: DataFrame) -> DataFrame:
-    """(node, label) of the images' groups. First the images of a key meet one of them, the one with most shared
-    corners, and each keeps its BEST links: that gives seed groups. Then an image meets the larger seed groups that it
-    is near, round by round: first a stretch of at least BLOCK images of the largest group, at last all images, but
-    only of groups with which no link has joined it yet. So a group of copies grows together without being paired
-    out, and whatever still lies in different groups has met."""
+    """(node, label) of the images' groups. In a few rounds the images of a key meet one of them, its pivot, if they
+    are not in one group with it yet: at first the image with most shared corners, then one drawn anew each round. That
+    joins a group of copies without pairing it out. Whatever then still lies apart and is near enough meets whole."""
     corners = shared_corners(images)
-    shares = corners.groupBy("node").agg(F.count("*").alias("shares"))
-    corners = materialize(corners.join(shares, "node"), "weighed_corners")
-    found = agreed(transforms(met_pivots(corners.withColumn("label", F.col("node")))))
-    sided = found.select(F.col("a").alias("node"), F.col("b").alias("other"), "votes").union(found.select("b", "a", "votes"))
-    best = sided.withColumn("_place", F.row_number().over(Window.partitionBy("node").orderBy(F.desc("votes"), "other"))).filter(F.col("_place") <= BEST)
-    stars = materialize(best.select(F.col("node").alias("a"), F.col("other").alias("b")), "star_links")
-    labelled = materialize(corners.join(components(stars), "node", "left").withColumn("label", F.coalesce("label", "node")), "labelled")
-
-    seeds = materialize(labelled.groupBy("node").agg(F.first("label").alias("label")), "seeds")
-    near = materialize(near_corners(labelled, seeds), "near_corners")
-    most = seeds.groupBy("label").count().agg(F.max("count")).first()[0] or 0
-    share = 1
-    while most >= 4 * BLOCK * share:
-        share *= 4
-    groups = seeds.select("label", F.col("label").alias("group")).distinct()
-    links = corners.sparkSession.createDataFrame([], "a long, b long")
-    while share:
-        group = lambda s: groups.select(F.col("label").alias(f"{s}_label"), F.col("group").alias(f"{s}_group"))
-        apart = near.join(group("a"), "a_label").join(group("b"), "b_label").filter("a_group <> b_group")
-        block = side(labelled.filter(F.pmod(F.xxhash64("node"), F.lit(share)) == 0), "b", F.col("label").alias("b_label"))
-        met = apart.join(block, ["key", "b_label"]).filter(first_meeting()).select(*in_order())
-        label = lambda s: seeds.select(F.col("node").alias(s), F.col("label").alias(f"{s}_label"))
-        between = agreed(transforms(met)).join(label("a"), "a").join(label("b"), "b").select(F.col("a_label").alias("a"), F.col("b_label").alias("b")).distinct()
-        links = links.union(materialize(between, "group_links"))
-        joined = components(links).withColumnRenamed("label", "group")
-        groups = materialize(seeds.select("label").distinct().join(joined, F.col("label") == F.col("node"), "left").select("label", F.coalesce("group", "label").alias("group")), "groups")
-        share //= 4
-    return seeds.join(groups, "label").select("node", F.col("group").alias("label"))
-
-
-def met_pivots(labelled: DataFrame) -> DataFrame:
-    """The corners of images and those of their keys' pivots: of the images of a key, the one with most shared corners."""
-    pivots = labelled.groupBy("key").agg(F.max_by("node", F.struct("shares", "node")).alias("pivot"))
-    others = side(labelled.join(pivots, "key").filter("node <> pivot"), "b", "pivot")
+    shares = materialize(corners.groupBy("node").agg(F.count("*").alias("shares")), "shares")
+    labels, links = shares.withColumn("label", F.col("node")), None
+    for stars in range(STARS):
+        found = materialize(agreed(transforms(met_pivots(corners.join(labels, "node"), stars))).select("a", "b"), "star_links")
+        if found.isEmpty():
+            break
+        links = found if links is None else links.union(found)
+        labels = materialize(shares.join(components(links), "node", "left").withColumn("label", F.coalesce("label", "node")), "node_labels")
+    labelled = corners.join(labels.select("node", "label"), "node")
+    near = near_corners(labelled)
+    others = side(labelled, "b", F.col("label").alias("b_label"))
+    met = near.join(others, ["key", "b_label"]).filter(first_meeting()).select(*in_order())
+    between = materialize(agreed(transforms(met)).select("a", "b"), "group_links")
+    return components(between if links is None else links.union(between))
+
+
+def met_pivots(labelled: DataFrame, stars: int) -> DataFrame:
+    """The corners of images and those of their keys' pivots, where image and pivot have different labels."""
+    by = F.struct("shares", "node") if not stars else F.struct(F.xxhash64("node", F.lit(stars)), "node")
+    pivots = labelled.groupBy("key").agg(F.max_by(F.struct(F.col("node").alias("pivot"), F.col("label").alias("of")), by).alias("_pivot"), F.min("label").alias("low"), F.max("label").alias("high"))
+    pivots = pivots.filter("low < high").select("key", "_pivot.pivot", "_pivot.of")
+    others = side(labelled.join(pivots, "key").filter("label <> of"), "b", "pivot")
     ones = side(labelled, "a")
     return others.join(ones, (others["key"] == ones["key"]) & (F.col("pivot") == F.col("a_node")) & first_meeting()).select(*in_order())
 
 
-def near_corners(labelled: DataFrame, seeds: DataFrame) -> DataFrame:
-    """Corners (as side a, with a_label) beside the larger groups b_label in which VOTES different corners of their
-    image have company, as they must if it links with any image there. An image meets each group of a key once, however
-    many images of the group have the key."""
-    sizes = seeds.groupBy("label").agg(F.count("*").alias("images"))
-    sized = labelled.join(sizes, "label").withColumn("own", F.struct("images", "label"))
+def near_corners(labelled: DataFrame) -> DataFrame:
+    """Corners (as side a) beside the larger groups b_label in which VOTES different corners of their image have
+    company, as they must if it links with any image there. An image meets each group of a key once, however many
+    images of the group have the key."""
+    sizes = labelled.groupBy("label").agg(F.count_distinct("node").alias("images"))
+    apart = labelled.groupBy("key").agg(F.min("label").alias("low"), F.max("label").alias("high")).filter("low < high").select("key")
+    sized = labelled.join(apart, "key", "left_semi").join(sizes, "label").withColumn("own", F.struct("images", "label"))
     groups = sized.select("key", F.col("own").alias("other")).distinct()
     beside = materialize(sized.join(groups, "key").filter("own < other"), "beside")
     near = beside.groupBy("node", "other").agg(F.count_distinct("place").alias("places")).filter(F.col("places") >= VOTES).select("node", "other")
-    return side(beside.join(near, ["node", "other"]), "a", F.col("label").alias("a_label"), F.col("other.label").alias("b_label"))
+    return side(beside.join(near, ["node", "other"]), "a", F.col("other.label").alias("b_label"))
 
 
 def in_order() -> list[Column]:
@@ -363,16 +388,29 @@ def in_order() -> list[Column]:
 
 def agreed(met: DataFrame) -> DataFrame:
     """The pairs (a, b), with votes, of which VOTES corners of each image or more agree on one transform: on zoom and, in
-    one of eight shifted grids, on the turn and on where the origin goes."""
-    half = F.explode(F.sequence(F.lit(0), F.lit(7)))
-    cell = lambda c, size, bit: F.floor(F.col(c) / size + F.col("grid").bitwiseAND(1 << bit) / F.lit(2.0 * (1 << bit)))
-    same = Window.partitionBy("a", "b", "zoom")
-    enough = F.least(*[F.size(F.collect_set(c).over(same)) for c in ("a_place", "b_place")])
-    met = met.withColumn("_enough", enough).filter(F.col("_enough") >= VOTES)
-    wound = met.withColumn("turn", F.pmod(F.col("turn"), F.lit(2 * np.pi))).withColumn("grid", half)
-    turn = F.pmod(cell("turn", float(np.pi / 8), 2), F.lit(16))
-    votes = wound.groupBy("a", "b", "grid", "zoom", turn.alias("turn"), cell("dx", PLACE * 2, 0).alias("dx"), cell("dy", PLACE * 2, 1).alias("dy")).agg(F.least(F.count_distinct("a_place"), F.count_distinct("b_place")).alias("votes"))
-    return votes.filter(F.col("votes") >= VOTES).groupBy("a", "b").agg(F.max("votes").alias("votes"))
+    one of eight shifted grids, on the turn and on where the origin goes. The corners of a pair, which are as many as the
+    two images have at most, are gathered in one row."""
+    fields = pa.schema([("a", pa.int64()), ("b", pa.int64()), ("votes", pa.int64())])
+
+    def votes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            met = batch.column("met")
+            pair = np.repeat(np.arange(len(met)), np.diff(met.offsets.to_numpy()))
+            a_place, b_place, zoom, turn, dx, dy = (x.to_numpy(zero_copy_only=False) for x in met.flatten().flatten())
+            most = np.zeros(len(met), np.int64)
+            for grid in range(8):
+                shifted = lambda v, size, bit: np.floor(v / size + (grid & (1 << bit)) / (2.0 * (1 << bit)))  # noqa: B023, E731
+                wound = np.mod(shifted(np.mod(turn, 2 * np.pi), np.pi / 8, 2), 16)
+                cell = np.unique(np.stack([pair, zoom, wound, shifted(dx, PLACE * 2, 0), shifted(dy, PLACE * 2, 1)], axis=1).astype(np.int64), axis=0, return_inverse=True)
+                of, place = cell[1].ravel(), cell[0][:, 0]
+                n = np.minimum(*(np.bincount(np.unique(np.stack([of, p], axis=1), axis=0)[:, 0], minlength=len(place)) for p in (a_place, b_place)))
+                np.maximum.at(most, place, n)
+            keep = most >= VOTES
+            yield pa.RecordBatch.from_arrays([*[batch.column(c).filter(pa.array(keep)) for c in "ab"], pa.array(most[keep])], schema=fields)
+
+    one = F.struct("a_place", "b_place", "zoom", "turn", "dx", "dy")
+    pairs = met.groupBy("a", "b").agg(F.collect_list(one).alias("met")).filter(F.size("met") >= VOTES)
+    return pairs.mapInArrow(votes, "a long, b long, votes long")
 
 
 def copy_groups(media: DataFrame) -> DataFrame:

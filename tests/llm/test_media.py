@@ -1,8 +1,10 @@
 """Copies among images: planted crops, edits and turns are found, other images are left alone."""
 
 import zlib
+from collections import Counter
 
 import numpy as np
+import pytest
 from pyspark.sql import functions as F
 
 from rolegrain.llm import media
@@ -91,8 +93,8 @@ def test_noisy_and_blurred_copies_match_all_pairs(spark):
         rows += [(10 * s + k, pgm(np.clip(e, 0, 255).astype(np.uint8))) for k, e in enumerate(edits)]
     frame = spark.createDataFrame(rows, "media_id long, image binary")
     images = media.descriptions(frame.withColumn("digest", F.lit("x"))).withColumn("node", F.col("media_id")).toPandas()
-    flat = [(r.node, p, float(r.x[p]), float(r.y[p]), float(r.angle[p]), float(r.scale[p]), np.frombuffer(r.bits, "<i4").reshape(-1, 4)[p].tolist()) for r in images.itertuples() for p in range(len(r.x))]
-    corners = spark.createDataFrame(flat, "node long, place int, x float, y float, angle float, scale float, parts array<int>").withColumns({"key": F.lit(0), "table": F.lit(0)})
+    flat = [(r.node, p, float(r.x[p]), float(r.y[p]), float(r.angle[p]), float(r.scale[p]), np.frombuffer(r.bits, "<i8").reshape(-1, 2)[p].tolist()) for r in images.itertuples() for p in range(len(r.x))]
+    corners = spark.createDataFrame(flat, "node long, place int, x float, y float, angle float, scale float, bits array<long>").withColumns({"key": F.lit(0), "table": F.lit(0)})
     a, b = media.side(corners, "a").drop("key"), media.side(corners, "b").drop("key")
     every = {(r.a, r.b) for r in media.agreed(media.transforms(a.join(b, (F.col("a_node") < F.col("b_node")) & media.matching()))).collect()}
     got = {r.media_id: r.copy_group for r in media.copy_groups(frame).collect()}
@@ -109,13 +111,15 @@ def test_drawn_vectors(spark):
     assert media.copy_groups(media.drawn(vectors.limit(0))).count() == 0
 
 
-def test_groups_are_those_of_all_pairs(spark):
-    """Noisy copies, of which only some link directly: growing groups by blocks loses no link that all pairs have."""
+@pytest.mark.parametrize("noise, few", [(14, True), (32, False)])
+def test_groups_are_those_of_all_pairs(spark, noise, few):
+    """Noisy copies, with much noise linked in part only: pivots and what follows lose no link that all pairs of corners
+    of one key have."""
     rng = np.random.default_rng(5)
     rows = []
     for s in range(2):
         image = texture(s, 96).astype(int)
-        rows += [(1000 * s + k, pgm(np.clip(image + rng.normal(0, 14, image.shape), 0, 255).astype(np.uint8))) for k in range(70)]
+        rows += [(1000 * s + k, pgm(np.clip(image + rng.normal(0, noise, image.shape), 0, 255).astype(np.uint8))) for k in range(70)]
     frame = spark.createDataFrame(rows, "media_id long, image binary")
     got = {r.media_id: r.copy_group for r in media.copy_groups(frame).collect()}
     corners = media.shared_corners(media.descriptions(frame.withColumn("digest", F.lit("x"))).withColumn("node", F.col("media_id")))
@@ -132,4 +136,21 @@ def test_groups_are_those_of_all_pairs(spark):
         x, y = sorted((root(r.a), root(r.b)))
         parent[y] = x
     assert got == {i: root(i) for i in parent}
-    assert len(set(got.values())) > 2 and max(map(list(got.values()).count, got.values())) > 1
+    sizes = Counter(got.values())
+    assert (len(sizes) == 2) if few else (len(sizes) > 2 and max(sizes.values()) > 1)
+
+
+def test_keys_agree_where_the_table_s_bits_do():
+    rng = np.random.default_rng(1)
+    one = rng.integers(0, 256, (400, 16), np.uint8)
+    bits = np.unpackbits(one, axis=1, bitorder="little")
+    other = bits.copy()
+    for row in other:
+        row[rng.integers(0, 128, 3)] ^= 1
+    keys = zip(media.TABLES, media.table_keys(one), media.table_keys(np.packbits(other, axis=1, bitorder="little")), strict=True)
+    met = np.zeros(400, bool)
+    for (lo, hi), x, y in keys:
+        own = np.array([(hi << 64 | lo) >> b & 1 for b in range(128)], bool)
+        assert 50 <= own.sum() <= 52 and ((x == y) == (bits[:, own] == other[:, own]).all(axis=1)).all()
+        met |= x == y
+    assert met.all()
