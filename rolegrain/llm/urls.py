@@ -10,11 +10,12 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from rolegrain.llm.textvec import COMBINE, mix
+from rolegrain.llm.shared import materialize
 
 ORDER = 5
-GRAMS, CONTEXTS = 1 << 18, 1 << 17
 BINS = 2001
+#: Parts of a difference of log-likelihoods that are summed up as whole numbers, so that no order of rows matters.
+UNIT = 1e-9
 START, END = b"\x02" * ORDER, b"\x03"
 
 
@@ -56,84 +57,58 @@ def rule_of(host: Column, path: Column, rules: tuple[Rule, ...], value: str) ->
     return out
 
 
-def characters(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
-    """(bytes with ORDER start marks and an end mark a row, first byte of each row)."""
-    each = [START + (x.as_py() or "").encode() + END for x in column]
-    return np.frombuffer(b"".join(each), np.uint8), np.cumsum([0] + [len(x) for x in each])[:-1]
-
-
-def slots(data: np.ndarray, first: np.ndarray) -> tuple[np.ndarray, list[tuple[np.ndarray, np.ndarray]], np.ndarray]:
-    """(row starts among the predicted characters, (gram, context) buckets by order, their row)."""
-    real = np.ones(len(data), bool)
-    for j in range(ORDER):
-        real[first + j] = False
-    at = np.flatnonzero(real)
-    context = np.zeros(len(at), np.uint64)
-    out = []
-    for order in range(ORDER + 1):
-        if order:
-            context = context + (data[at - order].astype(np.uint64) + np.uint64(1)) * COMBINE[order]
-        tagged = context + COMBINE[20 + order]
-        gram = mix(tagged + (data[at].astype(np.uint64) + np.uint64(1)) * COMBINE[30]) % np.uint64(GRAMS)
-        out.append((gram.astype(np.int64), (mix(tagged.copy()) % np.uint64(CONTEXTS)).astype(np.int64)))
-    return np.searchsorted(at, first), out, np.searchsorted(first, at, "right") - 1
-
-
-def gram_counts(labelled: DataFrame) -> DataFrame:
-    """(label, gram, context, n), label 1 for accepted."""
+def windows(urls: DataFrame, *keep: str) -> DataFrame:
+    """(keep, w, n): for each row, the different runs of ORDER + 1 bytes that end in one of its characters or in its
+    end mark, each as a whole number, and how often they come."""
+    types = dict(urls.dtypes)
 
     def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            if not batch.num_rows:
-                continue
-            data, first = characters(batch.column("url"))
-            label = batch.column("label").to_numpy()
-            _, orders, row = slots(data, first)
-            keys = np.concatenate([(label[row].astype(np.int64) * CONTEXTS + c) * GRAMS + g for g, c in orders])
-            keys, n = np.unique(keys, return_counts=True)
-            yield pa.RecordBatch.from_arrays([pa.array((keys // GRAMS // CONTEXTS).astype(np.int32)), pa.array(keys % GRAMS), pa.array(keys // GRAMS % CONTEXTS), pa.array(n)], ["label", "gram", "context", "n"])
-
-    return labelled.select("url", "label").mapInArrow(rows, "label int, gram long, context long, n long").groupBy("label", "gram", "context").agg(F.sum("n").alias("n"))
-
-
-def models(labelled: DataFrame) -> np.ndarray | None:
-    """Two variable-order Markov models as counts in fixed tables: rows of each label hold the gram counts, the
-    context counts and the contexts' numbers of different grams. None if a label has no URL."""
-    counts = gram_counts(labelled)
-    out = np.zeros((2, GRAMS + 2 * CONTEXTS))
-    for r in counts.groupBy("label", "gram").agg(F.sum("n").alias("n")).toArrow().to_pylist():
-        out[r["label"], r["gram"]] = r["n"]
-    for r in counts.groupBy("label", "context").agg(F.sum("n").alias("n"), F.count("*").alias("kinds")).toArrow().to_pylist():
-        out[r["label"], GRAMS + r["context"]] = r["n"]
-        out[r["label"], GRAMS + CONTEXTS + r["context"]] = r["kinds"]
-    return out if out[:, :GRAMS].any(axis=1).all() else None
-
-
-def log_likelihood(model: np.ndarray, orders: list[tuple[np.ndarray, np.ndarray]]) -> np.ndarray:
-    """Of each character, under Witten-Bell smoothing from no context up to ORDER characters; an unseen
-    context leaves what the shorter one gave."""
-    p = np.full(len(orders[0][0]), 1 / 257)
-    for gram, context in orders:
-        n, total, kinds = model[gram], model[GRAMS + context], model[GRAMS + CONTEXTS + context]
-        p = np.where(total > 0, (np.minimum(n, total) + kinds * p) / np.maximum(total + kinds, 1), p)
-    return np.log(p)
-
-
-def with_score(urls: DataFrame, model) -> DataFrame:
-    """urls with score: the accepted model's log-likelihood less the rejected one's, per character; 0 without
-    models."""
-    names = urls.columns
-
-    def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            score = np.zeros(batch.num_rows)
-            if model is not None and batch.num_rows:
-                data, first = characters(batch.column("url"))
-                start, orders, _ = slots(data, first)
-                score = np.add.reduceat(log_likelihood(model.value[1], orders) - log_likelihood(model.value[0], orders), start) / np.diff(np.r_[start, len(orders[0][0])])
-            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(score)], [*names, "score"])
-
-    return urls.mapInArrow(rows, ", ".join(f"{n} {t}" for n, t in urls.dtypes) + ", score double")
+            each = [START + (x.as_py() or "").encode() + END for x in batch.column("url")]
+            data = np.frombuffer(b"".join(each), np.uint8).astype(np.int64)
+            row = np.repeat(np.arange(len(each)), [len(x) for x in each])
+            w = sum((data[j : len(data) - ORDER + j] << 8 * (ORDER - j) for j in range(ORDER + 1)), np.zeros(max(len(data) - ORDER, 0), np.int64))
+            inside = row[: len(w)] == row[ORDER:]
+            w, row = w[inside], row[: len(w)][inside]
+            order = np.lexsort((w, row))
+            w, row = w[order], row[order]
+            first = np.flatnonzero(np.r_[True, (w[1:] != w[:-1]) | (row[1:] != row[:-1])]) if len(w) else row
+            at = pa.array(row[first])
+            yield pa.RecordBatch.from_arrays([*[batch.column(k).take(at) for k in keep], pa.array(w[first]), pa.array(np.diff(np.r_[first, len(w)]))], [*keep, "w", "n"])
+
+    return urls.select("url", *keep).mapInArrow(rows, "".join(f"{k} {types[k]}, " for k in keep) + "w long, n long")
+
+
+def trained(labelled: DataFrame) -> DataFrame:
+    """(w, n0, n1): how often rejected and accepted URLs have each run. All counts of the two models are sums of these."""
+    n = lambda label: F.sum(F.when(F.col("label") == label, F.col("n")).otherwise(0))
+    return windows(labelled, "label").groupBy("w").agg(n(0).alias("n0"), n(1).alias("n1"))
+
+
+def log_ratios(counts: DataFrame, runs: DataFrame) -> DataFrame:
+    """(w, ratio): for each run of runs, the accepted model's log-probability of its last byte after the bytes before it,
+    less the rejected one's, in UNITs. Witten-Bell smoothing goes from no context up to ORDER bytes; a context that a
+    model has not seen leaves what the shorter one gave. Each order is a join by its gram and one by its context."""
+    out = runs.select("w").distinct().select("w", *[F.lit(1 / 257).alias(f"p{k}") for k in (0, 1)])
+    for order in range(ORDER + 1):
+        grams = counts.groupBy(F.col("w").bitwiseAND((1 << 8 * (order + 1)) - 1).alias("gram")).agg(*[F.sum(f"n{k}").alias(f"n{k}") for k in (0, 1)])
+        contexts = grams.groupBy(F.shiftright("gram", 8).alias("context")).agg(*[F.sum(f"n{k}").alias(f"all{k}") for k in (0, 1)], *[F.count_if(F.col(f"n{k}") > 0).alias(f"kinds{k}") for k in (0, 1)])
+        out = out.withColumns({"gram": F.col("w").bitwiseAND((1 << 8 * (order + 1)) - 1), "context": F.shiftright("w", 8).bitwiseAND((1 << 8 * order) - 1)})
+        met = out.join(grams, "gram", "left").join(contexts, "context", "left")
+        p = lambda k: F.when(F.col(f"all{k}") > 0, (F.coalesce(f"n{k}", F.lit(0)) + F.col(f"kinds{k}") * F.col(f"p{k}")) / (F.col(f"all{k}") + F.col(f"kinds{k}"))).otherwise(F.col(f"p{k}"))
+        out = met.select("w", *[p(k).alias(f"p{k}") for k in (0, 1)])
+    return out.select("w", F.round((F.log("p1") - F.log("p0")) / UNIT).cast("long").alias("ratio"))
+
+
+def with_score(urls: DataFrame, ratios: DataFrame | None) -> DataFrame:
+    """urls with score: the mean of their runs' ratios; 0 without models. Equal URLs are scored once and met by two
+    hashes of 96 bits together."""
+    if ratios is None:
+        return urls.withColumn("score", F.lit(0.0))
+    urls = urls.withColumns({"_long": F.xxhash64("url"), "_short": F.hash("url")})
+    sums = windows(urls.select("url", "_long", "_short").distinct(), "_long", "_short").join(ratios, "w").groupBy("_long", "_short")
+    scores = sums.agg((F.sum(F.col("n") * F.col("ratio")) * UNIT / F.sum("n")).alias("score"))
+    return urls.join(scores, ["_long", "_short"]).drop("_long", "_short")
 
 
 def calibrated(scored: DataFrame) -> float:
@@ -156,8 +131,8 @@ def judge_urls(pages: DataFrame, rules: tuple[Rule, ...] = RULES) -> DataFrame:
     A rule fits its host and all subdomains if the path starts with the rule's; the longest decides. All URLs
     that a rule decides are the models' accepted and rejected texts, but for a fifth (crc32 of the URL mod 5
     is 0), on which the threshold is calibrated. A URL without a rule is allowed if its score, the
-    length-normalised difference of log-likelihoods, reaches the threshold. The models are counts in tables
-    of fixed size, so what the driver gathers and broadcasts doesn't grow.
+    length-normalised difference of log-likelihoods, reaches the threshold. The models are counts of runs of six
+    bytes in tables as large as the URLs make them; scores come from joins with them, at any size alike.
 
     A null URL or one without :// has an empty host and path; the models read a null one as empty. Repeated
     rows count as often as they come. Without URLs of both labels, scores and threshold are 0 and all else is
@@ -166,11 +141,14 @@ def judge_urls(pages: DataFrame, rules: tuple[Rule, ...] = RULES) -> DataFrame:
     spark = pages.sparkSession
     host, path = host_and_path(F.col("url"))
     urls = pages.select(F.col("page_id").cast("long").alias("page_id"), F.col("url").cast("string").alias("url")).withColumns({"host": host, "path": path})
+    urls = urls.withColumn("url", F.coalesce("url", F.lit("")))
     urls = urls.withColumns({"rule": rule_of(F.col("host"), F.col("path"), rules, "text"), "ruled": rule_of(F.col("host"), F.col("path"), rules, "verdict")})
     labelled = urls.filter("ruled is not null").select("url", (F.col("ruled") == "allow").cast("int").alias("label"))
-    fold = F.crc32(F.coalesce(F.col("url"), F.lit("")).cast("binary")) % 5 == 0
-    model = models(labelled.filter(~fold))
-    shared = spark.sparkContext.broadcast(model) if model is not None else None
-    threshold = calibrated(with_score(labelled.filter(fold), shared)) if model is not None else 0.0
-    scored = with_score(urls, shared)
+    fold = F.crc32(F.col("url").cast("binary")) % 5 == 0
+    counts = materialize(trained(labelled.filter(~fold)), "run_counts")
+    seen = counts.agg(F.coalesce(F.sum("n0"), F.lit(0)), F.coalesce(F.sum("n1"), F.lit(0))).first()
+    ratios = materialize(log_ratios(counts, windows(urls)), "log_ratios") if all(seen) else None
+    scored = materialize(with_score(urls, ratios), "scored")
+    judged = scored.filter("ruled is not null").select("url", "score", (F.col("ruled") == "allow").cast("int").alias("label"))
+    threshold = calibrated(judged.filter(fold)) if ratios is not None else 0.0
     return scored.select("page_id", "host", "path", "rule", F.coalesce("ruled", F.when(F.col("score") >= threshold, "allow").otherwise("block")).alias("verdict"), "score")
