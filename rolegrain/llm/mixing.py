@@ -16,7 +16,8 @@ from rolegrain.llm.textvec import COMBINE, LOWER, mix, text_chunks, word_hashes,
 #: Domains of the labels table.
 DOMAINS = ("clean", "low", "toxic")
 FEATURES = 1 << 15
-#: Labelled rows that the classifier is fitted on at most: those with the smallest hashes of doc_id.
+#: Labelled rows that the classifier is fitted on at most: those with the smallest hashes of doc_id. With their
+#: features in 4 KB a row, the driver gathers 32 MB at most.
 SAMPLE_ROWS = 8192
 EPOCHS, BATCH, RATE, DECAY = 40, 512, 0.5, 1e-6
 
@@ -42,6 +43,21 @@ def features(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndar
     return pairs % FEATURES, np.searchsorted(pairs, np.arange(len(n_words) + 1) * FEATURES), n_words
 
 
+def packed_row(index: np.ndarray) -> bytes:
+    """A row's distinct features in 4 KB at most: two bytes each, or a bit for each feature there is."""
+    if 2 * len(index) < FEATURES // 8:
+        return index.astype("<u2").tobytes()
+    field = np.zeros(FEATURES, bool)
+    field[index] = True
+    return np.packbits(field).tobytes()
+
+
+def unpacked_row(packed: bytes) -> np.ndarray:
+    if len(packed) < FEATURES // 8:
+        return np.frombuffer(packed, "<u2").astype(np.int64)
+    return np.flatnonzero(np.unpackbits(np.frombuffer(packed, np.uint8)))
+
+
 def posteriors(weights: np.ndarray, index: np.ndarray, bounds: np.ndarray) -> np.ndarray:
     """Class probabilities of rows of unit length with equal entries at their features; the last weight is the
     bias."""
@@ -54,15 +70,15 @@ def posteriors(weights: np.ndarray, index: np.ndarray, bounds: np.ndarray) -> np
     return e / e.sum(axis=1, keepdims=True)
 
 
-def fitted(rows: list[np.ndarray], labels: np.ndarray, classes: int) -> np.ndarray:
+def fitted(rows: list[bytes], labels: np.ndarray, classes: int) -> np.ndarray:
     """Multinomial logistic regression by Adagrad over small batches in a fixed order."""
     weights, squares = np.zeros((FEATURES + 1, classes)), np.full((FEATURES + 1, classes), 1e-6)
     order = np.random.default_rng(0).permutation(len(rows))
     for _ in range(EPOCHS):
         for lo in range(0, len(order), BATCH):
             own = order[lo : lo + BATCH]
-            index = np.concatenate([rows[i] for i in own])
-            n = np.array([len(rows[i]) for i in own])
+            each = [unpacked_row(rows[i]) for i in own]
+            index, n = np.concatenate(each), np.array([len(x) for x in each])
             bounds = np.r_[0, np.cumsum(n)]
             error = posteriors(weights, index, bounds)
             error[np.arange(len(own)), labels[own]] -= 1
@@ -92,13 +108,13 @@ def classifier(docs: DataFrame, labels: DataFrame) -> np.ndarray:
             out = []
             for _, _, data, offsets in text_chunks(texts):
                 index, bounds, _ = features(data, offsets)
-                out += [index[a:b].astype(np.int32).tobytes() for a, b in zip(bounds[:-1], bounds[1:], strict=True)]
+                out += [packed_row(index[a:b]) for a, b in zip(bounds[:-1], bounds[1:], strict=True)]
             yield pa.RecordBatch.from_arrays([pa.array([ids[i] for i in at], pa.int64()), pa.array([known.value[ids[i]] for i in at], pa.int32()), pa.array(out, pa.binary())], ["doc_id", "domain", "features"])
 
     found = docs.select("doc_id", "text").mapInArrow(rows, "doc_id long, domain int, features binary").orderBy(F.xxhash64("doc_id"), "features").limit(SAMPLE_ROWS).toArrow()
     if not found.num_rows:
         return np.zeros((FEATURES + 1, len(DOMAINS)))
-    return fitted([np.frombuffer(x, np.int32) for x in found.column("features").to_pylist()], found.column("domain").to_numpy(), len(DOMAINS))
+    return fitted(found.column("features").to_pylist(), found.column("domain").to_numpy(), len(DOMAINS))
 
 
 class Mixture(NamedTuple):
@@ -109,9 +125,10 @@ class Mixture(NamedTuple):
 
 
 def with_posterior(docs: DataFrame, weights: np.ndarray) -> DataFrame:
-    """docs with n_tokens (its words) and p, the domains' probabilities."""
+    """docs without text, with _n_tokens (its words) and _p, the domains' probabilities."""
     shared = docs.sparkSession.sparkContext.broadcast(weights)
-    names = docs.columns
+    names = [c for c in docs.columns if c != "text"]
+    types = dict(docs.dtypes)
 
     def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -122,25 +139,31 @@ def with_posterior(docs: DataFrame, weights: np.ndarray) -> DataFrame:
                 p.append(posteriors(shared.value, index, bounds))
             each = np.concatenate(p)
             lists = pa.ListArray.from_arrays(pa.array(np.arange(len(each) + 1, dtype=np.int32) * len(DOMAINS)), pa.array(each.ravel()))
-            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(np.concatenate(n_tokens)), lists], [*names, "_n_tokens", "_p"])
+            yield pa.RecordBatch.from_arrays([*[batch.column(c) for c in names], pa.array(np.concatenate(n_tokens)), lists], [*names, "_n_tokens", "_p"])
+
+    return docs.mapInArrow(rows, ", ".join(f"`{n}` {types[n]}" for n in names) + ", _n_tokens long, _p array<double>")
 
-    return docs.mapInArrow(rows, ", ".join(f"`{n}` {t}" for n, t in docs.dtypes) + ", _n_tokens long, _p array<double>")
 
+def least_rate(keep_first: bool) -> Column:
+    """The rate below which a document's may not go: 0, or with keep_first 1 where the first domain is the likelier."""
+    return F.when(F.col("_p")[0] >= 0.5, 1.0).otherwise(0.0) if keep_first else F.lit(0.0)
 
-def rate(steps: list[list[float]]) -> Column:
-    """A document's rate: from 1 on, each step takes the gradient's share and stops at 0."""
+
+def rate(steps: list[list[float]], keep_first: bool = False) -> Column:
+    """A document's rate: from 1 on, each step takes the gradient's share and stops at the least rate."""
     if not steps:
         return F.lit(1.0)
     table = F.array(*[F.array(*map(F.lit, c)) for c in steps])
     moved = lambda c: sum((F.col("_p")[k] * c[k] for k in range(1, len(DOMAINS))), F.col("_p")[0] * c[0])
-    return F.aggregate(table, F.lit(1.0), lambda r, c: F.greatest(F.lit(0.0), r - moved(c)))
+    return F.aggregate(table, F.lit(1.0), lambda r, c: F.greatest(least_rate(keep_first), r - moved(c)))
 
 
 def solve(members: DataFrame, weights: np.ndarray, target: dict[str, float], scale: float | None, rounds: int = 40, tolerance: float = 1e-7) -> Mixture:
     """Projected gradient descent on the squared distance of the expected domain totals from the targets, in
     the metric of the documents' second moments, where a step of 1 always lessens it; a bolder step, scaled by
     the moments of the documents that are not at 0, is taken where it gains more. Each round is one aggregate
-    of a few numbers over all documents.
+    of a few numbers over all documents. With scale, documents likelier of the first domain than not keep a rate of
+    1 at least: the projection is onto these bounds.
 
     The targets share out the tokens there are, or, with scale, scale times the tokens that the first domain
     needs to keep its own at a rate of 1."""
@@ -151,7 +174,7 @@ def solve(members: DataFrame, weights: np.ndarray, target: dict[str, float], sca
     p, n = (lambda k: F.col("_p")[k]), F.col("_n_tokens")
 
     def measured(steps: list[list[float]]) -> tuple[np.ndarray, np.ndarray]:
-        at = members.withColumn("_rate", rate(steps))
+        at = members.withColumn("_rate", rate(steps, scale is not None))
         active = F.when(F.col("_rate") > 0, n).otherwise(0)
         row = at.agg(*[F.sum(n * p(k) * F.col("_rate")) for k in range(size)], *[F.sum(active * p(i) * p(j)) for i, j in pairs]).first()
         numbers = np.array([float(x or 0) for x in row])
@@ -186,7 +209,7 @@ def solve(members: DataFrame, weights: np.ndarray, target: dict[str, float], sca
 
 def mixture(docs: DataFrame, labels: DataFrame, target: dict[str, float], scale: float | None = None) -> tuple[Mixture, DataFrame]:
     weights = classifier(docs, labels)
-    members = materialize(with_posterior(docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")), weights).drop("text"), "members")
+    members = materialize(with_posterior(docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")), weights), "members")
     return solve(members, weights, target, scale), members
 
 
@@ -212,11 +235,13 @@ def document_rates(docs: DataFrame, labels: DataFrame, target: dict[str, float])
 
 
 def mixed(docs: DataFrame, labels: DataFrame, target: dict[str, float], scale: float = 1.05) -> DataFrame:
-    """docs, each as often as its rate says (see copies); one that is likelier of the first domain than not
-    comes once at least. The total is scale times what keeps that domain whole. Nothing is shuffled."""
+    """docs, each as often as its rate says (see copies), with rates fitted so that one likelier of the first domain
+    than not has 1 at least. The total is scale times what keeps that domain whole. Nothing is shuffled.
+
+    Null text is empty; null doc_ids share one hash for the rounding of their rates. Repeated rows come as often each.
+    An empty table gives no rows. Columns of docs keep their names and values, whatever they are called."""
     names = docs.columns
     found, _ = mixture(docs, labels, target, scale)
-    n = copies(rate(found.steps), F.xxhash64(F.col("doc_id").cast("long")))
-    n = F.when(F.col("_p")[0] >= 0.5, F.greatest(n, F.lit(1))).otherwise(n)
-    often = with_posterior(docs, found.weights).withColumn("_copies", n.cast("int")).filter("_copies > 0")
-    return often.withColumn("_copy", F.explode(F.sequence(F.lit(1), F.col("_copies")))).select(*names)
+    n = copies(rate(found.steps, True), F.xxhash64(F.col("row.doc_id").cast("long")))
+    weighed = with_posterior(docs.select(F.struct("*").alias("row"), "text"), found.weights).withColumn("copies", n.cast("int")).filter("copies > 0")
+    return weighed.select("row", F.explode(F.sequence(F.lit(1), F.col("copies")))).select(*[F.col("row")[n].alias(n) for n in names])

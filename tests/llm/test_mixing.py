@@ -63,3 +63,36 @@ def test_mixed_keeps_clean_documents_and_columns(spark):
     assert kept("clean") >= 0.98 and kept("toxic") < 0.6
     assert mixing.document_rates(docs.limit(0), labels, {"clean": 1, "low": 1, "toxic": 1}).count() == 0
     assert mixing.document_rates(docs, labels.limit(0), {"clean": 1, "low": 1, "toxic": 1}).count() == len(rows)
+
+
+def test_mixed_has_the_target_shares(spark):
+    """Expected domain tokens of what is passed on, with documents kept that are likely clean."""
+    rows, docs, labels = tables(spark)
+    target = {"clean": 0.8, "low": 0.15, "toxic": 0.05}
+    found, members = mixing.mixture(docs, labels, target, 1.05)
+    at = members.withColumn("rate", mixing.rate(found.steps, True)).collect()
+    n, p, rate = np.array([r["_n_tokens"] for r in at]), np.array([r["_p"] for r in at]), np.array([r.rate for r in at])
+    assert (rate[p[:, 0] >= 0.5] >= 1).all() and (rate >= 0).all()
+    totals = (n * rate) @ p
+    # dense projected gradient onto the same bounds
+    least, a = np.where(p[:, 0] >= 0.5, 1.0, 0.0), (n[:, None] * p).T / n.sum()
+    b = np.array(found.targets) / n.sum()
+    r, step = np.ones(len(n)), 1 / np.linalg.eigvalsh(a @ a.T)[-1]
+    for _ in range(20_000):
+        r = np.maximum(least, r - step * a.T @ (a @ r - b))
+    assert np.abs(totals / n.sum() - b).sum() <= np.abs(a @ r - b).sum() + 0.02
+
+
+def test_clashing_names_and_odd_rows(spark):
+    rows, docs, labels = tables(spark, 60)
+    odd = docs.withColumnRenamed("p", "_p").withColumns({"_n_tokens": docs.doc_id, "copies": docs.doc_id, "row": docs.doc_id})
+    out = mixing.mixed(odd, labels, {"clean": 0.9, "low": 0.08, "toxic": 0.02})
+    assert out.columns == odd.columns and all(r["row"] == r.doc_id for r in out.collect())
+    assert mixing.mixed(odd.limit(0), labels, {"clean": 0.9, "low": 0.08, "toxic": 0.02}).count() == 0
+
+
+def test_long_rows_are_packed_by_bits():
+    for n in (0, 1, 2047, 2048, 9000):
+        index = np.sort(np.random.default_rng(n).choice(mixing.FEATURES, n, replace=False))
+        packed = mixing.packed_row(index)
+        assert len(packed) <= 4096 and (mixing.unpacked_row(packed) == index).all()
