@@ -17,6 +17,8 @@ BUCKETS = 1 << 14
 NONE = "und"
 #: Country suffixes that speak for one language.
 SUFFIXES = {"de": "de", "at": "de", "fr": "fr", "es": "es", "mx": "es", "ar": "es", "uk": "en", "us": "en", "ie": "en", "au": "en"}
+#: Labels under a country suffix below which domains are given out.
+SECOND_LEVEL = ("ac", "co", "com", "edu", "gov", "net", "org")
 #: A text's log-likelihood weighs as that of n * DEPTH / (n + DEPTH) independent trigrams.
 DEPTH = 60.0
 
@@ -43,7 +45,7 @@ def trigrams(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndar
 
 
 def trained(rows: DataFrame, languages: tuple[str, ...]) -> np.ndarray:
-    """Log-probabilities of the buckets: a line per language, from all rows that declare it, and a uniform one."""
+    """Counts of the buckets, one more each: a line per language, from all rows that declare it."""
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         total = np.zeros(len(languages) * BUCKETS, np.int64)
@@ -59,8 +61,24 @@ def trained(rows: DataFrame, languages: tuple[str, ...]) -> np.ndarray:
     counts = np.ones(len(languages) * BUCKETS)
     for r in rows.select("text", "declared").mapInArrow(count, "bucket long, n long").groupBy("bucket").agg(F.sum("n").alias("n")).toArrow().to_pylist():
         counts[r["bucket"]] += r["n"]
-    counts = counts.reshape(len(languages), BUCKETS)
-    return np.vstack([np.log(counts / counts.sum(axis=1, keepdims=True)), np.full(BUCKETS, -np.log(BUCKETS))])
+    return counts.reshape(len(languages), BUCKETS)
+
+
+def log_likelihoods(counts: np.ndarray, declared: np.ndarray, h: np.ndarray, n: np.ndarray) -> np.ndarray:
+    """Of each row's trigrams, under each language and, last, under a uniform model. A row that declares a language was
+    counted for it; there it is judged by what the other rows leave."""
+    row = np.repeat(np.arange(len(n)), n)
+    out = np.empty((len(n), len(counts) + 1))
+    for k, line in enumerate(np.log(counts)):
+        out[:, k] = np.bincount(row, line[h], len(n)) - n * np.log(counts[k].sum())
+    out[:, -1] = n * -np.log(BUCKETS)
+    mine = declared[row] >= 0
+    if mine.any():
+        _, back, own = np.unique(row[mine] * BUCKETS + h[mine], return_inverse=True, return_counts=True)
+        rest = counts[declared[row[mine]], h[mine]] - own[back]
+        known = np.flatnonzero(declared >= 0)
+        out[known, declared[known]] = np.bincount(row[mine], np.log(rest), len(n))[known] - n[known] * np.log(counts.sum(axis=1)[declared[known]] - n[known])
+    return out
 
 
 def softmax(scores: Column) -> Column:
@@ -80,7 +98,7 @@ def judged(rows: DataFrame, keys: list[str], languages: tuple[str, ...] = ("de",
     """One row per row of `rows`: keys, declared, language, posterior, accepted.
 
     Rows have text, declared (the language their markup or record declares), host and suffix (the last label
-    of the address). Text likelihoods come from byte trigrams of all rows that declare a language; `und`
+    of the address). Text likelihoods come from byte trigrams of all other rows that declare a language; `und`
     stands for text without one, under a uniform model. A declared language that is one of `languages` is
     right with odds of declared_trust, a country suffix with suffix_trust; others are no evidence. Priors:
     what text and declaration say alone is summed by host, domain and over all, each row without its own
@@ -100,17 +118,12 @@ def judged(rows: DataFrame, keys: list[str], languages: tuple[str, ...] = ("de",
     kept = [*keys, "declared", "host", "suffix"]
 
     def weigh(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        table = model.value.astype(np.float32)
         for batch in batches:
             found, sizes = [np.zeros((0, width))], [np.zeros(0, np.int64)]
-            for _, _, data, offsets in text_chunks(batch.column("text")):
-                h, first, n = trigrams(data, offsets)
-                sums = np.zeros((len(n), width))
-                some = n > 0
-                if some.any():
-                    for k in range(width):
-                        sums[some, k] = np.add.reduceat(table[k][h], first[some], dtype=np.float64)
-                found.append(sums * (DEPTH / (n + DEPTH))[:, None])
+            code = np.array([languages.index(x) if x in languages else -1 for x in batch.column("declared").to_pylist()], np.int64)
+            for lo, hi, data, offsets in text_chunks(batch.column("text")):
+                h, _, n = trigrams(data, offsets)
+                found.append(log_likelihoods(model.value, code[lo:hi], h, n) * (DEPTH / (n + DEPTH))[:, None])
                 sizes.append(n)
             each = np.concatenate(found)
             lists = pa.ListArray.from_arrays(pa.array(np.arange(len(each) + 1, dtype=np.int32) * width), pa.array(each.ravel()))
@@ -120,7 +133,7 @@ def judged(rows: DataFrame, keys: list[str], languages: tuple[str, ...] = ("de",
     weighed = rows.mapInArrow(weigh, ", ".join(f"{c} {types[c]}" for c in kept) + ", likelihood array<double>, trigrams long")
     declared = lambda x: F.when(~F.col("declared").isin(*languages) | F.col("declared").isNull(), 0.0).when(F.col("declared") == x, float(np.log(declared_trust))).otherwise(float(np.log((1 - declared_trust) / (width - 1))))
     own = F.array(*[F.col("likelihood")[k] + declared(x) for k, x in enumerate(names)])
-    domain = F.regexp_extract("host", r"([^.]*\.)?[^.]*$", 0)
+    domain = F.regexp_extract("host", rf"([^.]*\.)?((?:{'|'.join(SECOND_LEVEL)})\.[a-z]{{2}}|[^.]*)$", 0)
     weighed = materialize(weighed.withColumns({"evidence": own, "share": softmax(own), "domain": domain}), "weighed")
 
     sums = [F.sum(F.col("share")[k]).alias(f"s{k}") for k in range(width)]
@@ -157,8 +170,13 @@ def page_rows(pages: DataFrame) -> DataFrame:
 
 
 def accepted_documents(docs: DataFrame) -> DataFrame:
-    """docs without those whose language ID is not accepted. Rows that repeat a doc_id stay if one of them is
-    accepted; rows without a doc_id stay. Only the ids that go are joined."""
-    by_id = judged(document_rows(docs), ["doc_id"]).filter("doc_id is not null").groupBy("doc_id").agg(F.bool_or("accepted").alias("accepted"))
-    gone = materialize(by_id.filter("not accepted").select(F.col("doc_id").alias("_gone")), "gone")
-    return docs.join(gone, F.col("doc_id").cast("long") == F.col("_gone"), "left_anti")
+    """docs without those whose language ID is not accepted: null and empty texts always go. Each row goes or stays by
+    its own text; rows equal in doc_id (null included), text, language and source share a decision, and it is made
+    once more for each. An empty table stays empty; columns keep their names and values, whatever they are called.
+    Only the rows that go are joined, by a hash and their doc_id."""
+    rows = document_rows(docs).withColumn("row_hash", F.xxhash64(*[F.coalesce(F.col(c).cast("string"), F.lit("\x00")) for c in ("text", "declared", "host")]))
+    by_key = judged(rows, ["doc_id", "row_hash"]).groupBy("doc_id", "row_hash").agg(F.bool_or("accepted").alias("accepted"))
+    gone = materialize(by_key.filter("not accepted").select("doc_id", "row_hash"), "gone").alias("gone")
+    all_rows = docs.alias("docs")
+    text, lang, source = (F.coalesce(F.col(f"docs.{c}").cast("string"), F.lit("\x00")) for c in ("text", "lang", "source"))
+    return all_rows.join(gone, (F.xxhash64(text, lang, source) == F.col("gone.row_hash")) & F.col("docs.doc_id").cast("long").eqNullSafe(F.col("gone.doc_id")), "left_anti")

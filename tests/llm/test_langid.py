@@ -1,6 +1,11 @@
 """Language ID: held-out accuracy, each kind of evidence, odd rows."""
 
+import math
 import random
+from collections import Counter
+
+import numpy as np
+from pyspark.sql import functions as F
 
 from rolegrain.llm import langid
 
@@ -45,3 +50,68 @@ def test_pages_and_stage(spark):
     kept = langid.accepted_documents(rows)
     assert kept.columns == docs.columns and 10**6 not in (ids := [r.doc_id for r in kept.collect()]) and None in ids and len(ids) >= 0.99 * docs.count()
     assert langid.judged(langid.document_rows(docs.limit(0)), ["doc_id"]).count() == 0
+
+
+def brute_posteriors(rows, languages=("de", "en", "es", "fr"), trust=0.9, suffix_trust=0.7, smoothing=20.0):
+    """Posteriors by plain loops: rows of (text, declared, host, suffix)."""
+    names = [*languages, "und"]
+
+    def grams(text):
+        data = np.frombuffer((text or "").encode(), np.uint8)
+        return langid.trigrams(data, np.array([0, len(data)]))[0].tolist()
+
+    def softmax(x):
+        e = [math.exp(v - max(x)) for v in x]
+        return [v / sum(e) for v in e]
+
+    each = [grams(r[0]) for r in rows]
+    evidence, shares = [], []
+    for i, (_, declared, _, _) in enumerate(rows):
+        n, logs = len(each[i]), []
+        for x in languages:
+            others = Counter(g for j, r in enumerate(rows) if j != i and r[1] == x for g in each[j])
+            whole = sum(others.values()) + langid.BUCKETS
+            logs.append(sum(math.log((others[g] + 1) / whole) for g in each[i]))
+        logs.append(-n * math.log(langid.BUCKETS))
+        logs = [x * langid.DEPTH / (n + langid.DEPTH) for x in logs]
+        if declared in languages:
+            logs = [v + math.log(trust if x == declared else (1 - trust) / len(languages)) for v, x in zip(logs, names, strict=True)]
+        evidence.append(logs)
+        shares.append(softmax(logs))
+    domain = lambda host: ".".join((host or "").lower().split(".")[-2:])
+    out = []
+    for i, (_, _, host, suffix) in enumerate(rows):
+        others = [j for j in range(len(rows)) if j != i]
+        rest = lambda keep: [sum(shares[j][k] for j in others if keep(j)) for k in range(len(names))]  # noqa: B023, E731
+        prior = [(x + 1) / (len(others) + len(names)) for x in rest(lambda j: True)]
+        for level in (domain, lambda h: (h or "").lower()):
+            sums = rest(lambda j: level(rows[j][2]) == level(host))  # noqa: B023
+            prior = [(a + smoothing * b) / (sum(sums) + smoothing) for a, b in zip(sums, prior, strict=True)]
+        spoken = langid.SUFFIXES.get((suffix or "").lower())
+        said = [0.0] * len(names) if spoken not in languages else [math.log(suffix_trust if x == spoken else (1 - suffix_trust) / len(languages)) for x in names]
+        out.append(softmax([e + math.log(p) + s for e, p, s in zip(evidence[i], prior, said, strict=True)]))
+    return names, out
+
+
+def test_posteriors_by_brute_force(spark):
+    rng = random.Random(9)
+    rows = []
+    for i in range(40):
+        true = rng.choice(list(LETTERS))
+        rows.append((text(rng, true, rng.randrange(0, 12)), rng.choice([true, true, "de", None, "xx"]), rng.choice(["a.x.test", "b.x.test", "y.test", "", None, "C.x.Test"]), rng.choice(["de", "test", None, "mx", "UK"])))
+    rows += [(None, None, None, None), ("", "fr", "y.test", "fr"), ("ab", "en", "y.test", ""), (rows[0][0], *rows[0][1:]), ("\x00 1 2", None, "a.x.test", None)]
+    frame = spark.createDataFrame([(i, *r) for i, r in enumerate(rows)], "doc_id long, text string, declared string, host string, suffix string")
+    got = {r.doc_id: r for r in langid.judged(frame, ["doc_id"]).collect()}
+    names, want = brute_posteriors(rows)
+    for i, chances in enumerate(want):
+        best = max(range(len(names)), key=chances.__getitem__)
+        assert got[i].language == names[best] and abs(got[i].posterior - chances[best]) < 1e-6, i
+        assert got[i].accepted == (names[best] != "und" and chances[best] >= 0.6 and len(langid.trigrams(np.frombuffer((rows[i][0] or "").encode(), np.uint8), np.array([0, len((rows[i][0] or "").encode())]))[0]) > 0)
+
+
+def test_domains_and_clashing_names(spark):
+    rows = [(i, "the and ing tion er " * 5, "en", h) for i, h in enumerate(["a.b.co.uk", "b.co.uk", "x.y.com", "y.com", "", "co.uk"])]
+    frame = spark.createDataFrame(rows, "doc_id long, text string, declared string, host string").withColumn("suffix", F.lit(""))
+    assert langid.judged(frame, ["doc_id"]).count() == len(rows)
+    docs = spark.createDataFrame([(None, None, "en", "s", 1), (None, "the and ing tion er " * 5, "en", "s", 2), (3, "", "en", "s", 3), (3, "the and ing tion er " * 5, "en", "s", 4)], "doc_id long, text string, lang string, source string, row_hash long")
+    assert sorted(r.row_hash for r in langid.accepted_documents(docs).collect()) == [2, 4]
