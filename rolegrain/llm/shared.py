@@ -35,6 +35,12 @@ def parts(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
 
 
+def stretches(docs: DataFrame) -> int:
+    """How many ranges of hashes to deal packed rows to: two for each shuffle partition, or one for each stretch of the
+    input if that is more, so that a range doesn't grow with the input."""
+    return max(2 * parts(docs.sparkSession), docs.rdd.getNumPartitions())
+
+
 def text_batches(spark: SparkSession, megabytes: int = 4) -> None:
     """Send rows to Python in batches of so many bytes, unless the session asks for a size of its own: at Spark's 64 MB
     a batch of texts takes that much in the JVM and several times as much in Python."""
