@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 
 from rolegrain.llm.bits import bitmap
 from rolegrain.llm.components import components
-from rolegrain.llm.shared import materialize, parts, text_batches
+from rolegrain.llm.shared import materialize, stretches, text_batches
 from rolegrain.llm.textvec import COMBINE, LOWER, gram_hashes, mix, text_chunks, whole_hash, word_hashes, words_of
 
 #: Buckets of the shingle counts that order prefixes; sent to every task, so fixed.
@@ -193,6 +193,21 @@ def sizes_fit(size: Column, other: Column, percent: int) -> Column:
     return 100 * F.least(size, other) >= percent * F.greatest(size, other)
 
 
+def enough_shared(pairs: DataFrame, prefixes: DataFrame, percent: int) -> DataFrame:
+    """The pairs (a, b) that share as many tokens as the less demanding of the two asks for, within the prefixes that
+    are as long as this number needs. Tokens in one prefix only are in no list and in none of prefixes."""
+    side = lambda x: prefixes.select(F.col("node").alias(x), *[F.col(c).alias(f"{x}_{c}") for c in ("size", "matches", "prefix")])
+    wanted = F.least("a_matches", "b_matches")
+    within = lambda x, y: F.filter(f"{x}_prefix", lambda e: reach(F.col(f"{x}_size"), e["place"], F.col(f"{y}_size"), wanted, percent))["token"]
+    shared = F.size(F.array_intersect(within("a", "b"), within("b", "a")))
+    return pairs.join(side("b"), "b").join(side("a"), "a").filter(shared >= wanted).select("a", "b")
+
+
+def size_class(size: Column, percent: int) -> Column:
+    """Sets that may link are of one class or of neighbouring ones."""
+    return F.floor(F.log(size.cast("double")) / float(np.log(100 / percent) + 1e-9)).cast("int") if percent < 100 else size
+
+
 def may_link(pairs: DataFrame, bitmaps: DataFrame, percent: int) -> DataFrame:
     """pairs (a, b) that their nodes' bitmaps don't rule out, with the bound that they give on the overlap:
     what falls on a bit that the other set lacks is not shared."""
@@ -257,9 +272,9 @@ def linked_groups(docs: DataFrame, shingle: int = 5, percent: int = 80) -> DataF
 
     Documents with one set are one node. Tokens are ordered by estimated frequency; a node's prefix is as
     long as its wanted number of shared tokens (1 to 5, by estimated candidate cost) needs, and a pair is a
-    candidate when it shares the smaller number of its two nodes within the prefixes for it. First each node
-    meets the pivots of its lists, which joins most of a group at once; then all candidates from different
-    components are checked. Equal members of a list are therefore never paired with each other.
+    candidate when it shares the smaller number of its two nodes within the prefixes for it; only then it is
+    checked. First each node meets the pivots of its lists, which joins most of a group at once; then all candidates
+    from different components are checked. Equal members of a list are therefore never paired with each other.
 
     Null text is empty. Null doc_ids count only in a component without others, whose id is null. Repeated
     rows share their component. An empty table gives no rows. Other columns are ignored.
@@ -275,13 +290,14 @@ def linked_groups(docs: DataFrame, shingle: int = 5, percent: int = 80) -> DataF
     usual = float(np.median(counts))
     usual += 4 * usual**0.5
     texts = rows.select("text")
-    first_pass = materialize(prefix_entries(texts, shingle, percent, 2 * parts(spark), spark.sparkContext.broadcast((counts, usual))), "prefixes")
+    first_pass = materialize(prefix_entries(texts, shingle, percent, stretches(texts), spark.sparkContext.broadcast((counts, usual))), "prefixes")
     lists = materialize(shared_lists(first_pass.filter("part is not null").select("part", "entries")), "lists")
     in_lists = lists.select("node").distinct()
     bitmaps = materialize(first_pass.filter("node is not null").groupBy("node").agg(F.first("size").alias("size"), F.first("bits").alias("bits")).join(in_lists, "node", "left_semi"), "bitmaps")
 
+    prefixes = materialize(lists.groupBy("node").agg(F.first("size").alias("size"), F.first("matches").alias("matches"), F.collect_list(F.struct("token", "place")).alias("prefix")), "node_prefixes")
     star = lists.filter((F.col("node") != F.col("pivot")) & sizes_fit(F.col("size"), F.col("pivot_size"), percent)).select(F.col("pivot").alias("a"), F.col("node").alias("b")).distinct()
-    best = may_link(star, bitmaps, percent).groupBy("b").agg(F.max_by("a", F.struct("bound", "a")).alias("a"))
+    best = may_link(enough_shared(star, prefixes, percent), bitmaps, percent).groupBy("b").agg(F.max_by("a", F.struct("bound", "a")).alias("a"))
     links = materialize(verified(materialize(best, "star"), texts, shingle, percent), "star_links")
     labels = components(links)
 
@@ -298,13 +314,11 @@ def linked_groups(docs: DataFrame, shingle: int = 5, percent: int = 80) -> DataF
         (f("label") != o("label")) & ((o("label") == o("major")) | (f("node") < o("node"))) & sizes_fit(f("size"), o("size"), percent)
         & reach(f("size"), f("place"), o("size"), F.lit(1), percent) & reach(o("size"), o("place"), f("size"), F.lit(1), percent)
     )
-    met = few.join(open_lists, (few["token"] == open_lists["token"]) & meet).select(F.least("few_node", "node").alias("a"), F.greatest("few_node", "node").alias("b")).distinct()
-    prefixes = open_lists.groupBy("node").agg(F.first("size").alias("size"), F.first("matches").alias("matches"), F.collect_list(F.struct("token", "place")).alias("prefix"))
-    side = lambda x: prefixes.select(F.col("node").alias(x), *[F.col(c).alias(f"{x}_{c}") for c in ("size", "matches", "prefix")])
-    wanted = F.least("a_matches", "b_matches")
-    within = lambda x, y: F.filter(f"{x}_prefix", lambda e: reach(F.col(f"{x}_size"), e["place"], F.col(f"{y}_size"), wanted, percent))["token"]
-    enough = F.size(F.array_intersect(within("a", "b"), within("b", "a"))) >= wanted
-    candidates = met.join(side("b"), "b").join(side("a"), "a").filter(enough).select("a", "b")
+    # a token's list is joined by classes of sizes, not as a whole
+    classes = F.explode(F.array(*[size_class(F.col("few_size"), percent) + i for i in (-1, 0, 1)]))
+    few, open_lists = few.withColumn("few_class", classes), open_lists.withColumn("class", size_class(F.col("size"), percent))
+    met = few.join(open_lists, (few["token"] == open_lists["token"]) & (F.col("few_class") == F.col("class")) & meet).select(F.least("few_node", "node").alias("a"), F.greatest("few_node", "node").alias("b")).distinct()
+    candidates = enough_shared(met, prefixes, percent)
     rest = materialize(may_link(candidates, bitmaps, percent).select("a", "b"), "candidates")
     all_links = links.union(verified(rest, texts, shingle, percent))
     labels = components(all_links)
