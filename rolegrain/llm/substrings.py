@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 
 from rolegrain.llm.anchors import anchor_hashes, cells_of
 from rolegrain.llm.bits import Bits, bitmap
-from rolegrain.llm.shared import blocks, materialize, parts, text_batches
+from rolegrain.llm.shared import blocks, materialize, stretches, text_batches
 from rolegrain.llm.textvec import COMBINE, gram_hashes, mix, text_chunks, word_hashes, words_of
 
 GRAM = 8
@@ -168,14 +168,14 @@ def packed_cells(rows_of: DataFrame, width: int, n_parts: int, repeated, hot) ->
                 for _, _, data, offsets in text_chunks(batch.column("text").slice(a, b - a)):
                     words = words_of(data, offsets)
                     hashes = word_hashes(words)
+                    if size + len(hashes) > FLUSH_WORDS:
+                        yield from flush()
                     group, content, first, count = candidate_cells(hashes, words.bounds, width, repeated.value, hot.value)
                     if len(group):
                         n = count + (width - 1)
                         index = np.repeat(first - (np.cumsum(n) - n), n) + np.arange(n.sum())
-                        held.append((group, content, count, n, hashes[index].astype(np.uint32)))
+                        held.append((group, content, count, n, hashes[index]))
                         size += len(index)
-                    if size >= FLUSH_WORDS:
-                        yield from flush()
         yield from flush()
 
     return rows_of.mapInArrow(rows, "part int, block string, groups binary, contents binary, places binary, sizes binary, words binary")
@@ -192,7 +192,7 @@ def judged_cells(packed: DataFrame, width: int) -> DataFrame:
         read = lambda c, t: [np.frombuffer(x, t) for x in table.column(c).to_pylist()]
         each = read("contents", np.uint64)
         group, content, places, count = np.concatenate(read("groups", np.uint64)), np.concatenate(each), np.concatenate(read("places", np.int64)), np.concatenate(read("sizes", np.uint8)).astype(np.int64)
-        words = np.concatenate(read("words", np.uint32))
+        words = np.concatenate(read("words", np.uint64))
         starts = np.cumsum(count + (width - 1)) - (count + (width - 1))
         content, at, back = np.unique(content, return_index=True, return_inverse=True)
         total = np.bincount(back, places, len(content)).astype(np.int64)
@@ -255,7 +255,7 @@ def remove_repeats(docs: DataFrame, min_words: int = 35, with_text: bool = False
     repeated = spark.sparkContext.broadcast(bitmap(anchors, "anchor", anchors.count()))
     many = anchors.filter(F.col("places") > HOT_PLACES)
     hot = spark.sparkContext.broadcast(bitmap(many, "anchor", many.count()))
-    judged = judged_cells(packed_cells(rows.select("text", "block"), min_words, 2 * parts(spark), repeated, hot), min_words)
+    judged = judged_cells(packed_cells(rows.select("text", "block"), min_words, stretches(rows), repeated, hot), min_words)
     fields = pa.schema([("doc_id", pa.int64()), ("n_words", pa.int64()), ("n_removed", pa.int64()), ("kept_sha256", pa.string())] + [("kept_text", pa.string())] * with_text)
 
     def keep(texts: pa.Table, masks: pa.Table) -> pa.Table:
