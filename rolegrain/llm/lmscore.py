@@ -12,7 +12,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from rolegrain.llm.packed import added_up, pack_counts, pack_keys, part_of, unpack_counts, unpack_keys
-from rolegrain.llm.shared import blocks, materialize, parts, text_batches
+from rolegrain.llm.shared import blocks, materialize, stretches, text_batches
 from rolegrain.llm.textvec import COMBINE, LOWER, mix, text_chunks, word_hashes, words_of
 
 END = np.uint64(0x5E4D0FE4D5E4D0FE)
@@ -191,7 +191,7 @@ def probed_levels(model: Filter, keys: np.ndarray) -> np.ndarray:
     out, left = np.zeros(len(keys), np.int64), np.arange(len(keys))
     for level in range(1, model.levels + 1):
         for i in range(model.hashes):
-            x = mix(keys[left] * COMBINE[4] + np.uint64(level) * COMBINE[5])
+            x = mix(keys[left] * COMBINE[4] + np.array([level], np.uint64) * COMBINE[5])
             at = (((x & np.uint64(0xFFFFFFFF)) + np.uint64(i) * ((x >> np.uint64(32)) | np.uint64(1))) % sizes[left].astype(np.uint64)).astype(np.int64)
             left = left[(model.bits[starts[left] + (at >> 3)] >> (at & 7).astype(np.uint8)) & 1 == 1]
         if not len(left):
@@ -221,7 +221,7 @@ def score(docs: DataFrame, weight: float = 0.4, base: float = 1.5, bits_per_entr
     crc = F.crc32(F.coalesce(F.col("doc_id").cast("string"), F.lit("")).cast("binary"))
     docs, block = blocks(docs.select("doc_id", "text"))
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"), (crc % 7 == 2).alias("held_out"), block.alias("block"))
-    n_parts = 2 * parts(spark)
+    n_parts = stretches(rows)
     known = materialize(corpus_counts(counted(rows, n_parts, 1)), "token_counts")
     totals = [np.frombuffer(r.counts, np.int64) for r in known.filter("block is null").select("counts").toLocalIterator()]
     n_train, n_words = (int(sum(t[i] for t in totals)) for i in (0, 1))
