@@ -8,7 +8,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from rolegrain.llm.anchors import sliding
@@ -239,8 +239,8 @@ def table_keys(bits: np.ndarray) -> list[np.ndarray]:
 
 
 def shared_keys(images: DataFrame) -> DataFrame:
-    """(key): the keys that two images or more have. Tasks count keys by image, pack them by ranges, and a group gets
-    the packed keys of its range."""
+    """(key): the keys that two images or more have, mixed to 64 bits. Tasks count keys by image, pack them by ranges,
+    and a group gets the packed keys of its range."""
     n_parts = 2 * parts(images.sparkSession)
 
     def keys(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -271,19 +271,18 @@ def shared_keys(images: DataFrame) -> DataFrame:
         each = [unpack_keys(x) for x in table.column("keys").to_pylist()]
         more = [np.unpackbits(np.frombuffer(x, np.uint8), count=len(k)) for k, x in zip(each, table.column("twice").to_pylist(), strict=True)]
         found, n = added_up(np.concatenate(each), 1 + np.concatenate(more).astype(np.int64))
-        return pa.table({"key": pa.array(found[n > 1].view(np.int64))})
+        return pa.table({"key": pa.array(mix(found[n > 1]).view(np.int64))})
 
     return images.select("bits").mapInArrow(keys, "part int, keys binary, twice binary").groupBy("part").applyInArrow(twice, "key long")
 
 
 def shared_corners(images: DataFrame) -> DataFrame:
-    """The corners of images by those keys of their Hamming tables that two images have. A bitmap of the shared keys,
-    16 MB at most, keeps most other corners out of the shuffle; the join takes the rest of them out."""
+    """(key, node, place) of the corners of images by those keys of their Hamming tables that two images have. A bitmap
+    of the shared keys, 16 MB at most, keeps most others out; a key that it lets through by mistake meets nothing."""
     shared = materialize(shared_keys(images), "shared_keys")
     wanted = images.sparkSession.sparkContext.broadcast(bitmap(shared, "key", shared.count()))
 
     def corners(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        names = ["node", "key", "place", "x", "y", "angle", "scale", "bits", "table"]
         for batch in batches:
             sizes = [len(x.as_buffer()) * 8 // BITS for x in batch.column("bits")]
             for lo, hi in stretches(sizes):
@@ -291,49 +290,71 @@ def shared_corners(images: DataFrame) -> DataFrame:
                 n = np.array(sizes[lo:hi], np.int64)
                 node = np.repeat(part.column("node").to_numpy(), n)
                 place = (np.arange(len(node)) - np.repeat(np.cumsum(n) - n, n)).astype(np.int32)
-                values = [part.column(c).flatten().to_numpy(zero_copy_only=False) for c in ("x", "y", "angle", "scale")]
-                bits = np.frombuffer(b"".join(part.column("bits").to_pylist()), np.uint8).reshape(-1, BITS // 8)
-                for t, key in enumerate(table_keys(bits)):
-                    at = np.flatnonzero(wanted.value.may_have(key))
-                    both = pa.ListArray.from_arrays(pa.array(np.arange(len(at) + 1, dtype=np.int32) * 2), pa.array(bits[at].view("<i8").ravel()))
-                    yield pa.RecordBatch.from_arrays([*[pa.array(x[at]) for x in (node, key.view(np.int64), place, *values)], both, pa.array(np.full(len(at), t, np.int32))], names)
-
-    kept = images.select("node", "x", "y", "angle", "scale", "bits").mapInArrow(corners, "node long, key long, place int, x float, y float, angle float, scale float, bits array<long>, table int")
-    return materialize(kept.join(shared, "key", "left_semi"), "shared_corners")
-
-
-COLUMNS = ("node", "place", "x", "y", "angle", "scale")
-
-
-def different() -> list[Column]:
-    """The different bits of two corners, 64 in each of two longs."""
-    return [F.col("a_bits")[i].bitwiseXOR(F.col("b_bits")[i]) for i in range(BITS // 64)]
-
-
-def matching() -> Column:
-    """Whether two corners differ in NEAR bits at most."""
-    return sum((F.bit_count(x) for x in different()), F.lit(0)) <= NEAR
-
-
-def first_meeting() -> Column:
-    """Whether two corners match and a row's table is the first in which they agree: so each pair meets once."""
-    signed = lambda m: F.lit(m - (1 << 64) if m >> 63 else m)
-    lo, hi = different()
-    agrees = [F.when((lo.bitwiseAND(signed(a)) == 0) & (hi.bitwiseAND(signed(b)) == 0), F.lit(t)) for t, (a, b) in enumerate(TABLES)]
-    return matching() & (F.coalesce(*agrees) == F.col("a_table"))
-
-
-def transforms(met: DataFrame) -> DataFrame:
-    """(a, b, a_place, b_place) and the zoom, turn and shift that take a's corner to b's."""
-    ratio = F.col("b_scale") / F.col("a_scale")
-    turn = F.col("b_angle") - F.col("a_angle")
-    dx = F.col("b_x") - ratio * (F.cos(turn) * F.col("a_x") - F.sin(turn) * F.col("a_y"))
-    dy = F.col("b_y") - ratio * (F.sin(turn) * F.col("a_x") + F.cos(turn) * F.col("a_y"))
-    return met.select(F.col("a_node").alias("a"), F.col("b_node").alias("b"), "a_place", "b_place", F.round(F.log(ratio) / float(np.log(1.5))).cast("int").alias("zoom"), turn.alias("turn"), dx.alias("dx"), dy.alias("dy"))
-
+                for key in table_keys(np.frombuffer(b"".join(part.column("bits").to_pylist()), np.uint8).reshape(-1, BITS // 8)):
+                    at = np.flatnonzero(wanted.value.may_have(mix(key.copy())))
+                    yield pa.RecordBatch.from_arrays([pa.array(x[at]) for x in (key.view(np.int64), node, place)], ["key", "node", "place"])
+
+    return materialize(images.select("node", "bits").mapInArrow(corners, "key long, node long, place int"), "shared_corners")
+
+
+def most_votes(pair: np.ndarray, a: dict[str, np.ndarray], b: dict[str, np.ndarray], n_pairs: int) -> np.ndarray:
+    """For each pair of images, the votes of its pairs of corners a and b: how many corners of each image agree on one
+    transform, that is on zoom and, in one of eight shifted grids, on the turn and on where the origin goes. Pairs of
+    corners with more than NEAR different bits have no vote."""
+    near = np.flatnonzero(np.bitwise_count(a["bits"] ^ b["bits"]).sum(axis=1) <= NEAR)
+    pair, a, b = pair[near], {c: v[near] for c, v in a.items()}, {c: v[near] for c, v in b.items()}
+    ratio, turn = b["scale"] / a["scale"], b["angle"] - a["angle"]
+    dx = b["x"] - ratio * (np.cos(turn) * a["x"] - np.sin(turn) * a["y"])
+    dy = b["y"] - ratio * (np.sin(turn) * a["x"] + np.cos(turn) * a["y"])
+    zoom, most = np.rint(np.log(ratio) / np.log(1.5)), np.zeros(n_pairs, np.int64)
+    for grid in range(8):
+        shifted = lambda v, size, bit: np.floor(v / size + (grid & (1 << bit)) / (2.0 * (1 << bit)))  # noqa: B023, E731
+        wound = np.mod(shifted(np.mod(turn, 2 * np.pi), np.pi / 8, 2), 16)
+        cells, of = np.unique(np.stack([pair, zoom, wound, shifted(dx, PLACE * 2, 0), shifted(dy, PLACE * 2, 1)], axis=1).astype(np.int64), axis=0, return_inverse=True)
+        n = [np.bincount(np.unique(np.stack([of.ravel(), x["place"]], axis=1), axis=0)[:, 0], minlength=len(cells)) for x in (a, b)]
+        np.maximum.at(most, cells[:, 0], np.minimum(*n))
+    return most
+
+
+def linked_pairs(met: DataFrame, images: DataFrame) -> DataFrame:
+    """The pairs (a, b) of images of which VOTES corners of each or more agree on one transform, of the pairs of corners
+    met (a, a_place, b, b_place), a row for each table in which they meet. Pairs of images are counted before their
+    descriptions are brought in: each needs VOTES corners that meet."""
+    spark = images.sparkSession
+    ahead = F.col("a") < F.col("b")
+    one = lambda x, y: [F.when(ahead, F.col(f"{x}{c}")).otherwise(F.col(f"{y}{c}")) for c in ("", "_place")]
+    (low, low_place), (high, high_place) = one("a", "b"), one("b", "a")
+    ordered = met.select(low.alias("a"), high.alias("b"), low_place.alias("a_place"), high_place.alias("b_place"))
+    pairs = ordered.groupBy("a", "b").agg(F.collect_set(F.struct("a_place", "b_place")).alias("met")).filter(F.size("met") >= VOTES)
+    different = lambda c: F.size(F.array_distinct(F.col("met")[c]))
+    pairs = materialize(pairs.filter((different("a_place") >= VOTES) & (different("b_place") >= VOTES)), "pairs")
+    nodes = materialize(pairs.select(F.explode(F.array("a", "b")).alias("node")).distinct(), "pair_nodes")
+    wanted = spark.sparkContext.broadcast(bitmap(nodes, "node", nodes.count()))
+    columns = ("x", "y", "angle", "scale", "bits")
+
+    def keep(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            yield batch.filter(pa.array(wanted.value.may_have(batch.column("node").to_numpy().view(np.uint64))))
 
-def side(corners: DataFrame, name: str, *more: str) -> DataFrame:
-    return corners.select("key", *more, *[F.col(c).alias(f"{name}_{c}") for c in (*COLUMNS, "bits", "table")])
+    def judge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for lo in range(0, batch.num_rows, 256):
+                part = batch.slice(lo, 256)
+                places = part.column("met").flatten()
+                pair = np.repeat(np.arange(part.num_rows), np.diff(part.column("met").offsets.to_numpy()))
+                sides = []
+                for s, place in zip("ab", places.flatten(), strict=True):
+                    bits = part.column(f"{s}_bits").to_pylist()
+                    first = np.cumsum([0, *(len(x) * 8 // BITS for x in bits)])[:-1]
+                    at = first[pair] + place.to_numpy()
+                    own = {c: part.column(f"{s}_{c}").flatten().to_numpy(zero_copy_only=False)[at].astype(np.float64) for c in columns[:-1]}
+                    sides.append(own | {"place": place.to_numpy(), "bits": np.frombuffer(b"".join(bits), np.uint64).reshape(-1, BITS // 64)[at]})
+                linked = pa.array(most_votes(pair, *sides, part.num_rows) >= VOTES)
+                yield pa.RecordBatch.from_arrays([part.column(c).filter(linked) for c in "ab"], ["a", "b"])
+
+    found = images.select("node", *columns).mapInArrow(keep, "node long, " + ", ".join(f"{c} {'binary' if c == 'bits' else 'array<float>'}" for c in columns))
+    side = lambda s: found.select(F.col("node").alias(s), *[F.col(c).alias(f"{s}_{c}") for c in columns])
+    return pairs.join(side("a"), "a").join(side("b"), "b").mapInArrow(judge, "a long, b long")
 
 
 def linked(images: DataFrame) -> DataFrame:
@@ -344,73 +365,35 @@ def linked(images: DataFrame) -> DataFrame:
     shares = materialize(corners.groupBy("node").agg(F.count("*").alias("shares")), "shares")
     labels, links = shares.withColumn("label", F.col("node")), None
     for stars in range(STARS):
-        found = materialize(agreed(transforms(met_pivots(corners.join(labels, "node"), stars))).select("a", "b"), "star_links")
+        found = materialize(linked_pairs(met_pivots(corners.join(labels, "node"), stars), images), "star_links")
         if found.isEmpty():
             break
         links = found if links is None else links.union(found)
         labels = materialize(shares.join(components(links), "node", "left").withColumn("label", F.coalesce("label", "node")), "node_labels")
-    labelled = corners.join(labels.select("node", "label"), "node")
-    near = near_corners(labelled)
-    others = side(labelled, "b", F.col("label").alias("b_label"))
-    met = near.join(others, ["key", "b_label"]).filter(first_meeting()).select(*in_order())
-    between = materialize(agreed(transforms(met)).select("a", "b"), "group_links")
+    between = materialize(linked_pairs(met_apart(corners.join(labels.select("node", "label"), "node")), images), "group_links")
     return components(between if links is None else links.union(between))
 
 
 def met_pivots(labelled: DataFrame, stars: int) -> DataFrame:
-    """The corners of images and those of their keys' pivots, where image and pivot have different labels."""
+    """The corners (b, b_place) of images that meet those of their keys' pivots (a, a_place) under another label."""
     by = F.struct("shares", "node") if not stars else F.struct(F.xxhash64("node", F.lit(stars)), "node")
-    pivots = labelled.groupBy("key").agg(F.max_by(F.struct(F.col("node").alias("pivot"), F.col("label").alias("of")), by).alias("_pivot"), F.min("label").alias("low"), F.max("label").alias("high"))
-    pivots = pivots.filter("low < high").select("key", "_pivot.pivot", "_pivot.of")
-    others = side(labelled.join(pivots, "key").filter("label <> of"), "b", "pivot")
-    ones = side(labelled, "a")
-    return others.join(ones, (others["key"] == ones["key"]) & (F.col("pivot") == F.col("a_node")) & first_meeting()).select(*in_order())
+    best = labelled.groupBy("key").agg(F.max_by(F.struct("node", "place", "label"), by).alias("p"), F.min("label").alias("low"), F.max("label").alias("high"))
+    pivots = best.filter("low < high").select("key", F.col("p.node").alias("a"), F.col("p.place").alias("a_place"), F.col("p.label").alias("of"))
+    return labelled.join(pivots, "key").filter("label <> of").select("a", "a_place", F.col("node").alias("b"), F.col("place").alias("b_place"))
 
 
-def near_corners(labelled: DataFrame) -> DataFrame:
-    """Corners (as side a) beside the larger groups b_label in which VOTES different corners of their image have
-    company, as they must if it links with any image there. An image meets each group of a key once, however many
-    images of the group have the key."""
+def met_apart(labelled: DataFrame) -> DataFrame:
+    """The corners of images that meet under different labels, of those of which VOTES different ones have company in
+    the other, larger group, as they must if the image links with any there. An image meets each group of a key once
+    before that count is known, however many images of the group have the key."""
     sizes = labelled.groupBy("label").agg(F.count_distinct("node").alias("images"))
     apart = labelled.groupBy("key").agg(F.min("label").alias("low"), F.max("label").alias("high")).filter("low < high").select("key")
-    sized = labelled.join(apart, "key", "left_semi").join(sizes, "label").withColumn("own", F.struct("images", "label"))
+    sized = materialize(labelled.join(apart, "key", "left_semi").join(sizes, "label").withColumn("own", F.struct("images", "label")), "apart")
     groups = sized.select("key", F.col("own").alias("other")).distinct()
-    beside = materialize(sized.join(groups, "key").filter("own < other"), "beside")
+    beside = materialize(sized.join(groups, "key").filter("own < other").select("key", "node", "place", F.col("other.label").alias("other")), "beside")
     near = beside.groupBy("node", "other").agg(F.count_distinct("place").alias("places")).filter(F.col("places") >= VOTES).select("node", "other")
-    return side(beside.join(near, ["node", "other"]), "a", F.col("other.label").alias("b_label"))
-
-
-def in_order() -> list[Column]:
-    """The columns of two corners, the smaller node's as a: a pair votes in one direction."""
-    ahead = F.col("a_node") < F.col("b_node")
-    return [F.when(ahead if s == "a" else ~ahead, F.col(f"a_{c}")).otherwise(F.col(f"b_{c}")).alias(f"{s}_{c}") for s in "ab" for c in COLUMNS]
-
-
-def agreed(met: DataFrame) -> DataFrame:
-    """The pairs (a, b), with votes, of which VOTES corners of each image or more agree on one transform: on zoom and, in
-    one of eight shifted grids, on the turn and on where the origin goes. The corners of a pair, which are as many as the
-    two images have at most, are gathered in one row."""
-    fields = pa.schema([("a", pa.int64()), ("b", pa.int64()), ("votes", pa.int64())])
-
-    def votes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            met = batch.column("met")
-            pair = np.repeat(np.arange(len(met)), np.diff(met.offsets.to_numpy()))
-            a_place, b_place, zoom, turn, dx, dy = (x.to_numpy(zero_copy_only=False) for x in met.flatten().flatten())
-            most = np.zeros(len(met), np.int64)
-            for grid in range(8):
-                shifted = lambda v, size, bit: np.floor(v / size + (grid & (1 << bit)) / (2.0 * (1 << bit)))  # noqa: B023, E731
-                wound = np.mod(shifted(np.mod(turn, 2 * np.pi), np.pi / 8, 2), 16)
-                cell = np.unique(np.stack([pair, zoom, wound, shifted(dx, PLACE * 2, 0), shifted(dy, PLACE * 2, 1)], axis=1).astype(np.int64), axis=0, return_inverse=True)
-                of, place = cell[1].ravel(), cell[0][:, 0]
-                n = np.minimum(*(np.bincount(np.unique(np.stack([of, p], axis=1), axis=0)[:, 0], minlength=len(place)) for p in (a_place, b_place)))
-                np.maximum.at(most, place, n)
-            keep = most >= VOTES
-            yield pa.RecordBatch.from_arrays([*[batch.column(c).filter(pa.array(keep)) for c in "ab"], pa.array(most[keep])], schema=fields)
-
-    one = F.struct("a_place", "b_place", "zoom", "turn", "dx", "dy")
-    pairs = met.groupBy("a", "b").agg(F.collect_list(one).alias("met")).filter(F.size("met") >= VOTES)
-    return pairs.mapInArrow(votes, "a long, b long, votes long")
+    ones = beside.join(near, ["node", "other"]).select("key", F.col("other").alias("label"), F.col("node").alias("a"), F.col("place").alias("a_place"))
+    return ones.join(sized.select("key", "label", F.col("node").alias("b"), F.col("place").alias("b_place")), ["key", "label"]).select("a", "a_place", "b", "b_place")
 
 
 def copy_groups(media: DataFrame) -> DataFrame:
@@ -439,12 +422,13 @@ def drawn(vectors: DataFrame, side: int = 96) -> DataFrame:
     the sum of fixed noise textures in the proportions of its components. Equal vectors give equal images; a
     null vector gives a null image."""
     texture = np.random.default_rng(7)
-    noise: dict[int, np.ndarray] = {}
+    noise = [np.zeros((0, side * side), np.float32)]
 
-    def pattern(k: int) -> np.ndarray:
-        while len(noise) <= k:
-            noise[len(noise)] = box(texture.normal(0, 1, (side, side)).astype(np.float32), 1).ravel()
-        return noise[k]
+    def patterns(n: int) -> np.ndarray:
+        if len(noise[0]) < n:
+            more = [box(texture.normal(0, 1, (side, side)).astype(np.float32), 1).ravel() for _ in range(n - len(noise[0]))]
+            noise[0] = np.vstack([noise[0], *more])
+        return noise[0][:n]
 
     def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -455,7 +439,7 @@ def drawn(vectors: DataFrame, side: int = 96) -> DataFrame:
                     continue
                 v = np.nan_to_num(np.array([x or 0.0 for x in vector], np.float32), posinf=0, neginf=0)
                 v /= max(float(np.linalg.norm(v)), 1e-9)
-                total = v @ np.stack([pattern(k) for k in range(len(v))]) if len(v) else np.zeros(side * side, np.float32)
+                total = v @ patterns(len(v)) if len(v) else np.zeros(side * side, np.float32)
                 images.append(b"P5 %d %d 255\n" % (side, side) + np.clip(128 + 150 * total, 0, 255).astype(np.uint8).tobytes())
             yield pa.RecordBatch.from_arrays([batch.column("media_id"), pa.array(images, pa.binary())], ["media_id", "image"])
 
