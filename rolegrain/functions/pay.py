@@ -96,3 +96,16 @@ def discloses(filter_value: str) -> Column | None:
     if not re.fullmatch("([1-9]|[12][0-9]|30)0k", filter_value):
         raise ValueError(f"no pay filter: {filter_value}")
     return (F.col("salary_currency") == "EUR") & (F.col("salary_period") == "annual") & (high >= int(filter_value[:-1]) * 1000)
+
+
+def compact(low: Column, high: Column, code: Column, text: Column, otherwise: str = "Competitive") -> Column:
+    """Pay in few characters: the currency's sign and amounts of a thousand or more in k, with one decimal (half up)
+    where they need it; else the text with its thousands as k."""
+    sign = F.when((code == "USD") | text.contains("$"), "$").when((code == "GBP") | text.contains("£"), "£").otherwise("€")
+    tenths = lambda v: F.floor((v + 50) / 100)
+    short = lambda v: F.when(v < 1000, v.cast("string")).when(tenths(v) % 10 == 0, F.concat((tenths(v) / 10).cast("long"), F.lit("k"))).otherwise(F.concat(F.floor(tenths(v) / 10), F.lit("."), tenths(v) % 10, F.lit("k")))
+    written = F.regexp_replace(F.regexp_replace(text, r"([0-9]{2,3}),000\b", "$1k"), r"([0-9]{2,3})\s*,\s*([0-9]{3})\b", "$1k")
+    return (
+        F.when((low > 0) & (high > 0) & (low == high), F.concat(sign, short(low))).when((low > 0) & (high > 0), F.concat(sign, short(low), F.lit(" - "), sign, short(high)))
+        .when(high > 0, F.concat(sign, short(high))).when(low > 0, F.concat(sign, short(low), F.lit("+"))).when(F.trim(text) != "", written).otherwise(otherwise)
+    )

@@ -17,7 +17,6 @@ ANTI_BOT = (
 )
 CLOSED = ("position has been filled", "job is no longer available", "position has expired", "job is closed", "no longer accepting applications")
 BODY_CHARS, REPAIR_CHARS, STUB_CHARS, CLEANED_CHARS = 100, 500, 30, 50
-PLACEHOLDER = "No description was published."
 ENTITIES = {"&nbsp;": " ", "&lt;": "<", "&gt;": ">", "&quot;": '"', "&#39;": "'", "&apos;": "'", "&middot;": "·", "&copy;": "©", "&euro;": "€", "&pound;": "£"}
 SPACES = r"[ \t\x0B\f\u00A0\u1680\u2000-\u200A\u202F\u205F\u3000]"
 
@@ -63,10 +62,97 @@ def markup_to_lines(markup: Column) -> Column:
     return tidy_lines(decode_common(F.regexp_replace(t, r"(?s)<[^>]+>", "")))
 
 
-def bullets_on_lines(text: Column) -> Column:
-    """In dense text, one of fewer than eight lines, each bullet starts a line."""
-    dense = F.length(text) - F.length(F.replace(text, F.lit("\n"), F.lit(""))) < 8
-    return F.when(dense, tidy_lines(F.regexp_replace(text, r"\s*[•▪●·]\s*", "\n• "))).otherwise(text)
+# Phrases that head a section, and what consent banners, scripts and application forms leave in a text, in
+# the order in which it goes.
+HEADERS = (
+    "Company Description", "Corporate Security Responsibility", "Information Security", "Security Responsibilities", "Equal Opportunity Employer", "Equal Opportunity", "Diversity & Inclusion", "Diversity and Inclusion", "Core Competencies", "Personal Attributes", "Skills & Experience",
+    "Skills and Experience", "Skills & Requirements", "Key Responsibilities", "Core Responsibilities", "Primary Responsibilities", "Role & Responsibilities", "Responsibilities", "Qualifications Required", "Required Qualifications", "Minimum Qualifications", "Basic Qualifications",
+    "Essential Requirements", "Qualifications", "Requirements", "Preferred Qualifications", "Preferred Requirements", "Preferred", "What You’ll Do", "What You'll Do", "What You Will Do", "What You’ll Need", "What You'll Need", "What You Will Need", "You Will Need", "What You’ll Bring",
+    "What You'll Bring", "All about you", "About you", "Who You Are", "Who we are looking for", "Ideal Candidate", "What We Offer", "Benefits & Perks", "Perks & Benefits", "Salary & Benefits", "Compensation", "Benefits", "Work Environment", "Work Mode & Location", "Application Process",
+    "How to Apply", "Our Purpose", "Our Mission", "Company Overview", "About The Company", "About The Role", "About The Team", "About Us", "Job Overview", "Role Overview", "Overview", "Job Summary", "Role Summary", "Position Summary", "Title and Summary", "The Role", "Role",
+)
+BOILERPLATE = (
+    r'''(?s)"\)\.appendTo\("head"\);.*?//\]\]>''',
+    r"(?s)\$\(window\)\.on\(.*?\}\);",
+    r"(?s)\$\(window\)\.load\(.*?\}\);",
+    r'''\{[\s\r\n]*"themeOptions":[\s\S]*$''',
+    r"'\)\.attr\([^\n]+",
+    r"\/\/\s*\$\(window\)[\s\S]*?\}\);",
+    r"(?is)By continuing to use this website, you consent to the use of cookies.*?Accept\s+Close",
+    r"(?is)We use cookies to offer you the best possible website experience.*?Accept All Cookies",
+    r"(?is)Privacy and Cookies Cookies help us improve your website experience.*?Accept\s+Close",
+    r"(?is)or choose to opt out of cookies.*?Accept All Cookies",
+    r"(?is)We (?:would like to )?use cookies.*?find out more\.",
+    r"(?is)^(?:.*?(?:Allied Irish Bank|Allied Irish Banks|AIB)\s+)?(?:We (?:would like to )?use cookies|Welcome!|This website uses cookies|We use cookies on this site).*?(?:Accept Cookies|Accept All|Decline|Read Full Privacy Message|find out more\.)\s*(?:Accept Cookies)?\s*",
+    r"(?is)session so the server can identify the visitor.*?Accept All Cookies",
+    r"(?is)Cookie (?:Notice|Policy|Consent|Settings|Preferences).*?(?:Accept|Decline|Allow|Reject|Got it|Close)\s*",
+    r"(?is)This website uses cookies.*?(?:Accept|Decline|Allow|Reject|Got it|Close)\s*",
+    r"(?is)Careers at Workday.*?Join Our Talent Community!\s*",
+    r"(?is)Recruitment Privacy Statement.*?reserved\.\s*",
+    r"(?is)Toggle navigation\s*",
+    r"(?is)Follow Us\s+Recruitment Privacy Statement.*",
+    r"(?is)^.*?Job Details\s*\|\s*[A-Za-z0-9\s]+(?:ESB Careers|Electricity Supply Board|CRH|SAP|AIB|Glanbia|Zurich Insurance|FBD Holdings|Canada Life).*?(?:Create Alert\s*(?:×\s*Select how often \(in days\) to receive an alert:)?|Apply now\s*[»>]|Apply Now\s*|Apply now via Sign Up\s*[»>])\s*",
+    r"(?is)^.*?(?:E-mail similar jobs to me|JOB SEARCH|Search by Keyword|Search Jobs Careers).*?(?:Select how often \(in days\) to receive an alert:\s*(?:Create Alert\s*)?|Clear\s*)+",
+    r"(?is)^.*?(?:Modify All Cookies\s+Accept All Cookies\s+Our Group Career Streams.*?Apply now\s*[»>]\s*)",
+    r"(?is)^.*?(?:Modify All Cookies\s+Accept All Cookies\s+JOB OPPORTUNITIES.*?JOIN OUR TALENT COMMUNITY\s*)",
+    r"(?is)^.*?(?:Modify All Cookies\s+Filter jobs by Posting Language.*?Login\s*)",
+    r"(?is)^.*?Language\s+Deutsch\s*\(Deutschland\).*?View Profile\s*",
+    r"(?is)(?:Apply now\s*[»>]|Apply Now\s*|Apply now via Sign Up\s*[»>])?\s*Find similar jobs:.*$",
+    r"(?is)Opens in a new tab\..*?All Rights Reserved\.",
+    r"(?is)©\s*Copyright\s*\d{4}.*?All Rights Reserved\.",
+    r"\/\/\s*\$\(window\)\.load[\s\S]*$",
+    r"session so the server can identify the visitor[\s\S]*$",
+    r"(?i)^(?:(?:via\s+Sign\s+Up\s*[»>]|Apply\s+now(?:\s+via\s+Sign\s+Up)?\s*[»>]|Apply\s+Now|Start\s+apply\s+with\s+LinkedIn\s+Start\s+Please\s+wait\.{1,3}|[×x]\s*Select\s+how\s+often\s*\(in\s*days\)\s*to\s*receive\s*an\s*alert:)\s*)+",
+    r"(?i)(?:Apply now\s*[»>]\s*|Apply now\s*|Apply Now\s*|Start apply with LinkedIn\s*|Start Please wait\.{1,3}\s*)+$",
+    r"(?i)^\s*Apply now\s*[»>]\s*",
+    r"(?i)^\s*Skip to main content\s*",
+)
+BULLETS = "[•‣◦⁃∙]"
+DENSE_LINES = 8
+
+
+def without_boilerplate(text: Column) -> Column:
+    """Text without what BOILERPLATE names, with one space for runs of blanks and two line breaks at most."""
+    for pattern in BOILERPLATE:
+        text = F.regexp_replace(text, pattern, " ")
+    return F.regexp_replace(F.regexp_replace(F.regexp_replace(text, "[ \t\r\f\x0B]+", " "), r"\n{3,}", "\n\n"), r"(?U)^\s+|\s+$", "")
+
+
+def readable_lines(text: Column) -> Column:
+    """Breaks and paragraphs of markup as line ends, entities decoded, all spaces plain and none at line ends, list marks
+    at the start of a line as one bullet, no blank line before a bullet and one at most elsewhere."""
+    t = F.regexp_replace(F.regexp_replace(F.regexp_replace(text, r"(?i)<br\s*/?>", "\n"), "(?i)</p>", "\n\n"), "(?i)<p[^>]*>", "")
+    t = F.regexp_replace(F.regexp_replace(decode_common(t), r"\r\n?", "\n"), "[\u00A0\u1680\u2000-\u200A\u202F\u205F\u3000\uFEFF]", " ")
+    t = F.regexp_replace(t, r"(?Um)[^\S\n]+$", "")
+    t = F.regexp_replace(t, r"(?m)^[ \t]*[•·‣◦⁃∙][ \t]*[•·‣◦⁃∙]+[ \t]*", "• ")
+    t = F.regexp_replace(F.regexp_replace(t, r"(?:•\s*){2,}", "• "), r"(?m)^[ \t]*[-*·][ \t]+", "• ")
+    return F.regexp_replace(F.regexp_replace(F.regexp_replace(t, r"\n{2,}[ \t]*•", "\n• "), r"\n{3,}", "\n\n"), r"(?U)^\s+|\s+$", "")
+
+
+def _headed(text: Column) -> Column:
+    """A section's head within prose on a line of its own: after a sentence or a word, with a colon or a capital."""
+    heads = "|".join(re.escape(h).replace(r"\ ", " ") for h in sorted(HEADERS, key=len, reverse=True))
+    found = rf"(?:([.!?])|([A-Za-z0-9)]))\s+\b(?:((?i:{heads}))\b\s*:|((?=\p{{Lu}})(?i:{heads}))\b)\s*"
+    text = F.regexp_replace(text, found, "$1\x02$2\x01$3$4\x01")
+    text = F.replace(F.regexp_replace(text, "\x02([^\x01])\x01", "$1.\x01"), F.lit("\x02\x01"), F.lit("\x01"))
+    titled = lambda h: F.when(h == F.upper(h), F.replace(F.initcap(h), F.lit("'ll"), F.lit("'Ll"))).otherwise(h)
+    pieces = F.transform(F.split(text, "\x01", -1), lambda piece, i: F.when(i % 2 == 1, F.concat(F.lit("\n\n"), titled(F.trim(piece)), F.lit(":\n"))).otherwise(piece))
+    return F.array_join(pieces, "")
+
+
+def formatted(text: Column) -> Column:
+    """readable_lines; in dense text, of fewer than eight line ends, bullets, section heads and what follows a semicolon
+    with a capital start lines."""
+    t = readable_lines(without_mark(text))
+    spread = F.regexp_replace(t, rf"{BULLETS}\s*", "\n• ")
+    spread = F.regexp_replace(_headed(spread), r";\s+([A-Z][a-z]+)", ";\n• $1")
+    spread = F.regexp_replace(F.regexp_replace(spread, r"([^\n])\s*•\s*", "$1\n• "), r"(?m)^\s*[:.]\s*", "")
+    dense = F.length(t) - F.length(F.replace(t, F.lit("\n"), F.lit(""))) < DENSE_LINES
+    return readable_lines(F.when(dense, spread).otherwise(t))
+
+
+def without_mark(text: Column) -> Column:
+    return F.translate(text, "\x01\x02", "  ")
 
 
 def is_anti_bot(text: Column) -> Column:
@@ -87,18 +173,12 @@ def needs_repair(description: Column) -> Column:
     return ~has_body(description) | (F.length(F.coalesce(description, F.lit(""))) <= REPAIR_CHARS)
 
 
-def clean_description(description: Column) -> Column:
-    """Cleaned text; a stub, a robot check, or what leaves too little becomes the placeholder."""
-    d = F.trim(F.coalesce(description, F.lit("")))
-    text = F.when(d.contains("<") & d.contains(">"), markup_to_lines(d)).otherwise(tidy_lines(d))
-    text = bullets_on_lines(text)
-    return F.when((F.length(d) < STUB_CHARS) | is_anti_bot(d) | (F.length(text) < CLEANED_CHARS), PLACEHOLDER).otherwise(text)
-
-
-def failed_page(text: Column, url: Column) -> Column:
-    """Why a page's text is no list of jobs: robot check, cookie wall, missing page; null if it may be one."""
-    low = F.lower(text)
-    return F.when(is_anti_bot(text), "anti_bot").when(low.contains("cookie") & (F.length(text) < 9000) & low.rlike("accept (all )?cookies"), "cookie_wall").when(F.lower(url).rlike("/(404|not-found|error)(/|$|[?#])"), "not_found")
+def clean_description(description: Column, company: Column, title: Column) -> Column:
+    """Cleaned text; a stub, a robot check, or what leaves too little becomes a sentence that names company and title."""
+    d = F.coalesce(description, F.lit(""))
+    set_phrase = F.concat(F.coalesce(company, F.lit("")), F.lit(" opportunity: "), F.coalesce(title, F.lit("")), F.lit(". Consult official employer portal for full specifications."))
+    text = formatted(without_boilerplate(F.when(d.contains("<") & d.contains(">"), markup_to_lines(d)).otherwise(d)))
+    return F.when((F.length(F.trim(d)) < STUB_CHARS) | is_anti_bot(d) | (F.length(text) < CLEANED_CHARS), set_phrase).otherwise(text)
 
 
 def surrounding(markup: Column, href: Column, reach: int = 350) -> Column:
@@ -107,16 +187,6 @@ def surrounding(markup: Column, href: Column, reach: int = 350) -> Column:
     return F.when(at > 0, plain_text(F.substring(markup, F.greatest(at - reach, F.lit(1)), F.lit(2 * reach) + F.length(href))))
 
 
-def valid_title(title: Column) -> Column:
-    """Between 3 and 150 characters, mostly Latin letters and digits, several words or a job word, no counter."""
-    clean = F.trim(F.regexp_replace(title, r"\s+", " "))
-    latin = F.length(F.regexp_replace(clean, "[^a-zA-Z0-9]", ""))
-    low = F.lower(clean)
-    counter = low.rlike(r"\b\d[\d,]*\s+(?:open\s+)?jobs\b") | low.rlike(r"\bopen (?:jobs|positions)\b") | low.rlike(r"^page\s+\d+$")
-    navigation = low.rlike(r"^(?:skip|jump) to |^(?:see|view) all |^back to |^go to (?:next|last|previous|page) |^(?:sign|log) in to|^apply (?:now|to |for this)")
-    return F.coalesce(F.length(clean).between(3, 150) & (latin >= 3) & (latin / F.greatest(F.length(clean), F.lit(1)) >= 0.6) & low.contains(" ") & ~counter & ~navigation, F.lit(False))
-
-
 # Words of booklet names that are no part of a title, and labels that say nothing.
 BOOKLET_WORDS = r"(?i)\b(?:qualifications|particulars|rolling competition|candidate information booklet|information booklet|advert|advertisement|job spec|spec|application form|rolling competiton)\b"
 BOOKLET_DATES = r"(?i)\b(?:202[4-7]|february|january|march|april|may|june|july|august|september|october|november|december)\b"

@@ -124,3 +124,24 @@ def owner_export(tables: dict[str, tuple[DataFrame, str, str]], owner: int | str
         listed = rows.filter(F.col(who) == owner).agg(F.transform(F.array_sort(F.collect_list(F.struct(F.col(by).alias("_by"), F.struct(*rows.columns).alias("_row")))), lambda s: s["_row"]).alias(name))
         out = out.crossJoin(F.broadcast(listed))
     return out.select(F.to_json(F.struct(*sorted(tables))).alias("document"))
+
+
+# What the page may be limited to.
+SCOPES = ("active", "closed", "unverified", "all", "legacy")
+
+
+def in_scope(jobs: DataFrame, scope: str | None, now: Column) -> DataFrame:
+    """jobs of an availability: active if none is named, all, or legacy, the rows that were never closed."""
+    scope = scope or "active"
+    if scope not in SCOPES:
+        raise ValueError(f"no availability: {scope}")
+    if scope == "all":
+        return jobs
+    if scope == "legacy":
+        return jobs.filter("closed_at is null")
+    return jobs.filter(effective_availability(F.col("availability_status"), F.col("availability_checked_at"), now) == scope)
+
+
+def scope_of_stage(status: str) -> str:
+    """The default availability of a stage's page: what a candidate tracks is shown whatever became of it."""
+    return "active" if status in ("all", "new") else "all"

@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from rolegrain.functions.places import in_bounds
+
 # Limits of the map.
 MOST_CLUSTERS, MOST_IDS, DEEPEST = 2000, 5, 24
 
@@ -41,3 +43,25 @@ def only_office(jobs: DataFrame, offices: DataFrame) -> DataFrame:
     """Jobs joined to their employer's office in their place where exactly one is recent."""
     one = offices.filter("recent").groupBy("employer_id", "location").agg(F.count("*").alias("_n"), F.min("office_id").alias("office_id")).filter("_n = 1").drop("_n")
     return jobs.join(one, ["employer_id", "location"])
+
+
+def with_coordinates(jobs: DataFrame) -> DataFrame:
+    """jobs with list_* coordinates, of those whose posting gave them, and map_* ones, of those whose present place was
+    verified on the map."""
+    mapped = (F.col("coordinate_source") == "geocoded") & (F.col("location_status") == "verified") & (F.col("verified_location") == F.col("location"))
+    each = {f"list_{c}": F.when(F.col("coordinate_source") == "posting", F.col(c)) for c in ("latitude", "longitude")} | {f"map_{c}": F.when(mapped, F.col(c)) for c in ("latitude", "longitude")}
+    return jobs.withColumns(each)
+
+
+def office_clusters(jobs: DataFrame, employers: DataFrame, lookups: DataFrame, offices: DataFrame, now, zoom: int, bounds: tuple[float, float, float, float], days: int = 180, limit: int = MOST_CLUSTERS) -> DataFrame:
+    """Clusters of jobs at their employer's office: where the job's place was verified as a city or district, a lookup of
+    it under the employer's present name is fresh and found places, and exactly one of these was seen within days. bounds
+    are west, south, east, north."""
+    west, south, east, north = bounds
+    fresh = lookups.filter((F.col("status") == "found") & (F.col("retry_after") > now)).join(employers, "employer_id").filter(F.col("employer_name") == F.col("name"))
+    recent = offices.filter(F.col("checked_at") > now - F.make_dt_interval(F.lit(days)))
+    found = fresh.select("employer_id", "location", F.explode("place_ids").alias("place_id")).join(recent, ["employer_id", "place_id"])
+    one = found.groupBy("employer_id", "location").agg(F.count("*").alias("_n"), F.min("latitude").alias("latitude"), F.min("longitude").alias("longitude")).filter("_n = 1").drop("_n")
+    verified = jobs.filter((F.col("location_status") == "verified") & (F.col("verified_location") == F.col("location")) & F.col("precision").isin("city", "district"))
+    placed = verified.select("id", "employer_id", "location", "score", "title").join(one, ["employer_id", "location"])
+    return clusters(placed.filter(in_bounds(F.col("latitude"), F.col("longitude"), south, west, north, east)).withColumn("precision", F.lit("company_office")), zoom, limit)

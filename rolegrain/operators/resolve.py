@@ -79,9 +79,11 @@ def fuzzy_matches(queries: DataFrame, entries: DataFrame, least: float = 85.0, k
 
 def alias_candidates(witnesses: DataFrame, aliases: DataFrame, limit: int = 10) -> DataFrame:
     """(witness_id, source, identity, truncated): entries whose alias stands as a whole phrase in the text."""
-    words = witnesses.select("witness_id", F.concat(F.lit(" "), F.lower("text"), F.lit(" ")).alias("_text"), F.explode(F.array_distinct(F.split(F.lower("text"), " "))).alias("_word"))
+    texts = witnesses.select("witness_id", F.concat(F.lit(" "), F.lower("text"), F.lit(" ")).alias("_text"))
+    words = witnesses.select("witness_id", F.explode(F.array_distinct(F.split(F.lower("text"), " "))).alias("_word"))
     first = aliases.select("source", "identity", F.lower("alias").alias("_alias"), F.substring_index(F.lower("alias"), " ", 1).alias("_word"))
-    hits = words.join(first, "_word").filter(F.col("_text").contains(F.concat(F.lit(" "), F.col("_alias"), F.lit(" ")))).select("witness_id", "source", "identity").distinct()
+    met = words.join(first, "_word").drop("_word").distinct()
+    hits = met.join(texts, "witness_id").filter(F.col("_text").contains(F.concat(F.lit(" "), F.col("_alias"), F.lit(" ")))).select("witness_id", "source", "identity").distinct()
     by = Window.partitionBy("witness_id")
     placed = hits.withColumns({"_place": F.row_number().over(by.orderBy("source", "identity")), "_n": F.count("*").over(by)})
     return placed.filter(F.col("_place") <= limit).select("witness_id", "source", "identity", (F.col("_n") > limit).alias("truncated"))

@@ -77,10 +77,10 @@ def facet_sectors(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def sector_groups_by_type(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The grouping over free text: each document's first words as a label."""
+    """The grouping over free text: each document's text as a label."""
     docs = adapters.table(spark, sf_dir, "documents")
-    label = F.concat_ws(" ", F.lit("data"), F.substring("text", 1, 40))
-    return docs.select("doc_id", sectors.sector_group(F.when(F.col("doc_id") % 2 == 0, label).otherwise(F.substring("text", 1, 60))).alias("category"))
+    label = F.concat_ws(" ", F.lit("data"), F.col("text"))
+    return docs.select("doc_id", sectors.sector_group(F.when(F.col("doc_id") % 2 == 0, label).otherwise(F.col("text"))).alias("category"))
 
 
 def histogram_bins(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -175,7 +175,7 @@ def office_unique_join(spark: SparkSession, sf_dir: str) -> DataFrame:
 def overlay_patch(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Orders patched by the last update of each field, one a line item."""
     base = adapters.jobs(spark, sf_dir).select("id", "status", "title")
-    items = adapters.table(spark, sf_dir, "lineitem").filter("l_quantity > 45")
+    items = adapters.table(spark, sf_dir, "lineitem")
     updates = items.select(F.col("l_orderkey").alias("id"), F.when(F.col("l_linenumber") % 2 == 0, "status").otherwise("title").alias("field"), F.col("l_returnflag").alias("value"), F.struct("l_linenumber", "l_shipdate", "l_partkey", "l_suppkey").alias("seq"))
     return merge.overlay(base, updates, "id", ("status", "title"))
 
@@ -201,7 +201,7 @@ SQL = {name: f"{ROWS} SELECT {', '.join(PAGE_COLUMNS)} FROM combined WHERE {wher
     "facet_locations": f"{ROWS} SELECT location, count(*) AS n FROM combined WHERE trim(location) <> '' GROUP BY location ORDER BY n DESC, location LIMIT 200",
     "sector_mapping_topn": f"WITH {JOBS}, {MAPPED.replace('LIMIT 20', 'LIMIT 3')} SELECT sector, category FROM mapping",
     "facet_sectors": f"{ROWS} SELECT category, count(*) AS n, CAST(row_number() OVER (ORDER BY CASE category WHEN 'Other' THEN 1 WHEN 'Uncategorized' THEN 2 ELSE 0 END, count(*) DESC, category) AS INTEGER) AS place FROM combined GROUP BY category",
-    "sector_groups_by_type": f"SELECT doc_id, {GROUPS_SQL} AS category FROM (SELECT doc_id, CASE WHEN doc_id % 2 = 0 THEN 'data ' || substr(text, 1, 40) ELSE substr(text, 1, 60) END AS sector FROM documents)",
+    "sector_groups_by_type": f"SELECT doc_id, {GROUPS_SQL} AS category FROM (SELECT doc_id, CASE WHEN doc_id % 2 = 0 THEN 'data ' || text ELSE text END AS sector FROM documents)",
     "histogram_bins": f"{ROWS} SELECT {', '.join(f'count(*) FILTER (WHERE score >= {10 * i} AND score < {10 * i + 10 + (i == 9)}) AS b{i}' for i in range(10))} FROM combined",
     "stage_counts": f"{ROWS}, stages AS (SELECT unnest(['new', 'applied', 'interviewing', 'offer', 'rejected']) AS status) SELECT s.status, count(c.id) AS n, CAST(coalesce(round(CAST(sum(c.score) AS DECIMAL(18,6)) / count(c.score)), 0) AS INTEGER) AS mean_score FROM stages s LEFT JOIN combined c ON s.status = c.status GROUP BY s.status",
     "saved_counts": f"{ROWS} SELECT count(*) FILTER (WHERE is_saved) AS saved, CAST(coalesce(round(avg(score) FILTER (WHERE is_saved)), 0) AS INTEGER) AS saved_mean FROM combined",
@@ -219,7 +219,7 @@ SQL = {name: f"{ROWS} SELECT {', '.join(PAGE_COLUMNS)} FROM combined WHERE {wher
  SELECT *, (SELECT count(*) FROM g) > 2000 AS truncated FROM g ORDER BY n DESC, cell_y, cell_x LIMIT 2000""",
     "bbox_wrap": f"WITH {LOCATED} SELECT id, latitude, longitude FROM located WHERE latitude BETWEEN -30 AND 30 AND (longitude >= 170 OR longitude <= -160)",
     "office_unique_join": f"WITH {JOBS}, offices AS (SELECT s_suppkey % 40 AS employer_id, n_name AS location, s_suppkey AS office_id FROM supplier JOIN nation ON s_nationkey = n_nationkey WHERE s_acctbal > 0), one AS (SELECT employer_id, location, min(office_id) AS office_id FROM offices GROUP BY ALL HAVING count(*) = 1) SELECT j.id, o.office_id FROM jobs j JOIN one o ON j.employer_id % 40 = o.employer_id AND j.location = o.location",
-    "overlay_patch": f"WITH {JOBS}, u AS (SELECT l_orderkey AS id, CASE WHEN l_linenumber % 2 = 0 THEN 'status' ELSE 'title' END AS field, l_returnflag AS value, row_number() OVER (PARTITION BY l_orderkey, l_linenumber % 2 ORDER BY l_linenumber DESC, l_shipdate DESC, l_partkey DESC, l_suppkey DESC) AS place FROM lineitem WHERE l_quantity > 45) SELECT j.id, coalesce(s.value, j.status) AS status, coalesce(t.value, j.title) AS title FROM jobs j LEFT JOIN u s ON s.id = j.id AND s.field = 'status' AND s.place = 1 LEFT JOIN u t ON t.id = j.id AND t.field = 'title' AND t.place = 1",
+    "overlay_patch": f"WITH {JOBS}, u AS (SELECT l_orderkey AS id, CASE WHEN l_linenumber % 2 = 0 THEN 'status' ELSE 'title' END AS field, l_returnflag AS value, row_number() OVER (PARTITION BY l_orderkey, l_linenumber % 2 ORDER BY l_linenumber DESC, l_shipdate DESC, l_partkey DESC, l_suppkey DESC) AS place FROM lineitem) SELECT j.id, coalesce(s.value, j.status) AS status, coalesce(t.value, j.title) AS title FROM jobs j LEFT JOIN u s ON s.id = j.id AND s.field = 'status' AND s.place = 1 LEFT JOIN u t ON t.id = j.id AND t.field = 'title' AND t.place = 1",
 }
 
 
@@ -227,7 +227,7 @@ def rule_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The sub-scores of documents as postings under one candidate's rules."""
     docs = adapters.table(spark, sf_dir, "documents")
     jobs = docs.select(
-        F.col("doc_id").alias("id"), F.substring("text", 1, 60).alias("title"), F.col("text").alias("description"), F.col("source").alias("location"), F.col("lang").alias("employment_type"), F.lit("Fintech").alias("sector"), (F.col("doc_id") % 11 / 10.0).alias("similarity"),
+        F.col("doc_id").alias("id"), F.substring_index("text", ".", 1).alias("title"), F.col("text").alias("description"), F.col("source").alias("location"), F.col("lang").alias("employment_type"), F.lit("Fintech").alias("sector"), (F.col("doc_id") % 11 / 10.0).alias("similarity"),
         F.col("n_chars").cast("int").alias("salary_min_amount"), F.lit(None).cast("int").alias("salary_max_amount"), F.lit("EUR").alias("salary_currency"), F.lit("annual").alias("salary_period"),
     )
     found = rules.scored(jobs, CANDIDATE)
@@ -241,7 +241,7 @@ CANDIDATE = Profile(
 )
 QUERIES["rule_scores"] = rule_scores
 _SKILL = lambda s: rf"regexp_matches(full_text, '(?i)(^|[^\pL\pM\pN_]){s}($|[^\pL\pM\pN_])')"
-SQL["rule_scores"] = rf"""WITH j AS (SELECT doc_id AS id, substr(text, 1, 60) AS title, substr(text, 1, 60) || ' ' || text AS full_text, source, n_chars, doc_id % 11 / 10.0::DOUBLE AS sim FROM documents),
+SQL["rule_scores"] = rf"""WITH j AS (SELECT doc_id AS id, split_part(text, '.', 1) AS title, split_part(text, '.', 1) || ' ' || text AS full_text, source, n_chars, doc_id % 11 / 10.0::DOUBLE AS sim FROM documents),
  s AS (SELECT *, regexp_matches(full_text, '(?i)!!') AS neg, regexp_matches(full_text, '(?i)password=') AS dis, regexp_matches(title, '(?i)ción') AS t1, regexp_matches(title, '(?i)thin') AS t2, regexp_matches(full_text, '(?i)ción') AS f1, regexp_matches(full_text, '(?i)thin') AS f2, regexp_matches(title, '(?i)was') AS past, regexp_matches(title, '(?i)of') AS off,
  {_SKILL('the')} AS k1, {_SKILL('und')} AS k2, {_SKILL('nowhere')} AS k3, {_SKILL('of the')} AS k4, contains(lower(title), 'of the') AS role, lower(full_text || ' ' || source) AS placed FROM j),
  v AS (SELECT id, CASE WHEN neg THEN 'Noise' WHEN t1 THEN 'Spanish' WHEN t2 THEN 'Thin' WHEN f1 THEN 'Spanish' WHEN f2 THEN 'Thin' ELSE 'Fintech' END AS sector_name, CASE WHEN past THEN 'Past' WHEN off THEN 'Of' ELSE 'Professional / Mid-Level' END AS seniority_name,

@@ -54,7 +54,7 @@ def salary_normalize(spark: SparkSession, sf_dir: str) -> DataFrame:
 def closed_notice(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     body = F.concat(F.col("text"), F.when(F.col("doc_id") % 7 == 0, F.lit(" This job is closed.")).otherwise(""))
-    return docs.select("doc_id", text.has_closed_notice(body).alias("closed"), text.is_anti_bot(body).alias("anti_bot"), text.needs_repair(body).alias("repair"))
+    return docs.select("doc_id", text.has_closed_notice(body).alias("closed"), text.is_anti_bot(body).alias("anti_bot"))
 
 
 def clean_text_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -64,12 +64,8 @@ def clean_text_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def html_body_length(spark: SparkSession, sf_dir: str) -> DataFrame:
-    body = text.clean_description(F.col("html"))
-    return table(spark, sf_dir, "pages").select("page_id", F.length(body).alias("n_chars"), text.has_body(F.col("html")).alias("has_body"))
-
-
-def title_valid(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return table(spark, sf_dir, "documents").select("doc_id", text.valid_title(F.substring("text", 1, 60)).alias("valid"))
+    body = text.clean_description(F.col("html"), F.lit("Acme"), F.col("url"))
+    return table(spark, sf_dir, "pages").select("page_id", F.length(body).alias("n_chars"), text.has_body(F.col("html")).alias("has_body"), text.needs_repair(F.col("html")).alias("repair"))
 
 
 def postings(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -129,13 +125,13 @@ def merge_guarded(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def conflict_users(spark: SparkSession, sf_dir: str) -> DataFrame:
-    trackers = table(spark, sf_dir, "lineitem").select(F.col("l_suppkey").alias("user_id"), F.col("l_partkey").alias("id"), F.col("l_returnflag").alias("status"), (F.col("l_quantity") > 25).alias("is_saved"), F.col("l_shipdate").alias("updated_at")).filter("id < 400")
+    trackers = table(spark, sf_dir, "lineitem").select(F.col("l_suppkey").alias("user_id"), F.col("l_partkey").alias("id"), F.col("l_returnflag").alias("status"), (F.col("l_quantity") > 25).alias("is_saved"), F.col("l_shipdate").alias("updated_at"))
     groups = table(spark, sf_dir, "part").select(F.col("p_partkey").alias("id"), (F.col("p_partkey") - F.col("p_partkey") % 4).alias("keeper_id"))
     return merge.conflicting_users(trackers, groups)
 
 
 def trackers_merged(spark: SparkSession, sf_dir: str) -> DataFrame:
-    trackers = table(spark, sf_dir, "lineitem").select(F.col("l_suppkey").alias("user_id"), F.col("l_partkey").alias("id"), F.col("l_returnflag").alias("status"), (F.col("l_quantity") > 25).alias("is_saved"), F.col("l_shipdate").alias("updated_at")).filter("id < 400")
+    trackers = table(spark, sf_dir, "lineitem").select(F.col("l_suppkey").alias("user_id"), F.col("l_partkey").alias("id"), F.col("l_returnflag").alias("status"), (F.col("l_quantity") > 25).alias("is_saved"), F.col("l_shipdate").alias("updated_at"))
     groups = table(spark, sf_dir, "part").select(F.col("p_partkey").alias("id"), (F.col("p_partkey") - F.col("p_partkey") % 4).alias("keeper_id"))
     return merge.merged_trackers(trackers, groups).withColumn("updated_at", F.col("updated_at").cast("string"))
 
@@ -221,7 +217,7 @@ def claim_order(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def idle_eligible(spark: SparkSession, sf_dir: str) -> DataFrame:
     tasks = _tasks(spark, sf_dir)
-    wanted = table(spark, sf_dir, "events").filter("event_id % 11 = 0").orderBy("event_id").limit(900).select(F.concat(F.lit("k"), F.lpad(F.col("event_id").cast("string"), 9, "0")).alias("source_key"))
+    wanted = table(spark, sf_dir, "events").select(F.concat(F.lit("k"), F.lpad(F.col("event_id").cast("string"), 9, "0")).alias("source_key"))
     return queue.idle(wanted, tasks, now())
 
 
@@ -274,12 +270,12 @@ def token_windows(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def trigram_candidates(spark: SparkSession, sf_dir: str) -> DataFrame:
     parts = table(spark, sf_dir, "part")
-    return resolve.trigram_candidates(parts.filter("p_partkey % 50 = 0").select(F.col("p_partkey").alias("query_id"), F.col("p_name").alias("name")), parts.filter("p_partkey % 3 = 0").select(F.col("p_partkey").alias("entry_id"), F.col("p_name").alias("name")), 20)
+    return resolve.trigram_candidates(parts.filter("p_partkey % 100 = 0").select(F.col("p_partkey").alias("query_id"), F.col("p_name").alias("name")), parts.select(F.col("p_partkey").alias("entry_id"), F.col("p_name").alias("name")), 20)
 
 
 def name_similarity(spark: SparkSession, sf_dir: str) -> DataFrame:
     parts = table(spark, sf_dir, "part")
-    return resolve.fuzzy_matches(parts.filter("p_partkey % 50 = 0").select(F.col("p_partkey").alias("query_id"), F.col("p_name").alias("name")), parts.select(F.col("p_partkey").alias("entry_id"), F.col("p_name").alias("name")))
+    return resolve.fuzzy_matches(parts.filter("p_partkey % 100 = 0").select(F.col("p_partkey").alias("query_id"), F.col("p_name").alias("name")), parts.select(F.col("p_partkey").alias("entry_id"), F.col("p_name").alias("name")))
 
 
 def entity_unique_match(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -312,10 +308,9 @@ def owner_export(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def stream_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Each user's first event of each kind: a file stream into a table in the shared folder, read back."""
-    import tempfile
     import uuid
 
-    base = spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp()
+    base = spark.conf.get("spark.checkpoint.dir", None) or spark.conf.get("spark.sql.warehouse.dir")
     home = f"{base.rstrip('/')}/rolegrain-stream-{uuid.uuid4().hex}"
     source = table(spark, sf_dir, "events").withColumn("at", F.col("ts").cast("timestamp"))
     source.write.parquet(f"{home}/in")
@@ -328,7 +323,7 @@ def stream_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES = {
     f.__name__: f
     for f in (
-        url_canonical, identity_key, company_name_norm, title_norm, salary_extract, salary_normalize, closed_notice, clean_text_counts, html_body_length, title_valid, dedup_plan, dedup_keeper, batch_last_wins, first_per_url, merge_upsert, merge_guarded, conflict_users, trackers_merged,
+        url_canonical, identity_key, company_name_norm, title_norm, salary_extract, salary_normalize, closed_notice, clean_text_counts, html_body_length, dedup_plan, dedup_keeper, batch_last_wins, first_per_url, merge_upsert, merge_guarded, conflict_users, trackers_merged,
         host_summary, denial_ordinal, preceding_minute, latest_two_delta, retention_cap, run_metrics, source_report, field_presence, json_variant_props, backoff_schedule, tax_bands, claim_order, idle_eligible, enqueue_states, finish_states, batch_packing, pacing_slots,
         cosine_topk, vector_mean_pool, vector_state, token_windows, trigram_candidates, name_similarity, entity_unique_match, three_way_union, rule_grading, keyset_pages, owner_export, stream_dedup,
     )
@@ -364,8 +359,8 @@ SQL = {
     "first_per_url": "SELECT min(page_id) AS page_id, regexp_extract(url, '://([^/]*)', 1) AS url FROM pages GROUP BY 2",
     "merge_upsert": f"WITH {STOCK} SELECT coalesce(b.key, n.key) AS key, CASE WHEN n.key IS NULL THEN b.label WHEN b.key IS NULL THEN n.label ELSE coalesce(n.label, b.label) END AS label, greatest(b.amount, n.amount) AS amount, coalesce(b.flag, false) OR coalesce(n.flag, false) AS flag FROM base b FULL JOIN new n ON b.key = n.key",
     "merge_guarded": f"WITH {STOCK} SELECT coalesce(b.key, n.key) AS key, CASE WHEN b.key IS NULL THEN n.label ELSE b.label END AS label, CASE WHEN b.key IS NULL OR (n.key IS NOT NULL AND b.amount < 0) THEN n.amount ELSE b.amount END AS amount, CASE WHEN b.key IS NULL OR (n.key IS NOT NULL AND b.amount < 0) THEN n.flag ELSE b.flag END AS flag FROM base b FULL JOIN new n ON b.key = n.key",
-    "conflict_users": "SELECT l_suppkey AS user_id, l_partkey - l_partkey % 4 AS keeper_id FROM lineitem WHERE l_partkey < 400 GROUP BY 1, 2 HAVING count(DISTINCT l_returnflag) > 1",
-    "trackers_merged": "SELECT l_suppkey AS user_id, l_partkey - l_partkey % 4 AS keeper_id, min(l_returnflag) AS status, bool_or(l_quantity > 25) AS is_saved, CAST(max(l_shipdate) AS VARCHAR) AS updated_at FROM lineitem WHERE l_partkey < 400 GROUP BY 1, 2 HAVING count(DISTINCT l_returnflag) = 1",
+    "conflict_users": "SELECT l_suppkey AS user_id, l_partkey - l_partkey % 4 AS keeper_id FROM lineitem GROUP BY 1, 2 HAVING count(DISTINCT l_returnflag) > 1",
+    "trackers_merged": "SELECT l_suppkey AS user_id, l_partkey - l_partkey % 4 AS keeper_id, min(l_returnflag) AS status, bool_or(l_quantity > 25) AS is_saved, CAST(max(l_shipdate) AS VARCHAR) AS updated_at FROM lineitem GROUP BY 1, 2 HAVING count(DISTINCT l_returnflag) = 1",
     "host_summary": f"WITH {EVENTS} SELECT source, host, count(*) AS n, count(*) FILTER (WHERE status BETWEEN 200 AND 399) AS accepted, count(*) FILTER (WHERE status IN (401, 403, 429)) AS denied, epoch_us(min(moment)) AS first_at, epoch_us(max(moment)) AS last_at, max(retry_after) AS most_retry FROM e GROUP BY source, host",
     "denial_ordinal": f"WITH {EVENTS}, o AS (SELECT id, status, row_number() OVER (PARTITION BY source, host ORDER BY id) AS ordinal FROM e) SELECT id, ordinal FROM o WHERE status IN (401, 403, 429)",
     "preceding_minute": f"WITH {EVENTS} SELECT id, count(*) FILTER (WHERE sent) OVER (PARTITION BY host ORDER BY epoch_us(moment) RANGE BETWEEN 600000000 PRECEDING AND CURRENT ROW) AS preceding FROM e",
@@ -377,7 +372,7 @@ SQL = {
     "backoff_schedule": "WITH a AS (SELECT o_orderkey, o_orderkey % 15 AS a FROM orders) SELECT o_orderkey, CAST(greatest(least(86400, 60 * pow(2, least(a, 10))), CASE WHEN o_orderkey % 2 = 0 THEN 21600 ELSE 0 END) AS BIGINT) AS crawl, CAST(least(3600, 30 * pow(2, least(a, 7))) AS BIGINT) AS scoring, CAST(CASE WHEN o_orderkey % 9 = 0 THEN 168 WHEN a >= 3 THEN least(24, 6 * pow(2, a - 3)) ELSE 0 END AS BIGINT) AS board FROM a",
     "tax_bands": f"WITH o AS (SELECT o_orderkey, o_totalprice AS g, o_orderkey % 50 + 20 AS age FROM orders), p AS (SELECT *, g - least(g * 0.25, least(g, 115000) * CASE WHEN age < 30 THEN 0.15 WHEN age < 40 THEN 0.2 WHEN age < 50 THEN 0.25 WHEN age < 55 THEN 0.3 WHEN age < 60 THEN 0.35 ELSE 0.4 END) AS t FROM o) SELECT o_orderkey, round(g - greatest(0, least(t, 44000) * 0.2 + greatest(0, t - 44000) * 0.4 - 4000) - g * 0.042375 - {_USC} - g * 0.25, 8) AS net, round(greatest(0, g / 100 - 1270) * 0.33, 8) AS gains, round({_USC}, 8) AS usc FROM p",
     "claim_order": f"WITH {TASKS} SELECT source_key FROM tasks WHERE attempt < 5 AND ((status = 'pending' AND due_at <= TIMESTAMP '{NOW}') OR (status = 'running' AND lease_until < TIMESTAMP '{NOW}')) ORDER BY CASE WHEN lease_until < TIMESTAMP '{NOW}' THEN 0 ELSE 1 END, CASE kind WHEN 'detail' THEN 0 WHEN 'vector' THEN 1 ELSE 2 END, CASE target WHEN 'discovery' THEN 0 ELSE 1 END, due_at, priority DESC, source_key LIMIT 50",
-    "idle_eligible": f"WITH {TASKS}, w AS (SELECT source_key, status, due_at FROM tasks WHERE event_id % 11 = 0 ORDER BY event_id LIMIT 900) SELECT source_key FROM w WHERE NOT (status IN ('pending', 'running', 'dead') OR (status = 'complete' AND due_at > TIMESTAMP '{NOW}' - INTERVAL 6 HOURS))",
+    "idle_eligible": f"WITH {TASKS}, w AS (SELECT source_key, status, due_at FROM tasks) SELECT source_key FROM w WHERE NOT (status IN ('pending', 'running', 'dead') OR (status = 'complete' AND due_at > TIMESTAMP '{NOW}' - INTERVAL 6 HOURS))",
     "enqueue_states": f"""WITH {TASKS}, n AS (SELECT CASE WHEN priority < 3 AND status NOT IN ('pending', 'running') THEN 'pending' ELSE status END AS status, CASE WHEN priority < 3 AND status NOT IN ('pending', 'running') THEN 'detail' ELSE kind END AS kind, CASE WHEN priority < 3 AND status NOT IN ('pending', 'running') THEN 0 ELSE attempt END AS attempt,
  CASE WHEN priority < 3 AND status NOT IN ('pending', 'running') THEN 50 ELSE priority END AS priority, CASE WHEN priority >= 3 OR status = 'running' THEN due_at WHEN status = 'pending' THEN greatest(due_at, TIMESTAMP '{NOW}') ELSE TIMESTAMP '{NOW}' END AS due_at FROM tasks)
  SELECT status, kind, attempt, count(*) AS n, CAST(sum(priority) AS BIGINT) AS total_priority, epoch_us(max(due_at)) AS latest FROM n GROUP BY status, kind, attempt""",
@@ -386,11 +381,23 @@ SQL = {
     "vector_mean_pool": "WITH u AS (SELECT label, generate_subscripts(embedding, 1) - 1 AS pos, unnest(embedding)::DOUBLE AS x FROM embeddings), m AS (SELECT label, pos, avg(x) AS mean FROM u GROUP BY label, pos), n AS (SELECT label, sqrt(sum(mean * mean)) AS len FROM m GROUP BY label) SELECT m.label, CAST(pos AS INTEGER) AS pos, round(mean / len, 6) AS value FROM m JOIN n ON m.label = n.label",
     "vector_state": "SELECT CASE WHEN n_chars <= 300 AND v.vec_id IS NOT NULL THEN 'withdrawn' WHEN v.vec_id IS NULL THEN 'missing' WHEN lang = CASE WHEN vec_id % 3 <> 0 THEN 'en' ELSE 'de' END AND label < 8 THEN 'current' ELSE 'stale' END AS state, count(*) AS n FROM documents LEFT JOIN embeddings v ON doc_id = vec_id GROUP BY 1",
     "token_windows": "WITH t AS (SELECT doc_id, string_split(text, ' ') AS w FROM documents), s AS (SELECT doc_id, w, unnest(range(0, greatest(0, len(w) - 21) + 1, 80)) AS start FROM t) SELECT doc_id, CAST(start // 80 AS INTEGER) AS \"window\", CAST(len(w[start + 1 : start + 100]) AS INTEGER) AS n, md5(array_to_string(w[start + 1 : start + 100], ' ')) AS digest FROM s",
-    "trigram_candidates": f"WITH g AS (SELECT p_partkey, CASE WHEN length(p_name) BETWEEN 6 AND 128 THEN {_TRIGRAMS} ELSE [] END AS grams FROM part), u AS (SELECT p_partkey, unnest(grams) AS gram FROM g), c AS (SELECT q.p_partkey AS query_id, e.p_partkey AS entry_id, count(*) AS shared FROM u q JOIN u e USING (gram) WHERE q.p_partkey % 50 = 0 AND e.p_partkey % 3 = 0 GROUP BY 1, 2) SELECT query_id, entry_id, shared FROM c QUALIFY row_number() OVER (PARTITION BY query_id ORDER BY shared DESC, entry_id) <= 20",
+    "trigram_candidates": f"WITH g AS (SELECT p_partkey, CASE WHEN length(p_name) BETWEEN 6 AND 128 THEN {_TRIGRAMS} ELSE [] END AS grams FROM part), u AS (SELECT p_partkey, unnest(grams) AS gram FROM g), c AS (SELECT q.p_partkey AS query_id, e.p_partkey AS entry_id, count(*) AS shared FROM u q JOIN u e USING (gram) WHERE q.p_partkey % 100 = 0 GROUP BY 1, 2) SELECT query_id, entry_id, shared FROM c QUALIFY row_number() OVER (PARTITION BY query_id ORDER BY shared DESC, entry_id) <= 20",
     "entity_unique_match": "WITH s AS (SELECT s_suppkey, count(DISTINCT c_custkey) AS n, min(c_custkey) AS id FROM supplier JOIN customer ON floor(s_acctbal / 5) = floor(c_acctbal / 5) GROUP BY 1), w AS (SELECT s_suppkey, count(DISTINCT c_custkey) AS n, min(c_custkey) AS id FROM supplier JOIN customer ON floor(s_acctbal / 100) = floor(c_acctbal / 100) GROUP BY 1) SELECT p.s_suppkey AS left_id, CASE WHEN s.n IS NOT NULL THEN CASE WHEN s.n = 1 THEN s.id END WHEN w.n = 1 THEN w.id END AS right_id FROM supplier p LEFT JOIN s USING (s_suppkey) LEFT JOIN w USING (s_suppkey)",
     "three_way_union": "WITH h AS (SELECT s_suppkey AS query_id, c_custkey AS entry_id FROM supplier JOIN customer ON s_nationkey = c_nationkey UNION SELECT s_suppkey, c_custkey FROM supplier JOIN customer ON floor(s_acctbal / 50) = floor(c_acctbal / 50) UNION SELECT s_suppkey, c_custkey FROM supplier JOIN customer ON s_suppkey = c_custkey) SELECT query_id, entry_id, count(*) OVER (PARTITION BY query_id) > 40 AS truncated FROM h QUALIFY row_number() OVER (PARTITION BY query_id ORDER BY entry_id) <= 40",
     "rule_grading": "SELECT count(*) AS checked, count(*) FILTER (WHERE (quality = 0) = contains(text, '!!')) AS correct, count(*) FILTER (WHERE contains(text, '!!') AND quality <> 0) AS false_positives, count(*) FILTER (WHERE NOT contains(text, '!!') AND quality = 0) AS missed FROM labels JOIN documents USING (doc_id)",
+    "closed_notice": f"WITH b AS (SELECT doc_id, lower(text || CASE WHEN doc_id % 7 = 0 THEN ' This job is closed.' ELSE '' END) AS t FROM documents) SELECT doc_id, coalesce(regexp_matches(t, 'position has been filled|job is no longer available|position has expired|job is closed|no longer accepting applications'), false) AS closed, regexp_matches(t, '{'|'.join(text.ANTI_BOT).replace(chr(39), chr(39) * 2)}') AS anti_bot FROM b",
+    "run_metrics": f"""WITH {EVENTS}, k AS (SELECT run, kind, count(*) AS n FROM e GROUP BY run, kind), j AS (SELECT run, '{{' || string_agg('"' || kind || '":' || n, ',' ORDER BY kind) || '}}' AS by_kind FROM k GROUP BY run), w AS (SELECT run, count(*) FILTER (WHERE sent) AS sent, count(*) FILTER (WHERE status IN (401, 403, 429)) AS denied, (epoch_us(max(moment)) - epoch_us(min(moment))) / 1e6 AS seconds FROM e GROUP BY run)
+ SELECT run, sent, denied, round(sent / greatest(seconds, 0.001), 6) AS rate, by_kind FROM w JOIN j USING (run)""",
+    "owner_export": """WITH o AS (SELECT string_agg('{"o_orderkey":' || o_orderkey || ',"o_custkey":' || o_custkey || ',"o_orderstatus":"' || o_orderstatus || '"}', ',' ORDER BY o_orderkey) AS j FROM orders WHERE o_custkey = 7), c AS (SELECT string_agg('{"c_custkey":' || c_custkey || ',"c_mktsegment":"' || c_mktsegment || '"}', ',') AS j FROM customer WHERE c_custkey = 7)
+ SELECT '{"orders":[' || coalesce(o.j, '') || '],"profile":[' || coalesce(c.j, '') || ']}' AS document FROM o, c""",
+    "batch_packing": """WITH RECURSIVE d AS (SELECT source, doc_id, n_chars, row_number() OVER (PARTITION BY source ORDER BY doc_id) AS n FROM documents),
+ f AS (SELECT source, n, doc_id, CAST(0 AS BIGINT) AS batch, 1 AS items, CAST(n_chars AS BIGINT) AS total FROM d WHERE n = 1 UNION ALL
+ SELECT d.source, d.n, d.doc_id, f.batch + CASE WHEN items >= 10 OR total + n_chars > 40000 THEN 1 ELSE 0 END, CASE WHEN items >= 10 OR total + n_chars > 40000 THEN 1 ELSE items + 1 END, CASE WHEN items >= 10 OR total + n_chars > 40000 THEN n_chars ELSE total + n_chars END FROM f JOIN d ON d.source = f.source AND d.n = f.n + 1)
+ SELECT doc_id, batch FROM f""",
+    "pacing_slots": f"""WITH RECURSIVE {EVENTS}, r AS (SELECT host, id, epoch_us(moment) / 1e6 AS t, status, retry_after, row_number() OVER (PARTITION BY host ORDER BY epoch_us(moment) / 1e6, id) AS n FROM e),
+ f AS (SELECT host, n, id, t AS begun, CASE WHEN status = 429 THEN 60.0 ELSE 30.0 END::DOUBLE AS gap, CASE WHEN retry_after > 0 THEN t + retry_after ELSE 0 END::DOUBLE AS cool FROM r WHERE n = 1 UNION ALL
+ SELECT r.host, r.n, r.id, greatest(r.t, f.begun + f.gap, f.cool), CASE WHEN r.status = 429 THEN least(60.0, f.gap * 2) ELSE f.gap END, CASE WHEN r.retry_after > 0 THEN greatest(f.cool, greatest(r.t, f.begun + f.gap, f.cool) + r.retry_after) ELSE f.cool END FROM f JOIN r ON r.host = f.host AND r.n = f.n + 1)
+ SELECT id, round(begun, 3) AS start, gap AS interval FROM f""",
     "keyset_pages": "SELECT o_orderkey, o_custkey FROM orders WHERE o_orderkey > 5000 ORDER BY o_orderkey LIMIT 200",
     "stream_dedup": "SELECT user_id, event_type, CAST(1 AS BIGINT) AS n FROM events GROUP BY user_id, event_type",
-    "title_valid": r"WITH t AS (SELECT doc_id, trim(regexp_replace(substr(text, 1, 60), '[ \t\n\x0B\f\r]+', ' ', 'g')) AS c FROM documents) SELECT doc_id, length(c) BETWEEN 3 AND 150 AND length(regexp_replace(c, '[^a-zA-Z0-9]', '', 'g')) >= 3 AND length(regexp_replace(c, '[^a-zA-Z0-9]', '', 'g')) / greatest(length(c), 1) >= 0.6 AND contains(lower(c), ' ') AND NOT regexp_matches(lower(c), '\b\d[\d,]*\s+(?:open\s+)?jobs\b') AND NOT regexp_matches(lower(c), '\bopen (?:jobs|positions)\b') AND NOT regexp_matches(lower(c), '^page\s+\d+$') AND NOT regexp_matches(lower(c), '^(?:skip|jump) to |^(?:see|view) all |^back to |^go to (?:next|last|previous|page) |^(?:sign|log) in to|^apply (?:now|to |for this)') AS valid FROM t",
 }

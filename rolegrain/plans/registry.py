@@ -6,9 +6,9 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from rolegrain.plans import catalog_queries, data_queries
+from rolegrain.plans import catalog_queries, data_queries, ingest_queries
 
-MODULES = (catalog_queries, data_queries)
+MODULES = (catalog_queries, data_queries, ingest_queries)
 
 
 def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -44,10 +44,13 @@ def places_jsonl(spark: SparkSession, path: str, country: str = "IE") -> DataFra
 
 def dump_table(spark: SparkSession, path: str, table: str, columns: list[str]) -> DataFrame:
     """One table's rows of a SQL dump: the section after its COPY line, tab-separated, with \\N for null and
-    backslash escapes. Line numbers come from the reader's order within the one file."""
-    lines = spark.read.text(path, wholetext=True)
-    section = F.regexp_extract("value", rf"(?s)(?:^|\n)COPY [^\n]*\b{table}\b[^\n]* FROM stdin;\n(.*?)\n\\\.(?:\n|$)", 1)
-    rows = lines.select(F.posexplode(F.split(section, "\n")).alias("pos", "line")).filter("line <> ''").withColumn("v", F.split("line", "\t", -1))
+    backslash escapes. The dump is read by lines in parallel; pos, a line's stretch of the file and its place there,
+    orders them, and the section lies between the first lines that begin and end it."""
+    place = F.struct(F.col("_metadata.file_path").alias("file"), F.col("_metadata.file_block_start").alias("start"), F.monotonically_increasing_id().alias("line"))
+    lines = spark.read.text(path).select(place.alias("pos"), "value")
+    begins = lines.filter(F.col("value").rlike(rf"^COPY .*\b{table}\b.* FROM stdin;$")).agg(F.min("pos").alias("_from"))
+    ends = lines.filter("value = '\\\\.'").crossJoin(begins).filter("pos > _from").agg(F.first("_from").alias("_from"), F.min("pos").alias("_to"))
+    rows = lines.crossJoin(ends).filter("pos > _from and pos < _to and value <> ''").withColumn("v", F.split("value", "\t", -1))
 
     def value(c: Column) -> Column:
         out = F.replace(c, F.lit("\\\\"), F.lit("\x01"))

@@ -6,7 +6,8 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from rolegrain.functions.places import surely_irish
-from rolegrain.functions.text import plain_text, valid_title
+from rolegrain.functions.text import plain_text
+from rolegrain.functions.validity import valid_title
 
 SCRIPT = r"(?is)<script[^>]*application/ld\+json[^>]*>(.*?)</script>"
 ANCHOR = r"""(?is)<a\b[^>]*?\bhref\s*=\s*["']([^"']*)["'][^>]*>(.*?)</a>"""
@@ -35,7 +36,7 @@ def anchors(pages: DataFrame) -> DataFrame:
 
 def career_links(pages: DataFrame) -> DataFrame:
     """Links that look like postings: a careers path and a title; the first of each URL on a page."""
-    found = anchors(pages).filter(F.col("url").rlike(CAREER_PATH) & valid_title(F.col("label")))
+    found = anchors(pages).filter(F.col("url").rlike(CAREER_PATH) & valid_title(F.col("label"), F.col("url")))
     first = F.row_number().over(Window.partitionBy("page_id", "url").orderBy("pos"))
     return found.withColumn("_first", first).filter("_first = 1").drop("_first")
 

@@ -31,8 +31,18 @@ def paced(rows: pd.DataFrame, next_at: float, interval: float, cooldown: float)
 
 
 def pace(requests: DataFrame, interval: float = 1.0) -> DataFrame:
-    """requests (host, id, at, status, retry_after) with their start times; hosts go in parallel."""
-    return requests.withColumn("host", F.col("host").cast("string")).groupBy("host").applyInPandas(lambda rows: paced(rows.sort_values(["at", "id"]), 0.0, interval, 0.0)[0], RESULT)
+    """requests (host, id, at, status, retry_after) with their start times. Hosts go in parallel; a task has one stretch
+    of rows in memory and goes on from a host's slot, interval and cooldown."""
+
+    def fold(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        host, kept = None, (0.0, interval, 0.0)
+        for rows in frames:
+            for name, own in rows.groupby("host", sort=False):
+                out, kept = paced(own, *(kept if name == host else (0.0, interval, 0.0)))
+                host = name
+                yield out
+
+    return requests.withColumn("host", F.coalesce(F.col("host").cast("string"), F.lit(""))).repartition("host").sortWithinPartitions("host", "at", "id").mapInPandas(fold, RESULT)
 
 
 def pace_stream(requests: DataFrame, interval: float = 1.0) -> DataFrame:

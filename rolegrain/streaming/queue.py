@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable
+from collections.abc import Callable, Iterator
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame
@@ -14,7 +14,7 @@ from rolegrain.operators.merge import merge
 
 # The turn of kinds, attempts and limits of a queue.
 TURN = ("source", "detail", "vector")
-MOST_ATTEMPTS, IDLE_HOURS, MOST_TARGETS = 5, 6, 1000
+MOST_ATTEMPTS, IDLE_HOURS, MOST_TARGETS, MOST_TARGET_BYTES = 5, 6, 1000, 8 << 20
 BATCH_ITEMS, BATCH_BYTES = 1000, 4 << 20
 
 
@@ -65,28 +65,38 @@ def finished(tasks: DataFrame, outcomes: DataFrame, now: Column) -> DataFrame:
 
 
 def idle(wanted: DataFrame, tasks: DataFrame, now: Column) -> DataFrame:
-    """wanted without those that wait, run, are dead, or were complete within six hours."""
-    if wanted.limit(MOST_TARGETS + 1).count() > MOST_TARGETS:
-        raise ValueError(f"more than {MOST_TARGETS} targets")
+    """wanted without those that wait, run, are dead, or were complete within six hours. One call of the queue takes
+    MOST_TARGETS (see targets_fit); a batch step has no such bound."""
     recent = (F.col("status") == "complete") & (F.col("due_at") > now - F.expr(f"INTERVAL {IDLE_HOURS} HOURS"))
     return wanted.join(tasks.filter(F.col("status").isin("pending", "running", "dead") | recent).select("source_key"), "source_key", "left_anti")
 
 
+def targets_fit(wanted: DataFrame) -> None:
+    """An error for more targets, or more bytes of them as JSON, than one call of the queue takes."""
+    n, size = wanted.agg(F.count("*"), F.coalesce(F.sum(F.length(F.to_json(F.struct(*wanted.columns))) + 1), F.lit(0))).first()
+    if n > MOST_TARGETS or size + 1 > MOST_TARGET_BYTES:
+        raise ValueError(f"more than {MOST_TARGETS} targets or {MOST_TARGET_BYTES} bytes")
+
+
 def in_batches(items: DataFrame, group: str, order: str, size: str, most_items: int = BATCH_ITEMS, most_bytes: int = BATCH_BYTES) -> DataFrame:
-    """items with batch: in order, a new one begins where the next item would pass a limit. The fold is by
-    group, so groups go in parallel; a single larger item is a batch of its own."""
-
-    def fold(rows: pd.DataFrame) -> pd.DataFrame:
-        rows = rows.sort_values(order, kind="stable")
-        batch, n, total, out = 0, 0, 0, []
-        for s in rows[size]:
-            if n and (n >= most_items or total + s > most_bytes):
-                batch, n, total = batch + 1, 0, 0
-            n, total = n + 1, total + s
-            out.append(batch)
-        return rows.assign(batch=pd.array(out, dtype="int64"))
-
-    return items.groupBy(group).applyInPandas(fold, StructType([*items.schema.fields, StructField("batch", LongType())]))
+    """items with batch: in order, a new one begins where the next item would pass a limit; a single larger item is a
+    batch of its own. Groups go in parallel; a task has one stretch of rows in memory, and of a group no more than the
+    open batch's count and size."""
+
+    def fold(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        own, batch, n, total = None, 0, 0, 0
+        for rows in frames:
+            out = []
+            for g, s in zip(rows[group], rows[size], strict=True):
+                if own is None or g != own[0]:
+                    own, batch, n, total = (g,), 0, 0, 0
+                if n and (n >= most_items or total + s > most_bytes):
+                    batch, n, total = batch + 1, 0, 0
+                n, total = n + 1, total + s
+                out.append(batch)
+            yield rows.assign(batch=pd.array(out, dtype="int64"))
+
+    return items.repartition(group).sortWithinPartitions(group, order).mapInPandas(fold, StructType([*items.schema.fields, StructField("batch", LongType())]))
 
 
 def stream_into(stream: DataFrame, checkpoint: str, step: Callable[[DataFrame, int], None]):

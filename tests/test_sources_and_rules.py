@@ -97,9 +97,9 @@ def test_addresses(spark):
     urls = ["https://www.A.ie/x", "https://u:p@b.ie", "http://10.0.0.1/", "https://linkedin.com/in", "no url", None, "https://x.test/?token=abc&b=1#f"]
     rows = spark.createDataFrame([(i, u) for i, u in enumerate(urls)], "i int, u string").select("i", addresses.any_domain(F.col("u")), addresses.website_domain(F.col("u")), addresses.company_domain(F.col("u")), addresses.without_secrets(F.col("u"))).orderBy("i").collect()
     assert [tuple(r)[1:4] for r in rows] == [("a.ie", "a.ie", "a.ie"), ("b.ie", None, None), ("10.0.0.1", None, "10.0.0.1"), ("linkedin.com", "linkedin.com", None), (None, None, None), (None, None, None), ("x.test", "x.test", "x.test")]
-    assert rows[6][4] == "https://x.test/?token=-&b=1#f"
+    assert rows[6][4] == "https://x.test/?b=1" and rows[1][4] is None
     b = spark.createDataFrame([("https://boards.greenhouse.io/Acme/jobs/1",), ("https://acme.recruitee.com/o/x",), ("https://acme.ie/careers",)], "u string").select(addresses.board(F.col("u")).alias("b"), addresses.slug(F.col("u"), 12).alias("s"), addresses.name_key(F.lit("Élan Ltd. PLC")).alias("k")).collect()
-    assert [tuple(r.b) for r in b] == [("greenhouse", "acme"), ("recruitee", "acme"), ("generic", "acme.ie/careers")] and b[0].s == "https-boards" and b[0].k == "elan"
+    assert [tuple(r.b) for r in b] == [("greenhouse", "Acme"), ("recruitee", "acme"), ("generic", "acme.ie/careers")] and b[0].s == "https-boards" and b[0].k == "elan"
 
 
 def test_boards_places_and_booklets(spark):
@@ -116,3 +116,21 @@ def test_boards_places_and_booklets(spark):
     assert [r[0] for r in pdfs.select(text.booklet_title(F.col("l"), F.col("h"))).collect()] == ["Senior Engineer", "Clerical Officer", "ab.pdf"]
     doc = spark.createDataFrame([("", None), ("a", "b")], "a string, b string").select(addresses.profile_document(F.col("a"), F.col("b")).alias("d"), addresses.run_identity(F.lit("t"), F.lit("k")).alias("r")).collect()
     assert [r.d for r in doc] == [addresses.DEFAULT_CAREER, "a b"] and len(doc[0].r) == 32
+
+
+def test_sniffed_boards(spark):
+    rows = spark.createDataFrame([("https://x.ie/jobs", ["https://cdn.x.ie/a.js", "https://boards.greenhouse.io/embed/job_board?for=x"], ["https://jobs.lever.co/y"]), ("https://jobs.lever.co/z", [], []), ("https://x.ie", ["https://x.ie/a.js"], [])], "u string, s array<string>, l array<string>")
+    got = [r.b for r in rows.select(addresses.sniffed_board(F.col("u"), F.col("s"), F.col("l")).alias("b")).collect()]
+    assert [None if b is None else tuple(b) for b in got] == [("greenhouse", "boards.greenhouse.io/embed/job_board"), ("lever", "z"), None]
+
+
+def test_descriptions(spark):
+    from rolegrain.functions import text
+
+    body = "We build tools for teams across the country. Key Responsibilities You plan work; Review code and REQUIREMENTS: five years. benefits are many • pension • leave"
+    cases = [body, "<p>short</p>", None, "Please verify you are a human to see this page and its long list of jobs.", "Cookie Policy we store things Accept This role plans and reviews the work of a large team in Cork every day."]
+    rows = spark.createDataFrame([(i, c) for i, c in enumerate(cases)], "i int, d string").orderBy("i")
+    got = [r[0] for r in rows.select(text.clean_description(F.col("d"), F.lit("Acme"), F.lit("Dev"))).collect()]
+    assert got[0] == "We build tools for teams across the country.\n\nKey Responsibilities:\nYou plan work;\n• Review code and.\n\nRequirements:\nfive years. benefits are many\n• pension\n• leave"
+    assert got[1] == got[2] == got[3] == "Acme opportunity: Dev. Consult official employer portal for full specifications."
+    assert got[4] == "This role plans and reviews the work of a large team in Cork every day."

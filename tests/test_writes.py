@@ -3,6 +3,7 @@
 import datetime as dt
 import json
 
+import pytest
 from pyspark.sql import functions as F
 
 from rolegrain.functions import verify
@@ -103,3 +104,33 @@ def test_api_keeps_users_apart(spark, tmp_path):
     assert [r.score for r in api.jobs_page("b")[0].collect()] == [97, 0] and [r.score for r in api.jobs_page("c")[0].collect()] == [0, 0]
     assert sum(r.n for r in api.job_map("a", 3, (-90, -180, 90, 180)).collect()) == 2
     assert json.loads(api.overview("b").first().document)["high_fit"] == 1
+
+
+def test_decisions(spark):
+    from rolegrain.operators import ingest
+
+    facts = {"employer.name": "Acme Ltd", "candidate.name": "ACME Limited", "employer.company_number": "7", "candidate.company_number": "7", "candidate.status": "Normal", "first_party.1.text": "Acme Ltd, trading as ACME Limited"}
+    both = [("employer.company_number", "7"), ("candidate.company_number", "7")]
+    decisions = [
+        (1, "same_company", "same_entity", both), (2, "same_company", "same_entity", both[:1]), (3, "same_company", "parent", both), (4, "different_company", "none", []), (5, "same_company", "same_entity", [("first_party.1.text", "Acme Ltd, trading as ACME Limited"), ("candidate.name", "ACME")]),
+        (6, "different_company", "none", [("employer.name", "Other")]), (7, "same_company", "same_entity", both), (8, "same_company", "same_entity", both), (8, "different_company", "none", both),
+    ]
+    known = [(i, facts if i != 7 else {**facts, "candidate.status": "Dissolved"}) for i in range(1, 9)]
+    got = ingest.decisions_checked(spark.createDataFrame(decisions, "pair_id int, decision string, relationship string, citations array<struct<fact_id:string,quote:string>>"), spark.createDataFrame(known, "pair_id int, facts map<string,string>")).collect()
+    assert sorted((r.pair_id, r.decision, r.valid) for r in got if r.pair_id < 8) == [(1, "same_company", True), (2, "insufficient_evidence", True), (3, "insufficient_evidence", True), (4, "insufficient_evidence", True), (5, "same_company", True), (6, "different_company", False), (7, "insufficient_evidence", True)]
+    assert [r.valid for r in got if r.pair_id == 8] == [False, False]
+
+
+def test_rule_tags_and_targets(spark):
+    from rolegrain.operators import ingest
+    from rolegrain.streaming import queue
+
+    rules = spark.createDataFrame([(0, "Data", ["sql", " etl "]), (1, "Ops", ["aws"]), (2, "  ", None)], "pos int, name string, keywords array<string>")
+    got = [(r.name, r.keywords) for r in ingest.rules_retagged(rules, ["etl", "sql", "new"]).orderBy("pos").collect()]
+    assert got == [("sql", ["sql", " etl "]), ("new", ["new"])]
+    boards = spark.createDataFrame([("a", "Acme", 9, True, None), ("b", "ACME", 8, True, "2024-02-01"), ("c", "Bee", 10, None, None), ("d", "Bee", 1, False, None)], "board_id string, name string, priority int, enabled boolean, cooldown_until string")
+    assert [r.board_id for r in ingest.crawl_targets(boards, F.lit("2024-01-20")).collect()] == ["c", "a"] or [r.board_id for r in ingest.crawl_targets(boards, F.lit("2024-01-20"), limit=9).collect()] == ["c", "a"]
+    assert [r.board_id for r in ingest.crawl_targets(boards, F.lit("2024-03-01"), "acme", 1).collect()] == ["a"]
+    queue.targets_fit(spark.range(1000).select(F.col("id").cast("string").alias("source_key")))
+    with pytest.raises(ValueError):
+        queue.targets_fit(spark.range(1001).select(F.col("id").cast("string").alias("source_key")))
