@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-from rolegrain.llm import secrets
-
 WORD = r"[^\x20\x09-\x0D]+"
 
 SUBSTRING_DEDUP = rf"""
@@ -22,20 +20,27 @@ WITH v AS (SELECT vec_id, list_transform(embedding, lambda x: floor(1024 * x::DO
 SELECT query_id, CAST(row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS INTEGER) AS rank, vec_id, score FROM s QUALIFY row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) <= 10"""
 
 
-def _pieces(kind: str) -> str:
-    pattern = secrets.KINDS[kind].replace("'", "''")
-    value, passes = {
-        "assign": (f"regexp_extract(piece, '{pattern}', 2)", f"length(regexp_extract(piece, '{pattern}', 2)) >= 12"),
-        "live": ("piece", "regexp_matches(piece, '[0-9]') AND regexp_matches(piece, '[A-Za-z]') AND len(list_distinct(string_split(piece, ''))) >= 10"),
-    }.get(kind, ("piece", "true"))
-    parts = f"string_split(regexp_replace(translate(t, chr(1), chr(2)), '{pattern}', chr(1) || '\\0' || chr(1), 'g'), chr(1))"
-    return f"""SELECT r, '{kind}' AS kind, {list(secrets.KINDS).index(kind)} AS rank, e - length(piece) AS s, e, {value} AS value FROM
- (SELECT r, piece, i, sum(length(piece)) OVER (PARTITION BY r ORDER BY i ROWS UNBOUNDED PRECEDING) AS e FROM (SELECT r, unnest({parts}) AS piece, unnest(range(len({parts}))) AS i FROM d WHERE regexp_matches(t, '{pattern}'))) WHERE i % 2 = 1 AND {passes}"""
+# Written out here, apart from the operator, so that a wrong pattern there doesn't agree with itself.
+SECRET_KINDS = (
+    ("assign", """(?i)(password|passwd|secret|token|api_?key)["']?\\x20*[:=]\\x20*["']?([A-Za-z0-9+/_.=-]+)""", "length(regexp_extract(piece, '{p}', 2)) >= 12", "regexp_extract(piece, '{p}', 2)"),
+    ("access", "AKIA[A-Z0-9]+", "length(piece) >= 18", "piece"),
+    ("hex", "[0-9a-f]+", "length(piece) >= 16", "piece"),
+    ("live", "[A-Za-z0-9+/_=-]+", "length(piece) >= 20 AND regexp_matches(piece, '[0-9]') AND regexp_matches(piece, '[A-Za-z]') AND len(list_distinct(string_split(piece, ''))) >= 10", "piece"),
+)
+
+
+def _pieces(rank: int) -> str:
+    """Spans of a kind: its matches fenced, the pieces' lengths added up, and those kept that pass."""
+    kind, pattern, passes, value = SECRET_KINDS[rank]
+    quoted = pattern.replace("'", "''")
+    parts = f"string_split(regexp_replace(translate(t, chr(1), chr(2)), '{quoted}', chr(1) || '\\0' || chr(1), 'g'), chr(1))"
+    return f"""SELECT r, '{kind}' AS kind, {rank} AS rank, e - length(piece) AS s, e, {value.format(p=quoted)} AS value FROM
+ (SELECT r, piece, i, sum(length(piece)) OVER (PARTITION BY r ORDER BY i ROWS UNBOUNDED PRECEDING) AS e FROM (SELECT r, unnest({parts}) AS piece, unnest(range(len({parts}))) AS i FROM d WHERE regexp_matches(t, '{quoted}'))) WHERE i % 2 = 1 AND {passes.format(p=quoted)}"""
 
 
 SECRET_SCAN = f"""
 WITH d AS (SELECT row_number() OVER () AS r, doc_id, coalesce(text, '') AS t, source AS owner, concat_ws('/', source, lang) AS repository FROM documents),
- f AS ({' UNION ALL '.join(_pieces(k) for k in secrets.KINDS)}),
+ f AS ({' UNION ALL '.join(map(_pieces, range(len(SECRET_KINDS))))}),
  c AS (SELECT * FROM f WHERE kind <> 'live' OR NOT EXISTS (SELECT 1 FROM f b WHERE b.r = f.r AND b.kind <> 'live' AND b.s < f.e AND f.s < b.e)),
  o AS (SELECT value, count(DISTINCT owner) AS owners, count(DISTINCT repository) AS repositories FROM c JOIN d USING (r) GROUP BY value),
  j AS (SELECT c.*, owners, repositories, kind || ':' || CAST(s AS BIGINT) || ':' || CAST(e AS BIGINT) AS span FROM c JOIN o USING (value)),
