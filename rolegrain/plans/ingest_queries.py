@@ -231,7 +231,7 @@ def office_clusters(spark: SparkSession, sf_dir: str) -> DataFrame:
     jobs = _placed(spark, sf_dir)
     s = table(spark, sf_dir, "supplier")
     k = F.col("s_suppkey")
-    offices = s.select((k % 60).alias("employer_id"), F.concat(F.lit("p"), k).alias("place_id"), (51.5 + k % 30 / 10.0).alias("latitude"), (-9.5 + k % 35 / 10.0).alias("longitude"), (now() - F.make_dt_interval(F.when(k % 4 == 0, 200).otherwise(20))).alias("checked_at"))
+    offices = s.select((k % 60).alias("employer_id"), F.concat(F.lit("p"), k).alias("place_id"), (51.5 + k % 30 / 10.0).alias("latitude"), (-9.5 + k % 35 / 10.0).alias("longitude"), (now() - F.make_dt_interval(F.when((k % 8 == 0) | (k > 60), 200).otherwise(20))).alias("checked_at"))
     lookups = s.filter("s_suppkey % 7 <> 0").groupBy((k % 60).alias("employer_id")).agg(F.collect_list(F.concat(F.lit("p"), k)).alias("place_ids")).select("employer_id", F.explode(F.array(F.lit("Cork"), F.lit("Dublin"))).alias("location"), "place_ids", F.lit("Acme").alias("employer_name"), F.lit("found").alias("status"), F.lit("2024-02-01").cast("timestamp_ntz").alias("retry_after"))
     employers = s.select((k % 60).alias("employer_id")).distinct().select("employer_id", F.when(F.col("employer_id") % 9 == 0, "Renamed").otherwise("Acme").alias("name"))
     found = geo.office_clusters(jobs, employers, lookups, offices, now(), zoom=8, bounds=(-10.5, 51.0, -5.0, 56.0))
@@ -293,7 +293,7 @@ SQL = {
     "availability_scopes": """WITH j AS (SELECT o_orderkey AS id, o_orderkey % 13 = 0 AS gone, CASE WHEN o_orderstatus = 'P' THEN 'closed' WHEN o_orderstatus = 'F' AND o_orderdate > TIMESTAMP '1995-01-01 12:00:00' - INTERVAL 24 HOURS AND o_orderdate <= TIMESTAMP '1995-01-01 12:00:00' THEN 'active' ELSE 'unverified' END AS state FROM orders), s AS (SELECT unnest(['active', 'closed', 'unverified', 'all', 'legacy']) AS scope)
  SELECT scope, count(id) AS n, CAST(coalesce(sum(id), 0) AS BIGINT) AS ids FROM s LEFT JOIN j ON scope = 'all' OR (scope = 'legacy' AND NOT gone) OR scope = state GROUP BY scope""",
     "shown_coordinates": f"WITH {_PLACED} SELECT location, count(*) FILTER (WHERE source = 'posting') AS listed, count(*) FILTER (WHERE source = 'geocoded' AND verified AND location = verified_location) AS mapped, round(sum(longitude) FILTER (WHERE source = 'geocoded' AND verified AND location = verified_location), 6) AS longitudes FROM j GROUP BY location",
-    "office_clusters": f"""WITH {_PLACED}, l AS (SELECT s_suppkey % 60 AS employer_id, s_suppkey AS place FROM supplier WHERE s_suppkey % 7 <> 0 AND s_suppkey % 60 % 9 <> 0), f AS (SELECT employer_id, min(51.5 + place % 30 / 10.0) AS latitude, min(-9.5 + place % 35 / 10.0) AS longitude FROM l WHERE place % 4 <> 0 GROUP BY employer_id HAVING count(*) = 1),
+    "office_clusters": f"""WITH {_PLACED}, l AS (SELECT s_suppkey % 60 AS employer_id, s_suppkey AS place FROM supplier WHERE s_suppkey % 7 <> 0 AND s_suppkey % 60 % 9 <> 0), f AS (SELECT employer_id, min(51.5 + place % 30 / 10.0) AS latitude, min(-9.5 + place % 35 / 10.0) AS longitude FROM l WHERE place % 8 <> 0 AND place <= 60 GROUP BY employer_id HAVING count(*) = 1),
  o AS (SELECT j.id, j.score, j.title, f.latitude, f.longitude, CAST(floor(f.latitude / (360.0 / 8192)) AS BIGINT) AS cell_y, CAST(floor(f.longitude / (360.0 / 8192)) AS BIGINT) AS cell_x FROM j JOIN f USING (employer_id) WHERE j.location IN ('Cork', 'Dublin') AND verified AND location = verified_location AND precision IN ('city', 'district')),
  p AS (SELECT *, row_number() OVER (PARTITION BY cell_y, cell_x ORDER BY score DESC, id) AS place FROM o)
  SELECT cell_y, cell_x, count(*) AS n, round(avg(latitude), 6) AS latitude, round(avg(longitude), 6) AS longitude, min(title) AS title, 'company_office' AS precision, string_agg(CAST(id AS VARCHAR), ',' ORDER BY place) FILTER (WHERE place <= 5) AS top_ids, false AS truncated FROM p GROUP BY cell_y, cell_x""",
