@@ -329,6 +329,7 @@ def linked_groups(docs: DataFrame, shingle: int = 5, percent: int = 80) -> DataF
 
 def keep_one(docs: DataFrame, shingle: int = 5, percent: int = 80) -> DataFrame:
     """docs without those that links connect to a document with a smaller doc_id. Documents without shingles
-    or doc_id stay; rows that repeat a doc_id go or stay together."""
-    gone = linked_groups(docs, shingle, percent).filter("n_shingles > 0 and doc_id <> component_id").select(F.col("doc_id").alias("_gone")).distinct()
-    return docs.join(materialize(gone, "gone"), F.col("doc_id").cast("long") == F.col("_gone"), "left_anti")
+    or doc_id stay; rows that repeat a doc_id go or stay together. Null texts are empty and stay. An empty table stays
+    empty; columns keep their names, whatever they are."""
+    gone = linked_groups(docs, shingle, percent).filter("n_shingles > 0 and doc_id <> component_id").select("doc_id").distinct()
+    return docs.alias("docs").join(materialize(gone, "gone").alias("gone"), F.col("docs.doc_id").cast("long") == F.col("gone.doc_id"), "left_anti")

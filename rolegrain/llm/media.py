@@ -370,7 +370,7 @@ def linked(images: DataFrame) -> DataFrame:
             break
         links = found if links is None else links.union(found)
         labels = materialize(shares.join(components(links), "node", "left").withColumn("label", F.coalesce("label", "node")), "node_labels")
-    between = materialize(linked_pairs(met_apart(corners.join(labels.select("node", "label"), "node")), images), "group_links")
+    between = materialize(linked_pairs(met_apart(corners, labels), images), "group_links")
     return components(between if links is None else links.union(between))
 
 
@@ -382,18 +382,17 @@ def met_pivots(labelled: DataFrame, stars: int) -> DataFrame:
     return labelled.join(pivots, "key").filter("label <> of").select("a", "a_place", F.col("node").alias("b"), F.col("place").alias("b_place"))
 
 
-def met_apart(labelled: DataFrame) -> DataFrame:
+def met_apart(corners: DataFrame, labels: DataFrame) -> DataFrame:
     """The corners of images that meet under different labels, of those of which VOTES different ones have company in
     the other, larger group, as they must if the image links with any there. An image meets each group of a key once
     before that count is known, however many images of the group have the key."""
-    sizes = labelled.groupBy("label").agg(F.count_distinct("node").alias("images"))
-    apart = labelled.groupBy("key").agg(F.min("label").alias("low"), F.max("label").alias("high")).filter("low < high").select("key")
-    sized = materialize(labelled.join(apart, "key", "left_semi").join(sizes, "label").withColumn("own", F.struct("images", "label")), "apart")
-    groups = sized.select("key", F.col("own").alias("other")).distinct()
-    beside = materialize(sized.join(groups, "key").filter("own < other").select("key", "node", "place", F.col("other.label").alias("other")), "beside")
+    sizes = labels.groupBy("label").agg(F.count("*").alias("images"))
+    labelled = corners.join(labels.select("node", "label").join(sizes, "label"), "node").withColumn("own", F.struct("images", "label"))
+    groups = labelled.select("key", F.col("own").alias("other")).distinct()
+    beside = materialize(labelled.join(groups, "key").filter("own < other").select("key", "node", "place", F.col("other.label").alias("other")), "beside")
     near = beside.groupBy("node", "other").agg(F.count_distinct("place").alias("places")).filter(F.col("places") >= VOTES).select("node", "other")
     ones = beside.join(near, ["node", "other"]).select("key", F.col("other").alias("label"), F.col("node").alias("a"), F.col("place").alias("a_place"))
-    return ones.join(sized.select("key", "label", F.col("node").alias("b"), F.col("place").alias("b_place")), ["key", "label"]).select("a", "a_place", "b", "b_place")
+    return ones.join(labelled.select("key", "label", F.col("node").alias("b"), F.col("place").alias("b_place")), ["key", "label"]).select("a", "a_place", "b", "b_place")
 
 
 def copy_groups(media: DataFrame) -> DataFrame:

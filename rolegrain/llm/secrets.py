@@ -108,20 +108,23 @@ def secret_spans(docs: DataFrame, owner: str = "source", repository: tuple[str,
 
 def redact(docs: DataFrame, owner: str = "source", repository: tuple[str, ...] = ("source", "lang"), max_owners: int = 2, mask: str = "[secret]") -> DataFrame:
     """docs with each span of secret_spans replaced in text by mask (overlapping spans by one). Documents
-    without a candidate pass untouched and are not shuffled. Null text stays null."""
+    without a candidate pass untouched and are not shuffled.
+
+    Null text stays null, null owners and repositories count as in secret_spans. Rows equal in doc_id and text are masked
+    alike. A long text is masked as a whole. An empty table stays empty; columns keep their names, whatever they are."""
     columns = docs.columns
     hit = F.coalesce(F.col("text").rlike("|".join(f"(?:{p})" for p in KINDS.values())), F.lit(False))
     found = materialize(scan(docs.filter(hit), owner, list(repository)), "secret_scan")
     judged = with_ownership(found, max_owners).select("doc_id", "text_hash", F.array_sort(F.concat("base", "added")).alias("spans")).dropDuplicates(["doc_id", "text_hash"]).filter(F.size("spans") > 0)
     judged = materialize(judged, "secret_spans")
-    left, right = docs.filter(hit).alias("l"), judged.alias("r")
-    same = F.col("l.doc_id").cast("long").eqNullSafe(F.col("r.doc_id")) & (F.xxhash64(F.col("l.text").cast("string")) == F.col("r.text_hash"))
-    both = left.join(right, same, "left").select("l.*", F.col("r.spans").alias("_spans"))
+    rows = docs.filter(hit).select(F.struct("*").alias("row"), F.col("text").cast("string").alias("text"))
+    same = F.col("row.doc_id").cast("long").eqNullSafe(F.col("r.doc_id")) & (F.xxhash64("text") == F.col("r.text_hash"))
+    both = rows.join(judged.alias("r"), same, "left").select("row", "text", "spans")
 
     def step(acc: Column, s: Column) -> Column:
         between = F.substring(F.col("text"), acc["at"] + 1, F.greatest(s["start"] - acc["at"], F.lit(0)))
         return F.struct(F.greatest(acc["at"], s["end"]).alias("at"), F.when(s["start"] < acc["at"], acc["out"]).otherwise(F.concat(acc["out"], between, F.lit(mask))).alias("out"))
 
-    done = F.aggregate("_spans", F.struct(F.lit(0).alias("at"), F.lit("").alias("out")), step)
-    masked = both.withColumn("_done", done).withColumn("text", F.when(F.col("_spans").isNull(), F.col("text")).otherwise(F.concat(F.col("_done.out"), F.substring(F.col("text"), F.col("_done.at") + 1, F.length("text")))))
-    return docs.filter(~hit).unionByName(masked.select(*columns))
+    done = both.withColumn("done", F.aggregate("spans", F.struct(F.lit(0).alias("at"), F.lit("").alias("out")), step))
+    masked = F.when(F.col("spans").isNull(), F.col("text")).otherwise(F.concat(F.col("done.out"), F.substring(F.col("text"), F.col("done.at") + 1, F.length("text"))))
+    return docs.filter(~hit).unionByName(done.select(*[(masked if c == "text" else F.col("row")[c]).alias(c) for c in columns]))

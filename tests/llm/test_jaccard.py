@@ -87,3 +87,12 @@ def test_wanted_matches():
     assert jaccard.matches_wanted(np.zeros(20), 100, 16, 5) == 1
     assert jaccard.matches_wanted(np.full(20, 50.0), 400, 16, 5) == 5
     assert jaccard.matches_wanted(np.r_[np.full(16, 1.0), np.full(4, 1e6)], 100, 16, 5) == 1
+
+
+def test_keep_one_with_clashing_names_and_odd_rows(spark):
+    text = " ".join(f"w{i}" for i in range(40))
+    rows = [(5, text), (2, text), (9, text + " more"), (7, None), (8, ""), (None, text), (1, "other words of another text here")]
+    docs = spark.createDataFrame([(*r, 1) for r in rows], "doc_id long, text string, component_id int").withColumnsRenamed({"component_id": "n_shingles"})
+    got = jaccard.keep_one(docs)
+    assert got.columns == docs.columns and sorted(r.doc_id or 0 for r in got.collect()) == [0, 1, 2, 7, 8]
+    assert jaccard.keep_one(docs.limit(0)).count() == 0

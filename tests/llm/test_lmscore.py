@@ -80,3 +80,16 @@ def test_levels():
     keys = np.sort(np.random.default_rng(1).integers(0, 1 << 48, 1000).astype(np.uint64))
     for k in (keys, keys[:1], keys[:0], np.arange(5, dtype=np.uint64)):
         assert (lmscore.unpack_keys(lmscore.pack_keys(k)) == k).all()
+
+
+def test_false_positives_stay_with_more_data(spark):
+    """With the query's bits and hashes, twice or eight times the entries leave the share of wrong answers alone."""
+    wrong = []
+    for n in (2_000, 4_000, 16_000):
+        rng = np.random.default_rng(n)
+        keys = np.unique(rng.integers(0, 1 << 48, n).astype(np.uint64))
+        packed = spark.createDataFrame([(0, "b", bytearray(lmscore.pack_keys(keys)), bytearray(lmscore.pack_counts(np.ones(len(keys), np.int64))))], lmscore.PACKED)
+        model = lmscore.gathered(lmscore.filter_parts(packed, 8, 3, 1.5), 1, 3, 1.5)
+        assert (lmscore.probed_levels(model, keys) == 1).all()
+        wrong.append((lmscore.probed_levels(model, rng.integers(0, 1 << 48, 40_000).astype(np.uint64)) > 0).mean())
+    assert max(wrong) < 0.04 and max(wrong) - min(wrong) < 0.01, wrong

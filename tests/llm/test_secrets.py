@@ -3,6 +3,8 @@
 import hashlib
 import re
 
+from pyspark.sql import functions as F
+
 from rolegrain.llm import secrets
 
 PY = {
@@ -55,3 +57,13 @@ def test_redact(spark):
     got = {r.doc_id: r.text for r in secrets.redact(docs).collect()}
     assert got == {1: "a [secret] z", 2: "clean text", 3: None, 4: "é [secret] end"}
     assert secrets.secret_spans(docs.limit(0)).count() == 0
+
+
+def test_redact_with_clashing_names_and_odd_rows(spark):
+    key = "AKIA" + "ABCDEFGH12345678"
+    rows = [(1, f"use {key} now {key}", "a", "en", "x"), (2, None, None, None, None), (3, "", "b", "en", "y"), (1, f"use {key} now {key}", "a", "en", "x"), (None, key, "c", "de", "z"), (4, "plain " * 5000, "a", "en", "x")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, source string, lang string, spans string").withColumns({"row": F.lit(7), "done": F.lit(8), "text_hash": F.lit(9)})
+    got = secrets.redact(docs)
+    assert got.columns == docs.columns
+    assert sorted((r.doc_id or 0, r.text or "", r["spans"] or "", r["row"]) for r in got.collect()) == sorted((i or 0, (t or "").replace(key, "[secret]"), s or "", 7) for i, t, _, _, s in rows)
+    assert secrets.redact(docs.limit(0)).count() == 0
