@@ -3,16 +3,18 @@
 from __future__ import annotations
 
 from dataclasses import dataclass
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from rolegrain.functions.pay import discloses
 from rolegrain.functions.skills import contains_literal
 
 # Limits of a page request.
 DEFAULT_PAGE, MOST_PAGE = 40, 100
-TEXT_LIMITS = {"search": 100, "location": 80, "sector": 80}
-STATUSES = ("all", "saved", "interested", "new", "applied", "interviewing", "offer", "rejected")
+TEXT_LIMITS = {"search": 80, "location": 80, "sector": 100}
+STATUSES = ("all", "new", "applied", "interviewing", "saved", "interested", "not_interested", "rejected")
 SORTS = ("match", "date", "salary", "title", "company", "location", "category")
 FRESH_HOURS = 24
 
@@ -28,6 +30,7 @@ class PageRequest:
     min_score: int = 0
     least_pay: int | None = None
     disclosed: bool = False
+    salary: str = "all"
     sort: str = "match"
     direction: str = "desc"
     limit: int = DEFAULT_PAGE
@@ -41,6 +44,7 @@ class PageRequest:
             raise ValueError("unknown status, sort or direction")
         if not 0 <= self.min_score <= 100:
             raise ValueError("min_score is out of 0..100")
+        discloses(self.salary)
 
     @property
     def page_size(self) -> int:
@@ -59,8 +63,14 @@ def combined(jobs: DataFrame, evaluations: DataFrame, trackers: DataFrame, secto
     return own.withColumns({"score": F.coalesce("score", F.lit(0)), "tier": F.coalesce("tier", F.lit("Unassessed")), "status": F.coalesce("status", F.lit("new")), "is_saved": F.coalesce("is_saved", F.lit(False)), "category": F.coalesce("category", F.lit("Uncategorized"))})
 
 
-def conditions(request: PageRequest) -> list[Column]:
-    """The request's predicates; one that asks for nothing adds none, so the scan gets only what matters."""
+def skills_text(skills: Column) -> Column:
+    """An array of skills as the JSON text that a search goes through."""
+    return F.when(F.size(skills) > 0, F.concat(F.lit('["'), F.array_join(skills, '", "'), F.lit('"]'))).otherwise("[]")
+
+
+def conditions(request: PageRequest, columns: list[str]) -> list[Column]:
+    """The request's predicates; one that asks for nothing adds none, so the scan gets only what matters. Rows with
+    matched_skills are searched in these too."""
     out: list[Column] = []
     if request.status in ("saved", "interested"):
         out.append(F.col("is_saved"))
@@ -72,18 +82,21 @@ def conditions(request: PageRequest) -> list[Column]:
     if request.min_score > 0:
         out.append(F.col("score") >= request.min_score)
     if request.search.strip():
-        out.append(contains_literal(F.col("title"), request.search) | contains_literal(F.col("company"), request.search) | contains_literal(F.col("location"), request.search))
+        searched = [F.col(c) for c in ("title", "company", "location")] + [skills_text(F.col(c)) for c in columns if c == "matched_skills"]
+        out.append(reduce(Column.__or__, [contains_literal(c, request.search) for c in searched]))
     if request.location.strip():
         out.append(contains_literal(F.col("location"), request.location))
     if request.disclosed:
         out.append(F.col("pay").isNotNull())
+    if (pay := discloses(request.salary)) is not None:
+        out.append(pay)
     if request.least_pay is not None:
         out.append(F.col("pay") >= request.least_pay)
     return out
 
 
 def filtered(rows: DataFrame, request: PageRequest) -> DataFrame:
-    for c in conditions(request):
+    for c in conditions(request, rows.columns):
         rows = rows.filter(c)
     return rows
 

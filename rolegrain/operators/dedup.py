@@ -11,8 +11,10 @@ MOST_GROUP = 101
 
 
 def keepers(rows: DataFrame, group: str) -> DataFrame:
-    """(id, keeper_id): in each group the row with a body, then with the longest, then with the lowest id."""
-    best = Window.partitionBy(group).orderBy(F.desc(F.coalesce(F.length("body"), F.lit(0)) > 0), F.desc(F.coalesce(F.length("body"), F.lit(0))), "id")
+    """(id, keeper_id): in each group the row with a body, then one whose key is current (where rows say so), then with the
+    longest body, then with the lowest id."""
+    current = [F.desc("current")] if "current" in rows.columns else []
+    best = Window.partitionBy(group).orderBy(F.desc(F.coalesce(F.length("body"), F.lit(0)) > 0), *current, F.desc(F.coalesce(F.length("body"), F.lit(0))), "id")
     return rows.withColumn("keeper_id", F.first("id").over(best.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing))).select("id", "keeper_id")
 
 

@@ -67,12 +67,19 @@ def untouched(jobs: DataFrame, trackers: DataFrame) -> DataFrame:
     return jobs.join(trackers.filter("status <> 'new'").select("id"), "id", "left_anti").agg(F.count("*").alias("n_new"))
 
 
-def metric_document(rows: DataFrame) -> DataFrame:
-    """One row: the overview as one JSON object of scalars and maps."""
+def metric_document(rows: DataFrame, employers: DataFrame | None = None) -> DataFrame:
+    """One row: the overview as one JSON object of scalars, maps and arrays in order. companies counts all employers, those
+    without a job too; top_skills is there if rows have matched_skills."""
     by_status = rows.groupBy("status").agg(F.count("*").alias("n")).agg(F.map_from_entries(F.array_sort(F.collect_list(F.struct("status", "n")))).alias("stages"))
     by_category = rows.groupBy("category").agg(F.count("*").alias("n")).agg(F.map_from_entries(F.array_sort(F.collect_list(F.struct("category", "n")))).alias("categories"))
     whole = rows.agg(F.count("*").alias("total"), F.count_if(F.col("score") >= 75).alias("high_fit"), F.count_if("assessed").alias("evaluated"))
-    return whole.crossJoin(by_status).crossJoin(by_category).select(F.to_json(F.struct("total", "high_fit", "evaluated", "stages", "categories")).alias("document"))
+    out = whole.crossJoin(by_status).crossJoin(by_category).crossJoin(histogram(rows).select(F.array("*").alias("histogram")))
+    if employers is not None:
+        out = out.crossJoin(employers.agg(F.count("*").alias("companies")))
+    if "matched_skills" in rows.columns:
+        skills = skill_frequency(rows.filter("assessed"), "matched_skills").withColumn("_by", F.struct(-F.col("n"), "skill"))
+        out = out.crossJoin(skills.agg(F.transform(F.array_sort(F.collect_list(F.struct("_by", F.struct("skill", "n", "percent").alias("s")))), lambda e: e["s"]).alias("top_skills")))
+    return out.select(F.to_json(F.struct("*")).alias("document"))
 
 
 def cached_or_live(cache: DataFrame, live: DataFrame, live_total: DataFrame) -> DataFrame:

@@ -17,6 +17,16 @@ def grid_size(zoom: int) -> float:
     return 360.0 / 2 ** min(zoom + 5, DEEPEST)
 
 
+def checked_bounds(bounds: tuple[float, float, float, float]) -> tuple[float, float, float, float]:
+    """west, south, east and north if they are on the globe and south is not above north; west may lie east of east."""
+    if len(bounds) != 4 or any(b is None or b != b for b in bounds):
+        raise ValueError("bounds are four numbers")
+    west, south, east, north = bounds
+    if not (-180 <= west <= 180 and -180 <= east <= 180 and -90 <= south <= north <= 90):
+        raise ValueError("bounds are off the globe")
+    return west, south, east, north
+
+
 def clusters(rows: DataFrame, zoom: int, limit: int = MOST_CLUSTERS) -> DataFrame:
     """A row per grid cell: cell_y, cell_x, n, mean coordinates, the ids with the highest scores, the smallest
     title, precision if all agree (else mixed), and whether the limit cut cells off. Rows have id, latitude,
@@ -57,7 +67,7 @@ def office_clusters(jobs: DataFrame, employers: DataFrame, lookups: DataFrame, o
     """Clusters of jobs at their employer's office: where the job's place was verified as a city or district, a lookup of
     it under the employer's present name is fresh and found places, and exactly one of these was seen within days. bounds
     are west, south, east, north."""
-    west, south, east, north = bounds
+    west, south, east, north = checked_bounds(bounds)
     fresh = lookups.filter((F.col("status") == "found") & (F.col("retry_after") > now)).join(employers, "employer_id").filter(F.col("employer_name") == F.col("name"))
     recent = offices.filter(F.col("checked_at") > now - F.make_dt_interval(F.lit(days)))
     found = fresh.select("employer_id", "location", F.explode("place_ids").alias("place_id")).join(recent, ["employer_id", "place_id"])

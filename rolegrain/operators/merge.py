@@ -58,6 +58,21 @@ def merged_trackers(trackers: DataFrame, groups: DataFrame) -> DataFrame:
     return free.groupBy("user_id", "keeper_id").agg(F.min("status").alias("status"), F.bool_or("is_saved").alias("is_saved"), F.max("updated_at").alias("updated_at"))
 
 
+def evaluations_merged(evaluations: DataFrame, groups: DataFrame, conflicts: DataFrame) -> DataFrame:
+    """Evaluations (user_id, id, ...) of duplicate groups (id, keeper_id) as one of the keeper: its own, else that of the
+    lowest id. Users in conflicts (user_id, keeper_id) keep theirs as they are."""
+    named = evaluations.join(groups, "id", "left").withColumn("keeper_id", F.coalesce("keeper_id", "id"))
+    free = named.join(conflicts, ["user_id", "keeper_id"], "left_anti")
+    order = Window.partitionBy("user_id", "keeper_id").orderBy(F.desc(F.col("id") == F.col("keeper_id")), "id")
+    first = free.withColumn("_place", F.row_number().over(order)).filter("_place = 1").withColumn("id", F.col("keeper_id")).select(*evaluations.columns)
+    return first.unionByName(named.join(conflicts, ["user_id", "keeper_id"], "left_semi").select(*evaluations.columns))
+
+
+def repointed(occurrences: DataFrame, groups: DataFrame) -> DataFrame:
+    """Occurrences of duplicates as the keeper's."""
+    return occurrences.join(groups, "id", "left").withColumn("id", F.coalesce("keeper_id", "id")).select(*occurrences.columns)
+
+
 def availability(old: Column, seen: Column) -> Column:
     """closed is never taken back by a failed look; only publication (seen = published) makes active."""
     return F.when(seen == "published", "active").when((old == "closed") | (seen == "closed"), "closed").otherwise(F.coalesce(old, F.lit("unverified")))

@@ -92,3 +92,14 @@ def alias_candidates(witnesses: DataFrame, aliases: DataFrame, limit: int = 10)
 def graded(rows: DataFrame) -> DataFrame:
     """One row of counts over (want, got): checked, correct, false positives and misses."""
     return rows.agg(F.count("*").alias("checked"), F.count_if(F.col("want") == F.col("got")).alias("correct"), F.count_if(F.col("got") & ~F.col("want")).alias("false_positives"), F.count_if(~F.col("got") & F.col("want")).alias("missed"))
+
+
+def proposals_graded(results: DataFrame, truth: DataFrame) -> DataFrame:
+    """One row of counts over checked proposals (pair_id, decision, model_decision if it was downgraded) against the truth
+    (pair_id, expected): checked, correct, false positive identities, downgraded claims, and correct before the check."""
+    both = results.join(truth, "pair_id")
+    said = F.coalesce("model_decision", "decision")
+    return both.agg(
+        F.count("*").alias("checked"), F.count_if(F.col("decision") == F.col("expected")).alias("correct"), F.count_if((F.col("decision") == "same_company") & (F.col("expected") != "same_company")).alias("false_positives"),
+        F.count("model_decision").alias("downgraded"), F.count_if(said == F.col("expected")).alias("raw_correct"),
+    )

@@ -57,3 +57,12 @@ def vector_state(jobs: DataFrame, vectors: DataFrame, version: str) -> DataFrame
         .when((F.col("_hash") == F.col("hash")) & (F.col("_version") == version) & F.col("_valid"), "current").otherwise("stale")
     )
     return joined.select("id", state.alias("state"))
+
+
+def encoded_once(documents: DataFrame, encode: Column, width: int = 384) -> DataFrame:
+    """(id, hash, embedding) of documents (id, text): each different text is encoded once, by the expression encode over
+    text; a vector that is unusable is an error. Null texts have none."""
+    texts = documents.filter("text is not null").select(F.sha2("text", 256).alias("hash"), "text").dropDuplicates(["hash"])
+    vectors = texts.select("hash", encode.alias("embedding"))
+    checked = vectors.withColumn("embedding", F.when(usable(F.col("embedding"), width), F.col("embedding")).otherwise(F.raise_error(F.lit("unusable vector")).cast(vectors.schema["embedding"].dataType)))
+    return documents.select("id", F.sha2("text", 256).alias("hash")).join(checked, "hash").select("id", "hash", "embedding")

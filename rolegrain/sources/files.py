@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import json
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -75,3 +77,36 @@ def scan_all(rows: DataFrame, most: int = 100_000) -> DataFrame:
     if rows.limit(most + 1).count() > most:
         raise ValueError(f"more than {most} rows")
     return rows
+
+
+TARGET = "name string, sector string, priority int, careers_url string, enabled boolean, scraper string, scraper_type string, notes string"
+
+
+def targets(spark: SparkSession, path: str, stored: DataFrame | None) -> DataFrame:
+    """Crawl targets: those of the store, also if it has none; where the store is unavailable (None) those of a YAML or JSON
+    list. An entry without a name or address, or with an enabled that is no boolean, is an error, and so is an empty list."""
+    if stored is not None:
+        return stored
+    text = "\n".join(r.value for r in spark.read.text(path, wholetext=True).collect())
+    if path.endswith((".yaml", ".yml")):
+        import yaml
+
+        parsed = yaml.safe_load(text)
+    else:
+        parsed = json.loads(text)
+    items = parsed.get("websites") if isinstance(parsed, dict) else parsed
+    if not isinstance(items, list) or not items:
+        raise ValueError(f"no list of targets: {path}")
+    defaults = {"sector": "General", "priority": 50, "enabled": True, "scraper": "generic_crawler", "scraper_type": "watchlist", "notes": ""}
+    rows = []
+    for n, item in enumerate(items, 1):
+        entry = defaults | (item if isinstance(item, dict) else {})
+        if not entry.get("name") or not entry.get("careers_url") or not isinstance(entry["enabled"], bool):
+            raise ValueError(f"target {n} of {path} is invalid")
+        rows.append(tuple(str(v).strip() if isinstance(v, str) else v for v in (entry[c.split()[0]] for c in TARGET.split(", "))))
+    return spark.createDataFrame(rows, TARGET)
+
+
+def write_report(rows: DataFrame, path: str, kind: str = "json") -> None:
+    """A report as one file of a folder, JSON lines or CSV with a header; the folder is there only once it is whole."""
+    rows.coalesce(1).write.mode("overwrite").option("header", True).format(kind).save(path)

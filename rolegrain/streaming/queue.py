@@ -52,7 +52,7 @@ def claim(tasks: DataFrame, now: Column, n: int, last_kind: str | None = None, n
 
 def finished(tasks: DataFrame, outcomes: DataFrame, now: Column) -> DataFrame:
     """tasks after outcomes (source_key, token, ok): only a live lease with the same token finishes. A failure
-    waits, or is dead after the last attempt."""
+    waits, or is dead after the last attempt; a success is kept as last_succeeded_at where tasks have that."""
     o = outcomes.select("source_key", F.col("token").alias("_token"), "ok")
     joined = tasks.join(o, "source_key", "left")
     valid = F.coalesce((F.col("status") == "running") & (F.col("token") == F.col("_token")) & (F.col("lease_until") >= now), F.lit(False))
@@ -61,7 +61,17 @@ def finished(tasks: DataFrame, outcomes: DataFrame, now: Column) -> DataFrame:
     wait = crawl_delay(F.col("attempt"), F.col("kind") == "source")
     due = F.when(F.col("ok"), F.col("due_at")).otherwise((now.cast("timestamp") + F.make_interval(secs=wait)).cast(tasks.schema["due_at"].dataType))
     attempt = F.when(F.col("ok"), F.col("attempt")).otherwise(F.col("attempt") + 1)
-    return joined.withColumns({"status": F.when(valid, status).otherwise(F.col("status")), "due_at": F.when(valid, due).otherwise(F.col("due_at")), "attempt": F.when(valid, attempt).otherwise(F.col("attempt")), "token": F.when(~valid, F.col("token"))}).select(*tasks.columns)
+    succeeded = {c: F.when(valid & F.col("ok"), now.cast(tasks.schema[c].dataType)).otherwise(F.col(c)) for c in tasks.columns if c == "last_succeeded_at"}
+    return joined.withColumns({"status": F.when(valid, status).otherwise(F.col("status")), "due_at": F.when(valid, due).otherwise(F.col("due_at")), "attempt": F.when(valid, attempt).otherwise(F.col("attempt")), "token": F.when(~valid, F.col("token"))} | succeeded).select(*tasks.columns)
+
+
+def renewed(tasks: DataFrame, renewals: DataFrame, now: Column, seconds: int = 120) -> DataFrame:
+    """tasks with the leases of renewals (source_key, token) that still live put off by seconds, 10 to 3600 of them."""
+    if not 10 <= seconds <= 3600:
+        raise ValueError("a lease has 10 to 3600 seconds")
+    joined = tasks.join(renewals.select("source_key", F.col("token").alias("_token")), "source_key", "left")
+    lives = F.coalesce((F.col("status") == "running") & (F.col("token") == F.col("_token")) & (F.col("lease_until") > now), F.lit(False))
+    return joined.withColumn("lease_until", F.when(lives, (now + F.make_dt_interval(secs=F.lit(seconds))).cast(tasks.schema["lease_until"].dataType)).otherwise(F.col("lease_until"))).select(*tasks.columns)
 
 
 def idle(wanted: DataFrame, tasks: DataFrame, now: Column) -> DataFrame:
