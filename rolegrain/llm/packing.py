@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import json
 import math
+import os
 import zlib
 from array import array
 from collections.abc import Iterator
@@ -19,6 +20,9 @@ from rolegrain.llm.shared import materialize, text_batches
 
 GROUP_PIECES = 32_768
 CACHE_WORDS = 400_000
+#: Characters of a stretch whose ids are kept at most, characters of texts that are encoded at once, and a mark that the
+#: tokenizer has one id for.
+LONGEST, TEXT_CHARS, BETWEEN = 64, 1 << 20, "|"
 _encoders: dict[str, "Encoder"] = {}
 # The normaliser and pre-tokenizer of a file whose texts may be taken stretch by stretch.
 NORMALIZER = {"type": "Sequence", "normalizers": [{"type": "NFC"}, {"type": "Replace", "pattern": {"Regex": r"\s+"}, "content": " "}, {"type": "Lowercase"}]}
@@ -32,6 +36,7 @@ class Encoder(dict):
     asked for again."""
 
     def __init__(self, path: str):
+        os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")  # Spark deals the work to tasks of one thread
         from tokenizers import Tokenizer
 
         super().__init__()
@@ -39,34 +44,60 @@ class Encoder(dict):
         self.tokenizer = Tokenizer.from_file(path)
         rules = json.loads(Path(path).read_text())
         split = rules.get("pre_tokenizer") or {}
+        self.marks = {m: self.whole(m) for m in ",."}
+        self.between = int(np.frombuffer(self.whole(BETWEEN), "<u4")[0])
         special = [t["content"] for t in rules.get("added_tokens", []) if t["content"]]
-        self.by_stretch = rules.get("normalizer") == NORMALIZER and split.get("type") == "Sequence" and split["pretokenizers"][0] == SPLIT and all(t.startswith("<|") and not set(t) & set(" \n") for t in special)
+        self.by_stretch = rules.get("normalizer") == NORMALIZER and split.get("type") == "Sequence" and split["pretokenizers"][0] == SPLIT and len(self.whole(BETWEEN)) == 4 and all(t.startswith("<|") and not set(t) & set(" \n") for t in special)
 
     def __missing__(self, stretch: str) -> bytes:
+        if (known := self.before.pop(stretch, None)) is None:
+            return self.whole(stretch)
+        self[stretch] = known
+        return known
+
+    def whole(self, text: str) -> bytes:
+        return array("I", self.tokenizer.encode_batch_fast([text], add_special_tokens=False)[0].ids).tobytes()
+
+    def learn(self, stretches: set[str]) -> None:
+        """Take in the ids of stretches that aren't there yet. Those that differ in case or by a mark at the end share
+        their letters' ids; letters are encoded many at once, with a mark between them that none of them has."""
         if len(self) >= CACHE_WORDS:
             self.before = dict(self)
             self.clear()
-        if (known := self.before.pop(stretch, None)) is not None:
-            self[stretch] = known
-            return known
-        word = stretch.lower() if stretch.isascii() and "<|" not in stretch else stretch  # the tokenizer lower-cases
-        if word[-1:] in (",", ".") and word[-2:-1].isascii() and word[-2:-1].isalpha():  # it parts letters from what follows them
-            ids = self[word[:-1]] + self[word[-1]]
-        elif word != stretch:
-            ids = self[word]
-        else:
-            ids = self.whole(stretch)
-        if len(stretch) <= 64:
-            self[stretch] = ids
-        return ids
-
-    def whole(self, text: str) -> bytes:
-        return array("I", self.tokenizer.encode(text, add_special_tokens=False).ids).tobytes()
+        new = [s for s in stretches if s not in self and s not in self.before and len(s) <= LONGEST]
+        letters = {}
+        for s in new:
+            word = s.lower() if s.isascii() and "<|" not in s else s  # the tokenizer lower-cases
+            if word[-1:] in (",", ".") and word[-2:-1].isascii() and word[-2:-1].isalpha():  # it parts letters from what follows them
+                word = word[:-1]
+            letters[s] = word
+        wanted = [w for w in set(letters.values()) if w not in self and w not in self.before]
+        together = [w for w in wanted if w and BETWEEN not in w and "<|" not in w]
+        for lo in range(0, len(together), 1000):
+            own = together[lo : lo + 1000]
+            ids = np.frombuffer(self.whole(f" {BETWEEN} ".join(own)), "<u4")
+            cuts = np.flatnonzero(ids == self.between)
+            if len(cuts) != len(own) - 1:
+                continue
+            for w, x, y in zip(own, [0, *(cuts + 1).tolist()], [*cuts.tolist(), len(ids)], strict=True):
+                self[w] = ids[x:y].tobytes()
+        for w in wanted:
+            if w not in self:
+                self[w] = self.whole(w)
+        for s, w in letters.items():
+            if s not in self:
+                self[s] = self[w] + (self.marks[s[-1]] if len(w) < len(s) and s[-1:] in self.marks else b"")
+
+    def texts(self, texts: list[str]) -> list[bytes]:
+        """The ids of each text."""
+        if not self.by_stretch:
+            return [self.whole(t) for t in texts]
+        each = [t.replace("\n", " ").split(" ") for t in texts]
+        self.learn(set().union(*each))
+        return [b"".join(map(self.__getitem__, x)) for x in each]
 
     def ids(self, text: str | None) -> bytes:
-        if not self.by_stretch:
-            return self.whole(text or "")
-        return b"".join(map(self.__getitem__, (text or "").replace("\n", " ").split(" ")))
+        return self.texts([text or ""])[0]
 
 
 def encoder(path: str) -> Encoder:
@@ -86,9 +117,14 @@ def piece_frame(docs: DataFrame, tokenizer: str, capacity: int = 2048, end_id: i
         encode = encoder(tokenizer)
         for batch in batches:
             rows: list[tuple] = []
-            for doc_id, text in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
-                ids = encode.ids(text.as_py()) + end
-                rows += [(doc_id, k, at // 4, len(part := ids[at : at + step]) // 4, zlib.crc32(part)) for k, at in enumerate(range(0, len(ids), step))]
+            texts, held, size = [x.as_py() or "" for x in batch.column(1)], 0, 0
+            for i, text in enumerate(texts):
+                size += len(text)
+                if size >= TEXT_CHARS or i + 1 == len(texts):
+                    for doc_id, ids in zip(batch.column(0).slice(held, i + 1 - held).to_pylist(), encode.texts(texts[held : i + 1]), strict=True):
+                        ids += end
+                        rows += [(doc_id, k, at // 4, len(part := ids[at : at + step]) // 4, zlib.crc32(part)) for k, at in enumerate(range(0, len(ids), step))]
+                    held, size = i + 1, 0
             yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows, strict=True), fields.types, strict=True)] if rows else [pa.array([], t) for t in fields.types], schema=fields)
 
     return docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")).mapInArrow(cut, "doc_id long, piece int, start long, length long, ids_crc32 long")
