@@ -18,7 +18,7 @@ def sector_mapping(jobs: DataFrame, named: int = 20) -> DataFrame:
     the remaining groups are Other."""
     labels = jobs.groupBy("sector").agg(F.count("*").alias("n")).withColumn("grouped", sector_group(F.col("sector")))
     kept = labels.filter(~F.col("grouped").isin(OTHER, UNCATEGORIZED)).groupBy("grouped").agg(F.sum("n").alias("of_group")).orderBy(F.desc("of_group"), "grouped").limit(named).select("grouped", F.lit(True).alias("top"))
-    mapped = labels.join(F.broadcast(kept), "grouped", "left")
+    mapped = labels.join(kept, "grouped", "left")
     return mapped.select("sector", F.when(F.col("top") | (F.col("grouped") == UNCATEGORIZED), F.col("grouped")).otherwise(OTHER).alias("category"))
 
 

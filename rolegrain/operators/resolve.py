@@ -70,10 +70,22 @@ def name_similarity(left: pd.Series, right: pd.Series) -> pd.Series:
     return pd.Series([one(a, b) for a, b in zip(left, right, strict=True)], dtype="float64")
 
 
+def may_be_similar(left: Column, right: Column, least: float) -> Column:
+    """Whether the lengths of two names leave room for that similarity, which is twice the letters they share by all there
+    are. Words are compared with single spaces too; case folding keeps ASCII's lengths, so other names always may."""
+
+    def bound(a: Column, b: Column) -> Column:
+        return 200 * F.least(F.length(a), F.length(b)) / F.greatest(F.length(a) + F.length(b), F.lit(1)) >= least
+
+    tidy = lambda c: F.trim(F.regexp_replace(c, r"\s+", " "))
+    ascii_only = left.rlike(r"^[\x00-\x7F]*$") & right.rlike(r"^[\x00-\x7F]*$")
+    return ~ascii_only | bound(left, right) | bound(tidy(left), tidy(right)) | ((F.length(left) == 0) & (F.length(right) == 0))
+
+
 def fuzzy_matches(queries: DataFrame, entries: DataFrame, least: float = 85.0, keep: int = MOST_KEPT) -> DataFrame:
     """(query_id, entry_id, similarity) of at least `least`, the best `keep` of each query."""
     pairs = trigram_candidates(queries, entries).join(queries.select("query_id", F.col("name").alias("_q")), "query_id").join(entries.select("entry_id", F.col("name").alias("_e")), "entry_id")
-    scored = pairs.withColumn("similarity", name_similarity("_q", "_e")).filter(F.col("similarity") >= least)
+    scored = pairs.filter(may_be_similar(F.col("_q"), F.col("_e"), least)).withColumn("similarity", name_similarity("_q", "_e")).filter(F.col("similarity") >= least)
     return scored.withColumn("_place", F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("similarity"), "entry_id"))).filter(F.col("_place") <= keep).select("query_id", "entry_id", "similarity")
 
 

@@ -78,16 +78,17 @@ class Profile:
 def usable_terms(terms: tuple[str, ...]) -> list[str]:
     """Terms of fitting length that are patterns Java takes; others are passed over, as one of them would fail
     the whole job."""
+    from pyspark.errors import PySparkException
     from pyspark.sql import SparkSession
 
-    java = SparkSession.getActiveSession()._jvm.java.util.regex.Pattern
+    row = SparkSession.active().sql("SELECT '' AS text")
     out = []
     for term in terms:
         if TERM_CHARS[0] <= len(term) <= TERM_CHARS[1]:
             try:
-                java.compile("(?i)" + term)
+                row.select(matches(F.col("text"), term)).collect()  # one row on the driver, no job
                 out.append(term)
-            except Exception:  # noqa: BLE001  py4j wraps Java's PatternSyntaxException
+            except PySparkException:
                 continue
     return out
 

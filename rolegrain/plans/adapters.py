@@ -17,7 +17,7 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 def jobs(spark: SparkSession, sf_dir: str) -> DataFrame:
     orders, customer, nation = (table(spark, sf_dir, t) for t in ("orders", "customer", "nation"))
-    joined = orders.join(customer, F.col("o_custkey") == F.col("c_custkey"), "left").join(F.broadcast(nation), F.col("c_nationkey") == F.col("n_nationkey"), "left")
+    joined = orders.join(customer, F.col("o_custkey") == F.col("c_custkey"), "left").join(nation, F.col("c_nationkey") == F.col("n_nationkey"), "left")
     return joined.select(
         F.col("o_orderkey").alias("id"), F.col("o_custkey").alias("employer_id"), F.col("o_orderpriority").alias("title"), F.col("c_name").alias("company"), F.col("n_name").alias("location"), F.col("c_mktsegment").alias("sector"),
         F.when(F.col("c_acctbal") >= 0, "verified").otherwise("unverified").alias("metadata_source"), F.floor("o_totalprice").cast("long").alias("pay"), F.col("o_orderdate").alias("last_seen_at"),
