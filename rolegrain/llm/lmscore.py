@@ -12,7 +12,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from rolegrain.llm.packed import added_up, pack_counts, pack_keys, part_of, unpack_counts, unpack_keys
-from rolegrain.llm.shared import blocks, materialize, stretches, text_batches
+from rolegrain.llm.shared import blocks, broadcast_bytes, materialize, stretches, text_batches
 from rolegrain.llm.textvec import COMBINE, LOWER, mix, text_chunks, word_hashes, words_of
 
 END = np.uint64(0x5E4D0FE4D5E4D0FE)
@@ -200,13 +200,13 @@ def probed_levels(model: Filter, keys: np.ndarray) -> np.ndarray:
     return out
 
 
-def score(docs: DataFrame, weight: float = 0.4, base: float = 1.5, bits_per_entry: int = 8, hashes: int = 3, max_filter_bytes: int = 64 << 20) -> DataFrame:
+def score(docs: DataFrame, weight: float = 0.4, base: float = 1.5, bits_per_entry: int = 8, hashes: int = 3, max_filter_bytes: int | None = None) -> DataFrame:
     """One row per row of docs: doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score.
 
     Learns from the documents whose crc32(doc_id as text) mod 7 is not 2. Bigram counts are summed over the
     cluster by ranges of their hashes, quantised as 1 + floor(log_base(count)) and put into a log-frequency
-    Bloom filter of bits_per_entry for each level. That filter is broadcast if it has max_filter_bytes at most; a
-    larger one stays in parts, and the bigrams of each block of documents go to their part by a shuffle. Each
+    Bloom filter of bits_per_entry for each level. That filter is broadcast if it has max_filter_bytes at most (where
+    None is given, what the session lets a broadcast have); a larger one stays in parts, and the bigrams of each block of documents go to their part by a shuffle. Each
     block (a stretch of an input file) gets the exact counts of the tokens that occur in it by
     a shuffle, as the whole vocabulary has no bound. A token's probability after h is
     (1 - weight) * (c + 1) / (N + V + 1) + weight * q / c(h), where q is the count that probing gives, c(h)
@@ -227,7 +227,8 @@ def score(docs: DataFrame, weight: float = 0.4, base: float = 1.5, bits_per_entr
     n_train, n_words = (int(sum(t[i] for t in totals)) for i in (0, 1))
     filters = materialize(filter_parts(counted(rows, n_parts, 2), bits_per_entry, hashes, base), "filter_parts")
     n_bytes, levels = filters.agg(F.coalesce(F.sum(F.length("bits")), F.lit(0)), F.coalesce(F.max("levels"), F.lit(0))).first()
-    model = spark.sparkContext.broadcast(gathered(filters, n_parts, hashes, base)) if n_bytes <= max_filter_bytes else None
+    most = broadcast_bytes(spark) if max_filter_bytes is None else max_filter_bytes
+    model = spark.sparkContext.broadcast(gathered(filters, n_parts, hashes, base)) if n_bytes <= most else None
     out = "doc_id long, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double"
     fields = pa.schema([("doc_id", pa.int64()), ("held_out", pa.bool_()), ("n_tokens", pa.int64()), ("n_known", pa.int64()), ("train_tokens", pa.int64()), ("base_score", pa.float64()), ("score", pa.float64())])
 

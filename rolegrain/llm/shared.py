@@ -41,6 +41,12 @@ def stretches(docs: DataFrame) -> int:
     return max(2 * parts(docs.sparkSession), docs.rdd.getNumPartitions())
 
 
+def broadcast_bytes(spark: SparkSession) -> int:
+    """What the session lets a broadcast have: spark.sql.autoBroadcastJoinThreshold."""
+    number, unit = re.fullmatch(r"(-?\d+)\s*([kmgt]?)i?b?", str(spark.conf.get("spark.sql.autoBroadcastJoinThreshold")).strip().lower()).groups()
+    return int(number) << 10 * " kmgt".index(unit or " ")
+
+
 def text_batches(spark: SparkSession, megabytes: int = 4) -> None:
     """Send rows to Python in batches of so many bytes, unless the session asks for a size of its own: at Spark's 64 MB
     a batch of texts takes that much in the JVM and several times as much in Python."""
