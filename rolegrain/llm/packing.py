@@ -22,7 +22,7 @@ GROUP_PIECES = 32_768
 CACHE_WORDS = 400_000
 #: Characters of a stretch whose ids are kept at most, characters of texts that are encoded at once, and a mark that the
 #: tokenizer has one id for.
-LONGEST, TEXT_CHARS, BETWEEN = 64, 1 << 20, "|"
+LONGEST, TEXT_CHARS, BETWEEN = 64, 1 << 22, "|"
 _encoders: dict[str, "Encoder"] = {}
 # The normaliser and pre-tokenizer of a file whose texts may be taken stretch by stretch.
 NORMALIZER = {"type": "Sequence", "normalizers": [{"type": "NFC"}, {"type": "Replace", "pattern": {"Regex": r"\s+"}, "content": " "}, {"type": "Lowercase"}]}
