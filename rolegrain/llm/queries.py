@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from rolegrain.llm import jaccard, langid, lmscore, media, mixing, oracles, packing, secrets, substrings, topk, urls
+from rolegrain.llm import jaccard, langid, lmscore, media, mixing, oracles, packing, secrets, substrings, topk, urls, whitening
 
 
 #: Shares of the tokens that the mixture is to have, by domain of the labels table.
@@ -60,6 +60,10 @@ def op10_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(docs, public_tokenizers.path("word_bpe_49k.json"))
 
 
+def op11_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return whitening.whiten(spark.read.parquet(f"{sf_dir}/embeddings.parquet"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {name: f for name, f in globals().items() if name.startswith("op")}
 
