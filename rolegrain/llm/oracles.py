@@ -57,3 +57,20 @@ WITH RECURSIVE d AS (SELECT row_number() OVER () AS r, doc_id, regexp_extract_al
  l AS (SELECT a, b FROM p JOIN n x ON a = x.r JOIN n y ON b = y.r WHERE 100 * shared >= 85 * (x.n + y.n - shared)),
  reach AS (SELECT r, r AS q FROM d UNION SELECT reach.r, l.b AS q FROM reach JOIN l ON reach.q = l.a)
 SELECT d.doc_id, coalesce(any_value(n.n), 0) AS n_shingles, min(e.doc_id) AS component_id FROM d JOIN reach ON d.r = reach.r JOIN d e ON reach.q = e.r LEFT JOIN n ON n.r = d.r GROUP BY d.r, d.doc_id"""
+
+#: crc32 of a decimal number, byte by byte and bit by bit.
+_BIT = "xor(acc >> 1, 3988292384 * (acc & 1))"
+_BYTE = f"list_reduce(list_prepend(xor(crc, byte), CAST(range(8) AS BIGINT[])), lambda acc, bit: {_BIT})"
+CRC = f"xor(list_reduce(list_prepend(4294967295::BIGINT, list_transform(string_split(CAST(conv_id AS VARCHAR), ''), lambda ch: CAST(ascii(ch) AS BIGINT))), lambda crc, byte: {_BYTE}), 4294967295)"
+
+PREFIX_TRIE = f"""
+WITH t AS (SELECT conv_id, turn, sha256(length(coalesce(role, '')) || ':' || coalesce(role, '') || length(coalesce(text, '')) || ':' || coalesce(text, '')) AS w, length(coalesce(text, '')) AS chars FROM conversations WHERE conv_id IS NOT NULL),
+ o AS (SELECT *, row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST, w) AS pos FROM t),
+ c AS (SELECT conv_id, conv_id - conv_id % 100 AS block, {CRC} % 6 AS h FROM (SELECT DISTINCT conv_id FROM t)),
+ r AS (SELECT c.conv_id, 0 AS part, pos, w, chars FROM c JOIN o ON o.conv_id = c.block AND pos <= h UNION ALL SELECT c.conv_id, 1, pos, w, chars FROM c JOIN o USING (conv_id) WHERE pos > h),
+ d AS (SELECT conv_id, chars, row_number() OVER x AS depth, sha256(string_agg(w, '') OVER x) AS node FROM r WINDOW x AS (PARTITION BY conv_id ORDER BY part, pos ROWS UNBOUNDED PRECEDING)),
+ p AS (SELECT conv_id, depth, node, lag(node, 1, '') OVER (PARTITION BY conv_id ORDER BY depth) AS up, chars, lead(node) OVER (PARTITION BY conv_id ORDER BY depth) IS NULL AS ends FROM d UNION ALL SELECT c.conv_id, 0, '', NULL, 0, c.conv_id NOT IN (SELECT conv_id FROM d) FROM c),
+ n AS (SELECT node, min(conv_id) AS conv_id, any_value(depth) AS depth, any_value(up) AS up, any_value(chars) AS chars, count(*) AS n_convs, coalesce(string_agg(CAST(conv_id AS VARCHAR), ',' ORDER BY conv_id) FILTER (WHERE ends), '') AS ids FROM p GROUP BY node),
+ k AS (SELECT up AS node, count(*) AS n_children FROM n WHERE up IS NOT NULL GROUP BY up),
+ s AS (SELECT p.node, count(*) FILTER (WHERE n_children IS NULL) AS n_leaves, CAST(sum((n_convs - 1) * n.chars) AS BIGINT) AS saved_tokens FROM n LEFT JOIN k USING (node) JOIN p ON p.conv_id = n.conv_id AND p.depth <= n.depth GROUP BY p.node)
+SELECT n.conv_id, n.depth, u.conv_id AS parent_conv_id, n.n_convs, coalesce(n_children, 0) AS n_children, n_leaves, saved_tokens, sha256(n.ids) AS ends_sha256 FROM n JOIN s USING (node) LEFT JOIN k USING (node) LEFT JOIN n u ON u.node = n.up"""

@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from rolegrain.llm import jaccard, langid, lmscore, media, mixing, oracles, packing, secrets, substrings, topk, urls, whitening
+from rolegrain.llm import jaccard, langid, lmscore, media, mixing, oracles, packing, secrets, substrings, topk, tries, urls, whitening
 
 
 #: Shares of the tokens that the mixture is to have, by domain of the labels table.
@@ -64,10 +64,14 @@ def op11_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
     return whitening.whiten(spark.read.parquet(f"{sf_dir}/embeddings.parquet"))
 
 
+def op13_prefix_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return tries.prefix_trie(spark.read.parquet(f"{sf_dir}/conversations.parquet"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {name: f for name, f in globals().items() if name.startswith("op")}
 
 
 def oracle_sql() -> dict[str, str]:
     """SQL for the queries that SQL can express; tests/llm holds the others against brute force."""
-    return {"op2_ngram_jaccard": oracles.NGRAM_JACCARD, "op3_substring_dedup": oracles.SUBSTRING_DEDUP, "op5_exact_top_k": oracles.TOP_K, "op8_secret_scan": oracles.SECRET_SCAN}
+    return {"op2_ngram_jaccard": oracles.NGRAM_JACCARD, "op3_substring_dedup": oracles.SUBSTRING_DEDUP, "op5_exact_top_k": oracles.TOP_K, "op8_secret_scan": oracles.SECRET_SCAN, "op13_prefix_trie": oracles.PREFIX_TRIE}
