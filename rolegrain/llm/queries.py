@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from rolegrain.llm import jaccard, langid, lmscore, media, mixing, oracles, packing, secrets, substrings, topk, tries, urls, whitening
+from rolegrain.llm import jaccard, langid, lmscore, media, mixing, oracles, packing, personal, secrets, substrings, topk, tries, urls, whitening
 
 
 #: Shares of the tokens that the mixture is to have, by domain of the labels table.
@@ -64,6 +64,10 @@ def op11_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
     return whitening.whiten(spark.read.parquet(f"{sf_dir}/embeddings.parquet"))
 
 
+def op12_personal_data(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return personal.private_spans(spark.read.parquet(f"{sf_dir}/documents.parquet"))
+
+
 def op13_prefix_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
     return tries.prefix_trie(spark.read.parquet(f"{sf_dir}/conversations.parquet"))
 
