@@ -172,14 +172,14 @@ def spine_nodes(spine: DataFrame, branches: DataFrame, tops: DataFrame) -> DataF
     return materialize(whole.select(*columns).union(lone.select(*columns)), "spine_nodes")
 
 
-def prefix_trie(conversations: DataFrame, most_turns: int = 100_000) -> DataFrame:
+def prefix_trie(conversations: DataFrame, most_turns: int | None = None) -> DataFrame:
     """One row per distinct sequence of first turns of the rebuilt conversations: conv_id (smallest member), depth,
     parent_conv_id, n_convs, n_children, n_leaves, saved_tokens, ends_sha256.
 
     Conversations are dealt to tasks by hash of their first turn's digest; a task builds dictionary tries of what it
     has (`subtries`). A first turn with more than most_turns turns under it is split further: one conversation of it,
     chosen by hash, is the spine, and all others go on by the turn at which they leave it, as first turns of the
-    next round, until every part fits. The number of rounds follows the logarithm of the conversations under one turn
+    next round, until every part fits. By default that is twice a shuffle partition's share, from 2,000 to 100,000. The number of rounds follows the logarithm of the conversations under one turn
     and not their length. Turns travel as 16 bytes of SHA-256 and a length. A conversation that nothing else shares is never
     held in one task however long it is; the shared part of a spine goes through a sorted, spillable window.
 
@@ -188,10 +188,11 @@ def prefix_trie(conversations: DataFrame, most_turns: int = 100_000) -> DataFram
     text is digested in the JVM where it is read. An empty table gives no rows, not even a root. Other columns are ignored.
     """
     turns, convs = rebuilt(conversations)
-    totals = convs.agg(F.count("*").alias("n"), F.min("conv_id").alias("least")).first()
+    totals = convs.agg(F.count("*").alias("n"), F.min("conv_id").alias("least"), F.sum("n_turns").alias("turns")).first()
     spark = conversations.sparkSession
     if not totals.n:
         return spark.createDataFrame([], NODE)
+    most_turns = most_turns or min(100_000, max(2_000, 2 * totals.turns // parts(spark)))
     rounds = []
     while True:
         sizes = materialize(turns.groupBy("gid").agg(F.count("*").alias("n")), "sizes")
