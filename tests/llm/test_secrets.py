@@ -67,3 +67,21 @@ def test_redact_with_clashing_names_and_odd_rows(spark):
     assert got.columns == docs.columns
     assert sorted((r.doc_id or 0, r.text or "", r["spans"] or "", r["row"]) for r in got.collect()) == sorted((i or 0, (t or "").replace(key, "[secret]"), s or "", 7) for i, t, _, _, s in rows)
     assert secrets.redact(docs.limit(0)).count() == 0
+
+
+def test_a_hundred_thousand_spans_in_a_text(spark):
+    """Hex and opaque stretches in turn: twice the text may take about twice the time, and none is lost."""
+    one = [f"{hashlib.md5(str(i).encode()).hexdigest()} {OPAQUE}{i:06d}" for i in range(50_000)]
+    text = "\n".join(one)
+    docs = spark.createDataFrame([(1, text, "a", "en"), (2, "plain", "b", "en")], "doc_id long, text string, source string, lang string")
+    got = {r.doc_id: r for r in secrets.secret_spans(docs).collect()}
+    assert got[1].n_hex == 50_000 and got[1].base_sha256 == hashlib.sha256(base(text)[1].encode()).hexdigest()
+    assert got[1].spans.count("live:") == 50_000 and got[2].spans == ""
+    lines = {r.doc_id: r.text for r in secrets.redact(docs).collect()}[1].split("\n")
+    assert lines == ["[secret] [secret]"] * 50_000
+
+
+def test_spans_over_blocks(spark):
+    text = "é" * 4090 + " token=" + "Ab1-" * 3000 + " 😀 passwd=aaaabbbbcccc" + " x" * 5000
+    docs = spark.createDataFrame([(1, text, "a", "en")], "doc_id long, text string, source string, lang string")
+    assert secrets.redact(docs).first().text == "é" * 4090 + " [secret] 😀 [secret]" + " x" * 5000
