@@ -2,13 +2,12 @@
 
 from __future__ import annotations
 
-import html
 import re
 
-import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
-from pyspark.sql.types import StringType
+
+from rolegrain.functions.entities import decoded
 
 # What pages say when they are no posting.
 ANTI_BOT = (
@@ -17,32 +16,18 @@ ANTI_BOT = (
 )
 CLOSED = ("position has been filled", "job is no longer available", "position has expired", "job is closed", "no longer accepting applications")
 BODY_CHARS, REPAIR_CHARS, STUB_CHARS, CLEANED_CHARS = 100, 500, 30, 50
-ENTITIES = {"&nbsp;": " ", "&lt;": "<", "&gt;": ">", "&quot;": '"', "&#39;": "'", "&apos;": "'", "&middot;": "·", "&copy;": "©", "&euro;": "€", "&pound;": "£"}
 SPACES = r"[ \t\x0B\f\u00A0\u1680\u2000-\u200A\u202F\u205F\u3000]"
 
 
-@F.pandas_udf(StringType())
-def unescape(texts: pd.Series) -> pd.Series:
-    """All HTML5 entities; for the common ones, decode_common stays in the JVM."""
-    return texts.map(html.unescape, na_action="ignore")
-
-
-def decode_common(text: Column) -> Column:
-    """The common entities and decimal references of ASCII; the ampersand last, so nothing is decoded twice."""
-    for entity, char in ENTITIES.items():
-        text = F.replace(text, F.lit(entity), F.lit(char))
-    return F.replace(text, F.lit("&amp;"), F.lit("&"))
-
-
 def without_nul(text: Column) -> Column:
     return F.replace(text, F.lit("\x00"), F.lit(""))
 
 
 def plain_text(markup: Column) -> Column:
-    """Text without script, style and noscript blocks and tags, common entities decoded, white space as one
+    """Text without script, style and noscript blocks and tags, entities decoded, white space as one
     space."""
     t = F.regexp_replace(markup, r"(?is)<(script|style|noscript)\b[^>]*>.*?</\1\s*>", " ")
-    t = decode_common(F.regexp_replace(t, r"(?s)<[^>]+>", " "))
+    t = decoded(F.regexp_replace(t, r"(?s)<[^>]+>", " "))
     return F.trim(F.regexp_replace(t, r"(?U)\s+", " "))
 
 
@@ -59,7 +44,7 @@ def markup_to_lines(markup: Column) -> Column:
     t = F.regexp_replace(t, r"(?i)<br\s*/?>", "\n")
     t = F.regexp_replace(t, r"(?i)<li\b[^>]*>", "\n• ")
     t = F.regexp_replace(t, r"(?i)</?(?:p|div|ul|ol|h[1-6]|section|article|tr)\b[^>]*>", "\n\n")
-    return tidy_lines(decode_common(F.regexp_replace(t, r"(?s)<[^>]+>", "")))
+    return tidy_lines(decoded(F.regexp_replace(t, r"(?s)<[^>]+>", "")))
 
 
 # Phrases that head a section, and what consent banners, scripts and application forms leave in a text, in
@@ -122,7 +107,7 @@ def readable_lines(text: Column) -> Column:
     """Breaks and paragraphs of markup as line ends, entities decoded, all spaces plain and none at line ends, list marks
     at the start of a line as one bullet, no blank line before a bullet and one at most elsewhere."""
     t = F.regexp_replace(F.regexp_replace(F.regexp_replace(text, r"(?i)<br\s*/?>", "\n"), "(?i)</p>", "\n\n"), "(?i)<p[^>]*>", "")
-    t = F.regexp_replace(F.regexp_replace(decode_common(t), r"\r\n?", "\n"), "[\u00A0\u1680\u2000-\u200A\u202F\u205F\u3000\uFEFF]", " ")
+    t = F.regexp_replace(F.regexp_replace(decoded(t), r"\r\n?", "\n"), "[\u00A0\u1680\u2000-\u200A\u202F\u205F\u3000\uFEFF]", " ")
     t = F.regexp_replace(t, r"(?Um)[^\S\n]+$", "")
     t = F.regexp_replace(t, r"(?m)^[ \t]*[•·‣◦⁃∙][ \t]*[•·‣◦⁃∙]+[ \t]*", "• ")
     t = F.regexp_replace(F.regexp_replace(t, r"(?:•\s*){2,}", "• "), r"(?m)^[ \t]*[-*·][ \t]+", "• ")

@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from rolegrain.functions import identity, pay, schedule, text
 from rolegrain.operators import catalog, dedup, merge, resolve, telemetry, vectors
 from rolegrain.plans.adapters import table
+from rolegrain.sources import elements
 from rolegrain.streaming import pacing, queue
 
 NOW = "2024-01-20 00:00:00"
@@ -63,6 +64,17 @@ def clean_text_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "pages").select("page_id", F.length(plain).alias("n_chars"), F.md5(plain.cast("binary")).alias("digest"))
 
 
+def link_headings(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Each link of the pages with the heading that is nearest in their trees."""
+    found = elements.headings_of(table(spark, sf_dir, "pages").select("page_id", "html"), F.col("tag") == "a", F.col("tag").isin("h1", "h2", "h3", "h4"))
+    return found.select("page_id", "href", "heading")
+
+
+def tag_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Elements of each tag, and the pages that have some."""
+    return elements.elements(table(spark, sf_dir, "pages").select("page_id", "html")).filter("node > 0").groupBy("tag").agg(F.count("*").alias("n"), F.countDistinct("page_id").alias("n_pages"))
+
+
 def html_body_length(spark: SparkSession, sf_dir: str) -> DataFrame:
     body = text.clean_description(F.col("html"), F.lit("Acme"), F.col("url"))
     return table(spark, sf_dir, "pages").select("page_id", F.length(body).alias("n_chars"), text.has_body(F.col("html")).alias("has_body"), text.needs_repair(F.col("html")).alias("repair"))
@@ -323,7 +335,7 @@ def stream_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES = {
     f.__name__: f
     for f in (
-        url_canonical, identity_key, company_name_norm, title_norm, salary_extract, salary_normalize, closed_notice, clean_text_counts, html_body_length, dedup_plan, dedup_keeper, batch_last_wins, first_per_url, merge_upsert, merge_guarded, conflict_users, trackers_merged,
+        url_canonical, identity_key, company_name_norm, title_norm, salary_extract, salary_normalize, closed_notice, clean_text_counts, link_headings, tag_counts, html_body_length, dedup_plan, dedup_keeper, batch_last_wins, first_per_url, merge_upsert, merge_guarded, conflict_users, trackers_merged,
         host_summary, denial_ordinal, preceding_minute, latest_two_delta, retention_cap, run_metrics, source_report, field_presence, json_variant_props, backoff_schedule, tax_bands, claim_order, idle_eligible, enqueue_states, finish_states, batch_packing, pacing_slots,
         cosine_topk, vector_mean_pool, vector_state, token_windows, trigram_candidates, name_similarity, entity_unique_match, three_way_union, rule_grading, keyset_pages, owner_export, stream_dedup,
     )
@@ -339,9 +351,10 @@ _COMPANY = lambda c: _WORDS.format(rf"regexp_replace(lower(trim({c})), '\b(?:{_L
 _K = "(CAST(floor(o_totalprice / 10000) AS INTEGER) + 10)"
 _PAY_TEXT = f"CASE o_orderkey % 3 WHEN 0 THEN '€' || {_K} || 'k - €' || ({_K} + 9) || 'k per annum' WHEN 1 THEN '$' || {_K} || ',500 a year' END"
 _CLEAN = r"regexp_replace(regexp_replace(html, '(?is)<script\b[^>]*>.*?</script\s*>|<style\b[^>]*>.*?</style\s*>|<noscript\b[^>]*>.*?</noscript\s*>', ' ', 'g'), '(?s)<[^>]+>', ' ', 'g')"
-for _e, _c in [*text.ENTITIES.items(), ("&amp;", "&")]:
-    _CLEAN = f"replace({_CLEAN}, '{_e}', '{_c.replace(chr(39), chr(39) * 2)}')"
+for _e, _c in {"&copy;": "©", "&middot;": "·", "&quot;": '"', "&lt;": "<", "&gt;": ">", "&nbsp;": " ", "&euro;": "€", "&amp;": "&"}.items():
+    _CLEAN = f"replace({_CLEAN}, '{_e}', '{_c}')"
 _CLEAN = rf"trim(regexp_replace({_CLEAN}, '[\s\x0B\x{{85}}\pZ]+', ' ', 'g'))"
+_MARKUP = r"regexp_replace(html, '(?is)(<script\b[^>]*>).*?</script>|<!--.*?-->', '\1', 'g')"
 _USC = "(greatest(0, least(g, 12012)) * 0.005 + greatest(0, least(g, 28700) - 12012) * 0.02 + greatest(0, least(g, 70044) - 28700) * 0.03 + greatest(0, g - 70044) * 0.08)"
 _TRIGRAMS = "list_distinct(list_filter(list_transform(range(1, greatest(length(p_name) - 1, 2)), lambda i: substr(p_name, i, 3)), lambda g: length(g) = 3 AND NOT contains(g, ' ')))"
 
@@ -352,6 +365,8 @@ SQL = {
     "salary_extract": f"SELECT o_orderkey, {_PAY_TEXT} AS salary_text FROM orders",
     "salary_normalize": f"SELECT o_orderkey, CASE o_orderkey % 3 WHEN 0 THEN {_K} * 1000 WHEN 1 THEN {_K} * 1000 + 500 END AS salary_min_amount, CASE o_orderkey % 3 WHEN 0 THEN ({_K} + 9) * 1000 WHEN 1 THEN {_K} * 1000 + 500 END AS salary_max_amount, CASE o_orderkey % 3 WHEN 0 THEN 'EUR' WHEN 1 THEN 'USD' END AS salary_currency, CASE WHEN o_orderkey % 3 < 2 THEN CASE WHEN o_orderkey % 5 = 0 THEN 'weekly' ELSE 'annual' END END AS salary_period, false AS salary_crossed FROM orders",
     "clean_text_counts": f"WITH c AS (SELECT page_id, {_CLEAN} AS plain FROM pages) SELECT page_id, CAST(length(plain) AS INTEGER) AS n_chars, md5(plain) AS digest FROM c",
+    "link_headings": f"WITH m AS (SELECT page_id, {_MARKUP} AS html FROM pages) SELECT page_id, unnest(regexp_extract_all(html, '(?is)<a\\b[^>]*\\shref=\"([^\"]*)\"', 1)) AS href, trim(regexp_replace(replace(replace(regexp_extract(html, '(?is)<h1>(.*?)</h1>', 1), '&quot;', chr(34)), '&amp;', '&'), '\\s+', ' ', 'g')) AS heading FROM m",
+    "tag_counts": f"WITH t AS (SELECT page_id, unnest(regexp_extract_all({_MARKUP}, '<([a-z][a-z0-9]*)', 1)) AS tag FROM pages) SELECT tag, count(*) AS n, count(DISTINCT page_id) AS n_pages FROM t GROUP BY tag",
     "dedup_plan": f"""WITH {POSTINGS}, g AS (SELECT g, count(*) AS n, count(*) <= 101 AND count(DISTINCT title) = 1 AND count(DISTINCT location) = 1 AND min(length(location)) > 0 AND count(DISTINCT closed) = 1 AND (bool_and(posting) OR count(DISTINCT company) = 1) AS fits FROM postings GROUP BY g),
  k AS (SELECT *, first_value(id) OVER (PARTITION BY g ORDER BY length(description) > 0 DESC, length(description) DESC, id) AS keeper FROM postings) SELECT k.id, CASE WHEN fits THEN keeper END AS keeper_id, NOT fits AS skipped FROM k JOIN g ON k.g = g.g WHERE n > 1""",
     "dedup_keeper": "SELECT doc_id AS id, first_value(doc_id) OVER (PARTITION BY lang, source ORDER BY length(text) > 0 DESC, length(text) DESC, doc_id) AS keeper_id FROM documents",

@@ -13,10 +13,12 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from rolegrain.functions.entities import decoded
 from rolegrain.functions.pay import pay_text
 from rolegrain.functions.places import maybe_irish, surely_irish
-from rolegrain.functions.text import booklet_title, decode_common, markup_to_lines, plain_text
+from rolegrain.functions.text import booklet_title, markup_to_lines, plain_text
 from rolegrain.functions.validity import valid_title
+from rolegrain.sources.elements import headings_of
 from rolegrain.sources.markup import resolved, structured_postings
 
 SEE_POST = "See job post"
@@ -39,6 +41,7 @@ RESULT_LINK = r"""(?is)<a[^>]+href=["']([^"']*pJobDetails\.aspx[^"']*)["'][^>]*>
 TRAIN_LINK = r"""(?is)<a\s+[^>]*href=["']([^'"]*JobDetail[^'"]*)["'][^>]*>(.*?)</a>"""
 AGENCY_LINK = r"""(?is)<a [^>]*href="(https://www\.housingagency\.ie/careers/[^"]+)"[^>]*>(.*?)</a>"""
 BOOKLET_LINK = r"""(?i)href="([^"]*Candidate[^"]*\.pdf)\""""
+OPEN_ROLES = ("open roles", "no vacancies", "no current", "careers at ida")
 NO_VACANCIES = ("no current", "no open", "no vacancies", "no opportunities")
 BLANK_BODIES = ("n/a", "none", "not available", "no description", "not specified")
 BODY_MARKS = ("job-description", "jobdescription", "jobpostingdescription", "job_description", "job-details")
@@ -72,7 +75,7 @@ def icims(pages: DataFrame) -> DataFrame:
     irish = lambda p: (code(p) == "IE") | ((code(p) == "") & surely_irish(p))
     places = F.transform(F.split(part(ICIMS["location"]), r"\|"), lambda p: F.trim(p))
     here = cards.withColumn("places", F.filter(places, irish)).filter(F.size("places") > 0)
-    rows = here.withColumns({"title": part(ICIMS["title"]), "url": F.substring_index(decode_common(F.regexp_extract("g1", ICIMS["url"], 1)), "?", 1), "location": F.array_join(F.transform("places", shown), "; "), "body": part(ICIMS["description"])})
+    rows = here.withColumns({"title": part(ICIMS["title"]), "url": F.substring_index(decoded(F.regexp_extract("g1", ICIMS["url"], 1)), "?", 1), "location": F.array_join(F.transform("places", shown), "; "), "body": part(ICIMS["description"])})
     own = F.when(F.col("body") != "", F.col("body"))
     described = F.coalesce(own, F.concat(F.col("company"), F.lit(" position: "), F.col("title"), F.lit(". Location: "), F.col("location"), F.lit(".")))
     return listed(rows.filter("url <> ''").withColumns({"description": described, "salary_text": pay_text(F.coalesce(own, F.col("location")), F.col("title"))}))
@@ -132,7 +135,7 @@ def hire_lab(pages: DataFrame) -> DataFrame:
     rows = matches(pages.filter(F.col("url").contains("thehirelab.com") | F.lower("html").contains("jobnavigation")), LAB_ROW, 2)
     named = part(r"""(?is)<span[^>]*id=["']jobTitleLink["'][^>]*>(.*?)</span>""", "g2")
     title = F.when(named != "", named).otherwise(part(r"(?is)<(?:strong|h[1-5])[^>]*>(.*?)</(?:strong|h[1-5])>", "g2"))
-    rows = rows.withColumns({"title": title, "url": resolved(F.col("url"), F.trim(decode_common(F.col("g1")))), "location": F.lit("Ireland")}).filter(valid_title(F.col("title"), F.col("url")))
+    rows = rows.withColumns({"title": title, "url": resolved(F.col("url"), F.trim(decoded(F.col("g1")))), "location": F.lit("Ireland")}).filter(valid_title(F.col("title"), F.col("url")))
     return listed(rows.withColumns({"description": F.concat("company", F.lit(" vacancy: "), "title", F.lit(". See portal for details.")), "salary_text": pay_text(plain_text(F.col("g2")), F.col("title"))}))
 
 
@@ -160,7 +163,7 @@ def candidate_manager(pages: DataFrame) -> DataFrame:
     """Rows of a result table: the first link, the second cell's kind of contract and the last cell's place."""
     rows = matches(pages.filter(F.lower("url").contains("candidatemanager.net")), r"(?is)<tr[^>]*>(.*?)</tr>")
     cells = F.transform(F.regexp_extract_all("g1", F.lit(r"(?is)<td[^>]*>(.*?)</td>"), F.lit(1)), lambda c: plain_text(c))
-    rows = rows.withColumns({"cells": cells, "title": plain_text(F.regexp_extract("g1", RESULT_LINK, 2)), "link": decode_common(F.regexp_extract("g1", RESULT_LINK, 1))}).filter("link <> ''")
+    rows = rows.withColumns({"cells": cells, "title": plain_text(F.regexp_extract("g1", RESULT_LINK, 2)), "link": decoded(F.regexp_extract("g1", RESULT_LINK, 1))}).filter("link <> ''")
     filled = lambda c, blank: F.when(c != "", c).otherwise(blank)
     rows = rows.withColumns({"url": resolved(F.col("url"), F.col("link")), "employment_type": F.when(F.size("cells") > 1, filled(F.get("cells", 1), SEE_POST)).otherwise(SEE_POST), "location": F.when(F.size("cells") > 2, F.get("cells", F.size("cells") - 1)).otherwise("Ireland")})
     rows = rows.filter(valid_title(F.col("title"), F.col("url")) & maybe_irish(F.col("location"))).withColumn("location", filled(F.col("location"), "Ireland"))
@@ -178,6 +181,21 @@ def housing_agency(pages: DataFrame) -> DataFrame:
     return listed(rows.filter(F.regexp_replace("url", "/+$", "") != "https://www.housingagency.ie/careers").withColumn("description", F.concat(F.col("company"), F.lit(" vacancy: "), "title", F.lit("."))))
 
 
+def open_roles(pages: DataFrame) -> DataFrame:
+    """Cards of the investment agency's page: links to its candidate board, each under the heading that is nearest in the
+    element tree. The last link of a URL counts. A page with neither roles nor a word about them is an error."""
+    listing = F.col("html").isNull() | ~F.lower(plain_text(F.col("html"))).rlike("|".join(OPEN_ROLES))
+    link = (F.col("tag") == "a") & (F.coalesce(F.col("attributes")["href"], F.lit("")) != "") & ((F.lower("text") == "view job") | F.col("attributes")["href"].contains("candidatemanager"))
+    heading = F.col("tag").isin("h2", "h3", "h4") | (F.col("attributes")["class"] == "title") | ((F.col("tag") == "strong") & (F.col("parent_tag") == "p"))
+    found = headings_of(pages.select("page_id", "html"), link, heading)
+    rows = pages.select("page_id", F.col("url").alias("base"), listing.alias("unknown")).join(found, "page_id", "left")
+    unread = F.col("unknown") & F.col("node").isNull()
+    checked = F.when(unread, F.raise_error(F.concat(F.lit("unrecognized listing: "), "base")).cast("string")).otherwise(resolved(F.col("base"), F.col("href")))
+    rows = rows.withColumn("url", checked).filter("url IS NOT NULL").groupBy("page_id", "url").agg(F.min("node").alias("pos"), F.max_by("heading", "node").alias("title"))
+    fixed = {"company": "IDA Ireland", "location": "Dublin / Regional Ireland", "employment_type": "Permanent", "description": ""}
+    return rows.withColumns({k: F.lit(v) for k, v in fixed.items()} | {"salary_text": pay_text(F.lit(""), F.col("title"))}).select(*COLUMNS)
+
+
 def booklets(pages: DataFrame, place: str = "County Kildare") -> DataFrame:
     """Candidate booklets of a council's page, named by their files."""
     rows = matches(_or_said_none(pages, F.col("html").rlike(BOOKLET_LINK)), BOOKLET_LINK).withColumns({"title": F.regexp_replace(booklet_title(F.try_url_decode(F.regexp_extract("g1", "([^/]*)$", 1)), F.col("g1")), r"^[ -]+|[ -]+$", ""), "location": F.lit(place), "url": resolved(F.col("url"), F.col("g1"))})

@@ -9,9 +9,10 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql.types import DataType
 
+from rolegrain.functions.entities import decoded
 from rolegrain.functions.pay import pay_text
 from rolegrain.functions.places import maybe_irish, surely_irish
-from rolegrain.functions.text import decode_common, markup_to_lines, plain_text
+from rolegrain.functions.text import markup_to_lines, plain_text
 
 SEE_POST = "See job post"
 Expr = Callable[[Column], Column]
@@ -175,7 +176,7 @@ def read_feed(bodies: DataFrame, provider: str) -> DataFrame:
     feed = FEEDS[provider]
     body = F.trim("body")
     if provider in IN_PAGES:
-        body = F.trim(decode_common(F.regexp_extract("body", EMBEDDED, 1)))
+        body = F.trim(decoded(F.regexp_extract("body", EMBEDDED, 1)))
     if provider in BARE_ARRAYS:
         field = feed.schema.split(" ", 1)[0]
         body = F.when(body.startswith("["), F.concat(F.lit(f'{{"{field}": '), body, F.lit("}"))).otherwise(body)
