@@ -7,9 +7,9 @@ from pyspark.sql import functions as F
 
 from rolegrain.functions import identity, pay, schedule, text
 from rolegrain.operators import catalog, dedup, merge, resolve, telemetry, vectors
-from rolegrain.plans.adapters import table
+from rolegrain.plans.adapters import scratch, table
 from rolegrain.sources import elements
-from rolegrain.streaming import pacing, queue
+from rolegrain.streaming import learned, pacing, queue
 
 NOW = "2024-01-20 00:00:00"
 
@@ -320,10 +320,7 @@ def owner_export(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def stream_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Each user's first event of each kind: a file stream into a table in the shared folder, read back."""
-    import uuid
-
-    base = spark.conf.get("spark.checkpoint.dir", None) or spark.conf.get("spark.sql.warehouse.dir")
-    home = f"{base.rstrip('/')}/rolegrain-stream-{uuid.uuid4().hex}"
+    home = scratch(spark, "stream")
     source = table(spark, sf_dir, "events").withColumn("at", F.col("ts").cast("timestamp"))
     source.write.parquet(f"{home}/in")
     stream = spark.readStream.schema(source.schema).parquet(f"{home}/in")
@@ -332,12 +329,35 @@ def stream_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.read.schema(source.schema).parquet(f"{home}/out").select("user_id", "event_type").withColumn("n", F.lit(1)).groupBy("user_id", "event_type").agg(F.sum("n").alias("n"))
 
 
+def _streamed(spark: SparkSession, rows: DataFrame, step) -> DataFrame:
+    """Rows as a file stream through step into a table, read back by the caller's session."""
+    home, other = scratch(spark, "stream"), learned.with_rocksdb(spark)
+    rows.write.parquet(f"{home}/in")
+    out = step(other.readStream.schema(rows.schema).parquet(f"{home}/in"))
+    queue.stream_into(out, f"{home}/checkpoint", lambda batch, i: batch.write.mode("overwrite").parquet(f"{home}/out/batch={i}"))
+    return spark.read.schema(out.schema).parquet(f"{home}/out")
+
+
+def stream_preceding(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Denied requests with those sent to their host in the ten minutes before, from a list in a stream's state."""
+    events = _events(spark, sf_dir).select("id", F.col("at").cast("timestamp").alias("at"), "host", "sent", F.col("status").isin(401, 403, 429).alias("denied"))
+    return _streamed(spark, events, lambda s: learned.denials_stream(s, 600)).select("id", "preceding")
+
+
+def stream_routes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The route that each source would take after its last use, from a map in a stream's state."""
+    works = F.get_json_object("props", "$.k").cast("int") % 2 == 0
+    uses = table(spark, sf_dir, "events").select(F.col("event_id").alias("id"), F.col("user_id").alias("source"), F.col("event_type").alias("route"), works.alias("ok"), F.col("ts").cast("timestamp").alias("at"))
+    chosen = _streamed(spark, uses, learned.routes_stream).filter("not expired")
+    return chosen.groupBy("source").agg(F.max_by("route", F.struct("at", "id")).alias("route"))
+
+
 QUERIES = {
     f.__name__: f
     for f in (
         url_canonical, identity_key, company_name_norm, title_norm, salary_extract, salary_normalize, closed_notice, clean_text_counts, link_headings, tag_counts, html_body_length, dedup_plan, dedup_keeper, batch_last_wins, first_per_url, merge_upsert, merge_guarded, conflict_users, trackers_merged,
         host_summary, denial_ordinal, preceding_minute, latest_two_delta, retention_cap, run_metrics, source_report, field_presence, json_variant_props, backoff_schedule, tax_bands, claim_order, idle_eligible, enqueue_states, finish_states, batch_packing, pacing_slots,
-        cosine_topk, vector_mean_pool, vector_state, token_windows, trigram_candidates, name_similarity, entity_unique_match, three_way_union, rule_grading, keyset_pages, owner_export, stream_dedup,
+        cosine_topk, vector_mean_pool, vector_state, token_windows, trigram_candidates, name_similarity, entity_unique_match, three_way_union, rule_grading, keyset_pages, owner_export, stream_dedup, stream_preceding, stream_routes,
     )
 }
 
@@ -414,5 +434,9 @@ SQL = {
  SELECT r.host, r.n, r.id, greatest(r.t, f.begun + f.gap, f.cool), CASE WHEN r.status = 429 THEN least(60.0, f.gap * 2) ELSE f.gap END, CASE WHEN r.retry_after > 0 THEN greatest(f.cool, greatest(r.t, f.begun + f.gap, f.cool) + r.retry_after) ELSE f.cool END FROM f JOIN r ON r.host = f.host AND r.n = f.n + 1)
  SELECT id, round(begun, 3) AS start, gap AS interval FROM f""",
     "keyset_pages": "SELECT o_orderkey, o_custkey FROM orders WHERE o_orderkey > 5000 ORDER BY o_orderkey LIMIT 200",
+    "stream_preceding": f"WITH {EVENTS}, p AS (SELECT id, status, count(*) FILTER (WHERE sent) OVER (PARTITION BY host ORDER BY epoch_us(moment) RANGE BETWEEN 600000000 PRECEDING AND CURRENT ROW) AS preceding FROM e) SELECT id, preceding FROM p WHERE status IN (401, 403, 429)",
+    "stream_routes": """WITH u AS (SELECT user_id AS source, event_type AS route, CAST(json_extract_string(props, '$.k') AS INTEGER) % 2 = 0 AS ok, ts FROM events), l AS (SELECT source, max(ts) AS last FROM u GROUP BY source),
+ g AS (SELECT source, route, max(ts) AS good FROM u WHERE ok GROUP BY source, route), f AS (SELECT g.source, g.route, good, count(u.ts) AS failures FROM g LEFT JOIN u ON u.source = g.source AND u.route = g.route AND NOT u.ok AND u.ts > good GROUP BY g.source, g.route, good)
+ SELECT CAST(l.source AS VARCHAR) AS source, (SELECT arg_max(route, {'a': good, 'b': route}) FROM f WHERE f.source = l.source AND good > last - INTERVAL 7 DAYS AND failures < 3) AS route FROM l""",
     "stream_dedup": "SELECT user_id, event_type, CAST(1 AS BIGINT) AS n FROM events GROUP BY user_id, event_type",
 }
