@@ -7,6 +7,7 @@ shingles or windows are taken to differ in them.
 
 from __future__ import annotations
 
+import ctypes
 from collections.abc import Iterator
 from typing import NamedTuple
 
@@ -35,6 +36,7 @@ BASE = 0x9E3779B97F4A7C15 | 1
 INVERSE = pow(BASE, -1, 1 << 64)
 COMBINE = mix(np.arange(1001, 1129, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15)) | np.uint64(1)
 _powers: dict[int, np.ndarray] = {}
+trim = getattr(ctypes.CDLL(None), "malloc_trim", None)
 
 
 def powers(base: int, n: int) -> np.ndarray:
@@ -49,6 +51,13 @@ def powers(base: int, n: int) -> np.ndarray:
     return have[:n]
 
 
+def give_back() -> None:
+    """Memory that a batch is done with goes back to the machine: Arrow's, and what the C library keeps of numpy's."""
+    pa.default_memory_pool().release_unused()
+    if trim:
+        trim(0)
+
+
 class Words(NamedTuple):
     data: np.ndarray  # bytes of the chunk
     starts: np.ndarray  # first byte of each word
@@ -72,7 +81,7 @@ def text_chunks(column: pa.Array | pa.ChunkedArray, chunk_bytes: int = CHUNK_BYT
         hi = max(lo + 1, int(np.searchsorted(offsets, offsets[lo] + chunk_bytes, "right")) - 1)
         yield lo, hi, data[offsets[lo] : offsets[hi]], offsets[lo : hi + 1] - offsets[lo]
         lo = hi
-    pa.default_memory_pool().release_unused()
+    give_back()
 
 
 def words_of(data: np.ndarray, offsets: np.ndarray) -> Words:
