@@ -2,11 +2,14 @@
 
 from __future__ import annotations
 
+import unicodedata
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 # Words, tags and parameters that identities leave out.
 LEGAL_WORDS = ("ireland", "limited", "ltd", "plc", "dac", "inc", "corp", "corporation", "group", "llc", "holdings", "company", "co")
+KINDS_AT_END = ("limited", "ltd", "plc", "dac", "inc", "llc")
 TRACKING = ("utm_source", "utm_medium", "utm_campaign", "utm_term", "utm_content", "ref", "source", "gh_src", "lever-source", "fbclid", "gclid", "twclid", "mc_eid", "trk", "tracking", "st")
 TITLE_PLACES = "dublin|cork|galway|ireland|kildare|maynooth|limerick|waterford|remote|hybrid|onsite"
 CONTRACT_TAGS = "fixed[- ]term|permanent|temporary|contract|specified purpose|full[- ]time|part[- ]time"
@@ -20,6 +23,22 @@ def _words_only(c: Column) -> Column:
     return F.trim(F.regexp_replace(c, "[^a-z0-9]+", " "))
 
 
+#: Letters with marks that come apart into one plain letter, from the blocks of Latin letters.
+MARKED = {chr(c): base for c in (*range(0xC0, 0x250), *range(0x1E00, 0x1F00)) if (base := "".join(x for x in unicodedata.normalize("NFKD", chr(c)) if not unicodedata.combining(x))) != chr(c) and len(base) == 1}
+
+
+def words_key(text: Column) -> Column:
+    """Words of letters and digits in lower case without marks, with single spaces. Combining marks go; of letters that
+    come apart those of the Latin blocks do."""
+    plain = F.translate(F.replace(F.lower(text), F.lit("ß"), F.lit("ss")), "".join(MARKED), "".join(MARKED.values()))
+    return F.trim(F.regexp_replace(F.regexp_replace(plain, r"\p{Mn}+", ""), r"[^\p{L}\p{N}]+", " "))
+
+
+def name_key(name: Column) -> Column:
+    """words_key without the kinds of companies at the end."""
+    return F.regexp_replace(words_key(name), rf"(?:\s+(?:{'|'.join(KINDS_AT_END)}))+$", "")
+
+
 def company_name(company: Column) -> Column:
     """Lower case, without legal and country words anywhere; what is not a letter or digit is one space."""
     return F.coalesce(_words_only(F.regexp_replace(F.lower(F.trim(company)), rf"\b(?:{'|'.join(LEGAL_WORDS)})\b", " ")), F.lit(""))

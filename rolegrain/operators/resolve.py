@@ -9,6 +9,8 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql.types import DoubleType
 
+from rolegrain.functions.identity import name_key, words_key
+
 # Limits of the retrieval by trigrams.
 SHORTEST, LONGEST, MOST_GRAMS, MOST_RETRIEVED, MOST_KEPT = 6, 128, 24, 1000, 10
 
@@ -56,46 +58,81 @@ def trigram_candidates(queries: DataFrame, entries: DataFrame, most: int = MOST_
 
 @F.pandas_udf(DoubleType())
 def name_similarity(left: pd.Series, right: pd.Series) -> pd.Series:
-    """0..100: the better of matching the names and their sorted words, each in the better direction."""
+    """0..100, to two places: the better of matching the names and their sorted words, each as the mean of both directions."""
 
     def ratio(a: str, b: str) -> float:
-        return max(SequenceMatcher(None, a, b, autojunk=False).ratio(), SequenceMatcher(None, b, a, autojunk=False).ratio())
+        return (SequenceMatcher(None, a, b, autojunk=False).ratio() + SequenceMatcher(None, b, a, autojunk=False).ratio()) / 2
 
     def one(a: str | None, b: str | None) -> float | None:
         if a is None or b is None:
             return None
-        a, b = a.casefold(), b.casefold()
-        return 100 * max(ratio(a, b), ratio(" ".join(sorted(a.split())), " ".join(sorted(b.split()))))
+        return round(100 * max(ratio(a, b), ratio(" ".join(sorted(a.split())), " ".join(sorted(b.split())))), 2)
 
     return pd.Series([one(a, b) for a, b in zip(left, right, strict=True)], dtype="float64")
 
 
-def may_be_similar(left: Column, right: Column, least: float) -> Column:
-    """Whether the lengths of two names leave room for that similarity, which is twice the letters they share by all there
-    are. Words are compared with single spaces too; case folding keeps ASCII's lengths, so other names always may."""
+def letters(name: Column) -> Column:
+    """A name's letters as a set: each with the number of its occurrence, so that a set's intersection is a multiset's."""
+    each = F.array_sort(F.split(name, ""))
+    return F.transform(each, lambda c, i: F.concat(c, (i - F.array_position(each, c)).cast("string")))
+
+
+def most_similar(left: Column, right: Column) -> Column:
+    """What the similarity of two names is at most, from their `letters`: no match has more letters than both names
+    share, and a ratio is twice the matched letters by all there are. Sorted words have the same letters."""
+    return 200 * F.size(F.array_intersect(left, right)) / F.greatest(F.size(left) + F.size(right), F.lit(1))
+
+
+def tidy(name: Column) -> Column:
+    """A name with single spaces, as its sorted words have them."""
+    return F.trim(F.regexp_replace(name, r"\s+", " "))
+
 
-    def bound(a: Column, b: Column) -> Column:
-        return 200 * F.least(F.length(a), F.length(b)) / F.greatest(F.length(a) + F.length(b), F.lit(1)) >= least
+# Words that say nothing about which company it is.
+GENERIC = ("the", "and", "co", "company", "group", "services", "technology", "technologies", "ireland", "irish", "uk", "europe", "international", "global", "holdings", "solutions")
 
-    tidy = lambda c: F.trim(F.regexp_replace(c, r"\s+", " "))
-    ascii_only = left.rlike(r"^[\x00-\x7F]*$") & right.rlike(r"^[\x00-\x7F]*$")
-    return ~ascii_only | bound(left, right) | bound(tidy(left), tidy(right)) | ((F.length(left) == 0) & (F.length(right) == 0))
+
+def name_evidence(left: Column, right: Column) -> Column:
+    """What two names have in common, for those who judge a similarity: shared words that are not generic, whether only
+    the spelling speaks for it, and the words that are extra in the right name and missing from it."""
+    a, b = (F.array_distinct(F.filter(F.split(c, r"\s+"), lambda w: w != "")) for c in (left, right))
+    shared = F.array_sort(F.array_except(F.array_intersect(a, b), F.array(*map(F.lit, GENERIC))))
+    return F.struct(shared.alias("shared"), (F.size(shared) == 0).alias("spelling_only"), F.array_sort(F.array_except(b, a)).alias("extra"), F.array_sort(F.array_except(a, b)).alias("missing"))
+
+
+def worth_matching(queries: DataFrame, entries: DataFrame, least: float) -> DataFrame:
+    """(query_id, entry_id, _q, _e): candidates whose letters leave room for a similarity of least. Letters are laid
+    out once a name, in the JVM; only what is left goes to a matcher. Both names' own spaces and single ones are tried."""
+    laid = lambda rows, key, as_: rows.select(key, F.col("name").alias(as_), letters(F.col("name")).alias(f"{as_}l"), letters(tidy(F.col("name"))).alias(f"{as_}t"))
+    pairs = trigram_candidates(queries, entries).join(laid(queries, "query_id", "_q"), "query_id").join(laid(entries, "entry_id", "_e"), "entry_id")
+    most = F.greatest(most_similar(F.col("_ql"), F.col("_el")), most_similar(F.col("_qt"), F.col("_et")))
+    return pairs.filter(most >= least - 0.01).select("query_id", "entry_id", "_q", "_e")
 
 
 def fuzzy_matches(queries: DataFrame, entries: DataFrame, least: float = 85.0, keep: int = MOST_KEPT) -> DataFrame:
     """(query_id, entry_id, similarity) of at least `least`, the best `keep` of each query."""
-    pairs = trigram_candidates(queries, entries).join(queries.select("query_id", F.col("name").alias("_q")), "query_id").join(entries.select("entry_id", F.col("name").alias("_e")), "entry_id")
-    scored = pairs.filter(may_be_similar(F.col("_q"), F.col("_e"), least)).withColumn("similarity", name_similarity("_q", "_e")).filter(F.col("similarity") >= least)
+    scored = worth_matching(queries, entries, least).withColumn("similarity", name_similarity("_q", "_e")).filter(F.col("similarity") >= least)
     return scored.withColumn("_place", F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("similarity"), "entry_id"))).filter(F.col("_place") <= keep).select("query_id", "entry_id", "similarity")
 
 
+def alias_meetings(witnesses: DataFrame, aliases: DataFrame) -> DataFrame:
+    """(witness_id, phrase): where an alias's rarest word stands. Each phrase is filed under that of its words which the
+    fewest witnesses have, so a word like `the` brings nothing together unless a phrase has no other; one with a word
+    that no witness has is filed nowhere."""
+    words = witnesses.select("witness_id", F.explode(F.array_distinct(F.split(words_key(F.col("text")), " "))).alias("word"))
+    known = words.groupBy("word").agg(F.count("*").alias("seen"))
+    phrases = aliases.select(name_key(F.col("alias")).alias("phrase")).filter("phrase <> ''").distinct()
+    each = phrases.select("phrase", F.explode(F.array_distinct(F.split("phrase", " "))).alias("word")).join(known, "word", "left")
+    filed = each.groupBy("phrase").agg(F.min_by("word", F.struct("seen", "word")).alias("word"), F.bool_and(F.col("seen").isNotNull()).alias("may")).filter("may").drop("may")
+    return words.join(filed, "word").select("witness_id", "phrase")
+
+
 def alias_candidates(witnesses: DataFrame, aliases: DataFrame, limit: int = 10) -> DataFrame:
-    """(witness_id, source, identity, truncated): entries whose alias stands as a whole phrase in the text."""
-    texts = witnesses.select("witness_id", F.concat(F.lit(" "), F.lower("text"), F.lit(" ")).alias("_text"))
-    words = witnesses.select("witness_id", F.explode(F.array_distinct(F.split(F.lower("text"), " "))).alias("_word"))
-    first = aliases.select("source", "identity", F.lower("alias").alias("_alias"), F.substring_index(F.lower("alias"), " ", 1).alias("_word"))
-    met = words.join(first, "_word").drop("_word").distinct()
-    hits = met.join(texts, "witness_id").filter(F.col("_text").contains(F.concat(F.lit(" "), F.col("_alias"), F.lit(" ")))).select("witness_id", "source", "identity").distinct()
+    """(witness_id, source, identity, truncated): entries whose alias stands as a whole phrase in the text, the first
+    `limit` of each witness by source and identity."""
+    texts = witnesses.select("witness_id", F.concat(F.lit(" "), words_key(F.col("text")), F.lit(" ")).alias("_text"))
+    found = alias_meetings(witnesses, aliases).join(texts, "witness_id").filter(F.col("_text").contains(F.concat(F.lit(" "), F.col("phrase"), F.lit(" ")))).select("witness_id", "phrase")
+    hits = found.join(aliases.select("source", "identity", name_key(F.col("alias")).alias("phrase")), "phrase").select("witness_id", "source", "identity").distinct()
     by = Window.partitionBy("witness_id")
     placed = hits.withColumns({"_place": F.row_number().over(by.orderBy("source", "identity")), "_n": F.count("*").over(by)})
     return placed.filter(F.col("_place") <= limit).select("witness_id", "source", "identity", (F.col("_n") > limit).alias("truncated"))

@@ -6,8 +6,8 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from rolegrain.functions import identity, pay, schedule, text
-from rolegrain.operators import catalog, dedup, merge, resolve, telemetry, vectors
-from rolegrain.plans.adapters import scratch, table
+from rolegrain.operators import catalog, dedup, merge, resolve, rollup, telemetry, vectors
+from rolegrain.plans.adapters import JOBS, jobs, scratch, table
 from rolegrain.sources import elements
 from rolegrain.streaming import learned, pacing, queue
 
@@ -290,6 +290,25 @@ def name_similarity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return resolve.fuzzy_matches(parts.filter("p_partkey % 100 = 0").select(F.col("p_partkey").alias("query_id"), F.col("p_name").alias("name")), parts.select(F.col("p_partkey").alias("entry_id"), F.col("p_name").alias("name")))
 
 
+def alias_phrases(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Documents in whose texts the first three words of a benchmark item, or its first two, stand as a phrase."""
+    first = lambda n: F.array_join(F.slice(F.split(identity.words_key(F.col("text")), " "), 1, n), " ")
+    items = table(spark, sf_dir, "benchmark").select(F.col("item_id").cast("string").alias("identity"), F.explode(F.array(first(2), first(3))).alias("alias")).select(F.lit("benchmark").alias("source"), "identity", "alias")
+    docs = table(spark, sf_dir, "documents").select(F.col("doc_id").alias("witness_id"), "text")
+    return resolve.alias_candidates(docs, items)
+
+
+def rollup_after_writes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The catalog's rollup from a stored version and one write: some jobs moved, some closed, some new, some deleted."""
+    home, all_jobs = scratch(spark, "rollup"), jobs(spark, sf_dir).select("id", "closed", "location", F.col("sector").alias("category"))
+    turn = F.col("id") % 50
+    rollup.refresh(all_jobs.filter(turn != 3), home)  # jobs of turn 3 are not there yet
+    replaced = all_jobs.filter(turn.isin(0, 1, 2))
+    moved = replaced.filter(turn < 2).withColumn("location", F.when(turn == 0, "MOVED").otherwise(F.col("location"))).withColumn("closed", F.col("closed") | (turn == 1))
+    rollup.after_write(spark, home, replaced, moved.unionByName(all_jobs.filter(turn == 3)))
+    return rollup.stored(spark, home)
+
+
 def entity_unique_match(spark: SparkSession, sf_dir: str) -> DataFrame:
     left = table(spark, sf_dir, "supplier").select(F.col("s_suppkey").alias("left_id"), (F.floor(F.col("s_acctbal") / 5)).cast("string").alias("strong"), (F.floor(F.col("s_acctbal") / 100)).cast("string").alias("weak"))
     right = table(spark, sf_dir, "customer").select(F.col("c_custkey").alias("right_id"), (F.floor(F.col("c_acctbal") / 5)).cast("string").alias("strong"), (F.floor(F.col("c_acctbal") / 100)).cast("string").alias("weak"))
@@ -357,7 +376,7 @@ QUERIES = {
     for f in (
         url_canonical, identity_key, company_name_norm, title_norm, salary_extract, salary_normalize, closed_notice, clean_text_counts, link_headings, tag_counts, html_body_length, dedup_plan, dedup_keeper, batch_last_wins, first_per_url, merge_upsert, merge_guarded, conflict_users, trackers_merged,
         host_summary, denial_ordinal, preceding_minute, latest_two_delta, retention_cap, run_metrics, source_report, field_presence, json_variant_props, backoff_schedule, tax_bands, claim_order, idle_eligible, enqueue_states, finish_states, batch_packing, pacing_slots,
-        cosine_topk, vector_mean_pool, vector_state, token_windows, trigram_candidates, name_similarity, entity_unique_match, three_way_union, rule_grading, keyset_pages, owner_export, stream_dedup, stream_preceding, stream_routes,
+        cosine_topk, vector_mean_pool, vector_state, token_windows, trigram_candidates, name_similarity, alias_phrases, rollup_after_writes, entity_unique_match, three_way_union, rule_grading, keyset_pages, owner_export, stream_dedup, stream_preceding, stream_routes,
     )
 }
 
@@ -375,6 +394,7 @@ for _e, _c in {"&copy;": "©", "&middot;": "·", "&quot;": '"', "&lt;": "<", "&g
     _CLEAN = f"replace({_CLEAN}, '{_e}', '{_c}')"
 _CLEAN = rf"trim(regexp_replace({_CLEAN}, '[\s\x0B\x{{85}}\pZ]+', ' ', 'g'))"
 _MARKUP = r"regexp_replace(html, '(?is)(<script\b[^>]*>).*?</script>|<!--.*?-->', '\1', 'g')"
+_PLAIN = r"trim(regexp_replace(strip_accents(replace(lower(coalesce(text, '')), 'ß', 'ss')), '[^\pL\pN]+', ' ', 'g'))"
 _USC = "(greatest(0, least(g, 12012)) * 0.005 + greatest(0, least(g, 28700) - 12012) * 0.02 + greatest(0, least(g, 70044) - 28700) * 0.03 + greatest(0, g - 70044) * 0.08)"
 _TRIGRAMS = "list_distinct(list_filter(list_transform(range(1, greatest(length(p_name) - 1, 2)), lambda i: substr(p_name, i, 3)), lambda g: length(g) = 3 AND NOT contains(g, ' ')))"
 
@@ -434,6 +454,11 @@ SQL = {
  SELECT r.host, r.n, r.id, greatest(r.t, f.begun + f.gap, f.cool), CASE WHEN r.status = 429 THEN least(60.0, f.gap * 2) ELSE f.gap END, CASE WHEN r.retry_after > 0 THEN greatest(f.cool, greatest(r.t, f.begun + f.gap, f.cool) + r.retry_after) ELSE f.cool END FROM f JOIN r ON r.host = f.host AND r.n = f.n + 1)
  SELECT id, round(begun, 3) AS start, gap AS interval FROM f""",
     "keyset_pages": "SELECT o_orderkey, o_custkey FROM orders WHERE o_orderkey > 5000 ORDER BY o_orderkey LIMIT 200",
+    "alias_phrases": f"""WITH d AS (SELECT doc_id, ' ' || {_PLAIN} || ' ' AS t FROM documents), b AS (SELECT CAST(item_id AS VARCHAR) AS identity, string_split({_PLAIN}, ' ') AS w FROM benchmark),
+ a AS (SELECT identity, unnest([array_to_string(w[1:2], ' '), array_to_string(w[1:3], ' ')]) AS phrase FROM b), h AS (SELECT DISTINCT doc_id, identity FROM d JOIN a ON phrase <> '' AND contains(t, ' ' || phrase || ' ')),
+ p AS (SELECT *, row_number() OVER (PARTITION BY doc_id ORDER BY identity) AS place, count(*) OVER (PARTITION BY doc_id) AS n FROM h) SELECT doc_id AS witness_id, 'benchmark' AS source, identity, n > 10 AS truncated FROM p WHERE place <= 10""",
+    "rollup_after_writes": f"""WITH {JOBS}, j AS (SELECT CASE WHEN id % 50 = 0 THEN 'MOVED' ELSE location END AS location, coalesce(sector, 'Uncategorized') AS category FROM jobs WHERE NOT closed AND id % 50 NOT IN (1, 2))
+ SELECT 'total' AS kind, '' AS name, count(*) AS n FROM j UNION ALL SELECT 'location', location, count(*) FROM j WHERE trim(coalesce(location, '')) <> '' GROUP BY location UNION ALL SELECT 'category', category, count(*) FROM j GROUP BY category""",
     "stream_preceding": f"WITH {EVENTS}, p AS (SELECT id, status, count(*) FILTER (WHERE sent) OVER (PARTITION BY host ORDER BY epoch_us(moment) RANGE BETWEEN 600000000 PRECEDING AND CURRENT ROW) AS preceding FROM e) SELECT id, preceding FROM p WHERE status IN (401, 403, 429)",
     "stream_routes": """WITH u AS (SELECT user_id AS source, event_type AS route, CAST(json_extract_string(props, '$.k') AS INTEGER) % 2 = 0 AS ok, ts FROM events), l AS (SELECT source, max(ts) AS last FROM u GROUP BY source),
  g AS (SELECT source, route, max(ts) AS good FROM u WHERE ok GROUP BY source, route), f AS (SELECT g.source, g.route, good, count(u.ts) AS failures FROM g LEFT JOIN u ON u.source = g.source AND u.route = g.route AND NOT u.ok AND u.ts > good GROUP BY g.source, g.route, good)

@@ -209,24 +209,6 @@ def labelled_detail(texts: DataFrame) -> DataFrame:
     return texts.select("page_id", or_else(first(r"Location:\s*\n(.+)"), "Ireland").alias("location"), or_else(first(r"\n(FT Permanent|FT Fixed Term|\(US\)Full Time)\n"), SEE_POST).alias("employment_type"), first(r"(?s)\nDescription\s*\n(.*?)(?:\nWhy join us\?|\nApply now)").alias("description"))
 
 
-FACETS = "array<struct<facetParameter:string,values:array<struct<id:string,descriptor:string,facetParameter:string,values:array<struct<id:string,descriptor:string,facetParameter:string,values:array<struct<id:string,descriptor:string>>>>>>>>"
-MOST_FACETS = 128
-
-
-def irish_facets(boards: DataFrame) -> DataFrame:
-    """(source, parameter, ids, only_irish) of boards (source, body) with nested facets: the Irish ids of the country
-    facet, else of the place facet, and whether all of its values are Irish. More than MOST_FACETS ids are an error."""
-    top = boards.select("source", F.explode(F.from_json(F.get_json_object("body", "$.facets"), FACETS)).alias("f"))
-    flat = lambda level: level.select("source", "f.facetParameter", F.transform("f.values", lambda v: F.struct(v["id"].alias("id"), v["descriptor"].alias("descriptor"))).alias("values"))
-    second = top.select("source", F.explode("f.values").alias("f")).filter("f.facetParameter is not null")
-    third = second.select("source", F.explode("f.values").alias("f")).filter("f.facetParameter is not null")
-    every = flat(top).unionByName(flat(second)).unionByName(flat(third)).filter(F.col("facetParameter").isin("locationCountry", "locations") & (F.size("values") > 0))
-    ids = F.transform(F.filter("values", lambda v: v["id"].isNotNull() & (F.length(v["id"]) <= MOST_FACETS) & surely_irish(v["descriptor"])), lambda v: v["id"])
-    judged = every.select("source", F.col("facetParameter").alias("parameter"), F.when(F.size(ids) <= MOST_FACETS, ids).otherwise(F.raise_error(F.lit("too many Irish facets")).cast("array<string>")).alias("ids"), F.forall("values", lambda v: surely_irish(v["descriptor"])).alias("only_irish"))
-    best = F.row_number().over(Window.partitionBy("source").orderBy("parameter", F.desc(F.size("ids"))))
-    return judged.filter((F.size("ids") > 0) | F.col("only_irish")).withColumn("_best", best).filter("_best = 1").drop("_best")
-
-
 class Bodies(HTMLParser):
     """The markup of a page's containers of a job's description, and of its articles."""
 

@@ -13,6 +13,7 @@ from rolegrain.functions.entities import decoded
 from rolegrain.functions.pay import pay_text
 from rolegrain.functions.places import maybe_irish, surely_irish
 from rolegrain.functions.text import markup_to_lines, plain_text
+from rolegrain.sources.facet_tree import irish_facets
 
 SEE_POST = "See job post"
 Expr = Callable[[Column], Column]
@@ -64,6 +65,9 @@ def irish_first(entries: Column, named: Expr, country: Expr, fallback: Column) -
     return F.coalesce(F.try_element_at(F.transform(hits, lambda e: first_of(named(e), country(e))), F.lit(1)), fallback)
 
 
+#: Boards whose facets may prove that all postings are Irish, and places that say nothing.
+FACETED = ("workday",)
+NO_PLACE = r"(?i)^\s*$|^\s*(?:(?:\d+|multiple)\s+locations?|remote|hybrid)\s*$"
 CITY_COUNTRY = "struct<city string, country string>"
 FEEDS: dict[str, Feed] = {
     "greenhouse": Feed(
@@ -126,7 +130,8 @@ FEEDS: dict[str, Feed] = {
     ),
     "workday": Feed(
         "total int, jobPostings array<struct<title string, locationsText string, externalPath string, postedOn string, bulletFields array<string>>>", lambda b: F.when(b["total"].isNotNull(), b["jobPostings"]), lambda p: p["title"], lambda p: p["locationsText"],
-        lambda p: url_of("https://", F.col("token"), p["externalPath"]), lambda p: p["externalPath"], keep=lambda p: text(p["externalPath"]) != "",
+        lambda p: url_of("https://", F.col("token"), p["externalPath"]), lambda p: p["externalPath"],
+        keep=lambda p: (text(p["externalPath"]) != "") & (surely_irish(text(p["locationsText"])) | (F.col("only_irish") & text(p["locationsText"]).rlike(NO_PLACE))), irish=None,
     ),
     "amazon": Feed(
         "jobs array<struct<title string, city string, normalized_location string, job_path string, url_next_step string, description string, basic_qualifications string, preferred_qualifications string, job_schedule_type string>>",
@@ -180,14 +185,19 @@ def read_feed(bodies: DataFrame, provider: str) -> DataFrame:
     if provider in BARE_ARRAYS:
         field = feed.schema.split(" ", 1)[0]
         body = F.when(body.startswith("["), F.concat(F.lit(f'{{"{field}": '), body, F.lit("}"))).otherwise(body)
+    if provider in FACETED:
+        proof = irish_facets(bodies).select("source", "only_irish")
+        bodies = bodies.join(proof, "source", "left").withColumn("only_irish", F.coalesce("only_irish", F.lit(False)))
     parsed = bodies.withColumn("_parsed", F.from_json(body, feed.schema))
     found = feed.postings(F.col("_parsed"))
     listed = parsed.withColumn("_list", F.coalesce(found, F.raise_error(F.concat(F.lit(f"no {provider} listing: "), F.col("source"))).cast(_array_type(parsed, found))))
-    each = listed.select("source", "company", "token", F.posexplode("_list").alias("_pos", "p"))
+    each = listed.select("source", "company", "token", *(["only_irish"] if provider in FACETED else []), F.posexplode("_list").alias("_pos", "p"))
     p = F.col("p")
     named = each.withColumns({"title": text(feed.title(p)), "_place": F.coalesce(feed.place(p), F.lit("")), "url": feed.url(p), "_keep": F.coalesce(feed.keep(p), F.lit(False))})
     kept = named.filter(F.col("_keep") & (feed.irish(F.col("_place")) if feed.irish else F.lit(True)) & (F.col("title") != "") & (F.coalesce("url", F.lit("")) != ""))
     place = F.when(F.trim("_place") == "", feed.default_place).otherwise(F.col("_place"))
+    if provider in FACETED:  # a place that is none stays only with the facets' proof, and is the country
+        place = F.when(surely_irish("_place"), F.col("_place")).otherwise("Ireland")
     whole = kept.withColumn("location", place).withColumn("description", F.coalesce(F.nullif(feed.body(p), F.lit("")), made_up(p, F.col("title"), F.col("location"))) if feed.body else made_up(p, F.col("title"), F.col("location")))
     pay = pay_text(F.col("description"), F.col("title"))
     whole = whole.withColumns({"salary_text": F.coalesce(feed.pay(p), pay) if feed.pay else pay, "employment_type": feed.employment(p), "external_id": feed.external_id(p).cast("string")})

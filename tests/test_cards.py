@@ -4,7 +4,7 @@ import json
 
 import pytest
 
-from rolegrain.sources import cards
+from rolegrain.sources import cards, facet_tree
 
 
 def pages(spark, *html, url="https://x.test/list", company="Acme"):
@@ -59,7 +59,7 @@ def test_facets(spark):
     country = lambda *names: {"facetParameter": "locationCountry", "values": [{"id": n[:2], "descriptor": n} for n in names]}
     body = lambda facets: json.dumps({"facets": facets})
     boards = [("a", body([{"facetParameter": "locationMainGroup", "values": [country("Ireland", "France"), {"facetParameter": "locations", "values": [{"id": "c", "descriptor": "Cork"}]}]}])), ("b", body([country("Ireland")])), ("c", body([country("Spain")])), ("d", "{}")]
-    got = {r.source: (r.parameter, r.ids, r.only_irish) for r in cards.irish_facets(spark.createDataFrame(boards, "source string, body string")).collect()}
+    got = {r.source: (r.parameter, r.ids, r.only_irish) for r in facet_tree.irish_facets(spark.createDataFrame(boards, "source string, body string")).collect()}
     assert got == {"a": ("locationCountry", ["Ir"], False), "b": ("locationCountry", ["Ir"], True)}
 
 
