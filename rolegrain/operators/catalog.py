@@ -58,7 +58,12 @@ class PageRequest:
 def combined(jobs: DataFrame, evaluations: DataFrame, trackers: DataFrame, sectors: DataFrame) -> DataFrame:
     """Open jobs with the caller's evaluation and tracker and the sector group, null-safe: no evaluation is
     score 0 and tier Unassessed, no tracker is new and not saved. trackers and evaluations are one caller's."""
-    own = jobs.filter(~F.col("closed")).join(evaluations, F.col("id") == F.col("job_id"), "left").drop("job_id")
+    return with_own(jobs.filter(~F.col("closed")), evaluations, trackers, sectors)
+
+
+def with_own(jobs: DataFrame, evaluations: DataFrame, trackers: DataFrame, sectors: DataFrame) -> DataFrame:
+    """jobs, whatever their state, with what the caller has of them and the sector group."""
+    own = jobs.join(evaluations, F.col("id") == F.col("job_id"), "left").drop("job_id")
     own = own.join(trackers, "id", "left").join(sectors, "sector", "left")
     return own.withColumns({"score": F.coalesce("score", F.lit(0)), "tier": F.coalesce("tier", F.lit("Unassessed")), "status": F.coalesce("status", F.lit("new")), "is_saved": F.coalesce("is_saved", F.lit(False)), "category": F.coalesce("category", F.lit("Uncategorized"))})
 
@@ -155,6 +160,13 @@ def in_scope(jobs: DataFrame, scope: str | None, now: Column) -> DataFrame:
     return jobs.filter(effective_availability(F.col("availability_status"), F.col("availability_checked_at"), now) == scope)
 
 
+def scoped(jobs: DataFrame, evaluations: DataFrame, trackers: DataFrame, sectors: DataFrame, scope: str | None, now: Column) -> DataFrame:
+    """combined for the jobs of an availability, with availability_status as it holds at now. Page, map and overview take
+    their rows from here, so that one scope shows the same jobs in all three. The scope is a filter on the scan."""
+    state = effective_availability(F.col("availability_status"), F.col("availability_checked_at"), now)
+    return with_own(in_scope(jobs, scope, now).withColumn("availability_status", state), evaluations, trackers, sectors)
+
+
 def scope_of_stage(status: str) -> str:
     """The default availability of a stage's page: what a candidate tracks is shown whatever became of it."""
     return "active" if status in ("all", "new") else "all"

@@ -63,6 +63,21 @@ def with_coordinates(jobs: DataFrame) -> DataFrame:
     return jobs.withColumns(each)
 
 
+def map_rows(rows: DataFrame) -> DataFrame:
+    """rows with the coordinates that a map shows, as latitude and longitude; null for a place that was never verified on it
+    or is not the job's present one."""
+    shown = with_coordinates(rows)
+    return shown.withColumns({c: F.col(f"map_{c}") for c in ("latitude", "longitude")}).drop(*[f"{k}_{c}" for k in ("list", "map") for c in ("latitude", "longitude")])
+
+
+def map_counts(rows: DataFrame, bounds: tuple[float, float, float, float]) -> DataFrame:
+    """One row: rows in total, those with coordinates and those in the bounds (west, south, east, north)."""
+    west, south, east, north = checked_bounds(bounds)
+    located = F.col("latitude").isNotNull() & F.col("longitude").isNotNull()
+    inside = located & in_bounds(F.col("latitude"), F.col("longitude"), south, west, north, east)
+    return rows.agg(F.count("*").alias("total"), F.count_if(located).alias("mapped"), F.count_if(inside).alias("in_view"))
+
+
 def office_clusters(jobs: DataFrame, employers: DataFrame, lookups: DataFrame, offices: DataFrame, now, zoom: int, bounds: tuple[float, float, float, float], days: int = 180, limit: int = MOST_CLUSTERS) -> DataFrame:
     """Clusters of jobs at their employer's office: where the job's place was verified as a city or district, a lookup of
     it under the employer's present name is fresh and found places, and exactly one of these was seen within days. bounds

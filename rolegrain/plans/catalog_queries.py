@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from functools import partial
+from functools import partial, reduce
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -41,6 +41,12 @@ ROWS = f"""WITH {JOBS}, {EVALUATIONS}, {MAPPED}, graded AS (SELECT job_id, {scor
  combined AS (SELECT j.id, j.title, j.company, j.location, j.sector, j.metadata_source, j.pay, j.last_seen_at, j.status, j.is_saved, coalesce(g.s, 0) AS score,
  CASE WHEN g.job_id IS NULL THEN 'Unassessed' WHEN g.s >= 75 THEN 'Strong Match' WHEN g.s >= 55 THEN 'Good Match' WHEN g.s >= 35 THEN 'Moderate Match' WHEN g.s >= 15 THEN 'Low Match' ELSE 'Mismatch' END AS tier,
  coalesce(m.category, 'Uncategorized') AS category FROM jobs j LEFT JOIN graded g ON j.id = g.job_id LEFT JOIN mapping m ON j.sector = m.sector WHERE NOT j.closed)"""
+#: The same rows in each availability, whatever their state.
+SCOPED = ROWS.replace(" WHERE NOT j.closed)", ")") + """, held AS (SELECT c.*, j.closed AS gone, CASE WHEN c.id % 3 = 1 THEN 'closed' WHEN c.id % 3 = 0 AND c.id % 48 < 24 THEN 'active' ELSE 'unverified' END AS state,
+  CASE WHEN c.id % 4 = 0 THEN CAST(c.id % 120 - 60 AS DOUBLE) END AS listed_y, CASE WHEN c.id % 4 = 0 THEN CAST(c.id * 7 % 340 - 170 AS DOUBLE) END AS listed_x,
+  CASE WHEN c.id % 4 <> 0 AND c.id % 5 <> 0 AND c.id % 7 <> 0 AND c.location IS NOT NULL THEN c.id % 120 - 60 END AS y, CASE WHEN c.id % 4 <> 0 AND c.id % 5 <> 0 AND c.id % 7 <> 0 AND c.location IS NOT NULL THEN c.id * 7 % 340 - 170 END AS x
+  FROM combined c JOIN jobs j USING (id)), scopes AS (SELECT unnest(['active', 'closed', 'unverified', 'all', 'legacy']) AS scope),
+ shown AS (SELECT * FROM scopes JOIN held ON scope = 'all' OR (scope = 'legacy' AND NOT gone) OR scope = state)"""
 PAGE_COLUMNS = ("id", "title", "company", "location", "pay", "status", "score", "tier", "category")
 
 PAGES: dict[str, tuple[PageRequest, str, str]] = {
@@ -120,6 +126,53 @@ def availability_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return jobs.groupBy(status.alias("availability")).agg(F.count("*").alias("n"), F.max("last_seen_at").cast("string").alias("latest"))
 
 
+def _scoped(spark: SparkSession, sf_dir: str, scope: str) -> DataFrame:
+    """The catalog's rows of an availability: checks up to two days old, some places verified and some not."""
+    jobs, k = adapters.jobs(spark, sf_dir), F.col("id")
+    state = F.when(k % 3 == 0, "active").when(k % 3 == 1, "closed").otherwise("unverified")
+    checked = F.lit(NOW).cast("timestamp_ntz") - F.make_dt_interval(F.lit(0), (k % 48).cast("int"))
+    whole = jobs.withColumns({
+        "closed_at": F.when(F.col("closed"), F.col("last_seen_at")), "availability_status": state, "availability_checked_at": checked, "coordinate_source": F.when(k % 4 == 0, "posting").otherwise("geocoded"), "location_status": F.when(k % 5 == 0, "ambiguous").otherwise("verified"),
+        "verified_location": F.when(k % 7 == 0, "Elsewhere").otherwise(F.col("location")), "latitude": (k % 120 - 60).cast("double"), "longitude": (k * 7 % 340 - 170).cast("double"), "precision": F.when(k % 2 == 0, "city").otherwise("district"),
+    })
+    own = scored(spark, sf_dir), jobs.select("id", "status", "is_saved"), facets.sector_mapping(jobs)
+    return catalog.scoped(whole.drop("status", "is_saved"), *own, scope, F.lit(NOW).cast("timestamp_ntz"))
+
+
+def _each_scope(step) -> DataFrame:
+    return reduce(DataFrame.unionByName, [step(scope).withColumn("scope", F.lit(scope)) for scope in catalog.SCOPES])
+
+
+def scoped_pages(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The second page of applied jobs in each availability, and how many there are, with the postings' own coordinates."""
+    request = PageRequest(status="applied", sort="date", limit=20, offset=20)
+
+    def one(scope: str) -> DataFrame:
+        found = _scoped(spark, sf_dir, scope)
+        total = catalog.page_total(found, request).select("total")
+        return geo.with_coordinates(catalog.page(found, request)).select("id", "availability_status", "score", "category", "list_latitude", "list_longitude").crossJoin(F.broadcast(total))
+
+    return _each_scope(one)
+
+
+def scoped_maps(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Of each availability: jobs, those with verified coordinates and those in view, with the clusters in view."""
+    bounds = (150.0, -30.0, -120.0, 40.0)
+
+    def one(scope: str) -> DataFrame:
+        shown = geo.map_rows(_scoped(spark, sf_dir, scope))
+        west, south, east, north = bounds
+        pins = geo.clusters(shown.filter(places.in_bounds(F.col("latitude"), F.col("longitude"), south, west, north, east)), 0)
+        return geo.map_counts(shown, bounds).join(pins.select("cell_y", "cell_x", "n", "top_ids", "precision"), how="left")
+
+    return _each_scope(one)
+
+
+def scoped_overviews(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Of each availability: jobs by stage, the good ones and the assessed ones."""
+    return _each_scope(lambda scope: _scoped(spark, sf_dir, scope).groupBy("status").agg(F.count("*").alias("n"), F.count_if(F.col("score") >= 75).alias("high_fit"), F.count_if(F.col("tier") != "Unassessed").alias("evaluated")))
+
+
 def score_compose(spark: SparkSession, sf_dir: str) -> DataFrame:
     return scored(spark, sf_dir)
 
@@ -182,7 +235,7 @@ def overlay_patch(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES = {name: partial(one_page, request=request) for name, (request, _, _) in PAGES.items()} | {
     f.__name__: f
-    for f in (page_total, facet_locations, sector_mapping_topn, facet_sectors, sector_groups_by_type, histogram_bins, stage_counts, saved_counts, skill_top10, mean_by_sector, new_by_antijoin, availability_counts, score_compose, score_recompose, tier_counts, score_preview_top5, literal_skill_hits, grid_clusters, bbox_wrap, office_unique_join, overlay_patch)
+    for f in (page_total, facet_locations, sector_mapping_topn, facet_sectors, sector_groups_by_type, histogram_bins, stage_counts, saved_counts, skill_top10, mean_by_sector, new_by_antijoin, availability_counts, scoped_pages, scoped_maps, scoped_overviews, score_compose, score_recompose, tier_counts, score_preview_top5, literal_skill_hits, grid_clusters, bbox_wrap, office_unique_join, overlay_patch)
 }
 
 
@@ -209,6 +262,11 @@ SQL = {name: f"{ROWS} SELECT {', '.join(PAGE_COLUMNS)} FROM combined WHERE {wher
     "mean_by_sector": f"{ROWS} SELECT category, CAST(coalesce(round(avg(score) FILTER (WHERE tier <> 'Unassessed')), 0) AS INTEGER) AS mean_score FROM combined GROUP BY category",
     "new_by_antijoin": f"WITH {JOBS} SELECT count(*) AS n_new FROM jobs j WHERE NOT closed AND NOT EXISTS (SELECT 1 FROM jobs t WHERE t.id = j.id AND t.status <> 'new')",
     "availability_counts": f"WITH {JOBS}, a AS (SELECT CASE WHEN closed THEN 'closed' WHEN status <> 'new' AND last_seen_at <= TIMESTAMP '{NOW}' AND last_seen_at > TIMESTAMP '{NOW}' - INTERVAL 24 HOURS THEN 'active' ELSE 'unverified' END AS availability, last_seen_at FROM jobs) SELECT availability, count(*) AS n, CAST(max(last_seen_at) AS VARCHAR) AS latest FROM a GROUP BY availability",
+    "scoped_pages": f"{SCOPED}, p AS (SELECT *, row_number() OVER (PARTITION BY scope ORDER BY last_seen_at DESC NULLS LAST, score DESC NULLS LAST, id DESC) AS place, count(*) OVER (PARTITION BY scope) AS total FROM shown WHERE status = 'applied') SELECT scope, id, state AS availability_status, score, category, listed_y AS list_latitude, listed_x AS list_longitude, total FROM p WHERE place BETWEEN 21 AND 40",
+    "scoped_maps": f"""{SCOPED}, v AS (SELECT *, y IS NOT NULL AND y BETWEEN -30 AND 40 AND (x >= 150 OR x <= -120) AS seen FROM shown), t AS (SELECT scope, count(*) AS total, count(y) AS mapped, count(*) FILTER (WHERE seen) AS in_view FROM v GROUP BY scope),
+ c AS (SELECT scope, id, id % 2 AS odd, CAST(floor(y / 11.25) AS BIGINT) AS cell_y, CAST(floor(x / 11.25) AS BIGINT) AS cell_x, row_number() OVER (PARTITION BY scope, floor(y / 11.25), floor(x / 11.25) ORDER BY score DESC, id) AS place FROM v WHERE seen),
+ g AS (SELECT scope, cell_y, cell_x, count(*) AS n, string_agg(CAST(id AS VARCHAR), ',' ORDER BY place) FILTER (WHERE place <= 5) AS top_ids, CASE WHEN min(odd) <> max(odd) THEN 'mixed' WHEN min(odd) = 0 THEN 'city' ELSE 'district' END AS precision FROM c GROUP BY scope, cell_y, cell_x) SELECT * FROM t LEFT JOIN g USING (scope)""",
+    "scoped_overviews": f"{SCOPED} SELECT scope, status, count(*) AS n, count(*) FILTER (WHERE score >= 75) AS high_fit, count(*) FILTER (WHERE tier <> 'Unassessed') AS evaluated FROM shown GROUP BY scope, status",
     "score_compose": f"WITH {EVALUATIONS}, g AS (SELECT job_id, {score_sql()} AS score FROM evaluations) SELECT job_id, score, CASE WHEN score >= 75 THEN 'Strong Match' WHEN score >= 55 THEN 'Good Match' WHEN score >= 35 THEN 'Moderate Match' WHEN score >= 15 THEN 'Low Match' ELSE 'Mismatch' END AS tier FROM g",
     "score_recompose": f"WITH {EVALUATIONS} SELECT job_id, {score_sql(35, 10)} AS score FROM evaluations",
     "tier_counts": f"{ROWS} SELECT tier, count(*) AS n FROM combined GROUP BY tier",

@@ -106,6 +106,38 @@ def test_api_keeps_users_apart(spark, tmp_path):
     assert json.loads(api.overview("b").first().document)["high_fit"] == 1
 
 
+def test_api_scopes_and_coordinates(spark, tmp_path):
+    """One active, one closed and one stale job: page, map and overview show the same ones of each."""
+    at = T(2026, 1, 2)
+    old = dict(title="Dev", company="A", location="Cork", sector="Fintech", metadata_source="verified", pay=10, last_seen_at=T(2026, 1, 1), precision="city", verified_location="Cork", location_status="verified")
+    jobs = [
+        dict(old, id=1, closed=False, closed_at=None, availability_status="active", availability_checked_at=T(2026, 1, 1, 12), coordinate_source="geocoded", latitude=51.9, longitude=-8.5),
+        dict(old, id=2, closed=True, closed_at=T(2026, 1, 1), availability_status="closed", availability_checked_at=T(2024, 1, 1), coordinate_source="geocoded", latitude=51.8, longitude=-8.4),
+        dict(old, id=3, closed=False, closed_at=None, availability_status="active", availability_checked_at=T(2026, 1, 1), coordinate_source="posting", latitude=53.3, longitude=-6.2),
+        dict(old, id=4, closed=False, closed_at=None, availability_status="active", availability_checked_at=T(2026, 1, 2), coordinate_source="geocoded", latitude=53.0, longitude=-6.0, verified_location="Dublin"),
+    ]
+    schema = "id long, title string, company string, location string, sector string, metadata_source string, pay long, last_seen_at timestamp, closed boolean, closed_at timestamp, latitude double, longitude double, precision string, coordinate_source string, location_status string, verified_location string, availability_status string, availability_checked_at timestamp"
+    names = [f.split()[0] for f in schema.split(", ")]
+    spark.createDataFrame([tuple(j[n] for n in names) for j in jobs], schema).write.parquet(str(tmp_path / "jobs.parquet"))
+    spark.createDataFrame([("a", 2, 90, "Strong Match")], "user_id string, job_id long, score int, tier string").write.parquet(str(tmp_path / "evaluations.parquet"))
+    spark.createDataFrame([("a", 2, "applied", True)], "user_id string, id long, status string, is_saved boolean").write.parquet(str(tmp_path / "trackers.parquet"))
+    api, now, globe = Catalog(spark, str(tmp_path)), F.lit(at), (-90.0, -180.0, 90.0, 180.0)
+    want = {None: [1, 4], "active": [1, 4], "closed": [2], "unverified": [3], "all": [1, 2, 3, 4], "legacy": [1, 3, 4]}
+    for scope, ids in want.items():
+        page, total = api.jobs_page("a", scope, now, sort="title")
+        assert sorted(r.id for r in page.collect()) == ids and total.first().total == len(ids)
+        counts = api.map_counts("a", globe, scope, now).first()
+        assert tuple(counts) == (len(ids), len({1, 2} & set(ids)), len({1, 2} & set(ids)))
+        assert sum(r.n for r in api.job_map("a", 3, globe, scope, now).collect()) == counts.in_view
+        assert json.loads(api.overview("a", scope, now).first().document)["total"] == len(ids)
+    page, _ = api.jobs_page("a", now=now, status="applied")
+    assert [(r.id, r.availability_status, r.score) for r in page.collect()] == [(2, "closed", 90)]
+    assert [(r.id, r.latitude) for r in api.jobs_page("a", "all", now)[0].orderBy("id").collect()] == [(1, None), (2, None), (3, 53.3), (4, None)]
+    assert api.jobs_page("b", now=now, status="applied")[0].count() == 0
+    with pytest.raises(ValueError):
+        api.jobs_page("a", "invalid", now)
+
+
 def test_decisions(spark):
     from rolegrain.operators import ingest
 
