@@ -6,9 +6,10 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from rolegrain.functions import identity, pay, schedule, text
-from rolegrain.operators import catalog, dedup, merge, resolve, rollup, telemetry, vectors
-from rolegrain.plans.adapters import JOBS, jobs, scratch, table
-from rolegrain.sources import elements
+from rolegrain.operators import catalog, dedup, evaluations, merge, resolve, rollup, telemetry, vectors
+from rolegrain.operators.tables import scratch
+from rolegrain.plans.adapters import JOBS, jobs, table
+from rolegrain.sources import elements, store
 from rolegrain.streaming import learned, pacing, queue
 
 NOW = "2024-01-20 00:00:00"
@@ -309,6 +310,27 @@ def rollup_after_writes(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rollup.stored(spark, home)
 
 
+def response_store(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What a store with room for 700 files and a megabyte keeps of the documents as responses of the last weeks."""
+    at = F.lit(NOW).cast("timestamp_ntz") - F.make_dt_interval(F.lit(0), F.lit(0), (F.col("doc_id") * 37 % 50_000).cast("int"))
+    files = table(spark, sf_dir, "documents").select(F.lpad(F.col("doc_id").cast("string"), 12, "0").alias("key"), F.octet_length("text").alias("stored_bytes"), at.alias("at"))
+    kept = store.within_limits(files, F.lit(NOW).cast("timestamp_ntz"), 30, 700, 1_000_000)
+    return kept.select(F.col("key").cast("long").alias("doc_id"), "stored_bytes")
+
+
+def evaluation_versions(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Evaluations after a first scoring of all jobs and a second one of those whose line items changed since."""
+    home = scratch(spark, "evaluations")
+    lines = table(spark, sf_dir, "lineitem").groupBy(F.col("l_orderkey").alias("job_id")).agg(F.max("l_quantity").cast("int").alias("relevance"), F.sum("l_linenumber").cast("string").alias("job_hash"))
+    both = lambda run, score: lines.select(
+        F.lit("u").alias("user_id"), "job_id", score.alias("relevance"), F.when(score >= 40, "Good Match").otherwise("Mismatch").alias("fit_tier"), F.array().cast("array<string>").alias("matched_skills"), F.to_json(F.struct(score.alias("fit_score"))).alias("analysis"), "job_hash",
+        F.lit("p").alias("profile_hash"), F.lit(evaluations.VERSION).alias("scoring_version"), (F.lit(NOW).cast("timestamp") + F.make_dt_interval(F.lit(run))).alias("calculated_at"),
+    ).withColumn("content_hash", F.sha2(F.concat_ws("|", "relevance", "job_hash"), 256))
+    evaluations.upsert(spark, home, both(0, F.col("relevance")))
+    evaluations.upsert(spark, home, both(1, F.col("relevance") + F.when(F.col("job_id") % 40 == 0, 1).otherwise(0)))
+    return evaluations.stored(spark, home).select("job_id", "relevance", "fit_tier", "analysis", F.unix_seconds("calculated_at").alias("calculated"))
+
+
 def entity_unique_match(spark: SparkSession, sf_dir: str) -> DataFrame:
     left = table(spark, sf_dir, "supplier").select(F.col("s_suppkey").alias("left_id"), (F.floor(F.col("s_acctbal") / 5)).cast("string").alias("strong"), (F.floor(F.col("s_acctbal") / 100)).cast("string").alias("weak"))
     right = table(spark, sf_dir, "customer").select(F.col("c_custkey").alias("right_id"), (F.floor(F.col("c_acctbal") / 5)).cast("string").alias("strong"), (F.floor(F.col("c_acctbal") / 100)).cast("string").alias("weak"))
@@ -376,7 +398,7 @@ QUERIES = {
     for f in (
         url_canonical, identity_key, company_name_norm, title_norm, salary_extract, salary_normalize, closed_notice, clean_text_counts, link_headings, tag_counts, html_body_length, dedup_plan, dedup_keeper, batch_last_wins, first_per_url, merge_upsert, merge_guarded, conflict_users, trackers_merged,
         host_summary, denial_ordinal, preceding_minute, latest_two_delta, retention_cap, run_metrics, source_report, field_presence, json_variant_props, backoff_schedule, tax_bands, claim_order, idle_eligible, enqueue_states, finish_states, batch_packing, pacing_slots,
-        cosine_topk, vector_mean_pool, vector_state, token_windows, trigram_candidates, name_similarity, alias_phrases, rollup_after_writes, entity_unique_match, three_way_union, rule_grading, keyset_pages, owner_export, stream_dedup, stream_preceding, stream_routes,
+        cosine_topk, vector_mean_pool, vector_state, token_windows, trigram_candidates, name_similarity, alias_phrases, rollup_after_writes, response_store, evaluation_versions, entity_unique_match, three_way_union, rule_grading, keyset_pages, owner_export, stream_dedup, stream_preceding, stream_routes,
     )
 }
 
@@ -454,6 +476,10 @@ SQL = {
  SELECT r.host, r.n, r.id, greatest(r.t, f.begun + f.gap, f.cool), CASE WHEN r.status = 429 THEN least(60.0, f.gap * 2) ELSE f.gap END, CASE WHEN r.retry_after > 0 THEN greatest(f.cool, greatest(r.t, f.begun + f.gap, f.cool) + r.retry_after) ELSE f.cool END FROM f JOIN r ON r.host = f.host AND r.n = f.n + 1)
  SELECT id, round(begun, 3) AS start, gap AS interval FROM f""",
     "keyset_pages": "SELECT o_orderkey, o_custkey FROM orders WHERE o_orderkey > 5000 ORDER BY o_orderkey LIMIT 200",
+    "response_store": f"""WITH f AS (SELECT doc_id, octet_length(encode(text)) AS stored_bytes, doc_id * 37 % 50000 AS age FROM documents), y AS (SELECT * FROM f WHERE age <= 30 * 1440),
+ r AS (SELECT *, count(*) OVER w AS files, sum(stored_bytes) OVER w AS bytes FROM y WINDOW w AS (ORDER BY age, doc_id ROWS UNBOUNDED PRECEDING)) SELECT doc_id, CAST(stored_bytes AS INTEGER) AS stored_bytes FROM r WHERE files <= 700 AND bytes <= 1000000""",
+    "evaluation_versions": f"""WITH l AS (SELECT l_orderkey AS job_id, CAST(max(l_quantity) AS INTEGER) + CASE WHEN l_orderkey % 40 = 0 THEN 1 ELSE 0 END AS relevance FROM lineitem GROUP BY l_orderkey)
+ SELECT job_id, relevance, CASE WHEN relevance >= 40 THEN 'Good Match' ELSE 'Mismatch' END AS fit_tier, '{{"fit_score":' || relevance || '}}' AS analysis, CAST(epoch(TIMESTAMP '{NOW}') AS BIGINT) + CASE WHEN job_id % 40 = 0 THEN 86400 ELSE 0 END AS calculated FROM l""",
     "alias_phrases": f"""WITH d AS (SELECT doc_id, ' ' || {_PLAIN} || ' ' AS t FROM documents), b AS (SELECT CAST(item_id AS VARCHAR) AS identity, string_split({_PLAIN}, ' ') AS w FROM benchmark),
  a AS (SELECT identity, unnest([array_to_string(w[1:2], ' '), array_to_string(w[1:3], ' ')]) AS phrase FROM b), h AS (SELECT DISTINCT doc_id, identity FROM d JOIN a ON phrase <> '' AND contains(t, ' ' || phrase || ' ')),
  p AS (SELECT *, row_number() OVER (PARTITION BY doc_id ORDER BY identity) AS place, count(*) OVER (PARTITION BY doc_id) AS n FROM h) SELECT doc_id AS witness_id, 'benchmark' AS source, identity, n > 10 AS truncated FROM p WHERE place <= 10""",
