@@ -3,23 +3,28 @@
 from __future__ import annotations
 
 import json
+from collections.abc import Callable
 from html.entities import html5
 
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-#: Names that count without a semicolon, and how long these are.
-BARE = {name: char for name, char in html5.items() if not name.endswith(";")}
-LONGEST_BARE = max(map(len, BARE))
+#: Names that count without a semicolon; of two that fit the longer one stands first.
+BARE = sorted((name for name in html5 if not name.endswith(";")), key=lambda n: (-len(n), n))
 NOT_A_CHARACTER = "�"
 NAME, NUMBER = r"^[^\t\n\f <&#;]{1,32};?", "^#([0-9]+|[xX][0-9a-fA-F]+);?"
 LAST_CODE, SURROGATES = 0x10FFFF, (0xD800, 0xDFFF)
 
 
-def _by_start(names: dict[str, str]) -> Column:
+def _bound(value: Column, use: Callable[[Column], Column]) -> Column:
+    """use(value) with value in the plan once, however often it is used."""
+    return F.get(F.transform(F.array(value), use), F.lit(0))
+
+
+def _all_names() -> Column:
     """One map literal of names by their first two letters, so that a look-up compares few of them."""
     starts: dict[str, dict[str, str]] = {}
-    for name, char in names.items():
+    for name, char in html5.items():
         starts.setdefault(name[:2], {})[name] = char
     return F.from_json(F.lit(json.dumps(starts)), "map<string,map<string,string>>")
 
@@ -34,31 +39,38 @@ def _windows(code: int) -> str:
 
 def _named(part: Column) -> Column:
     """The longest name at the start of part as its character, and what follows it; null if there is none."""
-    said = F.regexp_extract(part, NAME, 0)
-    every, bare = _by_start(html5), _by_start(BARE)
-    at = lambda names, name: F.try_element_at(F.try_element_at(names, F.left(name, F.lit(2))), name)
-    whole = F.concat(at(every, said), F.substring(part, F.length(said) + 1, F.length(part)))
-    starts = [F.when(F.length(said) > n, F.concat(at(bare, F.left(said, F.lit(n))), F.substring(part, F.lit(n + 1), F.length(part)))) for n in range(LONGEST_BARE, 1, -1)]
-    return F.coalesce(whole, *starts)
+    names = F.array(F.regexp_extract(part, NAME, 0), F.regexp_extract(part, f"^(?:{'|'.join(BARE)})", 0))
+    found = F.transform(names, lambda n: F.struct(n.alias("n"), F.try_element_at(F.try_element_at(_all_names(), F.left(n, F.lit(2))), n).alias("char")))
+    first = F.get(F.filter(found, lambda f: f["char"].isNotNull()), F.lit(0))
+    return _bound(first, lambda f: F.concat(f["char"], F.substring(part, F.length(f["n"]) + 1, F.length(part))))
+
+
+def _character(number: Column) -> Column:
+    """The character of a number: decimal, or hexadecimal after an x."""
+    fixed = F.from_json(F.lit(json.dumps({0: NOT_A_CHARACTER, 13: "\r"} | {c: _windows(c) for c in range(0x80, 0xA0)})), "map<string,string>")
+    digits = F.regexp_replace(number, "^[xX]?0*", "")
+    code = F.when(digits == "", F.lit(0)).when(F.length(digits) <= 8, F.when(F.lower(number).startswith("x"), F.conv(digits, 16, 10)).otherwise(digits).cast("long"))
+
+    def named(c: Column) -> Column:
+        none = c.between(1, 8) | (c == 11) | c.between(14, 31) | (c == 127) | c.between(0xFDD0, 0xFDEF) | (c.bitwiseAND(0xFFFE) == 0xFFFE)
+        plain = F.coalesce(F.try_element_at(fixed, c.cast("string")), F.when(none, "").otherwise(F.decode(F.unhex(F.lpad(F.hex(c), 8, "0")), "UTF-32")))
+        return F.when(c.isNull() | (c > LAST_CODE) | c.between(*SURROGATES), NOT_A_CHARACTER).otherwise(plain)
+
+    return _bound(code, named)
 
 
 def _numbered(part: Column) -> Column:
     """The character of a numeric reference at the start of part, and what follows it; null if there is none."""
-    said, number = F.regexp_extract(part, NUMBER, 0), F.lower(F.regexp_extract(part, NUMBER, 1))
-    digits = F.regexp_replace(number, "^x?0*", "")
-    base = F.when(number.startswith("x"), 16).otherwise(10)
-    code = F.when(digits == "", 0).when(F.length(digits) <= 8, F.when(base == 16, F.conv(digits, 16, 10)).otherwise(digits).cast("long"))
-    fixed = F.from_json(F.lit(json.dumps({0: NOT_A_CHARACTER, 13: "\r"} | {c: _windows(c) for c in range(0x80, 0xA0)})), "map<string,string>")
-    none = code.between(1, 8) | (code == 11) | code.between(14, 31) | (code == 127) | code.between(0xFDD0, 0xFDEF) | (code.bitwiseAND(0xFFFE) == 0xFFFE)
-    char = F.when(code.isNull() | (code > LAST_CODE) | code.between(*SURROGATES), NOT_A_CHARACTER).otherwise(
-        F.coalesce(F.try_element_at(fixed, code.cast("string")), F.when(none, "").otherwise(F.decode(F.unhex(F.lpad(F.hex(code), 8, "0")), "UTF-32")))
-    )
-    return F.when(said != "", F.concat(char, F.substring(part, F.length(said) + 1, F.length(part))))
+    rest = F.substring(part, F.length(F.regexp_extract(part, NUMBER, 0)) + 1, F.length(part))
+    return F.when(part.rlike(NUMBER), F.concat(_character(F.regexp_extract(part, NUMBER, 1)), rest))
+
+
+def _decoded(text: Column) -> Column:
+    each = lambda pieces: F.transform(F.slice(pieces, 2, F.size(pieces)), lambda p: F.coalesce(F.when(p.startswith("#"), _numbered(p)).otherwise(_named(p)), F.concat(F.lit("&"), p)))
+    return F.when(text.contains("&"), _bound(F.split(text, "&", -1), lambda pieces: F.concat(pieces[0], F.array_join(each(pieces), "")))).otherwise(text)
 
 
 def decoded(text: Column) -> Column:
     """text with each character reference as what it names, once from left to right: of names the longest one that
     fits, as browsers take it. What names nothing stays, and null stays null. A text without an ampersand is not split."""
-    pieces = F.split(text, "&", -1)
-    each = F.transform(F.slice(pieces, 2, F.size(pieces)), lambda p: F.coalesce(F.when(p.startswith("#"), _numbered(p)).otherwise(_named(p)), F.concat(F.lit("&"), p)))
-    return F.when(text.contains("&"), F.concat(pieces[0], F.array_join(each, ""))).otherwise(text)
+    return _bound(text, _decoded)

@@ -15,6 +15,7 @@ ANTI_BOT = (
     "enable javascript", "turn javascript on", "incapsula", "perimeterx", "security check", r"attention required! \| cloudflare", "this site is currently unavailable", "internal server error",
 )
 CLOSED = ("position has been filled", "job is no longer available", "position has expired", "job is closed", "no longer accepting applications")
+METADATA = r"(?i)JobsIreland Vacancy Reference:|Consult official employer portal|Check the official vacancy post|Official Vacancy and Application Details:|\A.+? (?:position|opportunity):"
 BODY_CHARS, REPAIR_CHARS, STUB_CHARS, CLEANED_CHARS = 100, 500, 30, 50
 SPACES = r"[ \t\x0B\f\u00A0\u1680\u2000-\u200A\u202F\u205F\u3000]"
 
@@ -149,9 +150,9 @@ def has_closed_notice(text: Column) -> Column:
 
 
 def has_body(description: Column) -> Column:
-    """Enough text that is neither a robot check nor a closure notice."""
+    """Enough text that is neither a robot check nor a closure notice nor what a listing's facts were made into."""
     t = markup_to_lines(F.coalesce(description, F.lit("")))
-    return (F.length(t) >= BODY_CHARS) & ~is_anti_bot(t) & ~has_closed_notice(t)
+    return (F.length(t) >= BODY_CHARS) & ~is_anti_bot(t) & ~has_closed_notice(t) & ~t.rlike(METADATA)
 
 
 def needs_repair(description: Column) -> Column:

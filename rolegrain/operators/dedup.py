@@ -13,9 +13,10 @@ MOST_GROUP = 101
 def keepers(rows: DataFrame, group: str) -> DataFrame:
     """(id, keeper_id): in each group the row with a body, then one whose key is current (where rows say so), then with the
     longest body, then with the lowest id."""
-    current = [F.desc("current")] if "current" in rows.columns else []
-    best = Window.partitionBy(group).orderBy(F.desc(F.coalesce(F.length("body"), F.lit(0)) > 0), *current, F.desc(F.coalesce(F.length("body"), F.lit(0))), "id")
-    return rows.withColumn("keeper_id", F.first("id").over(best.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing))).select("id", "keeper_id")
+    size = F.coalesce(F.length("body"), F.lit(0))
+    current = [~F.coalesce(F.col("current").cast("boolean"), F.lit(False))] if "current" in rows.columns else []
+    best = rows.groupBy(F.col(group).alias("_group")).agg(F.min_by("id", F.struct(size == 0, *current, -size, F.col("id"))).alias("keeper_id"))
+    return rows.select("id", group).join(best, F.col(group).eqNullSafe(F.col("_group"))).select("id", "keeper_id")
 
 
 def first_per_url(rows: DataFrame, url: str = "url", position: str = "pos") -> DataFrame:

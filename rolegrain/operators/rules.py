@@ -8,8 +8,10 @@ from __future__ import annotations
 
 import re
 from dataclasses import dataclass, field
+from functools import lru_cache
 
-from pyspark.sql import Column, DataFrame
+from pyspark.errors import PySparkException
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from rolegrain.functions.scores import compose, fit_tier
@@ -77,20 +79,17 @@ class Profile:
 
 def usable_terms(terms: tuple[str, ...]) -> list[str]:
     """Terms of fitting length that are patterns Java takes; others are passed over, as one of them would fail
-    the whole job."""
-    from pyspark.errors import PySparkException
-    from pyspark.sql import SparkSession
-
-    row = SparkSession.active().sql("SELECT '' AS text")
-    out = []
-    for term in terms:
-        if TERM_CHARS[0] <= len(term) <= TERM_CHARS[1]:
-            try:
-                row.select(matches(F.col("text"), term)).collect()  # one row on the driver, no job
-                out.append(term)
-            except PySparkException:
-                continue
-    return out
+    the whole job. They are compiled by the driver's JVM, without a job."""
+    return [t for t in terms if TERM_CHARS[0] <= len(t) <= TERM_CHARS[1] and _is_pattern(t)]
+
+
+@lru_cache(maxsize=4096)
+def _is_pattern(term: str) -> bool:
+    try:
+        SparkSession.active()._jvm.java.util.regex.Pattern.compile(f"(?i){term}")
+    except PySparkException:
+        return False
+    return True
 
 
 def matches(text: Column, term: str) -> Column:

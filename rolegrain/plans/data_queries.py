@@ -331,6 +331,24 @@ def evaluation_versions(spark: SparkSession, sf_dir: str) -> DataFrame:
     return evaluations.stored(spark, home).select("job_id", "relevance", "fit_tier", "analysis", F.unix_seconds("calculated_at").alias("calculated"))
 
 
+def _crawl(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Events as a crawl's records: every other one of a host was sent, the rest came back."""
+    e = _events(spark, sf_dir)
+    return e.select(F.col("id"), "at", "run", F.concat(F.lit("h"), F.col("id") % 23).alias("host"), F.when(F.col("id") % 2 == 0, "request_sent").otherwise("response_received").alias("kind"), "status", F.lit(False).alias("challenge"), F.floor("retry_after").alias("retry_after"), (F.col("id") % 7).alias("preceding"))
+
+
+def run_hosts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Each run's hosts in the order in which it met them, with what was sent before the last denial."""
+    found = telemetry.host_details(_crawl(spark, sf_dir))
+    return found.select("run", "host", "place", "n_hosts", "requests_sent", "responses", "denials", F.col("latest_denial.status").alias("last_status"), F.col("latest_denial.requests_sent_before_denial").alias("sent_before"), F.col("latest_denial.retry_after_seconds").alias("retry_after"))
+
+
+def source_failures(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """How often each code ended the runs of a source."""
+    runs = _events(spark, sf_dir).select(F.col("host").alias("source"), F.when(F.col("status") == 200, "complete").when(F.col("status") == 500, "failed").otherwise("blocked").alias("status"), F.when(F.col("status") < 500, F.concat(F.lit("http_"), "status")).alias("error_code"))
+    return telemetry.failure_histogram(runs).withColumn("failure_codes", F.to_json("failure_codes"))
+
+
 def entity_unique_match(spark: SparkSession, sf_dir: str) -> DataFrame:
     left = table(spark, sf_dir, "supplier").select(F.col("s_suppkey").alias("left_id"), (F.floor(F.col("s_acctbal") / 5)).cast("string").alias("strong"), (F.floor(F.col("s_acctbal") / 100)).cast("string").alias("weak"))
     right = table(spark, sf_dir, "customer").select(F.col("c_custkey").alias("right_id"), (F.floor(F.col("c_acctbal") / 5)).cast("string").alias("strong"), (F.floor(F.col("c_acctbal") / 100)).cast("string").alias("weak"))
@@ -398,7 +416,7 @@ QUERIES = {
     for f in (
         url_canonical, identity_key, company_name_norm, title_norm, salary_extract, salary_normalize, closed_notice, clean_text_counts, link_headings, tag_counts, html_body_length, dedup_plan, dedup_keeper, batch_last_wins, first_per_url, merge_upsert, merge_guarded, conflict_users, trackers_merged,
         host_summary, denial_ordinal, preceding_minute, latest_two_delta, retention_cap, run_metrics, source_report, field_presence, json_variant_props, backoff_schedule, tax_bands, claim_order, idle_eligible, enqueue_states, finish_states, batch_packing, pacing_slots,
-        cosine_topk, vector_mean_pool, vector_state, token_windows, trigram_candidates, name_similarity, alias_phrases, rollup_after_writes, response_store, evaluation_versions, entity_unique_match, three_way_union, rule_grading, keyset_pages, owner_export, stream_dedup, stream_preceding, stream_routes,
+        cosine_topk, vector_mean_pool, vector_state, token_windows, trigram_candidates, name_similarity, alias_phrases, rollup_after_writes, response_store, evaluation_versions, run_hosts, source_failures, entity_unique_match, three_way_union, rule_grading, keyset_pages, owner_export, stream_dedup, stream_preceding, stream_routes,
     )
 }
 
@@ -476,6 +494,12 @@ SQL = {
  SELECT r.host, r.n, r.id, greatest(r.t, f.begun + f.gap, f.cool), CASE WHEN r.status = 429 THEN least(60.0, f.gap * 2) ELSE f.gap END, CASE WHEN r.retry_after > 0 THEN greatest(f.cool, greatest(r.t, f.begun + f.gap, f.cool) + r.retry_after) ELSE f.cool END FROM f JOIN r ON r.host = f.host AND r.n = f.n + 1)
  SELECT id, round(begun, 3) AS start, gap AS interval FROM f""",
     "keyset_pages": "SELECT o_orderkey, o_custkey FROM orders WHERE o_orderkey > 5000 ORDER BY o_orderkey LIMIT 200",
+    "run_hosts": f"""WITH {EVENTS}, c AS (SELECT id, run, 'h' || (id % 23) AS host, id % 2 = 0 AS went, status, CAST(floor(coalesce(retry_after, 0)) AS BIGINT) AS retry_after, id % 2 = 1 AND status IN (401, 403, 429) AS denied FROM e),
+ g AS (SELECT run, host, min(id) AS first, count(*) FILTER (WHERE went) AS requests_sent, count(*) FILTER (WHERE NOT went) AS responses, count(*) FILTER (WHERE denied) AS denials, max(id) FILTER (WHERE denied) AS last FROM c GROUP BY run, host)
+ SELECT g.run, g.host, row_number() OVER (PARTITION BY g.run ORDER BY first) AS place, count(*) OVER (PARTITION BY g.run) AS n_hosts, requests_sent, responses, denials, d.status AS last_status, CASE WHEN last IS NOT NULL THEN (SELECT count(*) FROM c WHERE c.run = g.run AND c.host = g.host AND went AND c.id < last) END AS sent_before, d.retry_after
+ FROM g LEFT JOIN c d ON d.id = g.last""",
+    "source_failures": f"""WITH {EVENTS}, r AS (SELECT host AS source, status, CASE WHEN status = 200 THEN NULL WHEN status = 500 THEN 'failed' ELSE 'http_' || status END AS code FROM e), k AS (SELECT source, code, count(*) AS n FROM r WHERE code IS NOT NULL GROUP BY source, code),
+ j AS (SELECT source, '{{' || string_agg('"' || code || '":' || n, ',' ORDER BY code) || '}}' AS failure_codes FROM k GROUP BY source) SELECT r.source, count(*) AS runs, count(*) FILTER (WHERE status = 200) AS complete, any_value(failure_codes) AS failure_codes FROM r LEFT JOIN j USING (source) GROUP BY r.source""",
     "response_store": f"""WITH f AS (SELECT doc_id, octet_length(encode(text)) AS stored_bytes, doc_id * 37 % 50000 AS age FROM documents), y AS (SELECT * FROM f WHERE age <= 30 * 1440),
  r AS (SELECT *, count(*) OVER w AS files, sum(stored_bytes) OVER w AS bytes FROM y WINDOW w AS (ORDER BY age, doc_id ROWS UNBOUNDED PRECEDING)) SELECT doc_id, CAST(stored_bytes AS INTEGER) AS stored_bytes FROM r WHERE files <= 700 AND bytes <= 1000000""",
     "evaluation_versions": f"""WITH l AS (SELECT l_orderkey AS job_id, CAST(max(l_quantity) AS INTEGER) + CASE WHEN l_orderkey % 40 = 0 THEN 1 ELSE 0 END AS relevance FROM lineitem GROUP BY l_orderkey)

@@ -1,6 +1,7 @@
 """Merges, pages, clusters, dedup, queue and pacing by small cases."""
 
 import datetime as dt
+import json
 
 import pytest
 from pyspark.sql import functions as F
@@ -155,3 +156,32 @@ def test_pacing_stream_equals_batch(spark, tmp_path):
     queue.stream_into(pacing.pace_stream(stream), str(tmp_path / "cp"), lambda b, i: b.write.mode("overwrite").parquet(str(tmp_path / f"out/batch={i}")))
     got = sorted(tuple(r)[:5] for r in spark.read.parquet(str(tmp_path / "out")).collect())
     assert got == want
+
+
+def test_run_document_and_failures(spark):
+    from rolegrain.operators import telemetry
+
+    schema = "run string, id long, at timestamp, kind string, host string, transport string, resource string, status int, challenge boolean, retry_after long, preceding long, stage string, seconds double, quality map<string,bigint>"
+    event = lambda i, kind, **x: tuple((dict(run="r", id=i, at=dt.datetime(2026, 1, 1, 0, 0, i), kind=kind) | x).get(f.split()[0]) for f in schema.split(", "))
+    rows = [event(0, "request_sent", host="a", transport="http", resource="document"), event(1, "response_received", host="a", status=200), event(2, "request_sent", host="a", transport="browser", resource="document"), event(3, "response_received", host="a", status=200, challenge=True, preceding=2), event(4, "request_sent", host="a", transport="http", resource="api")]
+    rows += [event(5, "cooldown_skipped", host="a"), event(6, "stage_finished", stage="list", seconds=1.25), event(7, "stage_finished", stage="list", seconds=0.5), event(8, "quality_assessed", quality={"opportunities_assessed": 3, "title_present": 2}), event(9, "quality_assessed", quality={"title_present": 1})]
+    rows += [event(10 + k, "request_sent", host=f"h{k:02d}", transport="http", resource="document") for k in range(17)] + [("empty", 99, dt.datetime(2026, 1, 1), "stage_finished", *[None] * 7, "x", 1.0, None)]
+    got = {r.run: json.loads(r.metrics) for r in telemetry.run_document(spark.createDataFrame(rows, schema)).collect()}
+    m = got["r"]
+    assert (m["requests_sent"], m["responses"], m["cooldown_skips"], m["denials"], m["elapsed_seconds"], m["requests_per_second"]) == (20, 2, 1, 1, 26.0, round(20 / 26, 4))
+    assert (m["transport_requests"], m["resource_requests"], m["stage_seconds"], m["quality"]) == ({"browser": 1, "http": 19}, {"api": 1, "document": 19}, {"list": 1.75}, {"opportunities_assessed": 3, "title_present": 3})
+    assert [h["host"] for h in m["hosts"]] == ["a", *[f"h{k:02d}" for k in range(15)]] and m["hosts_truncated"]
+    late = m["hosts"][0]["latest_denial"]
+    assert (late["status"], late["content_challenge"], late["requests_sent_before_denial"], late["host_requests_in_previous_minute"]) == (200, True, 2, 2)
+    assert (got["empty"]["requests_sent"], got["empty"]["transport_requests"], got["empty"]["hosts_truncated"]) == (0, {}, False)
+    runs = spark.createDataFrame([("s", "complete", None), ("s", "failed", "x"), ("s", "failed", "x"), ("s", "dead", None), ("t", "complete", None)], "source string, status string, error_code string")
+    assert {r.source: (r.runs, r.complete, r.failure_codes) for r in telemetry.failure_histogram(runs).collect()} == {"s": (4, 1, {"dead": 1, "x": 2}), "t": (1, 1, None)}
+
+
+def test_bodies_of_listing_facts(spark):
+    from rolegrain.functions.text import has_body
+
+    long = "We build things. " * 20
+    cases = {long: True, "Acme position: Engineer. " + long: False, "Big Co opportunity: Chef. " + long: False, long + "JobsIreland Vacancy Reference: 1": False, long + "\nThe position: open to all": True, "short": False, None: False}
+    rows = spark.createDataFrame([(k,) for k in cases], "t string").select("t", has_body(F.col("t")).alias("b")).collect()
+    assert {r.t: r.b for r in rows} == cases
