@@ -12,12 +12,18 @@ from pyspark.sql import functions as F
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder named by spark.checkpoint.dir. Where it is unset, a new one that then stands there: under the
-    warehouse, which a cluster's machines share, or, on one machine, a temporary one."""
+    """The folder named by spark.checkpoint.dir. Where it is unset, a new one that then stands there: on one machine a
+    temporary one, on a cluster one under the warehouse if that is in a store that machines share. A cluster with neither is
+    an error, as each executor would write to its own disk."""
     base = spark.conf.get("spark.checkpoint.dir", None)
     if not base:
-        alone = re.fullmatch(r"local(\[.*\])?", spark.conf.get("spark.master", ""))
-        base = tempfile.mkdtemp(prefix="rolegrain-shared-") if alone else f"{spark.conf.get('spark.sql.warehouse.dir').rstrip('/')}/rolegrain-shared"
+        home = str(spark.conf.get("spark.sql.warehouse.dir", None) or "").rstrip("/")
+        if re.fullmatch(r"local(\[.*\])?", str(spark.conf.get("spark.master", "") or "")):
+            base = tempfile.mkdtemp(prefix="rolegrain-shared-")
+        elif re.match(r"(?!file:)[a-zA-Z][a-zA-Z0-9+.-]*:", home):
+            base = f"{home}/rolegrain-shared"
+        else:
+            raise ValueError("set spark.checkpoint.dir to a folder that all machines share")
         spark.conf.set("spark.checkpoint.dir", base)
     return base.rstrip("/")
 
