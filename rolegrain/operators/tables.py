@@ -12,13 +12,15 @@ ROW_BITS = 33
 
 
 def scratch(spark: SparkSession, name: str) -> str:
-    """A new folder that driver and executors share: under spark.checkpoint.dir, or on one machine under the warehouse. A
-    cluster without that setting is an error, as its executors would each write to their own disk."""
+    """A new folder that driver and executors share: under spark.checkpoint.dir, or under the warehouse, on a cluster only if
+    that is in a store that machines share. A cluster with neither is an error, as each executor would write to its
+    own disk."""
     base = spark.conf.get("spark.checkpoint.dir", None)
     if not base:
-        if not re.fullmatch(r"local(\[.*\])?", spark.conf.get("spark.master", "")):
-            raise ValueError("set spark.checkpoint.dir to a folder that all machines share")
         base = spark.conf.get("spark.sql.warehouse.dir")
+        alone = re.fullmatch(r"local(\[.*\])?", spark.conf.get("spark.master", ""))
+        if not alone and not re.match(r"(?!file:)[a-zA-Z][a-zA-Z0-9+.-]*:", base):
+            raise ValueError("set spark.checkpoint.dir to a folder that all machines share")
     return f"{base.rstrip('/')}/rolegrain-{name}-{uuid.uuid4().hex}"
 
 
