@@ -41,6 +41,7 @@ RESULT_LINK = r"""(?is)<a[^>]+href=["']([^"']*pJobDetails\.aspx[^"']*)["'][^>]*>
 TRAIN_LINK = r"""(?is)<a\s+[^>]*href=["']([^'"]*JobDetail[^'"]*)["'][^>]*>(.*?)</a>"""
 AGENCY_LINK = r"""(?is)<a [^>]*href="(https://www\.housingagency\.ie/careers/[^"]+)"[^>]*>(.*?)</a>"""
 BOOKLET_LINK = r"""(?i)href="([^"]*Candidate[^"]*\.pdf)\""""
+EMBEDDED_JOBS = r"(?s)jobs:\s*(\[\s*\{.*?\}\s*\])"
 OPEN_ROLES = ("open roles", "no vacancies", "no current", "careers at ida")
 NO_VACANCIES = ("no current", "no open", "no vacancies", "no opportunities")
 BLANK_BODIES = ("n/a", "none", "not available", "no description", "not specified")
@@ -196,6 +197,17 @@ def open_roles(pages: DataFrame) -> DataFrame:
     return rows.withColumns({k: F.lit(v) for k, v in fixed.items()} | {"salary_text": pay_text(F.lit(""), F.col("title"))}).select(*COLUMNS)
 
 
+def embedded_jobs(pages: DataFrame) -> DataFrame:
+    """Vacancies that a retailer's page hands to its script as a JSON list; of a URL the first counts. A list that is no
+    JSON gives none."""
+    fields = "array<struct<title string, location string, permalink string, formatted_closing_date string, closing_date string>>"
+    each = pages.select("page_id", "company", F.posexplode(F.from_json(F.regexp_extract("html", EMBEDDED_JOBS, 1), fields)).alias("pos", "j"))
+    said = lambda *names: F.coalesce(*[F.nullif(F.col(f"j.{n}"), F.lit("")) for n in names], F.lit(""))
+    rows = each.withColumns({"title": F.trim(said("title")), "url": said("permalink"), "location": F.coalesce(F.nullif(F.col("j.location"), F.lit("")), F.lit("Ireland")), "closing": said("formatted_closing_date", "closing_date")})
+    described = F.concat("company", F.lit(" position: "), "title", F.lit(". Location: "), "location", F.lit(". Closing date: "), "closing", F.lit("."))
+    return listed(rows.filter("url <> ''").withColumn("description", described))
+
+
 def booklets(pages: DataFrame, place: str = "County Kildare") -> DataFrame:
     """Candidate booklets of a council's page, named by their files."""
     rows = matches(_or_said_none(pages, F.col("html").rlike(BOOKLET_LINK)), BOOKLET_LINK).withColumns({"title": F.regexp_replace(booklet_title(F.try_url_decode(F.regexp_extract("g1", "([^/]*)$", 1)), F.col("g1")), r"^[ -]+|[ -]+$", ""), "location": F.lit(place), "url": resolved(F.col("url"), F.col("g1"))})

@@ -1,6 +1,7 @@
 """Element trees against a walk over a plain tree, the agency's page, and HTML's character references."""
 
 import html as stdlib
+import json
 import random
 from html.entities import html5
 from html.parser import HTMLParser
@@ -101,6 +102,13 @@ def test_open_roles(spark):
         cards.open_roles(pages(spark, "<h1>Something else</h1>")).collect()
 
 
+def test_embedded_jobs(spark):
+    jobs = [{"title": " Butcher ", "location": "", "permalink": "https://m.test/1", "formatted_closing_date": "1 May"}, {"title": "Baker", "location": "Cork", "permalink": "https://m.test/2", "closing_date": "2026-05-02"}, {"title": "Again", "permalink": "https://m.test/1"}, {"title": "", "permalink": "https://m.test/3"}, {"title": "No link"}]
+    page = "<div x-data=\"{ jobs: " + json.dumps(jobs) + ", open: false }\">"
+    got = cards.embedded_jobs(pages(spark, page, "jobs: [{bad}]", "no list", None)).orderBy("pos").collect()
+    assert [(r.title, r.location, r.url, r.description) for r in got] == [("Butcher", "Ireland", "https://m.test/1", "Acme position: Butcher. Location: Ireland. Closing date: 1 May."), ("Baker", "Cork", "https://m.test/2", "Acme position: Baker. Location: Cork. Closing date: 2026-05-02.")]
+
+
 def test_every_name_and_number(spark):
     texts = [f"{a}&{name}{b}" for name in html5 for a, b in (("", "a"), ("x", "7"), ("", "."), ("&", ";"))]
     rnd = random.Random(1)
