@@ -427,6 +427,22 @@ _URLS = f"""u0 AS (SELECT page_id, html, url, regexp_replace(trim(coalesce(url,
 _WORDS = "trim(regexp_replace({0}, '[^a-z0-9]+', ' ', 'g'))"
 _LEGAL = "|".join(identity.LEGAL_WORDS)
 _COMPANY = lambda c: _WORDS.format(rf"regexp_replace(lower(trim({c})), '\b(?:{_LEGAL})\b', ' ', 'g')")
+
+
+def _title_sql(title: str) -> str:
+    """A title's key: places at its end, references, contract tags and years go, short forms are written out."""
+    t = f"regexp_replace(lower(trim({title})), '&[a-z]+;', ' ', 'g')"
+    t = rf"regexp_extract({t}, '(?s)^(.*?)(?:\s+[-–—|/]\s+(?:dublin|cork|galway|ireland|kildare|maynooth|limerick|waterford|remote|hybrid|onsite).*)?$', 1)"
+    for pattern in (
+        r"[(\[{]?(?:ref|req|requisition|job id|id)[:\s#]*[a-z0-9-]+[)\]}]?", r"[(\[{]?(?:fixed[- ]term|permanent|temporary|contract|specified purpose|full[- ]time|part[- ]time)[)\]}]?",
+        r"\((?:dublin|cork|galway|ireland|kildare|maynooth|limerick|waterford|remote|hybrid|onsite|various locations)\)$", r"\b202[0-9]\b",
+    ):
+        t = f"regexp_replace({t}, '{pattern}', ' ', 'g')"
+    for short, long in {"sr": "senior", "jr": "junior", "mgr": "manager", "eng": "engineer", "dev": "developer"}.items():
+        t = rf"regexp_replace({t}, '\b{short}\.?\b', '{long}', 'g')"
+    return _WORDS.format(t)
+
+
 _K = "(CAST(floor(o_totalprice / 10000) AS INTEGER) + 10)"
 _PAY_TEXT = f"CASE o_orderkey % 3 WHEN 0 THEN '€' || {_K} || 'k - €' || ({_K} + 9) || 'k per annum' WHEN 1 THEN '$' || {_K} || ',500 a year' END"
 _CLEAN = r"regexp_replace(regexp_replace(html, '(?is)<script\b[^>]*>.*?</script\s*>|<style\b[^>]*>.*?</style\s*>|<noscript\b[^>]*>.*?</noscript\s*>', ' ', 'g'), '(?s)<[^>]+>', ' ', 'g')"
@@ -440,6 +456,7 @@ _TRIGRAMS = "list_distinct(list_filter(list_transform(range(1, greatest(length(p
 
 SQL = {
     "url_canonical": rf"WITH {_URLS} SELECT page_id, canonical, coalesce(regexp_matches(url, '(?i)^https?://[^/?#@]+(?:[/?#]|$)') AND (regexp_matches(regexp_extract(url, '\?([^#]*)', 1), '(?:^|&)(?:{'|'.join(identity.ID_PARAMETERS)})=[^&]') OR regexp_matches(regexp_extract(url, '^[^:]+://[^/?#]*([^?#]*)', 1), '(?i)/(?:jobs?|careers|requisitions/preview)/[^?#]*\d') OR regexp_matches(regexp_extract(url, '^[^:]+://[^/?#]*([^?#]*)', 1), '(?i)/[0-9a-f]{{8}}-[0-9a-f-]{{27,}}(?:/|$)')), false) AS posting FROM u2",
+    "identity_key": f"WITH {_URLS}, k AS (SELECT page_id, {_COMPANY("regexp_extract(url, '://([^/]*)', 1)")} AS company, {_title_sql("regexp_extract(html, '<title>([^<]*)</title>', 1)")} AS title, canonical FROM u2) SELECT page_id, md5(company || '::' || CASE WHEN page_id % 2 = 0 AND canonical <> '' THEN 'url::' || canonical ELSE title || '::dublin::full' END) AS posting_key FROM k",
     "company_name_norm": f"WITH n AS (SELECT s_suppkey, s_name || CASE WHEN s_suppkey % 3 = 0 THEN ' (Ireland) Ltd.' ELSE ' Group plc' END AS name FROM supplier) SELECT s_suppkey, {_COMPANY('name')} AS name, trim(regexp_replace({_WORDS.format('lower(name)')}, '(?:(?:^|\\s+)(?:ltd|plc|group))+$', '')) AS short_name FROM n",
     "title_norm": r"SELECT p_partkey, regexp_replace('senior ' || regexp_replace(p_name, '(?:ref|req|requisition|job id|id)[:\s#]*[a-z0-9-]+', ' ', 'g') || ' engineer', '\s+', ' ', 'g') AS title FROM part",
     "salary_extract": f"SELECT o_orderkey, {_PAY_TEXT} AS salary_text FROM orders",
