@@ -55,3 +55,13 @@ def test_copies_of_a_name_are_met_once(spark):
     queries = entries.filter("entry_id % 20 = 0").withColumnRenamed("entry_id", "query_id")
     rows, most = joined(resolve.trigram_candidates(queries, entries, 5))
     assert sorted(tuple(r) for r in rows) == [(i, j, 5) for i in range(0, 4000, 20) for j in range(0, 10, 2)] and most <= 1000
+
+
+def test_similar_copies_are_matched_once(spark):
+    entries = spark.range(3000).select(F.col("id").alias("entry_id"), F.when(F.col("id") % 3 == 0, "large ring").when(F.col("id") % 3 == 1, "large rings").otherwise("old widget").alias("name"))
+    queries = entries.filter("entry_id % 10 = 0").withColumnRenamed("entry_id", "query_id")
+    rows, most = joined(resolve.fuzzy_matches(queries, entries, keep=4))
+    names = ("large ring", "large rings", "old widget")
+    assert sorted((r.query_id, r.entry_id, r.similarity) for r in rows) == [(i, j, 100.0) for i in range(0, 3000, 10) for j in range(i % 3, 12, 3)]
+    assert {(r._q, r._e) for r in resolve.worth_matching(queries, entries, 85.0).select("_q", "_e").distinct().collect()} >= {(n, n) for n in names}
+    assert most <= 6000  # 300 queries with 1000 candidates each made 300,000
