@@ -65,3 +65,20 @@ def test_similar_copies_are_matched_once(spark):
     assert sorted((r.query_id, r.entry_id, r.similarity) for r in rows) == [(i, j, 100.0) for i in range(0, 3000, 10) for j in range(i % 3, 12, 3)]
     assert {(r._q, r._e) for r in resolve.worth_matching(queries, entries, 85.0).select("_q", "_e").distinct().collect()} >= {(n, n) for n in names}
     assert most <= 6000  # 300 queries with 1000 candidates each made 300,000
+
+
+def test_three_ways_match_all_pairs(spark):
+    rnd = random.Random(4)
+    row = lambda i: (i, rnd.choice(["x", "x", "y", "", None]), rnd.choice("abcdefgh"), str(rnd.randrange(60)))
+    entries = [row(i) for i in range(400)] + [row(i) for i in range(0, 400, 7)]
+    queries = [row(i) for i in range(50)] + [row(3)]
+    names = "{} long, a string, b string, c string"
+    q, e = spark.createDataFrame(queries, names.format("query_id")), spark.createDataFrame(entries, names.format("entry_id"))
+    agree = {}
+    for i, *k in queries:
+        agree.setdefault(i, set()).update(j for j, *m in entries if any(x and x == y for x, y in zip(k, m, strict=True)))
+    for limit in (1, 6, 50, 110, 1000):
+        want = sorted((i, j, len(js) > limit) for i, js in agree.items() for j in sorted(js)[:limit])
+        rows, most = joined(resolve.three_way(q, e, ("a", "b", "c"), limit))
+        assert sorted(tuple(r) for r in rows) == want
+        assert limit > 6 or most <= 51 * 2 * (limit + 1)
