@@ -82,3 +82,16 @@ def test_three_ways_match_all_pairs(spark):
         rows, most = joined(resolve.three_way(q, e, ("a", "b", "c"), limit))
         assert sorted(tuple(r) for r in rows) == want
         assert limit > 6 or most <= 51 * 2 * (limit + 1)
+
+
+def test_unique_matches_of_frequent_keys(spark):
+    rnd = random.Random(5)
+    row = lambda i, n: (i, rnd.choice([None, "", *map(str, range(n))]), rnd.choice([None, "", *map(str, range(n // 4))]))
+    left, right = [row(i, 200) for i in range(150)] + [row(3, 200), row(4, 200)], [row(i, 200) for i in range(120)] + [(i, "900", "901") for i in range(2000)]
+    left += [(i, "900", "901") for i in range(200, 300)]
+    got = joined(resolve.unique_match(spark.createDataFrame(left, "left_id long, strong string, weak string"), spark.createDataFrame(right, "right_id long, strong string, weak string"), "strong", "weak"))
+    by = lambda at: {i: {j for x in left if x[0] == i for j, *k in right if k[at] and k[at] == x[at + 1]} for i, *_ in left}
+    strong, weak = by(0), by(1)
+    want = [(i, next(iter(found)) if len(found := strong[i] or weak[i]) == 1 else None) for i, *_ in left]
+    assert Counter(tuple(r) for r in got[0]) == Counter(want) and len({r[1] for r in want}) > 20
+    assert got[1] <= 1000  # the frequent key made 200,000
