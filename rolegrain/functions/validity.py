@@ -64,7 +64,8 @@ BROWSER_ERRORS = ("about:", "chrome-error:", "edge-error:")
 GONE_BOARD = "apply.workable.com/oops"
 CHALLENGES = ("verify you are human", "captcha required", "access denied", "request blocked")
 COOKIE_WALLS, COOKIE_WALL_CHARS = ("cookie preferences", "cookie settings"), 9000
-NOT_FOUND = ("/errors/404", "/404")
+#: An address that names the error, and not a longer number.
+NOT_FOUND = "/404(?![0-9])"
 
 
 def _lower(c: Column) -> Column:
@@ -125,7 +126,7 @@ def failed_page(page: Column, url: Column) -> Column:
         browser = browser | address.startswith(b)
     return (
         F.when(browser, "navigation_failed").when(address.contains(GONE_BOARD), "board_gone").when(_any(text, CHALLENGES), "anti_bot")
-        .when(_any(text, COOKIE_WALLS) & (F.length(text) < COOKIE_WALL_CHARS), "cookie_wall").when(_any(address, NOT_FOUND), "not_found")
+        .when(_any(text, COOKIE_WALLS) & (F.length(text) < COOKIE_WALL_CHARS), "cookie_wall").when(address.rlike(NOT_FOUND), "not_found")
     )
 
 

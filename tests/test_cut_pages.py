@@ -4,7 +4,7 @@ import html
 
 from pyspark.sql import functions as F
 
-from rolegrain.functions import text
+from rolegrain.functions import text, validity
 
 CUT = ["A &amp;&amp;&amp", "A &am", "B&nbsp;&copy;&copy x", "&#38;&#38 &#x26;&#x26", "&amp;amp; &ampfoo; &", "a&amp;lt;&quot;b&quot"]
 
@@ -13,3 +13,9 @@ def test_plain_text_of_cut_references(spark):
     rows = spark.createDataFrame([(t,) for t in CUT], "t string").select("t", text.plain_text(F.col("t")).alias("any"), text.plain_text(F.col("t"), bare=False).alias("closed")).collect()
     assert [r.any for r in rows] == [" ".join(html.unescape(t).split()) for t in CUT]
     assert [r.closed for r in rows] == ["A &&&amp", "A &am", "B ©&copy x", "&&#38 &&#x26", "&amp; &ampfoo; &", 'a&lt;"b&quot']
+
+
+def test_longer_numbers_are_no_errors(spark):
+    urls = {"https://x.test/404": "not_found", "https://x.test/errors/404?a=1": "not_found", "https://x.test/404.html": "not_found", "https://x.test/404-not-found": "not_found", "https://x.test/4040": None, "https://x.test/jobs/40412": None, "https://x.test/4040/404": "not_found"}
+    rows = spark.createDataFrame([(u,) for u in urls], "u string").select("u", validity.failed_page(F.lit("Jobs"), F.col("u")).alias("f")).collect()
+    assert {r.u: r.f for r in rows} == urls
