@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 from collections import Counter
 from collections.abc import Iterator
 from html.parser import HTMLParser
@@ -15,6 +16,8 @@ VOID_TAGS = frozenset(("area", "base", "br", "col", "embed", "hr", "img", "input
 LABEL_CHARS = 2000
 #: Of an element's ancestors so many are named.
 NEAREST = 5
+#: Scripts, styles and comments as they are, or an ampersand that starts no reference with a semicolon.
+LOOSE = re.compile(r"(<(script|style)\b.*?(?:</\2\s*>|\Z)|<!--.*?(?:-->|\Z))|&(?!(?:#[0-9]+|#x[0-9a-f]+|[a-z][a-z0-9]*);)", re.IGNORECASE | re.DOTALL)
 ELEMENT = "node int, last int, depth int, tag string, parent_tag string, attributes map<string,string>, text string, ancestors array<int>"
 
 
@@ -70,8 +73,9 @@ class Tree(HTMLParser):
 
 @udtf(returnType=ELEMENT)
 class Elements:
-    def eval(self, page: str) -> Iterator[tuple]:
-        rows = (tree := Tree(page or "")).rows
+    def eval(self, page: str, bare: bool) -> Iterator[tuple]:
+        page = page or ""
+        rows = (tree := Tree(page if bare else LOOSE.sub(lambda m: m[1] or "&amp;", page))).rows
         depths = [0] * len(rows)
         for node, (tag, attributes, parent, last, first_piece, last_piece) in enumerate(rows):
             if node:
@@ -87,13 +91,14 @@ class Elements:
                 yield 0, last, 0, "", "", {}, None, []
 
 
-def elements(pages: DataFrame) -> DataFrame:
+def elements(pages: DataFrame, bare: bool = True) -> DataFrame:
     """pages without html, with a row for each element: node (0 is the page itself, then in the order of their start tags),
     last (of the elements within it, itself if there is none), depth, tag, parent_tag, attributes, text (white space as
     one space; null beyond 2000 characters) and ancestors (the nearest five, from its parent on).
 
-    A page is parsed within one call; its elements go on as rows. A null or empty page has its node 0 alone."""
-    return pages.lateralJoin(Elements(F.col("html").outer())).drop("html")
+    A page is parsed within one call; its elements go on as rows. A null or empty page has its node 0 alone. Without bare,
+    only references that a semicolon ends are decoded."""
+    return pages.lateralJoin(Elements(F.col("html").outer(), F.lit(bare))).drop("html")
 
 
 def with_next(found: DataFrame, is_wanted: Column, name: str = "next") -> DataFrame:
@@ -104,10 +109,10 @@ def with_next(found: DataFrame, is_wanted: Column, name: str = "next") -> DataFr
     return found.withColumn(name, following).withColumn(name, F.when(F.col(name)["node"] <= F.col("last"), F.col(name)))
 
 
-def headings_of(pages: DataFrame, is_link: Column, is_heading: Column) -> DataFrame:
+def headings_of(pages: DataFrame, is_link: Column, is_heading: Column, bare: bool = True) -> DataFrame:
     """(page_id, node, href, level, heading) of the links of pages: the first heading within the nearest ancestor in which the
     first heading has text, of five ancestors. A climb is an explode of a link's ancestors and an equi-join."""
-    found = with_next(elements(pages), is_heading)
+    found = with_next(elements(pages, bare), is_heading)
     links = found.filter(is_link).select("page_id", F.col("node").alias("link"), F.col("attributes")["href"].alias("href"), F.posexplode("ancestors").alias("level", "node"))
     inside = found.filter(F.col("next").isNotNull() & (F.col("next.text") != "")).select("page_id", "node", F.col("next.text").alias("heading"))
     met = links.join(inside, ["page_id", "node"])
