@@ -2,9 +2,15 @@
 
 from __future__ import annotations
 
+import re
+from functools import reduce
+from operator import or_
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from rolegrain.functions.entities import bound
+
 UNCATEGORIZED, OTHER = "Uncategorized", "Other"
 # Labels that count as none, and the groups' patterns in the order that decides.
 BLANK_LABELS = ("", "uncategorized", "unclassified / miscellaneous", "general", "unknown")
@@ -45,11 +51,21 @@ EXCEPT = {"Food & Beverage": "hospitality|catering|restaurant|food service"}
 
 def sector_group(label: Column) -> Column:
     """The first group whose pattern the label contains; Uncategorized for none, Other for no match."""
-    s = F.lower(F.trim(F.coalesce(label, F.lit(""))))
+    return bound(F.lower(F.trim(F.coalesce(label, F.lit("")))), _grouped)
+
+
+def _grouped(s: Column) -> Column:
     out = F.when(s.isin(*BLANK_LABELS), UNCATEGORIZED)
     for group, pattern in GROUP_PATTERNS:
-        hit = s.rlike(pattern)
+        hit = _has(s, pattern)
         if group in EXCEPT:
-            hit &= ~s.rlike(EXCEPT[group])
+            hit &= ~_has(s, EXCEPT[group])
         out = out.when(hit, group)
     return out.otherwise(OTHER)
+
+
+def _has(s: Column, pattern: str) -> Column:
+    """s.rlike(pattern), alternative by alternative: a plain one is looked for as it is, which is much faster."""
+    plain = re.compile(r"[\w -]+").fullmatch
+    one = lambda p: s.contains(p) if plain(p) else s.startswith(p[1:]) if p[0] == "^" and plain(p[1:]) else s.rlike(p)
+    return reduce(or_, [one(p) for p in pattern.split("|")])

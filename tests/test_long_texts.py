@@ -5,7 +5,7 @@ from functools import reduce
 
 from pyspark.sql import functions as F
 
-from rolegrain.functions import text
+from rolegrain.functions import sectors, text
 
 BITS = [
     '").appendTo("head"); x //]]>', "$(window).on('load', f});", "$(window).load(f});", '{ "themeOptions": 1', "').attr('x')", "// $(window) y });", "By continuing to use this website, you consent to the use of cookies a Accept  Close", "We use cookies to offer you the best possible website experience Accept All Cookies",
@@ -31,3 +31,18 @@ def test_boilerplate_goes_by_the_patterns(spark):
 def test_a_text_is_cleaned_once(spark):
     frame = spark.createDataFrame([("<p>x",)], "t string").select(text.clean_description(F.col("t"), F.lit("Acme"), F.lit("x")).alias("c"))
     assert frame._jdf.queryExecution().analyzed().toString().count("Toggle navigation") == 1
+
+
+def test_sector_groups_by_the_patterns(spark):
+    rnd = random.Random(8)
+    words = [w for _, p in sectors.GROUP_PATTERNS for w in p.replace("^", "").replace("[ ,&]", ",").split("|")] + list(sectors.EXCEPT["Food & Beverage"].split("|"))
+    labels = [*words, *(f"a {w}" for w in words), *(" ".join(rnd.choices(words, k=2)) for _ in range(200)), "hr", "HR & pay", " AI lab", "it x", "nothing", "General", "", None]
+    s = F.lower(F.trim(F.coalesce("t", F.lit(""))))
+    want = F.when(s.isin(*sectors.BLANK_LABELS), sectors.UNCATEGORIZED)
+    for group, pattern in sectors.GROUP_PATTERNS:
+        want = want.when(s.rlike(pattern) & (~s.rlike(sectors.EXCEPT[group]) if group in sectors.EXCEPT else F.lit(True)), group)
+    got = sectors.sector_group(F.col("t"))
+    frame = spark.createDataFrame([(t,) for t in labels], "t string")
+    rows = frame.select("t", want.otherwise(sectors.OTHER).alias("want"), got.alias("got")).collect()
+    assert [(r.t, r.got) for r in rows] == [(r.t, r.want) for r in rows] and len({r.got for r in rows}) > 25
+    assert frame.select(got.alias("g"))._jdf.queryExecution().analyzed().toString().count("trim(") == 1
