@@ -23,29 +23,22 @@ def _spaced(c: Column) -> Column:
     return F.lower(F.trim(F.regexp_replace(F.coalesce(c, F.lit("")), r"\s+", " ")))
 
 
-def same_posting(a: str, b: str) -> Column:
-    """Whether the struct columns a and b (url, title, location, closed, company) are one posting: one canonical URL,
-    title, place and state, and a posting's URL or one company. Blank titles and places agree with nothing."""
-    left, right = (lambda f: F.col(f"{a}.{f}")), (lambda f: F.col(f"{b}.{f}"))
-    url = canonical_url(left("url"))
-    agree = [(_spaced(left(f)) != "") & (_spaced(left(f)) == _spaced(right(f))) for f in ("title", "location")]
-    company = company_name(F.coalesce(left("company"), F.lit("")))
-    return (url != "") & (url == canonical_url(right("url"))) & agree[0] & agree[1] & (left("closed") == right("closed")) & (is_posting_url(url) | ((company != "") & (company == company_name(F.coalesce(right("company"), F.lit(""))))))
-
-
 def merged_batch(batch: DataFrame, catalog: DataFrame) -> DataFrame:
     """A batch as it is to be written, a row per dedupe_key. Both have dedupe_key, url, title, company, location, closed,
     employer_id, description, latitude, longitude and coordinate_source; catalog has id, batch pos.
 
     An item whose catalog rows of its URL are all the same posting takes the key and company of the one with a body and
-    the lowest id. Of one key the last item counts. Then what the catalog knows under the key is kept where the item has
+    the lowest id. Two are one posting with one canonical URL, title, place and state, and a posting's URL or one company;
+    blank titles and places agree with nothing. Of one key the last item counts. Then what the catalog knows under the key is kept where the item has
     less: the employer, a posting's own coordinates while the place is the same, and a body against a stub."""
-    item = F.struct(*batch.columns).alias("item")
-    known = F.struct(*catalog.columns).alias("known")
-    pairs = batch.select("pos", canonical_url(F.col("url")).alias("at"), item).join(catalog.select(canonical_url(F.col("url")).alias("at"), known), "at")
-    best = F.struct(has_body(F.col("known.description")).alias("body"), (-F.col("known.id")).alias("low"))
-    keepers = pairs.groupBy("pos").agg(F.bool_and(same_posting("item", "known")).alias("all"), F.max_by("known", best).alias("keeper")).filter("all").select("pos", "keeper")
-    joined = batch.join(keepers, "pos", "left")
+    facts = lambda rows: rows.withColumns({"_at": canonical_url(F.col("url")), "_title": _spaced(F.col("title")), "_place": _spaced(F.col("location")), "_company": company_name(F.coalesce("company", F.lit("")))})
+    best = F.struct(has_body(F.col("description")).alias("body"), (-F.col("id")).alias("low"))
+    # a URL's catalog rows as one row: they are all one posting with an item if the least and the greatest of each fact are the item's
+    ends = [f(c).alias(f"{c}_{n}") for c in ("_title", "_place", "closed", "_company") for n, f in (("low", F.min), ("high", F.max))]
+    known = facts(catalog).filter("_at <> ''").groupBy("_at").agg(F.max_by(F.struct("dedupe_key", "company", "employer_id"), best).alias("keeper"), *ends).withColumn("_posting", is_posting_url(F.col("_at")))
+    both_are = lambda c: (F.col(c) == F.col(f"{c}_low")) & (F.col(c) == F.col(f"{c}_high"))
+    same = (F.col("_title") != "") & (F.col("_place") != "") & both_are("_title") & both_are("_place") & both_are("closed") & (F.col("_posting") | ((F.col("_company") != "") & both_are("_company")))
+    joined = facts(batch).join(known, "_at", "left").withColumn("keeper", F.when(same, F.col("keeper")))
     named = joined.withColumns({
         "dedupe_key": F.coalesce("keeper.dedupe_key", "dedupe_key"), "company": F.when(F.col("keeper").isNotNull(), F.col("keeper.company")).otherwise(F.col("company")), "employer_id": F.coalesce("keeper.employer_id", "employer_id"),
     }).drop("keeper")

@@ -5,7 +5,7 @@ from collections import Counter
 
 from pyspark.sql import functions as F
 
-from rolegrain.operators import resolve
+from rolegrain.operators import ingest, resolve
 
 
 def joined(frame) -> tuple[list, int]:
@@ -95,3 +95,35 @@ def test_unique_matches_of_frequent_keys(spark):
     want = [(i, next(iter(found)) if len(found := strong[i] or weak[i]) == 1 else None) for i, *_ in left]
     assert Counter(tuple(r) for r in got[0]) == Counter(want) and len({r[1] for r in want}) > 20
     assert got[1] <= 1000  # the frequent key made 200,000
+
+
+def test_batches_match_all_pairs(spark):
+    rnd = random.Random(9)
+    long = "Duties of the role: plan and review the work of the team, " * 4
+    fields = "dedupe_key string, url string, title string, company string, location string, closed boolean, employer_id long, description string, latitude double, longitude double, coordinate_source string"
+    row = lambda i, key: (i, f"{key}{i}", rnd.choice([f"https://x.test/{k}/{rnd.randrange(12)}" for k in ("jobs", "about")] + ["", None]), rnd.choice(["Role", " role", "Role", "Lead", "", None]), rnd.choice(["Acme", "Acme Ltd", "Beta", ""]), rnd.choice(["Cork", "Cork", "cork ", ""]), rnd.choice([False, False, False, True, None]), rnd.choice([None, i]), rnd.choice([long, "stub", None]), None, None, None)
+    known, items = [row(i, "c") for i in range(24)], [row(i, "b") for i in range(400)]
+    clean = lambda x: " ".join((x or "").lower().split())
+    firm = lambda x: clean(x).replace(" ltd", "")
+
+    def same(a, b):
+        if not a[2] or a[2] != b[2] or any(not clean(a[i]) or clean(a[i]) != clean(b[i]) for i in (3, 5)):
+            return False
+        if "/jobs/" not in a[2] and (not firm(a[4]) or firm(a[4]) != firm(b[4])):
+            return False
+        return None if a[6] is None or b[6] is None else a[6] == b[6]
+
+    keys = set()
+    for a in items:
+        said = [x for b in known if a[2] and b[2] == a[2] and (x := same(a, b)) is not None]
+        at = [b for b in known if b[2] == a[2]]
+        keys.add(min(at, key=lambda b: (b[8] != long, b[0]))[1] if said and all(said) else a[1])
+    batch, catalog = spark.createDataFrame(items, "pos long, " + fields), spark.createDataFrame(known, "id long, " + fields)
+    got = ingest.merged_batch(batch, catalog)
+    assert {r.dedupe_key for r in got.collect()} == keys and len([k for k in keys if k[0] == "c"]) >= 3
+
+
+def test_a_url_with_many_rows_is_met_once(spark):
+    at = lambda n, key, name: spark.range(n).select(F.col("id").alias(name), F.concat(F.lit(key), "id").alias("dedupe_key"), F.lit("https://x.test/jobs/1").alias("url"), F.lit("Role").alias("title"), F.lit("Acme").alias("company"), F.lit("Cork").alias("location"), F.lit(False).alias("closed"), F.lit(7).cast("long").alias("employer_id"), F.lit("stub").alias("description"), *[F.lit(None).cast("double").alias(c) for c in ("latitude", "longitude")], F.lit(None).cast("string").alias("coordinate_source"))
+    rows, most = joined(ingest.merged_batch(at(400, "b", "pos"), at(300, "c", "id")))
+    assert [(r.dedupe_key, r.pos) for r in rows] == [("c0", 399)] and most <= 400
