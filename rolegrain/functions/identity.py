@@ -7,6 +7,8 @@ import unicodedata
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from rolegrain.functions.entities import bound
+
 # Words, tags and parameters that identities leave out.
 LEGAL_WORDS = ("ireland", "limited", "ltd", "plc", "dac", "inc", "corp", "corporation", "group", "llc", "holdings", "company", "co")
 KINDS_AT_END = ("limited", "ltd", "plc", "dac", "inc", "llc")
@@ -29,9 +31,13 @@ MARKED = {chr(c): base for c in (*range(0xC0, 0x250), *range(0x1E00, 0x1F00)) if
 
 def words_key(text: Column) -> Column:
     """Words of letters and digits in lower case without marks, with single spaces. Combining marks go; of letters that
-    come apart those of the Latin blocks do."""
-    plain = F.translate(F.replace(F.lower(text), F.lit("ß"), F.lit("ss")), "".join(MARKED), "".join(MARKED.values()))
-    return F.trim(F.regexp_replace(F.regexp_replace(plain, r"\p{Mn}+", ""), r"[^\p{L}\p{N}]+", " "))
+    come apart those of the Latin blocks do. A text of plain ASCII has none of these and is not searched for them."""
+    def plain(low: Column) -> Column:
+        bare = F.translate(F.replace(low, F.lit("ß"), F.lit("ss")), "".join(MARKED), "".join(MARKED.values()))
+        marked = F.regexp_replace(F.regexp_replace(bare, r"\p{Mn}+", ""), r"[^\p{L}\p{N}]+", " ")
+        return F.when(F.octet_length(low) == F.length(low), F.regexp_replace(low, "[^a-z0-9]+", " ")).otherwise(marked)
+
+    return F.trim(bound(F.lower(text), plain))
 
 
 def name_key(name: Column) -> Column:

@@ -127,3 +127,11 @@ def test_a_url_with_many_rows_is_met_once(spark):
     at = lambda n, key, name: spark.range(n).select(F.col("id").alias(name), F.concat(F.lit(key), "id").alias("dedupe_key"), F.lit("https://x.test/jobs/1").alias("url"), F.lit("Role").alias("title"), F.lit("Acme").alias("company"), F.lit("Cork").alias("location"), F.lit(False).alias("closed"), F.lit(7).cast("long").alias("employer_id"), F.lit("stub").alias("description"), *[F.lit(None).cast("double").alias(c) for c in ("latitude", "longitude")], F.lit(None).cast("string").alias("coordinate_source"))
     rows, most = joined(ingest.merged_batch(at(400, "b", "pos"), at(300, "c", "id")))
     assert [(r.dedupe_key, r.pos) for r in rows] == [("c0", 399)] and most <= 400
+
+
+def test_texts_are_parted_once(spark):
+    w = spark.createDataFrame([(1, "Large ring of the old wörld"), (2, "a large bolt"), (3, None)], "witness_id long, text string")
+    a = spark.createDataFrame([("s", "1", "the old"), ("s", "2", "large ring Ltd"), ("s", "3", "world")], "source string, identity string, alias string")
+    met = resolve.alias_meetings(w, a)
+    assert met._jdf.queryExecution().analyzed().toString().count("Generate explode") == 1
+    assert sorted((r.witness_id, r.identity) for r in resolve.alias_candidates(w, a).collect()) == [(1, "1"), (1, "2"), (1, "3")]
