@@ -32,6 +32,8 @@ NEAR = 24
 VOTES, PLACE = 4, 6.0
 #: Rounds in which the images of a key meet one of them, before all that is still apart meets.
 STARS = 4
+#: Buckets of groups in the sketch of a key: what a corner carries of its company, at most.
+SKETCH = 4096
 #: Keys that a task holds before it packs them.
 FLUSH_KEYS = 1_000_000
 _rng = np.random.default_rng(20)
@@ -382,14 +384,43 @@ def met_pivots(labelled: DataFrame, stars: int) -> DataFrame:
     return labelled.join(pivots, "key").filter("label <> of").select("a", "a_place", F.col("node").alias("b"), F.col("place").alias("b_place"))
 
 
+def likely(labelled: DataFrame) -> DataFrame:
+    """(key, node, place, bucket): the corners (key, node, place, label, bucket) of which the company can matter. A key's
+    sketch is the set of its groups' buckets, each with whether more than one of its groups is there. An image can link
+    with a group only if VOTES different places have a key with another group in that bucket. No pair of an image and a
+    group is made for that: a corner carries one sketch, which has SKETCH entries at most."""
+    held = labelled.groupBy("key", "bucket").agg((F.min("label") < F.max("label")).cast("int").alias("more"))
+    sketches = held.groupBy("key").agg(F.collect_list(F.col("bucket") * 2 + F.col("more")).alias("sketch"))
+    company = F.when((F.size("sketch") > 1) | (F.col("sketch")[0] % 2 == 1), F.struct("key", "place", "sketch"))
+    images = labelled.join(sketches, "key").groupBy("node", F.col("bucket").alias("own")).agg(F.collect_list(company).alias("corners"))
+
+    def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            corners = batch.column("corners")
+            key, place, sketch = corners.flatten().flatten()
+            image = np.repeat(np.arange(batch.num_rows), np.diff(corners.offsets.to_numpy()))
+            corner = np.repeat(np.arange(len(key)), np.diff(sketch.offsets.to_numpy()))
+            bucket, more = np.divmod(sketch.flatten().to_numpy(), 2)
+            other = np.flatnonzero((bucket != batch.column("own").to_numpy()[image[corner]]) | (more == 1))
+            corner, bucket, place = corner[other], bucket[other], place.to_numpy()
+            met, beside = np.unique(image[corner] * SKETCH + bucket, return_inverse=True)
+            places = np.bincount(np.unique(beside << 32 | place[corner]) >> 32, minlength=len(met))
+            at = np.flatnonzero(places[beside] >= VOTES)
+            yield pa.RecordBatch.from_arrays([pa.array(x) for x in (key.to_numpy()[corner[at]], batch.column("node").to_numpy()[image[corner[at]]], place[corner[at]], bucket[at].astype(np.int32))], ["key", "node", "place", "bucket"])
+
+    return images.mapInArrow(rows, "key long, node long, place int, bucket int")
+
+
 def met_apart(corners: DataFrame, labels: DataFrame) -> DataFrame:
     """The corners of images that meet under different labels, of those of which VOTES different ones have company in
-    the other, larger group, as they must if the image links with any there. An image meets each group of a key once
-    before that count is known, however many images of the group have the key."""
+    the other, larger group, as they must if the image links with any there. What sketches leave of an image meets each
+    group of a key once before that count is known, however many images of the group have the key."""
     sizes = labels.groupBy("label").agg(F.count("*").alias("images"))
-    labelled = corners.join(labels.select("node", "label").join(sizes, "label"), "node").withColumn("own", F.struct("images", "label"))
-    groups = labelled.select("key", F.col("own").alias("other")).distinct()
-    beside = materialize(labelled.join(groups, "key").filter("own < other").select("key", "node", "place", F.col("other.label").alias("other")), "beside")
+    named = labels.select("node", "label").join(sizes, "label").select("node", "label", F.struct("images", "label").alias("own"))
+    labelled = corners.join(named, "node").withColumn("bucket", F.pmod(F.xxhash64("label"), F.lit(SKETCH)).cast("int"))
+    ahead = materialize(likely(labelled), "likely")
+    groups = labelled.select("key", "bucket", F.col("own").alias("other")).distinct()
+    beside = materialize(ahead.join(groups, ["key", "bucket"]).join(named, "node").filter("own < other").select("key", "node", "place", F.col("other.label").alias("other")), "beside")
     near = beside.groupBy("node", "other").agg(F.count_distinct("place").alias("places")).filter(F.col("places") >= VOTES).select("node", "other")
     ones = beside.join(near, ["node", "other"]).select("key", F.col("other").alias("label"), F.col("node").alias("a"), F.col("place").alias("a_place"))
     return ones.join(labelled.select("key", "label", F.col("node").alias("b"), F.col("place").alias("b_place")), ["key", "label"]).select("a", "a_place", "b", "b_place")

@@ -162,3 +162,38 @@ def test_keys_agree_where_the_table_s_bits_do():
         assert 50 <= own.sum() <= 52 and ((x == y) == (bits[:, own] == other[:, own]).all(axis=1)).all()
         met |= x == y
     assert met.all()
+
+
+def made_apart(spark, corners, labels, monkeypatch):
+    """What met_apart gives, and the rows of the table in which images met groups."""
+    made, write = {}, media.materialize
+    with monkeypatch.context() as patch:
+        patch.setattr(media, "materialize", lambda df, name: made.setdefault(name, write(df, name)))
+        met = media.met_apart(spark.createDataFrame(corners, "key long, node long, place int"), spark.createDataFrame(labels, "node long, label long"))
+        return sorted(tuple(r) for r in met.collect()), made["beside"].count()
+
+
+def test_a_common_key_makes_no_pairs(spark, monkeypatch):
+    """400 images with one corner of one key each, in groups of their own, and two with four corners in common."""
+    corners = [(7, n, 0) for n in range(400)] + [(100 + k, n, 1 + k) for k in range(3) for n in (11, 300)]
+    met, rows = made_apart(spark, corners, [(n, n) for n in range(400)], monkeypatch)
+    assert met == [(11, p, 300, p) for p in range(4)]
+    assert rows <= 40
+
+
+@pytest.mark.parametrize("buckets", [1, 3, 4096])
+def test_sketches_lose_no_company(spark, monkeypatch, buckets):
+    """Few buckets, so that groups share them with each other and with the image itself, against all pairs."""
+    monkeypatch.setattr(media, "SKETCH", buckets)
+    rng = np.random.default_rng(4)
+    corners = sorted({(int(rng.integers(0, 60)), n, p) for n in range(60) for p in range(8)})
+    label = {n: n - n % 3 if n < 30 else n for n in range(60)}
+    size = Counter(label.values())
+    own = {n: (size[x], x) for n, x in label.items()}
+    met, _ = made_apart(spark, corners, list(label.items()), monkeypatch)
+    every = [(n, p, m, q) for k, n, p in corners for j, m, q in corners if k == j and own[n] < own[m]]
+    places = {}
+    for n, p, m, _ in every:
+        places.setdefault((n, label[m]), set()).add(p)
+    want = sorted(x for x in every if len(places[x[0], label[x[2]]]) >= media.VOTES)
+    assert want and met == want
