@@ -8,7 +8,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from rolegrain.llm.anchors import sliding
@@ -30,10 +30,14 @@ RADIUS, BITS = 8, 128
 SPLITS, PARTS = 2, 5
 NEAR = 24
 VOTES, PLACE = 4, 6.0
-#: Rounds in which the images of a key meet one of them, before all that is still apart meets.
-STARS = 4
+#: Rounds in which the images of a key meet one of them, before all that is still apart meets. The first takes one of
+#: SHARE keys.
+STARS, SHARE = 4, 4
 #: Buckets of groups in the sketch of a key: what a corner carries of its company, at most.
 SKETCH = 4096
+#: The same of single images, before there are groups: more buckets, but a key with images in more than FEW of them has
+#: company everywhere, so that a corner carries FEW entries at most.
+SPREAD, FEW = 65_536, 64
 #: Keys that a task holds before it packs them.
 FLUSH_KEYS = 1_000_000
 _rng = np.random.default_rng(20)
@@ -362,14 +366,19 @@ def linked_pairs(met: DataFrame, images: DataFrame) -> DataFrame:
 def linked(images: DataFrame) -> DataFrame:
     """(node, label) of the images' groups. In a few rounds the images of a key meet one of them, its pivot, if they
     are not in one group with it yet: at first the image with most shared corners, then one drawn anew each round. That
-    joins a group of copies without pairing it out. Whatever then still lies apart and is near enough meets whole."""
-    corners = shared_corners(images)
+    joins a group of copies without pairing it out. Copies share so many keys, up to 20 for each corner, that a share of
+    them joins most in the first round; what that leaves apart meets by all keys in the others. Whatever then still lies
+    apart and is near enough meets whole."""
+    corners = with_company(shared_corners(images))
     shares = materialize(corners.groupBy("node").agg(F.count("*").alias("shares")), "shares")
     labels, links = shares.withColumn("label", F.col("node")), None
     for stars in range(STARS):
-        found = materialize(linked_pairs(met_pivots(corners.join(labels, "node"), stars), images), "star_links")
+        keys = corners if stars else corners.filter(F.pmod(F.xxhash64("key"), F.lit(SHARE)) == 0)
+        found = materialize(linked_pairs(met_pivots(keys.join(labels, "node"), stars), images), "star_links")
         if found.isEmpty():
-            break
+            if stars:
+                break
+            continue
         links = found if links is None else links.union(found)
         labels = materialize(shares.join(components(links), "node", "left").withColumn("label", F.coalesce("label", "node")), "node_labels")
     between = materialize(linked_pairs(met_apart(corners, labels), images), "group_links")
@@ -384,31 +393,58 @@ def met_pivots(labelled: DataFrame, stars: int) -> DataFrame:
     return labelled.join(pivots, "key").filter("label <> of").select("a", "a_place", F.col("node").alias("b"), F.col("place").alias("b_place"))
 
 
-def likely(labelled: DataFrame) -> DataFrame:
-    """(key, node, place, bucket): the corners (key, node, place, label, bucket) of which the company can matter. A key's
-    sketch is the set of its groups' buckets, each with whether more than one of its groups is there. An image can link
-    with a group only if VOTES different places have a key with another group in that bucket. No pair of an image and a
-    group is made for that: a corner carries one sketch, which has SKETCH entries at most."""
+def bucket(n: int) -> Column:
+    return F.pmod(F.xxhash64("label"), F.lit(n)).cast("int")
+
+
+def likely(labelled: DataFrame, few: int | None = None) -> DataFrame:
+    """(key, node, place, buckets): the corners (key, node, place, label, bucket) of which the company can matter, and the
+    buckets it is in. A key's sketch is the set of its groups' buckets, each with whether more than one of its groups is
+    there. An image can link with a group only if VOTES different places have a key with another group in that bucket. No
+    pair of an image and a group is made for that: a corner carries one sketch. One of more than few entries is left
+    empty and stands for every bucket; such a corner's own buckets are empty too."""
     held = labelled.groupBy("key", "bucket").agg((F.min("label") < F.max("label")).cast("int").alias("more"))
     sketches = held.groupBy("key").agg(F.collect_list(F.col("bucket") * 2 + F.col("more")).alias("sketch"))
-    company = F.when((F.size("sketch") > 1) | (F.col("sketch")[0] % 2 == 1), F.struct("key", "place", "sketch"))
+    if few is not None:
+        sketches = sketches.withColumn("sketch", F.when(F.size("sketch") <= few, F.col("sketch")).otherwise(F.array().cast("array<int>")))
+    company = F.when((F.size("sketch") != 1) | (F.get("sketch", F.lit(0)) % 2 == 1), F.struct("key", "place", "sketch"))
     images = labelled.join(sketches, "key").groupBy("node", F.col("bucket").alias("own")).agg(F.collect_list(company).alias("corners"))
 
+    def judged(node: np.ndarray, own: np.ndarray, corners: pa.ListArray) -> pa.RecordBatch:
+        key, place, sketch = corners.flatten().flatten()
+        image, place = np.repeat(np.arange(len(node)), np.diff(corners.offsets.to_numpy())), place.to_numpy()
+        entries = np.diff(sketch.offsets.to_numpy())
+        corner, everywhere = np.repeat(np.arange(len(key)), entries), np.flatnonzero(entries == 0)
+        at, more = np.divmod(sketch.flatten().to_numpy(), 2)
+        other = np.flatnonzero((at != own[image[corner]]) | (more == 1))
+        corner, at = corner[other], at[other]
+        met, beside = np.unique(image[corner] << 32 | at, return_inverse=True)
+        places = np.bincount(np.unique(beside << 32 | place[corner]) >> 32, minlength=len(met))
+        wide = np.bincount(np.unique(image[everywhere] << 32 | place[everywhere]) >> 32, minlength=len(node))
+        near = np.flatnonzero(places[beside] + wide[image[corner]] >= VOTES)
+        n = np.bincount(corner[near], minlength=len(key))
+        linking = wide >= VOTES
+        linking[image[corner[near]]] = True
+        keep = np.flatnonzero((n > 0) | (entries == 0) & linking[image])
+        buckets = pa.ListArray.from_arrays(pa.array(np.r_[0, np.cumsum(n[keep])].astype(np.int32)), pa.array(at[near].astype(np.int32)))
+        return pa.RecordBatch.from_arrays([*[pa.array(x) for x in (key.to_numpy()[keep], node[image[keep]], place[keep])], buckets], ["key", "node", "place", "buckets"])
+
     def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             corners = batch.column("corners")
-            key, place, sketch = corners.flatten().flatten()
-            image = np.repeat(np.arange(batch.num_rows), np.diff(corners.offsets.to_numpy()))
-            corner = np.repeat(np.arange(len(key)), np.diff(sketch.offsets.to_numpy()))
-            bucket, more = np.divmod(sketch.flatten().to_numpy(), 2)
-            other = np.flatnonzero((bucket != batch.column("own").to_numpy()[image[corner]]) | (more == 1))
-            corner, bucket, place = corner[other], bucket[other], place.to_numpy()
-            met, beside = np.unique(image[corner] * SKETCH + bucket, return_inverse=True)
-            places = np.bincount(np.unique(beside << 32 | place[corner]) >> 32, minlength=len(met))
-            at = np.flatnonzero(places[beside] >= VOTES)
-            yield pa.RecordBatch.from_arrays([pa.array(x) for x in (key.to_numpy()[corner[at]], batch.column("node").to_numpy()[image[corner[at]]], place[corner[at]], bucket[at].astype(np.int32))], ["key", "node", "place", "bucket"])
+            entries = np.diff(corners.flatten().field("sketch").offsets.to_numpy())
+            of = np.repeat(np.arange(batch.num_rows), np.diff(corners.offsets.to_numpy()))
+            for lo, hi in stretches(np.bincount(of, entries + 1, batch.num_rows).tolist()):
+                yield judged(*[batch.column(c)[lo:hi].to_numpy() for c in ("node", "own")], corners[lo:hi])
+
+    return images.mapInArrow(rows, "key long, node long, place int, buckets array<int>")
+
 
-    return images.mapInArrow(rows, "key long, node long, place int, bucket int")
+def with_company(corners: DataFrame) -> DataFrame:
+    """The corners (key, node, place) that a link between two images can need. Most keys that two images share by chance
+    are the only ones of the two, and the number of such pairs grows with the square of the images; what is left grows
+    with the copies. Both images of a pair that meets at VOTES places of each or more keep all corners in which they meet."""
+    return materialize(likely(corners.withColumn("label", F.col("node")).withColumn("bucket", bucket(SPREAD)), FEW).select("key", "node", "place"), "company")
 
 
 def met_apart(corners: DataFrame, labels: DataFrame) -> DataFrame:
@@ -417,8 +453,8 @@ def met_apart(corners: DataFrame, labels: DataFrame) -> DataFrame:
     group of a key once before that count is known, however many images of the group have the key."""
     sizes = labels.groupBy("label").agg(F.count("*").alias("images"))
     named = labels.select("node", "label").join(sizes, "label").select("node", "label", F.struct("images", "label").alias("own"))
-    labelled = corners.join(named, "node").withColumn("bucket", F.pmod(F.xxhash64("label"), F.lit(SKETCH)).cast("int"))
-    ahead = materialize(likely(labelled), "likely")
+    labelled = corners.join(named, "node").withColumn("bucket", bucket(SKETCH))
+    ahead = materialize(likely(labelled).select("key", "node", "place", F.explode("buckets").alias("bucket")), "likely")
     groups = labelled.select("key", "bucket", F.col("own").alias("other")).distinct()
     beside = materialize(ahead.join(groups, ["key", "bucket"]).join(named, "node").filter("own < other").select("key", "node", "place", F.col("other.label").alias("other")), "beside")
     near = beside.groupBy("node", "other").agg(F.count_distinct("place").alias("places")).filter(F.col("places") >= VOTES).select("node", "other")

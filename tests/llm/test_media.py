@@ -5,6 +5,7 @@ from collections import Counter
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 from rolegrain.llm import media
 
 
@@ -197,3 +198,45 @@ def test_sketches_lose_no_company(spark, monkeypatch, buckets):
         places.setdefault((n, label[m]), set()).add(p)
     want = sorted(x for x in every if len(places[x[0], label[x[2]]]) >= media.VOTES)
     assert want and met == want
+
+
+def test_keys_shared_by_chance_meet_no_pivots(spark, monkeypatch):
+    """3000 keys that two of 300 images share, and five pairs with four corners in common: only these meet pivots."""
+    rng = np.random.default_rng(6)
+    pairs = [rng.choice(300, 2, replace=False) for _ in range(3000)]
+    corners = [(k, int(n), int(rng.integers(0, 48))) for k, pair in enumerate(pairs) for n in pair]
+    corners += [(5000 + 4 * n + p, n + m, p) for n in range(5) for p in range(4) for m in (0, 100)]
+    rows = []
+
+    def four_in_common(met, images):
+        rows.append(met.count())
+        return met.groupBy("a", "b").agg(F.count_distinct("a_place").alias("n")).filter(F.col("n") >= media.VOTES).select("a", "b")
+
+    monkeypatch.setattr(media, "shared_corners", lambda images: spark.createDataFrame(corners, "key long, node long, place int"))
+    monkeypatch.setattr(media, "linked_pairs", four_in_common)
+    assert sorted(tuple(r) for r in media.linked(None).collect()) == sorted((n + m, n) for n in range(5) for m in (0, 100))
+    assert sum(rows) <= 40
+
+
+@pytest.mark.parametrize("spread, few", [(1, 1), (3, 2), (65_536, 1), (65_536, 3), (65_536, 64)])
+def test_corners_of_pairs_that_can_link_stay(spark, monkeypatch, spread, few):
+    """Images that share buckets, keys with more images than a sketch holds, and images with many such keys."""
+    monkeypatch.setattr(media, "SPREAD", spread)
+    monkeypatch.setattr(media, "FEW", few)
+    rng = np.random.default_rng(8)
+    corners = {(int(rng.integers(0, 400)), n, p) for n in range(80) for p in range(8)}
+    corners |= {(1000 + int(rng.integers(0, 3)), n, 8 + p) for n in range(40, 60) for p in range(3)}
+    corners |= {(2000 + 8 * n + p, n + m, p) for n in range(0, 80, 8) for p in range(2 + n % 5) for m in (0, 3)}
+    by_key, met = {}, {}
+    for k, n, p in corners:
+        by_key.setdefault(k, []).append((k, n, p))
+    for own in by_key.values():
+        for a in own:
+            for b in own:
+                if a[1] != b[1]:
+                    met.setdefault((a[1], b[1]), set()).add(a)
+    places = {pair: len({p for _, _, p in own}) for pair, own in met.items()}
+    want = {c for (n, m), own in met.items() if min(places[n, m], places[m, n]) >= media.VOTES for c in own}
+    got = [tuple(r) for r in media.with_company(spark.createDataFrame(sorted(corners), "key long, node long, place int")).collect()]
+    assert want and len(got) == len(set(got)) and want <= set(got) <= corners
+    assert few < 64 or len(got) < len(corners) / 2
