@@ -3,13 +3,16 @@
 import html as stdlib
 import json
 import random
+from collections import Counter
 from html.entities import html5
 from html.parser import HTMLParser
 
+import duckdb
 import pytest
 from pyspark.sql import functions as F
 
 from rolegrain.functions.entities import decoded
+from rolegrain.plans import registry
 from rolegrain.sources import cards, elements
 from tests.test_cards import pages
 
@@ -81,6 +84,38 @@ def test_climbs_match_a_plain_tree(spark):
     assert sum(map(len, found.values())) > 100
 
 
+def whole_climbs(page):
+    out = []
+    for link in below(Walk(page).root):
+        if link["tag"] == "a":
+            at, level = link["up"], 1
+            while at and not ((first := next((x for x in below(at) if x["tag"] in ("h2", "h3")), None)) and text(first)):
+                at, level = at["up"], level + 1
+            out.append((link["attrs"].get("href"), level if at else None, text(first) if at else None))
+    return out
+
+
+def test_whole_climbs_match_a_plain_tree(spark):
+    made_pages = [made(i).replace("<ul>", "<ul>" * (i % 9)).replace("Title", "Title " * (i % 2 * 500)) for i in range(150)] + ["<a>x</a>", "<h2>" * 40 + '<a href="/1">x</a>', None, ""]
+    found = {}
+    for r in elements.nearest_headings(pages(spark, *made_pages).select("page_id", "html"), ["a"], ["h2", "h3"]).orderBy("page_id", "node").collect():
+        found.setdefault(r.page_id, []).append((r.href, r.level, r.heading))
+    assert found == {i: whole_climbs(p) for i, p in enumerate(made_pages) if p and whole_climbs(p)}
+    climbed = [x for rows in found.values() for x in rows]
+    assert any(level and level > 5 for _, level, _ in climbed) and any(h and len(h) > 2000 for *_, h in climbed) and any(h is None for *_, h in climbed)
+
+
+def test_link_headings_of_all_links(spark, tmp_path):
+    deep = lambda n, h="Deep": f"<body><h1>{h} &amp; far</h1>" + "<div>" * n + '<a class="x" href="/a">go</a><p><a name="top">here</a></p>' + "</div>" * n + '<a href="/b">go</a></body>'
+    rows = [(n, deep(n)) for n in (0, 3, 4, 5, 6, 60, 3000)] + [(100, deep(9, "long " * 900)), (101, '<p><a href="/none">no heading</a></p>'), (102, '<h1> </h1><a href="/blank">x</a>'), (3, deep(8, "Again")), (None, deep(7)), (104, None), (105, "")]
+    spark.createDataFrame(rows, "page_id long, html string").write.parquet(str(tmp_path / "pages.parquet"))
+    got = registry.queries()["link_headings"](spark, str(tmp_path)).collect()
+    con = duckdb.connect()
+    con.execute(f"CREATE VIEW pages AS SELECT * FROM '{tmp_path}/pages.parquet/*.parquet'")
+    want = con.execute(registry.oracle_sql()["link_headings"]).fetchall()
+    assert Counter((r.page_id, r.href, r.heading) for r in got) == Counter(want) and len(want) == 22
+
+
 def test_elements_of_odd_pages(spark):
     rows = elements.elements(pages(spark, None, "", "<p>a<p>b", "</div>x", "<i>" * 3000 + "deep" + "</b>" * 3000, "<a>" + "x" * 3000 + "</a>", '<a b="1" b c>').select("page_id", "html")).orderBy("page_id", "node").collect()
     by_page = {}
